@@ -87,7 +87,7 @@ def stop_words() -> frozenset[str]:
 
 
 def _is_word(token: str) -> bool:
-    return not token[-1].isdigit() and token[0] not in "+-"
+    return not any(c.isdigit() for c in token)
 
 
 def lexeme(token: str, stops: frozenset[str]) -> str | None:

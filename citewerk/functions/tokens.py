@@ -7,7 +7,7 @@ plus higher-order functions) the same work measured more than twice as slow.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -49,13 +49,13 @@ def tokens(texts: pa.Array) -> pa.Array:
     return _string_lists(texts, tokens_of)
 
 
-def lexemes(text: Column) -> Column:
+def lexemes(text: Column, stops: Collection[str] | None = None) -> Column:
     """Stemmed tokens without stop words, repetitions kept, in order.
 
     Words repeat heavily, so each Python worker keeps a bounded memo of stems;
     nothing is shuffled to find the distinct words.
     """
-    stops = stop_words()
+    stops = stop_words() if stops is None else frozenset(stops)
     memo: dict[str, str | None] = {}
 
     def per_text(value: str) -> list[str]:
@@ -84,13 +84,15 @@ def index_lexemes(heading: Column, text: Column, compound_terms: Column) -> Colu
     )
 
 
-def question_lexemes(question: str, lexicon: Lexicon | None = None) -> list[str]:
+def question_lexemes(
+    question: str, lexicon: Lexicon | None = None, stops: Collection[str] | None = None
+) -> list[str]:
     """Distinct lexemes of a question and of the parts of its compounds.
 
     A question is normalised twice: its lexemes are read again as words when the
     alternatives are formed, so a stem that is itself a stop word drops out.
     """
-    stops = stop_words()
+    stops = stop_words() if stops is None else frozenset(stops)
     parts = compound_parts_local(question, lexicon) if lexicon else ""
     kept: dict[str, None] = {}
     for token in tokens_of(f"{question} {parts}"):

@@ -18,22 +18,24 @@ Location = tuple[str, str]
 # ---------------------------------------------------------------- retrieval
 
 
-def recall(found: DataFrame, expected: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Share of the expected keys that were found, per group of `by`.
+def recall(
+    found: DataFrame,
+    expected: DataFrame,
+    keys: Sequence[str],
+    by: Sequence[str],
+    methods: Sequence[str],
+) -> DataFrame:
+    """Share of the expected keys that each method found, per group of `by`.
 
-    Both sides are sets of `keys`; `found` may name a subset of `by` beyond the
-    columns of `expected` (such as the method), for which it gives a row each.
+    `expected` rows carry `by` and `keys`, `found` rows `method` besides. Both sides are
+    sets. A method is scored on every group, also one it found nothing for.
     """
-    shared = [c for c in by if c in expected.columns]
-    extra = [c for c in by if c not in shared]
-    wanted = expected.select(*shared, *keys).distinct()
-    if extra:
-        # Every method is scored on every case, also one it found nothing for.
-        wanted = wanted.join(F.broadcast(_few(found.select(*extra).distinct())))
-    hits = found.select(*by, *keys).distinct().withColumn("_hit", F.lit(1))
+    wanted = expected.select(*by, *keys).distinct()
+    scored = wanted.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
+    hits = found.select("method", *by, *keys).distinct().withColumn("_hit", F.lit(1))
     return (
-        wanted.join(hits, [*by, *keys], "left")
-        .groupBy(*by)
+        scored.join(hits, ["method", *by, *keys], "left")
+        .groupBy("method", *by)
         .agg(
             F.count("_hit").alias("hits"),
             F.count("*").alias("expected"),
@@ -42,14 +44,6 @@ def recall(found: DataFrame, expected: DataFrame, keys: Sequence[str], by: Seque
     )
 
 
-def _few(methods: DataFrame, bound: int = 100) -> DataFrame:
-    """The handful of method names; refuses anything that is not a handful."""
-    names = methods.limit(bound + 1).collect()
-    if len(names) > bound:
-        raise ValueError(f"more than {bound} methods to compare")
-    return methods.sparkSession.createDataFrame(names, methods.schema)
-
-
 def macro_average(recalls: DataFrame, method: str = "method", kind: str = "kind") -> DataFrame:
     """Mean recall per method and kind, and per method over all cases (kind NULL)."""
     return recalls.groupingSets(

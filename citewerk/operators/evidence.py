@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +45,7 @@ def collect_evidence(
     candidates: int = CANDIDATES_PER_METHOD,
     dim: int = EMBEDDING_DIM,
     lexicon: Lexicon | None = None,
+    stops: Collection[str] | None = None,
 ) -> DataFrame:
     """Chunks found by any of the questions, each once, in chronological order.
 
@@ -52,7 +53,7 @@ def collect_evidence(
     """
     require_project_id(project_id)
     hits = hybrid_hits(
-        index, project_id, questions, encoder, hits_per_question, candidates, dim, lexicon
+        index, project_id, questions, encoder, hits_per_question, candidates, dim, lexicon, stops
     )
     ids = hits.select("chunk_id").distinct()
     found = fetch_chunks(index, project_id, ids, len(questions) * hits_per_question)

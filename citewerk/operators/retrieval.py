@@ -9,7 +9,7 @@ Ties are broken by chunk_id, which makes every list deterministic.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -301,12 +301,13 @@ def hybrid_hits(
     candidates: int = CANDIDATES_PER_METHOD,
     dim: int = EMBEDDING_DIM,
     lexicon: Lexicon | None = None,
+    stops: Collection[str] | None = None,
 ) -> DataFrame:
     """Fused hits of several questions in one plan: one vector scan, one text scan."""
     require_project_id(project_id)
     lexicon = lexicon or building_lexicon()
     vectors = [embed_query(q, encoder, dim) for q in questions]
-    words = [question_lexemes(q, lexicon) for q in questions]
+    words = [question_lexemes(q, lexicon, stops) for q in questions]
     return fuse(
         vector_candidates(index, project_id, vectors, candidates),
         text_candidates(index, project_id, words, candidates),
@@ -324,9 +325,12 @@ def search(
     candidates: int = CANDIDATES_PER_METHOD,
     dim: int = EMBEDDING_DIM,
     lexicon: Lexicon | None = None,
+    stops: Collection[str] | None = None,
 ) -> DataFrame:
     """Hybrid search in one project: chunk columns, score, vector_rank, text_rank."""
-    hits = hybrid_hits(index, project_id, [question], encoder, limit, candidates, dim, lexicon)
+    hits = hybrid_hits(
+        index, project_id, [question], encoder, limit, candidates, dim, lexicon, stops
+    )
     return (
         fetch_chunks(index, project_id, hits.drop("question_no"), limit)
         .orderBy("hit_rank")

@@ -34,16 +34,35 @@ def heading_by_font_size(lines: Column) -> Column:
     `lines` is array<struct<size, text>>. Text all of one size has no heading, and
     a long line is running text. Of several largest lines the first counts.
     """
-    filled = F.filter(lines, lambda line: F.trim(line["text"]) != "")
-    largest = F.array_max(F.transform(filled, lambda line: line["size"]))
-    first = F.get(F.filter(filled, lambda line: line["size"] == largest), 0)
-    smaller = F.array_max(
-        F.transform(F.filter(filled, lambda line: line["size"] < largest), lambda line: line["size"])
+    empty = F.struct(
+        F.lit(None).cast("double").alias("top"),
+        F.lit(None).cast("string").alias("text"),
+        F.lit(None).cast("double").alias("next"),
     )
-    text = F.trim(first["text"])
-    return F.when(
-        (largest >= smaller * MIN_HEADING_SIZE_RATIO) & (F.length(text) <= MAX_HEADING_LENGTH),
-        text,
+
+    def look(state: Column, line: Column) -> Column:
+        size, text = line["size"], F.trim(line["text"])
+        leads = state["top"].isNull() | (size > state["top"])
+        follows = (size < state["top"]) & (state["next"].isNull() | (size > state["next"]))
+        seen = F.struct(
+            F.when(leads, size).otherwise(state["top"]).alias("top"),
+            F.when(leads, text).otherwise(state["text"]).alias("text"),
+            F.when(leads, state["top"])
+            .otherwise(F.when(follows, size).otherwise(state["next"]))
+            .alias("next"),
+        )
+        return F.when(text == "", state).otherwise(seen)
+
+    # One pass over the lines, whatever their number.
+    return F.aggregate(
+        lines,
+        empty,
+        look,
+        lambda s: F.when(
+            (s["top"] >= s["next"] * MIN_HEADING_SIZE_RATIO)
+            & (F.length(s["text"]) <= MAX_HEADING_LENGTH),
+            s["text"],
+        ),
     )
 
 
