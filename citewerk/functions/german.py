@@ -27,8 +27,18 @@ _REGION = re.compile(f"[^{VOWELS}]*[{VOWELS}]+[^{VOWELS}]")
 _FOLD = str.maketrans("UYäöü", "uyaou")
 
 
-def _suffix(word: str, choices: Iterable[str]) -> str:
-    return max((s for s in choices if word.endswith(s)), key=len, default="")
+def _ending(choices: Iterable[str]):
+    """Finder of the longest of some endings; '' where a word has none of them."""
+    pattern = re.compile("(?:" + "|".join(choices) + r")\Z")
+
+    def find(word: str) -> str:
+        found = pattern.search(word)  # the left-most match is the longest ending
+        return found[0] if found else ""
+
+    return find
+
+
+_step1, _step2, _step3 = map(_ending, (STEP1_SUFFIXES, STEP2_SUFFIXES, STEP3_SUFFIXES))
 
 
 def stem(word: str) -> str:
@@ -42,39 +52,35 @@ def stem(word: str) -> str:
     r1 = max(head.end(), 3)
     r2 = tail.end() if tail else len(word)
 
-    def in_region(ending: str, start: int) -> bool:
-        return bool(ending) and len(word) - len(ending) >= start
-
-    ending = _suffix(word, STEP1_SUFFIXES)
-    if in_region(ending, r1) and (ending != "s" or word[-2:-1] in set(S_ENDING)):
-        word = word.removesuffix(ending)
-        if ending in ("e", "en", "es") and word.endswith("niss"):
+    ending = _step1(word)
+    if ending and len(word) - len(ending) >= r1:
+        if ending != "s":
+            word = word[: -len(ending)]
+            if ending in ("e", "en", "es") and word.endswith("niss"):
+                word = word[:-1]
+        elif word[-2] in S_ENDING:
             word = word[:-1]
 
-    ending = _suffix(word, STEP2_SUFFIXES)
-    if in_region(ending, r1) and (
-        ending != "st" or (len(word) >= 6 and word[-3] in ST_ENDING)
-    ):
-        word = word.removesuffix(ending)
-
-    ending = _suffix(word, STEP3_SUFFIXES)
-    if in_region(ending, r2):
-        rest = word.removesuffix(ending)
-        if ending in ("end", "ung"):
-            word = rest
-            if word.endswith("ig") and not word.endswith("eig") and in_region("ig", r2):
-                word = word[:-2]
-        elif ending in ("ig", "ik", "isch"):
+    ending = _step2(word)
+    if ending and len(word) - len(ending) >= r1:
+        if ending != "st" or (len(word) >= 6 and word[-3] in ST_ENDING):
+            word = word[: -len(ending)]
+
+    ending = _step3(word)
+    if ending and len(word) - len(ending) >= r2:
+        rest = word[: -len(ending)]
+        room = len(rest) - 2
+        if ending in ("ig", "ik", "isch"):
             word = word if rest.endswith("e") else rest
+        elif ending in ("end", "ung"):
+            drop = rest.endswith("ig") and not rest.endswith("eig") and room >= r2
+            word = rest[:-2] if drop else rest
         elif ending in ("lich", "heit"):
-            word = rest
-            if word.endswith(("er", "en")) and in_region("er", r1):
-                word = word[:-2]
+            word = rest[:-2] if rest.endswith(("er", "en")) and room >= r1 else rest
+        elif rest.endswith("lich"):
+            word = rest[:-4] if room - 2 >= r2 else rest
         else:
-            word = rest
-            further = _suffix(word, ("lich", "ig"))
-            if in_region(further, r2):
-                word = word.removesuffix(further)
+            word = rest[:-2] if rest.endswith("ig") and room >= r2 else rest
     return word.translate(_FOLD)
 
 

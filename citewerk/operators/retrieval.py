@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from citewerk.functions.compounds import Lexicon, building_lexicon
 from citewerk.functions.ids import require_project_id
-from citewerk.functions.tokens import question_lexemes
+from citewerk.functions.tokens import lexeme_counts, question_lexemes
 from citewerk.functions.vectors import Encoder, as_matrix, cosine_table, embed_query
 from citewerk.schemas import CHUNK_COLUMNS
 from citewerk.settings import (
@@ -171,10 +171,16 @@ def matches_all(lexemes: Column, wanted: Sequence[str]) -> Column:
 
 
 def postings(index: DataFrame) -> DataFrame:
-    """project_id, lexeme, chunk_id, positions: one row per distinct lexeme of a chunk."""
-    return index.select(
-        "project_id", "chunk_id", F.explode("lexemes").alias("lexeme")
-    ).groupBy("project_id", "lexeme", "chunk_id").agg(F.count("*").cast("int").alias("positions"))
+    """project_id, lexeme, chunk_id, positions: one row per distinct lexeme of a chunk.
+
+    A chunk is one row, so its lexemes are counted where it lies, without a shuffle.
+    """
+    counted = index.select("project_id", "chunk_id", lexeme_counts("lexemes").alias("entries"))
+    # Outer, because for the inner form Catalyst adds a filter that runs the UDF again.
+    entries = counted.select("project_id", "chunk_id", F.inline_outer("entries"))
+    return entries.where(F.col("lexeme").isNotNull()).select(
+        "project_id", "lexeme", "chunk_id", "positions"
+    )
 
 
 def write_postings(index: DataFrame, path: str) -> None:

@@ -80,7 +80,8 @@ def spans_sql(source: str, max_chars: int, overlap: int) -> str:
 )
 def cut_points(spark, folder):
     documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
-    return documents.select("doc_id", F.explode(boundary_positions("text")).alias("boundary"))
+    cuts = documents.select("doc_id", F.explode_outer(boundary_positions("text")).alias("boundary"))
+    return cuts.where(F.col("boundary").isNotNull())
 
 
 @query(
@@ -94,7 +95,7 @@ def cut_points(spark, folder):
 )
 def chunk_spans(spark, folder):
     documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
-    return documents.select("doc_id", F.inline(text_spans(F.col("text")))).select(
+    return documents.select("doc_id", F.inline_outer(text_spans(F.col("text")))).select(
         "doc_id", "char_start", "char_end", F.sha2("text", 256).alias("text_hash")
     )
 
@@ -113,7 +114,7 @@ def chunk_length_distribution(spark, folder):
     documents = spread(table(spark, folder, "documents").select("lang", "text"))
     kind = F.when(F.col("lang") == "es", "tabellenzeile").otherwise("seite")
     spans = text_spans(F.col("text"), kind, SMALL, SMALL_OVERLAP)
-    chunks = documents.select(F.col("lang").alias("doc_type"), F.explode(spans).alias("s"))
+    chunks = documents.select(F.col("lang").alias("doc_type"), F.explode_outer(spans).alias("s"))
     return canned_sql.length_distribution(chunks.select("doc_type", "s.text"))
 
 

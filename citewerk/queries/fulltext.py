@@ -159,7 +159,8 @@ def token_lists(spark, folder):
 )
 def word_stems(spark, folder):
     documents = spread(table(spark, folder, "documents").select("text"))
-    words = documents.select(F.explode(tokens("text")).alias("word")).distinct()
+    words = documents.select(F.explode_outer(tokens("text")).alias("word")).distinct()
+    words = words.where(F.col("word").isNotNull())
     digits = F.col("word").rlike(r"\p{Nd}")
     return words.select(
         "word",

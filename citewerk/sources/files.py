@@ -80,7 +80,7 @@ def date_from_name(file_name: Column) -> Column:
     """
     year, month, day = (F.regexp_extract(file_name, NAME_DATE_PATTERN, i) for i in (1, 2, 3))
     text = F.concat_ws("-", year, month, F.when(day == "", "01").otherwise(day))
-    return F.when(year != "", F.try_to_date(text, "yyyy-MM-dd"))
+    return F.try_to_date(text, "yyyy-MM-dd")
 
 
 def name_has_day(file_name: Column) -> Column:
@@ -90,7 +90,8 @@ def name_has_day(file_name: Column) -> Column:
 def date_from_text(text: Column) -> Column:
     """Reporting date of one text, NULL if there is none or it does not exist."""
     found = F.regexp_extract(text, CONTENT_DATE_PATTERN, 1)
-    return F.when(found != "", F.try_to_date(found, "d.M.yyyy"))
+    # The plain substring test spares most texts the regular expression.
+    return F.when(F.contains(text, F.lit("Stand")), F.try_to_date(found, "d.M.yyyy"))
 
 
 def date_from_segments(segments: Column) -> Column:
