@@ -124,7 +124,10 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame) -> int:
     staged = spark.read.parquet(f"{staged_path}/rows")
     count = staged.count()
     if count:
-        unique = first_per_key(staged, "chunk_id", ["document_id", "index"])
+        # Whether ids repeat is asked on narrow rows; the wide rows are regrouped only then.
+        ids = staged.groupBy("chunk_id").count()
+        repeated = not ids.where("count > 1").isEmpty()
+        unique = first_per_key(staged, "chunk_id", ["document_id", "index"]) if repeated else staged
         current = open_index(spark, path)
         known = current.select("chunk_id", "project_id", "shard").join(
             unique.select("chunk_id"), "chunk_id", "left_semi"

@@ -37,6 +37,9 @@ POSITION_WEIGHT = 0.1
 SIMILARITY_DIGITS = 12
 
 
+_TEXT_CANDIDATES = "question_no int, chunk_id string, text_score double, text_rank int"
+
+
 def in_project(index: DataFrame, project_id: str) -> DataFrame:
     return index.where(F.col("project_id") == require_project_id(project_id))
 
@@ -150,8 +153,7 @@ def text_candidates(
         ]
     )
     if not asked:
-        empty = "question_no int, chunk_id string, text_score double, text_rank int"
-        return index.sparkSession.createDataFrame([], empty)
+        return index.sparkSession.createDataFrame([], _TEXT_CANDIDATES)
     scored = (
         rows.select("chunk_id", F.inline(F.filter(hits, lambda h: h["positions"] > 0)))
         .withColumn("text_score", F.col("positions") * F.lit(POSITION_WEIGHT))
@@ -203,22 +205,23 @@ def text_candidates_from_postings(
     inverted: DataFrame, project_id: str, questions: Sequence[Sequence[str]], k: int
 ) -> DataFrame:
     """The same list as `text_candidates`, reading only the lexemes asked for."""
-    per_question = []
+    asked: dict[str, list[int]] = {}
     for number, words in enumerate(questions):
-        if not words:
-            continue
-        per_question.append(
-            in_project(inverted, project_id)
-            .where(F.col("lexeme").isin(list(words)))
-            .groupBy("chunk_id")
-            .agg((F.sum("positions") * F.lit(POSITION_WEIGHT)).alias("text_score"))
-            .select(F.lit(number).alias("question_no"), "chunk_id", "text_score")
-        )
-    if not per_question:
-        return inverted.sparkSession.createDataFrame(
-            [], "question_no int, chunk_id string, text_score double, text_rank int"
-        )
-    return ranked(reduce(DataFrame.unionByName, per_question), "text_score", "text_rank", k)
+        for word in words:
+            asked.setdefault(word, []).append(number)
+    if not asked:
+        return inverted.sparkSession.createDataFrame([], _TEXT_CANDIDATES)
+    askers = F.create_map(
+        *[c for w, ns in asked.items() for c in (F.lit(w), F.array(*[F.lit(n) for n in ns]))]
+    )
+    scored = (
+        in_project(inverted, project_id)
+        .where(F.col("lexeme").isin(list(asked)))
+        .select("chunk_id", "positions", F.explode(askers[F.col("lexeme")]).alias("question_no"))
+        .groupBy("question_no", "chunk_id")
+        .agg((F.sum("positions") * F.lit(POSITION_WEIGHT)).alias("text_score"))
+    )
+    return ranked(scored, "text_score", "text_rank", k)
 
 
 # ---------------------------------------------------------------- fusion
@@ -308,17 +311,21 @@ def hybrid_hits(
     dim: int = EMBEDDING_DIM,
     lexicon: Lexicon | None = None,
     stops: Collection[str] | None = None,
+    inverted: DataFrame | None = None,
 ) -> DataFrame:
-    """Fused hits of several questions in one plan: one vector scan, one text scan."""
+    """Fused hits of several questions in one plan: one vector scan, one text scan.
+
+    With `inverted`, the stored postings, the text list reads only the lexemes asked for.
+    """
     require_project_id(project_id)
     lexicon = lexicon or building_lexicon()
     vectors = [embed_query(q, encoder, dim) for q in questions]
     words = [question_lexemes(q, lexicon, stops) for q in questions]
-    return fuse(
-        vector_candidates(index, project_id, vectors, candidates),
-        text_candidates(index, project_id, words, candidates),
-        limit,
-    )
+    if inverted is None:
+        by_text = text_candidates(index, project_id, words, candidates)
+    else:
+        by_text = text_candidates_from_postings(inverted, project_id, words, candidates)
+    return fuse(vector_candidates(index, project_id, vectors, candidates), by_text, limit)
 
 
 def search(
@@ -332,10 +339,11 @@ def search(
     dim: int = EMBEDDING_DIM,
     lexicon: Lexicon | None = None,
     stops: Collection[str] | None = None,
+    inverted: DataFrame | None = None,
 ) -> DataFrame:
     """Hybrid search in one project: chunk columns, score, vector_rank, text_rank."""
     hits = hybrid_hits(
-        index, project_id, [question], encoder, limit, candidates, dim, lexicon, stops
+        index, project_id, [question], encoder, limit, candidates, dim, lexicon, stops, inverted
     )
     return (
         fetch_chunks(index, project_id, hits.drop("question_no"), limit)

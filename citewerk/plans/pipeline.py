@@ -96,23 +96,22 @@ def write_documents(spark: SparkSession, staged: DataFrame, tables_dir: str) ->
     """Append staged documents: chunks, then segments, then documents as the commit mark.
 
     A document counts as known only once its documents row exists, so a run that dies
-    half-way is repeated. Its rows from the dead run are recognised by the open-run
-    marker and not written twice.
+    half-way is repeated. The marker of the open run tells the repetition to leave out
+    rows that did get written, by their key.
     """
     marker = f"{tables_dir}/_open_run"
     resumed = storage.exists(spark, marker)
     if not resumed:
         storage.mark(spark, marker)
 
-    def unwritten(name: str) -> DataFrame:
-        if not resumed:
-            return staged
-        written = read_table(spark, tables_dir, name).select("document_id").distinct()
-        return restrict(staged, written, "document_id", "left_anti")
+    def append(rows: DataFrame, name: str, key: str) -> None:
+        if resumed:
+            rows = restrict(rows, read_table(spark, tables_dir, name), key, "left_anti")
+        append_table(rows, tables_dir, name)
 
-    append_table(explode_chunks(unwritten("chunks")), tables_dir, "chunks")
-    append_table(explode_segments(unwritten("segments")), tables_dir, "segments")
-    append_table(staged, tables_dir, "documents")
+    append(explode_chunks(staged), "chunks", "chunk_id")
+    append(explode_segments(staged), "segments", "segment_id")
+    append(staged, "documents", "document_id")
     storage.remove(spark, marker)
     counts = staged.agg(
         F.count("*"),
@@ -122,39 +121,30 @@ def write_documents(spark: SparkSession, staged: DataFrame, tables_dir: str) ->
     return tuple(counts)
 
 
-def ingest(
+def ingest_files(
     spark: SparkSession,
-    *,
-    raw_dir: str,
+    files: DataFrame,
     tables_dir: str,
-    project_id: str | None = None,
     now: datetime | None = None,
+    project_id: str | None = None,
     max_chars: int = CHUNK_MAX_CHARS,
     overlap: int = CHUNK_OVERLAP_CHARS,
 ) -> IngestResult:
-    """Read all unknown files below `raw_dir` into the three tables.
-
-    A file whose identity (project, path, content) is known is skipped; changed content
-    is a further version, the old one stays. Files outside a valid project folder are
-    reported and do not stop the run.
+    """Read the unknown ones of the given files (rows of `discover`) into the tables.
 
     File contents are never shuffled: identities are compared as narrow rows, and the
     contents of the pending files alone are read again where they are needed.
     """
-    if project_id is not None:
-        require_project_id(project_id)
     stamp = now or datetime.now(UTC).replace(tzinfo=None)
-    files = discover(spark, raw_dir, project_id)
     rejected = files.where(project_of(F.col("relative")).isNull()).select(
         nfc(F.col("relative")).alias("path")
     )
-
     staging = storage.staging_path(spark, tables_dir)
     known = read_table(spark, tables_dir, "documents", project_id).select("document_id")
     identities = identified(files).select("path", "document_id")
-    identities.join(
-        known.withColumn("known", F.lit(True)), "document_id", "left"
-    ).write.parquet(f"{staging}/identities")
+    identities.join(known.withColumn("known", F.lit(True)), "document_id", "left").write.parquet(
+        f"{staging}/identities"
+    )
     identities = spark.read.parquet(f"{staging}/identities")
     pending = identities.where(F.col("known").isNull()).select("path")
     skipped = identities.where("known").count()
@@ -167,6 +157,28 @@ def ingest(
     return IngestResult(documents, skipped, segments, chunks, rejected)
 
 
+def ingest(
+    spark: SparkSession,
+    *,
+    raw_dir: str,
+    tables_dir: str,
+    project_id: str | None = None,
+    now: datetime | None = None,
+    max_chars: int = CHUNK_MAX_CHARS,
+    overlap: int = CHUNK_OVERLAP_CHARS,
+) -> IngestResult:
+    """Read all unknown files below `raw_dir` into the three tables.
+
+    A file whose identity (project, path, content) is known is skipped; changed content
+    is a further version, the old one stays. Files outside a valid project folder are
+    reported and do not stop the run.
+    """
+    if project_id is not None:
+        require_project_id(project_id)
+    files = discover(spark, raw_dir, project_id)
+    return ingest_files(spark, files, tables_dir, now, project_id, max_chars, overlap)
+
+
 def index_chunks(
     spark: SparkSession,
     *,
@@ -177,11 +189,13 @@ def index_chunks(
     batch_size: int = EMBEDDING_BATCH,
     dim: int = EMBEDDING_DIM,
     lexicon: Lexicon | None = None,
+    commits: int = 1,
 ) -> IndexResult:
     """Embed the chunks that are not indexed yet (or whose text changed) and store them.
 
     The encoder is not called where nothing is pending. Ids are compared as narrow rows;
-    chunk texts stay where they were read.
+    chunk texts stay where they were read. A long run can be stored in several `commits`:
+    if it is aborted, the next run goes on after the last one.
     """
     chunks = read_table(spark, tables_dir, "chunks", project_id)
     index = open_index(spark, index_path)
@@ -192,14 +206,10 @@ def index_chunks(
     pending_ids(chunks, index).write.parquet(f"{staging}/pending")
     pending = spark.read.parquet(f"{staging}/pending")
     waiting = pending.count()
-    if waiting:
-        rows = index_rows(
-            restrict(chunks, pending, "chunk_id"),
-            encoder,
-            lexicon or building_lexicon(),
-            dim,
-            batch_size,
-        )
+    share = F.pmod(F.xxhash64("chunk_id", F.lit("commit")), F.lit(commits))
+    for number in range(commits if waiting else 0):
+        due = restrict(chunks, pending.where(share == number), "chunk_id")
+        rows = index_rows(due, encoder, lexicon or building_lexicon(), dim, batch_size)
         upsert(spark, index_path, rows)
     storage.remove(spark, staging)
     return IndexResult(embedded=waiting, skipped=total - waiting)

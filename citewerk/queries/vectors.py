@@ -29,6 +29,7 @@ from citewerk.schemas import CHUNK_COLUMNS
 from citewerk.sources.tables import spread
 
 DIM = 64
+MAX_QUESTIONS = 1000
 
 
 def vector_index(spark, folder):
@@ -46,7 +47,10 @@ def question_vectors(spark, folder) -> list[list[float]]:
         .groupBy("label")
         .agg(F.min_by("embedding", "vec_id").alias("embedding"))
     )
-    return [list(r.embedding) for r in firsts.orderBy("label").collect()]
+    found = firsts.orderBy("label").limit(MAX_QUESTIONS + 1).collect()
+    if len(found) > MAX_QUESTIONS:
+        raise ValueError(f"more than {MAX_QUESTIONS} labels; ask in several batches")
+    return [list(r.embedding) for r in found]
 
 
 class LabelEncoder:

@@ -75,13 +75,13 @@ def restrict(wide: DataFrame, ids: DataFrame, key: str, how: str = "left_semi")
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Give work that is heavy per row one task per core where the input has fewer files.
+    """Give work that is heavy per row one task per core where a scan has too few splits.
 
-    Inputs with at least as many files as cores - any table of real size - are
-    returned unchanged, without a shuffle.
+    A scan with more splits - any table of real size - is returned unchanged, without a
+    shuffle. Only for plain scans: their number of splits is known without running them.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
 
 
 def append_new(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:

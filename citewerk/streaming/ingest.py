@@ -6,16 +6,13 @@ content id, exactly as in the batch run.
 
 from __future__ import annotations
 
-from datetime import UTC, datetime
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from citewerk.plans.pipeline import STAGED, extracted, identified, write_documents
+from citewerk.plans.pipeline import ingest_files
 from citewerk.sources import storage
 from citewerk.sources.files import FILE_SCHEMA, suffix_glob
-from citewerk.sources.tables import read_table, restrict
 
 
 def ingest_stream(
@@ -33,15 +30,7 @@ def ingest_stream(
     )
 
     def one_batch(batch: DataFrame, _: int) -> None:
-        session = batch.sparkSession
-        known = read_table(session, tables_dir, "documents").select("document_id")
-        fresh = restrict(identified(batch), known, "document_id", "left_anti")
-        staging = storage.staging_path(session, tables_dir)
-        now = datetime.now(UTC).replace(tzinfo=None)
-        extracted(fresh, now).write.parquet(staging)
-        staged = session.read.schema(STAGED).parquet(staging)
-        write_documents(session, staged, tables_dir)
-        storage.remove(session, staging)
+        ingest_files(batch.sparkSession, batch, tables_dir)
 
     return (
         files.writeStream.foreachBatch(one_batch)

@@ -108,6 +108,17 @@ def test_interrupted_run_is_repeated_without_doubles(spark, raw_dir):
     assert again.documents == first.documents
     assert read_table(spark, out, "chunks").count() == first.chunks
     assert read_table(spark, out, "segments").count() == first.segments
+    # As after a crash while chunks were being written: some are missing.
+    some = read_table(spark, out, "chunks").where(F.col("index") == 0)
+    kept = str(raw_dir.parent / "kept")
+    some.write.parquet(kept)
+    storage.remove(spark, f"{out}/chunks")
+    storage.remove(spark, f"{out}/documents")
+    storage.mark(spark, f"{out}/_open_run")
+    spark.read.parquet(kept).write.partitionBy("project_id").parquet(f"{out}/chunks")
+    run(spark, raw_dir)
+    chunks = read_table(spark, out, "chunks")
+    assert (chunks.count(), chunks.distinct().count()) == (first.chunks, first.chunks)
 
 
 def test_rejected_ignored_and_unknown(spark, raw_dir, pdf_bytes):
@@ -150,7 +161,7 @@ def test_index_is_incremental(spark, raw_dir):
     options = dict(tables_dir=out, index_path=path, encoder=FakeEncoder(), dim=8)
     some = index_chunks(spark, project_id="BAU-43", **options)
     assert some.embedded == 2
-    rest = index_chunks(spark, **options)
+    rest = index_chunks(spark, commits=3, **options)
     assert (rest.embedded, rest.skipped) == (result.chunks - 2, 2)
     assert spark.read.parquet(path).count() == result.chunks
 

@@ -115,6 +115,8 @@ def test_postings_give_the_same_list(spark, index, tmp_path):
     assert stored.count() == postings(index).count()
     direct = text_candidates(index, "BAU-42", asked, 5).collect()
     inverted = text_candidates_from_postings(stored, "BAU-42", asked, 5).collect()
+    by_postings = ask(index, "Baugenehmigung", 2, inverted=stored).collect()
+    assert by_postings == ask(index, "Baugenehmigung", 2).collect()
     key = lambda r: (r.question_no, r.text_rank)
     assert [r.asDict() for r in sorted(direct, key=key)] == [r.asDict() for r in sorted(inverted, key=key)]
 
