@@ -12,7 +12,8 @@ grow with the data, its size is checked, and it travels inside the UDF.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -51,6 +52,9 @@ class Lexicon:
                 f"Lexicon of {size} bytes exceeds the {MAX_LEXICON_BYTES} a task may carry"
             )
 
+    def __reduce__(self):
+        return _interned, (self.words,)
+
     def __contains__(self, word: str) -> bool:
         return word in self.words
 
@@ -58,6 +62,12 @@ class Lexicon:
         return word in self.words or (word.endswith("s") and word[:-1] in self.words)
 
 
+@lru_cache(maxsize=4)
+def _interned(words: frozenset[str]) -> Lexicon:
+    """One object per word list and worker process, so what was split is remembered there."""
+    return Lexicon(words)
+
+
 def building_lexicon() -> Lexicon:
     return Lexicon(BUILDING_WORDS.split())
 
@@ -79,28 +89,24 @@ def split_compound(word: str, lexicon: Lexicon, shortest: int = MIN_PART_LENGTH)
     return []
 
 
-def _parts_of(text: str, parts: Callable[[str], list[str]]) -> str:
-    return " ".join(dict.fromkeys(p for word in _WORD.findall(text) for p in parts(word)))
+@lru_cache(maxsize=1 << 18)
+def _remembered(word: str, lexicon: Lexicon) -> tuple[str, ...]:
+    return tuple(split_compound(word, lexicon))
 
 
 def compound_parts_local(text: str, lexicon: Lexicon) -> str:
-    return _parts_of(text, lambda word: split_compound(word, lexicon))
+    words = _WORD.findall(text)
+    return " ".join(dict.fromkeys(p for word in words for p in _remembered(word, lexicon)))
 
 
 def compound_parts(text: Column, lexicon: Lexicon) -> Column:
     """Distinct parts of all compounds of a text, in order of first occurrence."""
-    memo: dict[str, list[str]] = {}
-
-    def remembered(word: str) -> list[str]:
-        if word not in memo:
-            if len(memo) > 500_000:
-                memo.clear()
-            memo[word] = split_compound(word, lexicon)
-        return memo[word]
 
     @F.arrow_udf(T.StringType())
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([_parts_of(t or "", remembered) for t in texts.to_pylist()], pa.string())
+        return pa.array(
+            [compound_parts_local(t or "", lexicon) for t in texts.to_pylist()], pa.string()
+        )
 
     return run(text)
 

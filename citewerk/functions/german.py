@@ -24,6 +24,7 @@ STEP3_SUFFIXES = ("end", "ung", "ig", "ik", "isch", "lich", "heit", "keit")
 
 _GLIDE = re.compile(f"([{VOWELS}])([uy])([{VOWELS}])")
 _REGION = re.compile(f"[^{VOWELS}]*[{VOWELS}]+[^{VOWELS}]")
+_DIGIT = re.compile(r"\d")
 _FOLD = str.maketrans("UYäöü", "uyaou")
 
 
@@ -92,15 +93,17 @@ def stop_words() -> frozenset[str]:
     return frozenset(StopWordsRemover.loadDefaultStopWords("german"))
 
 
-def _is_word(token: str) -> bool:
-    return not any(c.isdigit() for c in token)
+# Words repeat heavily and Python workers outlive a task, so the forms are remembered per
+# worker process; the size bound keeps that below some 50 MB.
+@lru_cache(maxsize=1 << 18)
+def index_form(token: str) -> str:
+    """Index form of a token: its stem, but numbers and codes unchanged."""
+    return token if _DIGIT.search(token) else stem(token)
 
 
 def lexeme(token: str, stops: frozenset[str]) -> str | None:
-    """Index form of a token: NULL for a stop word, numbers and codes unchanged."""
-    if token in stops:
-        return None
-    return stem(token) if _is_word(token) else token
+    """Index form of a token, NULL for a stop word."""
+    return None if token in stops else index_form(token)
 
 
 @F.arrow_udf(T.StringType())

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citewerk.functions.compounds import Lexicon, compound_parts_local
-from citewerk.functions.german import lexeme, stop_words
+from citewerk.functions.german import index_form, lexeme, stop_words
 
 # Words (hyphenated ones as a whole), digit-led codes, signed and dotted numbers.
 _TOKEN = re.compile(
@@ -24,7 +24,6 @@ _TOKEN = re.compile(
     r"|\d+[^\W\d_][^\W_]*"
     r"|[-+]?\d+(?:\.\d+)*"
 )
-MEMO_LIMIT = 500_000
 
 
 # Lines without any of these consist of plain words, which a simpler pattern finds faster.
@@ -68,21 +67,13 @@ def tokens(texts: pa.Array) -> pa.Array:
 def lexemes(text: Column, stops: Collection[str] | None = None) -> Column:
     """Stemmed tokens without stop words, repetitions kept, in order.
 
-    Words repeat heavily, so each Python worker keeps a bounded memo of stems;
-    nothing is shuffled to find the distinct words.
+    Each Python worker remembers the stems it has seen, so nothing is shuffled to find
+    the distinct words.
     """
     stops = stop_words() if stops is None else frozenset(stops)
-    memo: dict[str, str | None] = {}
 
     def per_text(value: str) -> list[str]:
-        found = tokens_of(value)
-        unseen = set(found).difference(memo)
-        if len(memo) + len(unseen) > MEMO_LIMIT:
-            memo.clear()
-            unseen = set(found)
-        for token in unseen:
-            memo[token] = lexeme(token, stops)
-        return [word for word in map(memo.__getitem__, found) if word]
+        return [index_form(token) for token in tokens_of(value) if token not in stops]
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def run(texts: pa.Array) -> pa.Array:
