@@ -112,7 +112,11 @@ def compound_parts(text: Column, lexicon: Lexicon) -> Column:
 
 
 def word_parts(word: Column, lexicon: Lexicon) -> Column:
-    """Parts of a single word as an array."""
+    """Parts of a single word as an array.
+
+    Declared non-deterministic so that a filter on the result is not moved below a
+    `distinct`, where the UDF would run for every occurrence of a word.
+    """
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def run(words: pa.Array) -> pa.Array:
@@ -120,4 +124,4 @@ def word_parts(word: Column, lexicon: Lexicon) -> Column:
             [split_compound(w or "", lexicon) for w in words.to_pylist()], pa.list_(pa.string())
         )
 
-    return run(word)
+    return run.asNondeterministic()(word)

@@ -26,8 +26,12 @@ nfc = _normaliser("NFC")  # paths and file names
 nfkc = _normaliser("NFKC")  # text layers of PDF pages
 
 
+# All Unicode white space; the separators U+001C to U+001F are missing from Java's \s.
+WHITE_SPACE = r"(?U)[\s\x1c-\x1f]+"
+
+
 def collapse_whitespace(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, WHITE_SPACE, " "))
 
 
 def citation(project_id: Column, file_name: Column, locator: Column, date: Column) -> Column:

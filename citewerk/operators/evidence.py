@@ -166,6 +166,39 @@ RISK_KEYS = (*RISK_TEXT_FIELDS, "facts", "conclusions", "uncertainties")
 OPTIONAL_KEYS = ("conclusions", "uncertainties")
 
 
+def _violated(rules: Sequence[tuple[Column, str]]) -> Column:
+    found = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(m)) for ok, m in rules])
+    return F.filter(found, lambda m: m.isNotNull())
+
+
+def value_problems(risks: Column) -> Column:
+    """array<string> of violations that can be seen on parsed risks: missing texts, values
+    outside their enumeration, facts without evidence."""
+    complete = F.forall(
+        risks,
+        lambda r: F.forall(F.array(*[r[k] for k in RISK_TEXT_FIELDS]), lambda v: v.isNotNull()),
+    )
+    enumerations = F.forall(
+        risks,
+        lambda r: r["category"].isin(*RISK_CATEGORIES)
+        & r["probability"].isin(*LEVELS)
+        & r["severity"].isin(*LEVELS)
+        & r["status"].isin(*RISK_STATUSES),
+    )
+    supported = F.forall(
+        risks,
+        lambda r: (F.coalesce(F.size(r["facts"]), F.lit(0)) > 0)
+        & F.forall(r["facts"], lambda f: F.coalesce(F.size(f["evidence"]), F.lit(0)) > 0),
+    )
+    return _violated(
+        [
+            (complete, "Pflichtfeld ohne Text"),
+            (enumerations, "Wert außerhalb der Aufzählung"),
+            (supported, "Fakt ohne Beleg"),
+        ]
+    )
+
+
 def shape_problems(json_text: Column, parsed: Column) -> Column:
     """array<string> of violations: malformed JSON, missing or unknown keys, values
     outside their enumeration, facts without evidence.
@@ -205,28 +238,9 @@ def shape_problems(json_text: Column, parsed: Column) -> Column:
             lambda f: F.forall(f["evidence"], lambda e: keys_ok(e, ("chunk_id", "excerpt"))),
         ),
     )
-    complete = F.forall(
-        risks,
-        lambda r: F.forall(F.array(*[r[k] for k in RISK_TEXT_FIELDS]), lambda v: v.isNotNull()),
-    )
-    enumerations = F.forall(
-        risks,
-        lambda r: r["category"].isin(*RISK_CATEGORIES)
-        & r["probability"].isin(*LEVELS)
-        & r["severity"].isin(*LEVELS)
-        & r["status"].isin(*RISK_STATUSES),
-    )
-    supported = F.forall(
-        risks,
-        lambda r: (F.coalesce(F.size(r["facts"]), F.lit(0)) > 0)
-        & F.forall(r["facts"], lambda f: F.coalesce(F.size(f["evidence"]), F.lit(0)) > 0),
-    )
+    values = value_problems(risks)
     rules = [
         (keys_ok(top, ("risks",)) & risks.isNotNull(), "kein Objekt mit genau dem Feld risks"),
         (risk_keys & fact_keys & evidence_keys, "fehlende oder unbekannte Felder"),
-        (complete, "Pflichtfeld ohne Text"),
-        (enumerations, "Wert außerhalb der Aufzählung"),
-        (supported, "Fakt ohne Beleg"),
     ]
-    found = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(m)) for ok, m in rules])
-    return F.filter(found, lambda m: m.isNotNull())
+    return F.concat(_violated(rules), values)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citewerk.functions.compounds import Lexicon
-from citewerk.functions.ids import require_project_id
+from citewerk.functions.ids import is_project_id, require_project_id
 from citewerk.functions.vectors import Encoder
 from citewerk.operators.evidence import (
     check_citations,
@@ -28,6 +28,7 @@ from citewerk.operators.evidence import (
     problems,
     shape_problems,
     source_blocks,
+    value_problems,
 )
 from citewerk.schemas import ANALYSIS, CHUNKS, REPORT
 from citewerk.settings import EMBEDDING_DIM, GENERATOR_RETRIES
@@ -176,9 +177,19 @@ def to_json(report: dict) -> str:
 
 
 def read_reports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Stored reports, one row each, keyed by their file."""
-    reports = spark.read.schema(REPORT).option("multiLine", True).json(paths)
-    return reports.withColumn("report_id", F.regexp_extract(F.input_file_name(), r"([^/]+)\z", 1))
+    """Stored reports, one row each, keyed by their file. An invalid one is an error."""
+    reader = spark.read.schema(REPORT).option("multiLine", True).option("mode", "FAILFAST")
+    reports = reader.json(paths).withColumn(
+        "report_id", F.regexp_extract(F.input_file_name(), r"([^/]+)\z", 1)
+    )
+    complete = [F.col(c).isNotNull() for c in ("created_at", "model_name", "stats", "sources")]
+    sound = is_project_id(F.col("project_id")) & (F.size(value_problems(F.col("risks"))) == 0)
+    for present in complete:
+        sound = sound & present
+    broken = reports.where(~F.coalesce(sound, F.lit(False))).select("report_id").take(5)
+    if broken:
+        raise ValueError(f"Ungültige Berichte: {', '.join(r.report_id for r in broken)}")
+    return reports
 
 
 def report_stem(model: str, started: datetime, thinking: str | None = None) -> str:

@@ -1,3 +1,4 @@
+import unicodedata
 from datetime import date, datetime
 
 import pytest
@@ -8,7 +9,7 @@ from citewerk.schemas import TABLES
 from citewerk.sources.office import read_items
 from citewerk.sources.tables import read_table
 from citewerk.streaming.ingest import ingest_stream
-from tests.conftest import FakeEncoder
+from tests.conftest import FakeEncoder, make_docx, make_pdf, make_xlsx
 
 NOW = datetime(2026, 9, 17, 8, 0)
 
@@ -182,3 +183,49 @@ def test_stream_ingest(spark, raw_dir, pdf_bytes):
     (raw_dir / "BAU-44/neu.pdf").write_bytes(pdf_bytes)
     ingest_stream(spark, **options).awaitTermination()
     assert read_table(spark, out, "documents").count() == 5
+
+
+def test_two_project_corpus(spark, tmp_path):
+    """Eleven files of three formats in two projects, with known segment counts and dates."""
+
+    def minutes(items):
+        table = [("TOP", "Thema", "Sachstand")]
+        table += [(str(n), f"Thema {n}", "Sachstand 12.09.2026 unverändert.") for n in range(1, items + 1)]
+        return make_docx(
+            [
+                ("h", "Protokoll"), ("p", "Teilnehmende"), ("h", "Rückblick"), ("p", "Keine Punkte."),
+                ("h", "Tagesordnung"), ("t", table), ("p", "Nächster Termin"),
+            ]
+        )
+
+    def paper(pages, stand=""):
+        return make_pdf([[(16, f"Abschnitt {n}"), (11, f"Text {n}. {stand}")] for n in range(pages)])
+
+    tasks = [["ID", "Vorgang", "Status"]] + [[f"V0{n}", f"Vorgang {n}", "offen"] for n in range(1, 10)]
+    plan = make_xlsx({"Bauzeitenplan": [["Plan, Stand: 15.9.2026"], [], *tasks]})
+    files = {
+        "BAU-42/protokolle/2026-09-01_baubesprechung.docx": (minutes(5), 8, date(2026, 9, 1)),
+        "BAU-42/protokolle/2026-09-08_baubesprechung.docx": (minutes(5), 8, date(2026, 9, 8)),
+        "BAU-42/protokolle/2026-09-15_baubesprechung.docx": (minutes(5), 8, date(2026, 9, 15)),
+        "BAU-42/statusberichte/statusbericht_2026-08.pdf": (paper(3, "Stand 31.08.2026"), 3, date(2026, 8, 31)),
+        "BAU-42/statusberichte/statusbericht_2026-09.pdf": (paper(4, "Stand 15.09.2026"), 4, date(2026, 9, 15)),
+        "BAU-42/terminplan/bauzeitenplan.xlsx": (plan, 10, date(2026, 9, 15)),
+        "BAU-42/genehmigungen/baugenehmigung.pdf": (paper(2), 2, None),
+        "BAU-42/genehmigungen/behördenkorrespondenz.pdf": (paper(3), 3, None),
+        "BAU-43/protokolle/2026-09-10_baubesprechung.docx": (minutes(4), 7, date(2026, 9, 10)),
+        "BAU-43/statusberichte/statusbericht_2026-09.pdf": (paper(2, "Stand 15.09.2026"), 2, date(2026, 9, 15)),
+        "BAU-43/genehmigungen/baugenehmigung.pdf": (paper(1), 1, None),
+    }
+    for name, (data, _, _) in files.items():
+        # Decomposed umlauts on disk, as some file systems store them.
+        target = tmp_path / "raw" / unicodedata.normalize("NFD", name)
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_bytes(data)
+    out = str(tmp_path / "tables")
+    result = ingest(spark, raw_dir=str(tmp_path / "raw"), tables_dir=out)
+    assert (result.documents, result.segments, result.chunks) == (11, 56, 56)
+    found = {d.source_path: d for d in rows(spark, out, "documents")}
+    assert {p: d.document_date for p, d in found.items()} == {p: f[2] for p, f in files.items()}
+    counts = {r.source_path: r["count"] for r in read_table(spark, out, "chunks").groupBy("source_path").count().collect()}
+    assert counts == {p: f[1] for p, f in files.items()}
+    assert read_table(spark, out, "chunks", "BAU-42").count() == 46

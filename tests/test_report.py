@@ -191,6 +191,10 @@ def test_stored_report_can_be_scored(spark, report, tmp_path):
     assert stored.report_id == "bericht.json"
     assert stored.sources[PERMIT[0]].document_date == date(2026, 9, 15)
 
+    (tmp_path / "alt.json").write_text('{"project_id": "BAU-42", "risks": []}')
+    with pytest.raises(ValueError, match="alt.json"):
+        read_reports(spark, str(tmp_path / "alt.json"))
+
     risks = ev.risk_texts(reports)
     place = ("2026-09-15_baubesprechung.docx", "TOP 4")
     findings = [
