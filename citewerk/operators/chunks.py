@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citewerk.functions.chunking import text_spans
@@ -18,29 +18,27 @@ def explode_chunks(documents: DataFrame) -> DataFrame:
     """Rows of the chunks table from documents with `segments` and `spans`.
 
     The whole document is one row, so provenance is inherited and the document-wide
-    index is the position in the exploded array: no join, no shuffle.
+    index is the position in the exploded array: no join, no shuffle. The place of its
+    segment is put into each span first, so that no row carries the segments along.
     """
-    return (
-        documents.select("*", F.posexplode("spans").alias("index", "_span"))
-        .withColumn("_segment", F.get("segments", F.col("_span.segment")))
-        .withColumn("segment_id", derive_id(F.col("document_id"), F.col("_span.segment")))
-        .select(
-            derive_id(F.col("segment_id"), F.col("index")).alias("chunk_id"),
-            "segment_id",
-            "document_id",
-            "project_id",
-            "index",
-            F.col("_span.text").alias("text"),
-            F.col("_span.char_start").alias("char_start"),
-            F.col("_span.char_end").alias("char_end"),
-            "source_path",
-            "file_name",
-            "doc_type",
-            "document_date",
-            F.col("_segment.page_no").alias("page_no"),
-            F.col("_segment.locator").alias("locator"),
-            F.col("_segment.heading").alias("heading"),
+
+    def placed(span: Column) -> Column:
+        segment = F.get("segments", span["segment"])
+        return F.struct(
+            *[span[c].alias(c) for c in ("segment", "text", "char_start", "char_end")],
+            *[segment[c].alias(c) for c in ("page_no", "locator", "heading")],
         )
+
+    inherited = [
+        "document_id", "project_id", "source_path", "file_name", "doc_type", "document_date",
+    ]
+    return (
+        documents.select(*inherited, F.transform("spans", placed).alias("spans"))
+        .select(*inherited, F.posexplode("spans").alias("index", "span"))
+        .withColumn("segment_id", derive_id(F.col("document_id"), F.col("span.segment")))
+        .withColumn("chunk_id", derive_id(F.col("segment_id"), F.col("index")))
+        .select(*inherited, "index", "segment_id", "chunk_id", "span.*")
+        .select(*CHUNK_COLUMNS)
     )
 
 

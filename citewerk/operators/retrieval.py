@@ -35,6 +35,7 @@ from citewerk.settings import (
 POSITION_WEIGHT = 0.1
 # Similarities closer than this are equal; below it, only summation order differs.
 SIMILARITY_DIGITS = 12
+MERGE_PARTS = 64
 
 
 _TEXT_CANDIDATES = "question_no int, chunk_id string, text_score double, text_rank int"
@@ -97,11 +98,23 @@ def _partition_top_k(vectors: list[list[float]], k: int):
 def ranked(rows: DataFrame, score: str, rank: str, k: int) -> DataFrame:
     """The k best rows per question with their 1-based rank.
 
-    Catalyst turns the filter on the row number into a window group limit that cuts
-    every map-side partition to k rows per question before the shuffle.
+    Catalyst turns each filter on a row number into a window group limit that cuts every
+    map-side partition to k rows per group before the shuffle. A question is cut in
+    `MERGE_PARTS` parts first: the lists of very many scan partitions would otherwise meet
+    in one task.
     """
-    order = Window.partitionBy("question_no").orderBy(F.desc_nulls_last(score), F.asc("chunk_id"))
-    return rows.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
+    best = [F.desc_nulls_last(score), F.asc("chunk_id")]
+    part = F.pmod(F.spark_partition_id(), F.lit(MERGE_PARTS))
+    within = Window.partitionBy("question_no", "_part").orderBy(*best)
+    overall = Window.partitionBy("question_no").orderBy(*best)
+    return (
+        rows.withColumn("_part", part)
+        .withColumn("_place", F.row_number().over(within))
+        .where(F.col("_place") <= k)
+        .drop("_part", "_place")
+        .withColumn(rank, F.row_number().over(overall))
+        .where(F.col(rank) <= k)
+    )
 
 
 def vector_candidates(
