@@ -9,6 +9,7 @@ from citewerk.functions.chunking import text_spans
 from citewerk.functions.ids import derive_id
 from citewerk.schemas import CHUNK_COLUMNS
 from citewerk.settings import CHUNK_MAX_CHARS, CHUNK_OVERLAP_CHARS
+from citewerk.sources.tables import settled
 
 # Rows per block of the two-level running count.
 BLOCK = 256
@@ -73,15 +74,15 @@ def rechunk(
     overlap: int = CHUNK_OVERLAP_CHARS,
 ) -> DataFrame:
     """Chunks from the stored segments, without opening the originals again."""
-    spans = segments.withColumn(
-        "_spans", text_spans(F.col("text"), F.col("kind"), max_chars, overlap)
-    ).withColumn("_count", F.size("_spans"))
+    cut = text_spans(F.col("text"), F.col("kind"), max_chars, overlap)
+    spans = settled(segments.withColumn("_spans", cut).drop("text"))
+    spans = spans.withColumn("_count", F.size("_spans"))
     provenance = documents.select(
         "document_id", "source_path", "file_name", "doc_type", "document_date"
     )
     return (
         running_offset(spans, "document_id", "index", "_count")
-        .drop("index", "text")
+        .drop("index")
         .select("*", F.posexplode("_spans").alias("_position", "_span"))
         .withColumn("index", F.col("offset") + F.col("_position"))
         .withColumn("chunk_id", derive_id(F.col("segment_id"), F.col("index")))

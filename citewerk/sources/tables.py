@@ -74,6 +74,14 @@ def restrict(wide: DataFrame, ids: DataFrame, key: str, how: str = "left_semi")
     return wide.join(F.broadcast(ids) if is_small(ids) else ids, key, how)
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """Rows that two branches of a plan read: computed and written once to the checkpoint
+    folder the session names. Without such a folder each branch computes them."""
+    if rows.sparkSession.conf.get("spark.checkpoint.dir", None):
+        return rows.checkpoint()
+    return rows
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Give work that is heavy per row one task per core where a scan has too few splits.
 
