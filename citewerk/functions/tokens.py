@@ -103,10 +103,12 @@ def lexeme_counts(lexemes_per_text: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
 
 
-def index_lexemes(heading: Column, text: Column, compound_terms: Column) -> Column:
-    return lexemes(
-        F.concat(F.coalesce(heading, F.lit("")), F.lit(" "), text, F.lit(" "), compound_terms)
-    )
+def index_lexemes(
+    heading: Column, text: Column, compound_terms: Column, stops: Collection[str] | None = None
+) -> Column:
+    """Lexemes of everything a chunk can be found by."""
+    pieces = (F.coalesce(heading, F.lit("")), text, compound_terms)
+    return lexemes(F.concat_ws(" ", *pieces), stops)
 
 
 def question_lexemes(

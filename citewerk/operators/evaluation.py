@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citewerk.functions.text import match_form, matches_terms
+from citewerk.functions.text import collapse_whitespace, match_form, matches_terms
 from citewerk.operators.evidence import explode_evidence
 from citewerk.settings import SHORT_EXCERPT
 
@@ -240,8 +240,6 @@ def ordered_risks(rows: DataFrame, key: str = "report_id") -> DataFrame:
     Rows need severity, probability and risk_pos. The number is local to a report,
     which a generator wrote in one answer, so a window per report is small.
     """
-    from pyspark.sql import Window
-
     def weight(level: str) -> Column:
         return F.when(F.col(level) == "hoch", 0).when(F.col(level) == "mittel", 1).otherwise(2)
 
@@ -251,8 +249,6 @@ def ordered_risks(rows: DataFrame, key: str = "report_id") -> DataFrame:
 
 def source_numbers(evidence: DataFrame, key: str = "report_id", position: Sequence[str] = ()) -> DataFrame:
     """Cited chunks numbered in order of their first mention, per report."""
-    from pyspark.sql import Window
-
     position = list(position) or ["risk_pos", "fact_pos", "evidence_pos"]
     first = evidence.groupBy(key, "chunk_id").agg(F.min(F.struct(*position)).alias("_first"))
     order = Window.partitionBy(key).orderBy("_first")
@@ -261,8 +257,6 @@ def source_numbers(evidence: DataFrame, key: str = "report_id", position: Sequen
 
 def excerpts_by_source(evidence: DataFrame, key: str = "report_id") -> DataFrame:
     """Distinct excerpts per cited chunk, white space collapsed, in order of first mention."""
-    from citewerk.functions.text import collapse_whitespace
-
     position = F.struct("risk_pos", "fact_pos", "evidence_pos")
     distinct = (
         evidence.withColumn("excerpt", collapse_whitespace(F.col("excerpt")))

@@ -8,6 +8,8 @@ case - are a plain append.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +18,7 @@ from citewerk.functions.compounds import Lexicon, compound_parts
 from citewerk.functions.ids import require_project_id
 from citewerk.functions.text import passage_text
 from citewerk.functions.tokens import index_lexemes
-from citewerk.functions.vectors import Encoder, embed
+from citewerk.functions.vectors import Encoder, checked_embedding, embed
 from citewerk.schemas import CHUNK_COLUMNS, INDEX
 from citewerk.settings import EMBEDDING_BATCH, EMBEDDING_DIM
 from citewerk.sources import storage
@@ -67,6 +69,7 @@ def index_rows(
     lexicon: Lexicon,
     dim: int = EMBEDDING_DIM,
     batch_size: int = EMBEDDING_BATCH,
+    stops: Collection[str] | None = None,
 ) -> DataFrame:
     """Chunks with everything searching needs. Runs where the chunks are, no shuffle."""
     heading, text = F.col("heading"), F.col("text")
@@ -77,7 +80,7 @@ def index_rows(
             compound_parts(F.concat(F.coalesce(heading, F.lit("")), F.lit(" "), text), lexicon),
         )
         .withColumn("embedding", embed(passage_text(heading, text), encoder, dim, batch_size))
-        .withColumn("lexemes", index_lexemes(heading, text, F.col("compound_terms")))
+        .withColumn("lexemes", index_lexemes(heading, text, F.col("compound_terms"), stops))
         .withColumn("text_hash", text_hash(heading, text))
     )
 
@@ -111,14 +114,18 @@ def _overwrite(spark: SparkSession, path: str, rows: DataFrame, shards: DataFram
         storage.remove(spark, f"{path}/project_id={row.project_id}/shard={row.shard}")
 
 
-def upsert(spark: SparkSession, path: str, rows: DataFrame) -> int:
+def upsert(spark: SparkSession, path: str, rows: DataFrame, dim: int | None = None) -> int:
     """Insert rows, replacing those with a known chunk_id; returns how many were given.
 
+    With `dim`, a vector of another length fails the job before anything is stored.
+
     `rows` is written to a staging table first: it is computed once (encoding is the
     expensive part), and if the job dies while shards are replaced, the staged rows are
     still there. Readers must not run while shards are being replaced.
     """
     staged_path = storage.staging_path(spark, path)
+    if dim is not None:
+        rows = rows.withColumn("embedding", checked_embedding(F.col("embedding"), dim))
     keyed = rows.select(*COLUMNS).withColumn("shard", shard_of(F.col("chunk_id")))
     keyed.write.parquet(f"{staged_path}/rows")
     staged = spark.read.parquet(f"{staged_path}/rows")

@@ -302,10 +302,11 @@ def text_search(
     question: str,
     limit: int,
     lexicon: Lexicon | None = None,
+    stops: Collection[str] | None = None,
 ) -> DataFrame:
     """Chunks of one project by full text, words joined by OR, best first."""
     require_project_id(project_id)
-    words = question_lexemes(question, lexicon or building_lexicon())
+    words = question_lexemes(question, lexicon or building_lexicon(), stops)
     found = text_candidates(index, project_id, [words], limit).drop("question_no")
     return (
         fetch_chunks(index, project_id, found, limit)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -190,6 +190,7 @@ def index_chunks(
     dim: int = EMBEDDING_DIM,
     lexicon: Lexicon | None = None,
     commits: int = 1,
+    stops: Collection[str] | None = None,
 ) -> IndexResult:
     """Embed the chunks that are not indexed yet (or whose text changed) and store them.
 
@@ -209,7 +210,7 @@ def index_chunks(
     share = F.pmod(F.xxhash64("chunk_id", F.lit("commit")), F.lit(commits))
     for number in range(commits if waiting else 0):
         due = restrict(chunks, pending.where(share == number), "chunk_id")
-        rows = index_rows(due, encoder, lexicon or building_lexicon(), dim, batch_size)
+        rows = index_rows(due, encoder, lexicon or building_lexicon(), dim, batch_size, stops)
         upsert(spark, index_path, rows)
     storage.remove(spark, staging)
     return IndexResult(embedded=waiting, skipped=total - waiting)

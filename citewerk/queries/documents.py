@@ -9,9 +9,7 @@ from citewerk.functions.text import (
     citation,
     match_form,
     nfc,
-    passage_text,
     slug,
-    source_element,
     source_line,
     table_cell,
     thousands,

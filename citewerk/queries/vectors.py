@@ -8,6 +8,7 @@ from citewerk.functions.compounds import Lexicon, compound_parts
 from citewerk.functions.tokens import lexemes, question_lexemes
 from citewerk.functions.vectors import cosine_similarity
 from citewerk.operators.evidence import collect_evidence
+from citewerk.operators.index import index_rows
 from citewerk.operators.retrieval import (
     hybrid_hits,
     reciprocal_rank_fusion,
@@ -163,6 +164,21 @@ INDEX_TEXT_SQL = f"""
     ), {lexemes_sql("source")}"""
 
 
+def corpus_chunks(corpus, *further: str):
+    """Rows of the corpus view with the columns of the chunks table."""
+    made = {
+        "segment_id": F.col("document_id"),
+        "index": F.col("position").cast("int"),
+        "char_start": F.lit(0),
+        "char_end": F.length("text"),
+        "source_path": F.col("file_name"),
+        "page_no": F.lit(None).cast("int"),
+    }
+    return corpus.select(
+        *[made[c].alias(c) if c in made else F.col(c) for c in CHUNK_COLUMNS], *further
+    )
+
+
 def full_index(spark, folder):
     """Documents as an index: text of every row, vectors where a row has one."""
     embeddings = table(spark, folder, "embeddings").select(
@@ -175,25 +191,50 @@ def full_index(spark, folder):
     lexed = corpus.withColumn("compound_terms", terms).withColumn(
         "lexemes", lexemes(searched, STOPS)
     )
-    nothing = F.lit(None)
-    return lexed.join(embeddings, "doc_id", "left").select(
+    return corpus_chunks(lexed.join(embeddings, "doc_id", "left"), "lexemes", "embedding")
+
+
+class TextShape:
+    """An encoder whose vectors can be told from the text: length, letters e, blanks."""
+
+    def encode(self, texts):
+        return [[float(len(t)), float(t.count("e")), float(t.count(" "))] for t in texts]
+
+
+PASSAGE_SQL = (
+    "'passage: ' || CASE WHEN c.heading <> '' THEN c.heading || chr(10) ELSE '' END || c.text"
+)
+
+
+@query(
+    f"""
+    WITH RECURSIVE {INDEX_TEXT_SQL},
+    prints AS (
+        SELECT id, count(*) AS positions, sha256(string_agg(lexeme, ' ' ORDER BY place)) AS print
+        FROM lexed GROUP BY 1
+    ), passages AS (SELECT c.chunk_id, {PASSAGE_SQL} AS passage FROM corpus c)
+    SELECT p.chunk_id, coalesce(t.terms, '') AS compound_terms, sha256(p.passage) AS text_hash,
+           coalesce(x.positions, 0) AS positions, coalesce(x.print, sha256('')) AS lexeme_hash,
+           CAST(length(p.passage) AS DOUBLE) AS length,
+           CAST(length(p.passage) - length(replace(p.passage, 'e', '')) AS DOUBLE) AS letters_e,
+           CAST(length(p.passage) - length(replace(p.passage, ' ', '')) AS DOUBLE) AS blanks
+    FROM passages p LEFT JOIN terms t ON p.chunk_id = t.chunk_id LEFT JOIN prints x ON x.id = p.chunk_id
+    """,
+    "corpus",
+)
+def index_build(spark, folder):
+    chunks = spread(corpus_chunks(view(spark, folder, "corpus")))
+    built = index_rows(chunks, TextShape(), Lexicon(PARTS), 3, stops=STOPS)
+    return built.select(
         "chunk_id",
-        F.col("document_id").alias("segment_id"),
-        "document_id",
-        "project_id",
-        F.col("position").cast("int").alias("index"),
-        "text",
-        F.lit(0).alias("char_start"),
-        F.length("text").alias("char_end"),
-        F.col("file_name").alias("source_path"),
-        "file_name",
-        "doc_type",
-        "document_date",
-        nothing.cast("int").alias("page_no"),
-        "locator",
-        "heading",
-        "lexemes",
-        "embedding",
+        "compound_terms",
+        "text_hash",
+        F.size("lexemes").cast("bigint").alias("positions"),
+        F.sha2(F.array_join("lexemes", " "), 256).alias("lexeme_hash"),
+        *[
+            F.get("embedding", i).cast("double").alias(name)
+            for i, name in enumerate(("length", "letters_e", "blanks"))
+        ],
     )
 
 
