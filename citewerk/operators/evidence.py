@@ -32,7 +32,7 @@ RISK_QUESTIONS = (
 
 def chronological(rows: DataFrame) -> DataFrame:
     """Oldest first, undated before all; the order in which evidence is delivered."""
-    return rows.orderBy(F.asc_nulls_first("document_date"), "file_name", "index")
+    return rows.orderBy(F.asc_nulls_first("document_date"), "file_name", "index", "chunk_id")
 
 
 def collect_evidence(

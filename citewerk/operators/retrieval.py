@@ -188,28 +188,34 @@ def matches_all(lexemes: Column, wanted: Sequence[str]) -> Column:
 def postings(index: DataFrame) -> DataFrame:
     """project_id, lexeme, chunk_id, positions: one row per distinct lexeme of a chunk.
 
-    A chunk is one row, so its lexemes are counted where it lies, without a shuffle.
+    A chunk is one row, so its lexemes are counted where it lies, without a shuffle. The
+    shard of a stored index is kept.
     """
-    counted = index.select("project_id", "chunk_id", lexeme_counts("lexemes").alias("entries"))
+    place = [c for c in ("project_id", "shard") if c in index.columns]
+    counted = index.select(*place, "chunk_id", lexeme_counts("lexemes").alias("entries"))
     # Outer, because for the inner form Catalyst adds a filter that runs the UDF again.
-    entries = counted.select("project_id", "chunk_id", F.inline_outer("entries"))
+    entries = counted.select(*place, "chunk_id", F.inline_outer("entries"))
     return entries.where(F.col("lexeme").isNotNull()).select(
-        "project_id", "lexeme", "chunk_id", "positions"
+        *place, "lexeme", "chunk_id", "positions"
     )
 
 
 def write_postings(index: DataFrame, path: str) -> None:
-    """Store the inverted index, ordered by lexeme within a project.
+    """Store the inverted index, ordered by lexeme within a project and shard.
 
-    Range partitioning includes the chunk, so a frequent lexeme is split over files;
-    the order lets Parquet statistics skip the row groups of other lexemes.
+    Replaces the shards that `index` has rows of and no others, so after an update it is
+    enough to pass the shards concerned. Range partitioning includes the chunk, so a
+    frequent lexeme is split over files; the order lets Parquet statistics skip the row
+    groups of other lexemes.
     """
+    order = ["project_id", "shard", "lexeme", "chunk_id"]
     (
         postings(index)
-        .repartitionByRange("project_id", "lexeme", "chunk_id")
-        .sortWithinPartitions("project_id", "lexeme", "chunk_id")
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .write.mode("overwrite")
-        .partitionBy("project_id")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("project_id", "shard")
         .parquet(path)
     )
 
