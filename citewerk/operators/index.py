@@ -19,19 +19,15 @@ from citewerk.functions.ids import require_project_id
 from citewerk.functions.text import passage_text
 from citewerk.functions.tokens import index_lexemes
 from citewerk.functions.vectors import Encoder, checked_embedding, embed
+from citewerk.operators.retrieval import shard_of
 from citewerk.schemas import CHUNK_COLUMNS, INDEX
 from citewerk.settings import EMBEDDING_BATCH, EMBEDDING_DIM
 from citewerk.sources import storage
 from citewerk.sources.tables import first_per_key, is_small, missing_columns
 
-SHARDS = 16
 COLUMNS = tuple(INDEX.fieldNames())
 
 
-def shard_of(chunk_id: Column) -> Column:
-    return F.pmod(F.xxhash64(chunk_id), F.lit(SHARDS)).cast("int")
-
-
 def text_hash(heading: Column, text: Column) -> Column:
     """Fingerprint of what is embedded. Chunk ids do not depend on the text, so a
     re-chunked document can carry new text under a known id."""
@@ -91,9 +87,11 @@ def merge_rows(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
 
 
 def _write(rows: DataFrame, path: str, mode: str) -> None:
+    """Files are ordered by chunk id, so that looking up ids can skip row groups."""
     (
         rows.select(*COLUMNS, "shard")
         .hint("rebalance", "project_id", "shard")
+        .sortWithinPartitions("project_id", "shard", "chunk_id")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("project_id", "shard")
@@ -187,12 +185,21 @@ def known_ids(index: DataFrame, project_id: str | None = None) -> DataFrame:
     return index.select("chunk_id", "text_hash")
 
 
-def pending_ids(chunks: DataFrame, index: DataFrame) -> DataFrame:
-    """Ids of chunks not indexed yet, or indexed with another text. Narrow on both sides."""
-    wanted = chunks.select("chunk_id", text_hash(F.col("heading"), F.col("text")).alias("text_hash"))
-    return wanted.join(
-        index.select("chunk_id", "text_hash"), ["chunk_id", "text_hash"], "left_anti"
-    ).select("chunk_id")
+def pending_ids(chunks: DataFrame, index: DataFrame, compare_texts: bool = False) -> DataFrame:
+    """Ids of chunks not indexed yet, or indexed with another span of their segment.
+
+    A segment never changes under its id, so id and offsets tell a text and no text is
+    read. After a change of the extraction itself, `compare_texts` compares what was
+    embedded.
+    """
+    if compare_texts:
+        same = ["chunk_id", "text_hash"]
+        hashed = text_hash(F.col("heading"), F.col("text"))
+        wanted = chunks.select("chunk_id", hashed.alias("text_hash"))
+    else:
+        same = ["chunk_id", "char_start", "char_end"]
+        wanted = chunks.select(*same)
+    return wanted.join(index.select(*same), same, "left_anti").select("chunk_id")
 
 
 def stale_ids(index: DataFrame, chunks: DataFrame) -> DataFrame:

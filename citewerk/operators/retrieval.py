@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Collection, Iterator, Sequence
 from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,6 @@ from citewerk.functions.tokens import lexeme_counts, question_lexemes
 from citewerk.functions.vectors import Encoder, as_matrix, cosine_table, embed_query
 from citewerk.schemas import CHUNK_COLUMNS
 from citewerk.settings import (
-    BROADCAST_IDS,
     CANDIDATES_PER_METHOD,
     EMBEDDING_DIM,
     RRF_K,
@@ -36,6 +36,14 @@ POSITION_WEIGHT = 0.1
 # Similarities closer than this are equal; below it, only summation order differs.
 SIMILARITY_DIGITS = 12
 MERGE_PARTS = 64
+# Up to this many ids are looked up by predicate when their chunks are fetched.
+LOOKUP_IDS = 10_000
+# Parts of the index within a project.
+SHARDS = 16
+
+
+def shard_of(chunk_id: Column) -> Column:
+    return F.pmod(F.xxhash64(chunk_id), F.lit(SHARDS)).cast("int")
 
 
 _TEXT_CANDIDATES = "question_no int, chunk_id string, text_score double, text_rank int"
@@ -280,9 +288,25 @@ def fuse(by_vector: DataFrame, by_text: DataFrame, limit: int, k: int = RRF_K) -
 
 
 def fetch_chunks(index: DataFrame, project_id: str, ids: DataFrame, at_most: int) -> DataFrame:
-    """Chunk columns of found ids. `at_most` is their proven number: questions x limit."""
-    side = F.broadcast(ids) if at_most <= BROADCAST_IDS else ids
-    return in_project(index, project_id).select(*CHUNK_COLUMNS).join(side, "chunk_id")
+    """Chunk columns of found ids. `at_most` is their proven number: questions x limit.
+
+    Few ids are looked up: they are computed first (their lists run here) and become
+    predicates, so the scan for the wide text columns is pruned to their shards and to the
+    row groups that can hold them. Many ids are joined.
+    """
+    chunks = in_project(index, project_id)
+    if at_most > LOOKUP_IDS:
+        return chunks.select(*CHUNK_COLUMNS).join(ids, "chunk_id")
+    keyed = ids.withColumn("_shard", shard_of(F.col("chunk_id")))
+    found = keyed.collect()
+    wanted = sorted({r.chunk_id for r in found})
+    # Parquet filters hold short lists of values exactly, long ones only as a range.
+    groups = [wanted[at : at + 10] for at in range(0, len(wanted), 10)]
+    chunks = chunks.where(reduce(or_, (F.col("chunk_id").isin(g) for g in groups), F.lit(False)))
+    if "shard" in index.columns:
+        chunks = chunks.where(F.col("shard").isin(sorted({r["_shard"] for r in found})))
+    local = index.sparkSession.createDataFrame(found, keyed.schema).drop("_shard")
+    return chunks.select(*CHUNK_COLUMNS).join(F.broadcast(local), "chunk_id")
 
 
 # ---------------------------------------------------------------- public searches

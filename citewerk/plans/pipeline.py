@@ -191,6 +191,7 @@ def index_chunks(
     lexicon: Lexicon | None = None,
     commits: int = 1,
     stops: Collection[str] | None = None,
+    compare_texts: bool = False,
 ) -> IndexResult:
     """Embed the chunks that are not indexed yet (or whose text changed) and store them.
 
@@ -204,7 +205,7 @@ def index_chunks(
         index = index.where(F.col("project_id") == project_id)
     total = chunks.count()
     staging = storage.staging_path(spark, index_path)
-    pending_ids(chunks, index).write.parquet(f"{staging}/pending")
+    pending_ids(chunks, index, compare_texts).write.parquet(f"{staging}/pending")
     pending = spark.read.parquet(f"{staging}/pending")
     waiting = pending.count()
     share = F.pmod(F.xxhash64("chunk_id", F.lit("commit")), F.lit(commits))

@@ -346,7 +346,21 @@ def pending_chunks(spark, folder):
     index = stored_chunks(spark, folder).select(
         "chunk_id", text_hash(F.col("heading"), F.col("text")).alias("text_hash")
     )
-    return pending_ids(view(spark, folder, "corpus"), index)
+    return pending_ids(view(spark, folder, "corpus"), index, compare_texts=True)
+
+
+@query(
+    f"""
+    WITH {STORED_SQL}
+    SELECT chunk_id FROM corpus c WHERE NOT EXISTS
+        (SELECT 1 FROM stored s WHERE s.chunk_id = c.chunk_id AND length(s.text) = length(c.text))
+    """,
+    "corpus",
+)
+def pending_chunks_by_span(spark, folder):
+    span = [F.lit(0).alias("char_start"), F.length("text").alias("char_end")]
+    index = stored_chunks(spark, folder).select("chunk_id", *span)
+    return pending_ids(view(spark, folder, "corpus").select("chunk_id", *span), index)
 
 
 @query(

@@ -166,6 +166,20 @@ def test_index_is_incremental(spark, raw_dir):
     assert (rest.embedded, rest.skipped) == (result.chunks - 2, 2)
     assert spark.read.parquet(path).count() == result.chunks
 
+    # Other chunk limits give the same ids other texts.
+    from citewerk.operators.chunks import rechunk
+    from citewerk.operators.index import open_index, pending_ids
+
+    segments, papers = (read_table(spark, out, n) for n in ("segments", "documents"))
+    again = rechunk(segments, papers, 20, 5)
+    index = open_index(spark, path)
+    by_span = {r[0] for r in pending_ids(again, index).collect()}
+    assert by_span == {r[0] for r in pending_ids(again, index, compare_texts=True).collect()}
+    assert len(by_span) > result.chunks
+    same = rechunk(segments, papers)
+    assert same.exceptAll(read_table(spark, out, "chunks")).isEmpty()
+    assert pending_ids(same, index).isEmpty()
+
     class Never:
         def encode(self, texts):
             raise AssertionError
