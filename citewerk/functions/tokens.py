@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Collection
+from collections.abc import Callable, Collection, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -51,9 +51,11 @@ def _special_tokens(line: str) -> list[str]:
     return found
 
 
-def _string_lists(texts: pa.Array, per_text: Callable[[str], list[str]]) -> pa.Array:
+def _string_lists(
+    texts: Iterable[str | None], per_text: Callable[[str], list[str]]
+) -> pa.ListArray:
     ends, flat = [0], []
-    for text in texts.to_pylist():
+    for text in texts:
         flat += per_text(text or "")
         ends.append(len(flat))
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.string()))
@@ -61,7 +63,7 @@ def _string_lists(texts: pa.Array, per_text: Callable[[str], list[str]]) -> pa.A
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def tokens(texts: pa.Array) -> pa.Array:
-    return _string_lists(texts, tokens_of)
+    return _string_lists(texts.to_pylist(), tokens_of)
 
 
 def lexemes(text: Column, stops: Collection[str] | None = None) -> Column:
@@ -77,7 +79,7 @@ def lexemes(text: Column, stops: Collection[str] | None = None) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def run(texts: pa.Array) -> pa.Array:
-        return _string_lists(texts, per_text)
+        return _string_lists(texts.to_pylist(), per_text)
 
     return run(text)
 
@@ -103,12 +105,41 @@ def lexeme_counts(lexemes_per_text: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
 
 
-def index_lexemes(
-    heading: Column, text: Column, compound_terms: Column, stops: Collection[str] | None = None
+INDEX_TERMS = T.StructType(
+    [
+        T.StructField("compound_terms", T.StringType()),
+        T.StructField("lexemes", T.ArrayType(T.StringType())),
+    ]
+)
+
+
+def index_terms(
+    heading: Column, text: Column, lexicon: Lexicon, stops: Collection[str] | None = None
 ) -> Column:
-    """Lexemes of everything a chunk can be found by."""
-    pieces = (F.coalesce(heading, F.lit("")), text, compound_terms)
-    return lexemes(F.concat_ws(" ", *pieces), stops)
+    """struct<compound_terms, lexemes> of a chunk: the parts of its compounds, and the
+    lexemes of heading, text and those parts. One pass over the text for both.
+    """
+    stops = stop_words() if stops is None else frozenset(stops)
+
+    @F.arrow_udf(INDEX_TERMS)
+    def run(headings: pa.Array, texts: pa.Array) -> pa.Array:
+        terms = []
+
+        def per_text(searched: str) -> list[str]:
+            parts = compound_parts_local(searched, lexicon)
+            terms.append(parts)
+            found = tokens_of(searched)
+            if parts:
+                found += tokens_of(parts)
+            return [index_form(token) for token in found if token not in stops]
+
+        pairs = zip(headings.to_pylist(), texts.to_pylist(), strict=True)
+        lists = _string_lists([f"{h or ''} {t or ''}" for h, t in pairs], per_text)
+        return pa.StructArray.from_arrays(
+            [pa.array(terms, pa.string()), lists], names=["compound_terms", "lexemes"]
+        )
+
+    return run(heading, text)
 
 
 def question_lexemes(

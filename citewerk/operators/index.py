@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citewerk.functions.compounds import Lexicon, compound_parts
+from citewerk.functions.compounds import Lexicon
 from citewerk.functions.ids import require_project_id
 from citewerk.functions.text import passage_text
-from citewerk.functions.tokens import index_lexemes
+from citewerk.functions.tokens import index_terms
 from citewerk.functions.vectors import Encoder, checked_embedding, embed
 from citewerk.operators.retrieval import shard_of
 from citewerk.schemas import CHUNK_COLUMNS, INDEX
@@ -71,12 +71,11 @@ def index_rows(
     heading, text = F.col("heading"), F.col("text")
     return (
         chunks.select(*CHUNK_COLUMNS)
-        .withColumn(
-            "compound_terms",
-            compound_parts(F.concat(F.coalesce(heading, F.lit("")), F.lit(" "), text), lexicon),
-        )
+        .withColumn("_terms", index_terms(heading, text, lexicon, stops))
+        .withColumn("compound_terms", F.col("_terms.compound_terms"))
         .withColumn("embedding", embed(passage_text(heading, text), encoder, dim, batch_size))
-        .withColumn("lexemes", index_lexemes(heading, text, F.col("compound_terms"), stops))
+        .withColumn("lexemes", F.col("_terms.lexemes"))
+        .drop("_terms")
         .withColumn("text_hash", text_hash(heading, text))
     )
 

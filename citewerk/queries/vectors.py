@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from citewerk.functions.compounds import Lexicon, compound_parts
-from citewerk.functions.tokens import lexemes, question_lexemes
+from citewerk.functions.compounds import Lexicon
+from citewerk.functions.tokens import index_terms, question_lexemes
 from citewerk.functions.vectors import cosine_similarity
 from citewerk.operators.evidence import collect_evidence
 from citewerk.operators.index import index_rows
@@ -185,12 +185,8 @@ def full_index(spark, folder):
         F.col("vec_id").alias("doc_id"), "embedding"
     )
     corpus = spread(view(spark, folder, "corpus"))
-    heading = F.coalesce("heading", F.lit(""))
-    searched = F.concat(heading, F.lit(" "), "text", F.lit(" "), "compound_terms")
-    terms = compound_parts(F.concat(heading, F.lit(" "), F.col("text")), Lexicon(PARTS))
-    lexed = corpus.withColumn("compound_terms", terms).withColumn(
-        "lexemes", lexemes(searched, STOPS)
-    )
+    terms = index_terms(F.col("heading"), F.col("text"), Lexicon(PARTS), STOPS)
+    lexed = corpus.withColumn("lexemes", terms["lexemes"])
     return corpus_chunks(lexed.join(embeddings, "doc_id", "left"), "lexemes", "embedding")
 
 
