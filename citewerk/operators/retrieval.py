@@ -9,12 +9,13 @@ Ties are broken by chunk_id, which makes every list deterministic.
 
 from __future__ import annotations
 
-from collections.abc import Collection, Iterator, Sequence
+from collections.abc import Callable, Collection, Iterator, Sequence
 from functools import reduce
 from operator import or_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,26 +68,28 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return near[order[:k]]
 
 
-def _partition_top_k(vectors: list[list[float]], k: int):
-    """mapInArrow body: the k nearest rows of each partition for every question.
+Scores = Callable[[pa.RecordBatch], np.ndarray]
 
-    One pass over the vectors serves all questions; a partition hands on at most
+
+def _partition_top_k(score: Scores, questions: int, k: int, name: str):
+    """mapInArrow body: the k best rows of each partition for every question.
+
+    `score` gives rows x questions for a batch whose first column is the id; NaN means no
+    hit. One pass over the rows serves all questions, and a partition hands on at most
     k rows per question, so what is shuffled does not grow with the rows it read.
     """
-    targets = np.asarray(vectors, dtype=np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [(np.empty(0, object), np.empty(0)) for _ in targets]
+        kept = [(np.empty(0, object), np.empty(0)) for _ in range(questions)]
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             ids = np.asarray(batch.column(0).to_pylist(), dtype=object)
-            found = cosine_table(as_matrix(batch.column(1), targets.shape[1]), targets)
-            found = np.round(found, SIMILARITY_DIGITS)
-            found[np.isnan(found)] = -np.inf
-            for number in range(len(targets)):
-                all_ids = np.concatenate([kept[number][0], ids])
-                scores = np.concatenate([kept[number][1], found[:, number]])
+            table = score(batch)
+            for number, (old_ids, old_scores) in enumerate(kept):
+                hits = np.flatnonzero(~np.isnan(table[:, number]))
+                all_ids = np.concatenate([old_ids, ids[hits]])
+                scores = np.concatenate([old_scores, table[hits, number]])
                 top = _best(all_ids, scores, k)
                 kept[number] = (all_ids[top], scores[top])
         for number, (ids, scores) in enumerate(kept):
@@ -97,12 +100,56 @@ def _partition_top_k(vectors: list[list[float]], k: int):
                         pa.array(ids.tolist(), pa.string()),
                         pa.array(scores, pa.float64(), mask=np.isneginf(scores)),
                     ],
-                    names=["question_no", "chunk_id", "similarity"],
+                    names=["question_no", "chunk_id", name],
                 )
 
     return run
 
 
+def _cosine_scores(vectors: Sequence[Sequence[float]]) -> Scores:
+    targets = np.asarray(vectors, dtype=np.float64)
+
+    def score(batch: pa.RecordBatch) -> np.ndarray:
+        found = cosine_table(as_matrix(batch.column(1), targets.shape[1]), targets)
+        found = np.round(found, SIMILARITY_DIGITS)
+        found[np.isnan(found)] = -np.inf  # a zero vector is a candidate, but the last
+        return found
+
+    return score
+
+
+def _lexeme_scores(questions: Sequence[Sequence[str]]) -> Scores:
+    words = sorted({w for asked in questions for w in asked})
+    wanted = pa.array(words, pa.string())
+    asks = np.array([[w in set(asked) for asked in questions] for w in words], dtype=np.float64)
+
+    def score(batch: pa.RecordBatch) -> np.ndarray:
+        lists = batch.column(1)
+        lengths = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(batch.num_rows), lengths)
+        word = pc.index_in(lists.flatten(), value_set=wanted)
+        hit = word.is_valid().to_numpy(zero_copy_only=False)
+        word = word.drop_null().to_numpy(zero_copy_only=False)
+        positions = [
+            np.bincount(rows[hit], weights=asks[word, number], minlength=batch.num_rows)
+            for number in range(len(questions))
+        ]
+        table = np.stack(positions, axis=1)
+        return np.where(table > 0, table * POSITION_WEIGHT, np.nan)
+
+    return score
+
+
+def _candidate_type(score: str) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("question_no", T.IntegerType()),
+            T.StructField("chunk_id", T.StringType()),
+            T.StructField(score, T.DoubleType()),
+        ]
+    )
+
+
 def ranked(rows: DataFrame, score: str, rank: str, k: int) -> DataFrame:
     """The k best rows per question with their 1-based rank.
 
@@ -134,25 +181,14 @@ def vector_candidates(
         .where(F.col("embedding").isNotNull())
         .select(F.col("chunk_id").cast("string"), "embedding")
     )
-    schema = T.StructType(
-        [
-            T.StructField("question_no", T.IntegerType()),
-            T.StructField("chunk_id", T.StringType()),
-            T.StructField("similarity", T.DoubleType()),
-        ]
-    )
+    schema = _candidate_type("similarity")
     if not vectors:
         return index.sparkSession.createDataFrame([], schema).withColumn("vector_rank", F.lit(0))
-    near = rows.mapInArrow(_partition_top_k([list(v) for v in vectors], k), schema)
+    scores = _cosine_scores([list(v) for v in vectors])
+    near = rows.mapInArrow(_partition_top_k(scores, len(vectors), k, "similarity"), schema)
     return ranked(near, "similarity", "vector_rank", k)
 
 
-def matching_positions(lexemes: Column, wanted: Sequence[str]) -> Column:
-    """How many positions of a text carry one of the wanted lexemes."""
-    targets = F.array(*[F.lit(w) for w in wanted])
-    return F.size(F.filter(lexemes, lambda t: F.array_contains(targets, t)))
-
-
 def text_candidates(
     index: DataFrame, project_id: str, questions: Sequence[Sequence[str]], k: int
 ) -> DataFrame:
@@ -162,25 +198,14 @@ def text_candidates(
     covers itself, so the cover-density rank is a constant times their number. A
     question of stop words only matches nothing.
     """
-    asked = [(n, words) for n, words in enumerate(questions) if words]
-    rows = in_project(index, project_id).select(F.col("chunk_id").cast("string"), "lexemes")
-    hits = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("question_no"),
-                matching_positions(F.col("lexemes"), words).alias("positions"),
-            )
-            for n, words in asked
-        ]
-    )
-    if not asked:
+    asked = [list(words) for words in questions]
+    if not any(asked):
         return index.sparkSession.createDataFrame([], _TEXT_CANDIDATES)
-    scored = (
-        rows.select("chunk_id", F.inline(F.filter(hits, lambda h: h["positions"] > 0)))
-        .withColumn("text_score", F.col("positions") * F.lit(POSITION_WEIGHT))
-        .drop("positions")
-    )
-    return ranked(scored, "text_score", "text_rank", k)
+    # No filter on the lexemes: where they come from a UDF, it would run a second time.
+    rows = in_project(index, project_id).select(F.col("chunk_id").cast("string"), "lexemes")
+    best = _partition_top_k(_lexeme_scores(asked), len(asked), k, "text_score")
+    found = rows.mapInArrow(best, _candidate_type("text_score"))
+    return ranked(found, "text_score", "text_rank", k)
 
 
 def matches_all(lexemes: Column, wanted: Sequence[str]) -> Column:
