@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from citewerk.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "customer documents embeddings events labels pages conversations benchmark".split()
@@ -29,7 +30,7 @@ def rows(columns, raw):
     return sorted((tuple(normal(r[c]) for c in columns) for r in raw), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     found = contract.queries()[name](spark, FOLDER)
     columns = sorted(found.columns)
