@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from citewerk.llm import exact_dedup
+from citewerk.llm import chat_format, exact_dedup
 from citewerk.llm.shared import UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +45,48 @@ def query(sql: str | None = None):
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the copy that stays."""
     return exact_dedup.find_copies(table(spark, folder, "documents"))
+
+
+_SQL_CONTROL = " + ".join(
+    f"(length({{0}}) - length(replace({{0}}, '{mark}', ''))) // {len(mark)}"
+    for mark in chat_format.CONTROL
+)
+_SQL_ESCAPED = (
+    "(length({0}) + length({0}) - length(replace({0}, chr(92), '')) + " + _SQL_CONTROL + ")"
+)
+
+
+@query(
+    f"""
+    WITH rows AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+        FROM conversations
+        UNION ALL
+        SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL
+        SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    )
+    SELECT
+        conv_id,
+        count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+            AS turns_sha256,
+        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, ''
+                          ORDER BY turn, role, text)) AS loss_sha256,
+        CAST(sum({_SQL_ESCAPED.format("role")} + {_SQL_ESCAPED.format("text")}
+                 + {len(chat_format.TURN) + len(chat_format.END) + 2}) AS BIGINT) AS formatted_chars
+    FROM rows
+    GROUP BY conv_id
+    """
+)
+def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back."""
+    rows = table(spark, folder, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
+    )
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    trees = chat_format.chains(rows.unionByName(more))
+    formatted = chat_format.format_trees(trees)
+    return chat_format.read_back(formatted, "tree_id").withColumnRenamed("tree_id", "conv_id")
