@@ -92,7 +92,9 @@ def leaf_paths(messages: DataFrame) -> DataFrame:
         onward = moving.select("tree", "node", F.col("to").alias("mid"))
         next_step = jumps[-1].select("tree", F.col("node").alias("mid"), F.col("to").alias("far"))
         further = settle(
-            onward.join(next_step, ["tree", "mid"]).select("tree", "node", F.col("far").alias("to"))
+            onward.join(next_step, ["tree", "mid"], "left").select(
+                "tree", "node", F.col("far").alias("to")
+            )
         )
         jumps.append(further)
         rooted = rooted.unionByName(further.where("to is null").select("tree", "node"))
