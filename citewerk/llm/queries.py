@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewerk.llm import chat_format, exact_dedup
-from citewerk.llm.shared import UPPER, table
+from citewerk.llm import chat_format, exact_dedup, quality, sentencepiece_codec
+from citewerk.llm.shared import UPPER, id_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,3 +90,21 @@ def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     trees = chat_format.chains(rows.unionByName(more))
     formatted = chat_format.format_trees(trees)
     return chat_format.read_back(formatted, "tree_id").withColumnRenamed("tree_id", "conv_id")
+
+
+@query()
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels that are not held out."""
+    docs = table(spark, folder, "documents")
+    model = quality.fit(docs, table(spark, folder, "labels"), id_bucket(F.col("doc_id"), 5) != 0)
+    scored = docs.select("doc_id", quality.score_column(docs, model).alias("score"))
+    return scored.select(
+        "doc_id", (id_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query()
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document and whether they decode to its text."""
+    return sentencepiece_codec.encode_and_decode(table(spark, folder, "documents"), ["doc_id"])
