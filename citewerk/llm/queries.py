@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewerk.llm import chat_format, exact_dedup, quality, sentencepiece_codec
+from citewerk.llm import (
+    chat_format,
+    exact_dedup,
+    html_extract,
+    quality,
+    sentencepiece_codec,
+    url_filter,
+)
 from citewerk.llm.shared import UPPER, id_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +115,15 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document and whether they decode to its text."""
     return sentencepiece_codec.encode_and_decode(table(spark, folder, "documents"), ["doc_id"])
+
+
+@query()
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page with its host, path, rule and verdict."""
+    return url_filter.filter_urls(table(spark, folder, "pages"), ["page_id"])
+
+
+@query()
+def op4_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(table(spark, folder, "pages"), ["page_id", "url"])
