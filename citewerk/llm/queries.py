@@ -11,6 +11,7 @@ from citewerk.llm import (
     chat_format,
     exact_dedup,
     html_extract,
+    lm_score,
     quality,
     sentencepiece_codec,
     url_filter,
@@ -127,3 +128,14 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 def op4_html_extract(spark: SparkSession, folder: str) -> DataFrame:
     """The main text of every page."""
     return html_extract.extract(table(spark, folder, "pages"), ["page_id", "url"])
+
+
+@query()
+def op9_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probability of every document, from those that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = lm_score.score_texts(docs, id_bucket(F.col("doc_id"), 7) != 2)
+    return scored.select(
+        "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score",
+    )
