@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,8 +35,9 @@ from citewerk.llm.shared import fresh, pieces, texts
 BLANK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 200_000
-_WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+REMEMBERED = 300_000
+_MISSING = object()
+_NEVER = float("-inf")
 
 
 class Codec:
@@ -56,14 +57,14 @@ class Codec:
         library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.surface: list[str] = []
         self.bytes: dict[int, int] = {}
-        known: dict[str, tuple[int, float]] = {}
+        known: dict[str, tuple[int, float, tuple[int]]] = {}
         lowest, highest = 0.0, -1e30
         for i, piece in enumerate(proto.pieces):
             text = piece.piece
             if piece.type == kind.BYTE:
                 self.bytes[i] = int(text[3:5], 16)
             elif piece.type in (kind.NORMAL, kind.USER_DEFINED):
-                known[text] = (i, piece.score)
+                known[text] = (i, piece.score, (i,))
                 if piece.type == kind.NORMAL:
                     lowest, highest = min(lowest, piece.score), max(highest, piece.score)
             self.surface.append(
@@ -73,21 +74,35 @@ class Codec:
             )
         for piece in proto.pieces:
             if piece.type == kind.USER_DEFINED:
-                known[piece.piece] = (known[piece.piece][0], len(piece.piece) * highest - 0.1)
+                i = known[piece.piece][0]
+                known[piece.piece] = (i, len(piece.piece) * highest - 0.1, (i,))
         self.byte_id = {b: i for i, b in self.bytes.items()}
         self.unknown = library.unk_id()
         self.penalty = lowest - UNKNOWN_PENALTY
         self.longest = max(map(len, known), default=1)
         #: Every beginning of a piece, with the piece if it is one.
-        self.begins: dict[str, tuple[int, float] | None] = {}
+        self.begins: dict[str, tuple[int, float, tuple[int]] | None] = {}
         for text in known:
             for n in range(1, len(text)):
                 self.begins.setdefault(text[:n], None)
         self.begins.update(known)
-        self.words_apart = not any(BLANK in text.lstrip(BLANK) for text in known)
+        self.stretches = self._stretches(known)
         self.is_byte = np.zeros(len(self.surface), bool)
         self.is_byte[list(self.bytes)] = True
-        self.remembered: dict[str, tuple[int, ...]] = {}
+        #: Ids of stretches met lately: two generations, the older is dropped when full.
+        self.remembered: tuple[dict[str, array], dict[str, array]] = ({}, {})
+
+    @staticmethod
+    def _stretches(known: Iterable[str]):
+        """Splits a text at places that no piece spans: before blanks after other characters,
+        and around characters that no longer piece holds. None if pieces span the former."""
+        if any(BLANK in text.lstrip(BLANK) for text in known):
+            return None
+        joined = {char for text in known if len(text) > 1 for char in text} - {BLANK}
+        if not joined:
+            return None
+        chars = "".join(map(re.escape, sorted(joined)))
+        return re.compile(f"{BLANK}*[{chars}]+|{BLANK}+|[^{BLANK}{chars}]").findall
 
     def _spell(self, char: str) -> list[int]:
         if not self.byte_id:
@@ -97,74 +112,75 @@ class Codec:
     def stream(self, text: str) -> Iterator[int]:
         """Ids of normalised text, given out as soon as they are final.
 
-        A node is [node before, ids from there, end]; `window` holds the node and score of the
-        best path to each of the next `longest` positions.
+        `score`, `back` and `via` describe the best path to each position from `base` on, the
+        last boundary given out. After every `longest` characters the surviving paths, those to
+        the positions that the next piece can start from, are followed back to where they meet.
         """
-        begins, longest = self.begins, self.longest
-        root = [None, (), 0]
-        window: dict[int, list] = {0: [0.0, root]}
-        size = len(text)
+        look_up, longest, size, missing = self.begins.get, self.longest, len(text), _MISSING
+        score, back, via = [0.0] + [_NEVER] * size, [0] * (size + 1), [()] * (size + 1)
+        if size > 2 * longest:
+            for part in (score, back, via):
+                del part[2 * longest :]
+        base = 0
         for at in range(size):
-            score, node = window.pop(at)
+            here, so_far = at - base, score[at - base]
+            if so_far == _NEVER:
+                continue
             single = False
             for end in range(at + 1, min(size, at + longest) + 1):
-                part = text[at:end]
-                if part not in begins:
-                    break
-                piece = begins[part]
+                piece = look_up(text[at:end], missing)
                 if piece is None:
                     continue
-                single = single or end == at + 1
-                held = window.get(end)
-                if held is None or score + piece[1] > held[0]:
-                    window[end] = [score + piece[1], [node, (piece[0],), end]]
-            if not single:
-                held = window.get(at + 1)
-                if held is None or score + self.penalty > held[0]:
-                    window[at + 1] = [score + self.penalty, [node, self._spell(text[at]), at + 1]]
-            if len(window) == 1 or at % longest == longest - 1:
-                meet, base = self._meeting([entry[1] for entry in window.values()]), None
-                if meet is not root:
-                    yield from self._path(meet, root)
-                    meet[0], meet[1] = None, ()
-                    root = meet
-                    base = min(entry[0] for entry in window.values())
-                    for entry in window.values():
-                        entry[0] -= base
-        if size:
-            yield from self._path(window[size][1], root)
-
-    @staticmethod
-    def _meeting(nodes: list) -> list:
-        """The last node that all paths share."""
-        alive = {id(n): n for n in nodes}
-        while len(alive) > 1:
-            last = max(alive.values(), key=lambda n: n[2])
-            del alive[id(last)]
-            alive[id(last[0])] = last[0]
-        return next(iter(alive.values()))
+                if piece is missing:
+                    break
+                if end == at + 1:
+                    single = True
+                if so_far + piece[1] > score[end - base]:
+                    score[end - base] = so_far + piece[1]
+                    back[end - base], via[end - base] = at, piece[2]
+            if not single and so_far + self.penalty > score[here + 1]:
+                score[here + 1] = so_far + self.penalty
+                back[here + 1], via[here + 1] = at, self._spell(text[at])
+            if size > longest and (at + 1) % longest == 0:
+                alive = {p for p in range(at + 1, base + len(score)) if score[p - base] != _NEVER}
+                while len(alive) > 1:
+                    last = max(alive)
+                    alive.remove(last)
+                    alive.add(back[last - base])
+                meet = alive.pop()
+                yield from self._path(back, via, base, meet)
+                gone, least = meet - base, score[meet - base]
+                score = [x - least for x in score[gone:]]
+                back, via, base = back[gone:], via[gone:], meet
+                more = min(size, at + 2 * longest + 1) - base + 1 - len(score)
+                score += [_NEVER] * more
+                back += [0] * more
+                via += [()] * more
+        yield from self._path(back, via, base, size)
 
     @staticmethod
-    def _path(node: list, root: list) -> list[int]:
+    def _path(back: list, via: list, base: int, end: int) -> list[int]:
         parts = []
-        while node is not root:
-            parts.append(node[1])
-            node = node[0]
+        while end > base:
+            parts.append(via[end - base])
+            end = back[end - base]
         return [i for part in reversed(parts) for i in part]
 
     def _encode_part(self, text: str, out: array) -> None:
-        if not self.words_apart:
+        if self.stretches is None:
             out.extend(self.stream(text))
             return
-        remembered = self.remembered
-        for word in _WORDS.findall(text):
-            ids = remembered.get(word)
+        young, old = self.remembered
+        for word in self.stretches(text):
+            ids = young.get(word)
             if ids is None:
-                ids = tuple(self.stream(word))
+                ids = old.get(word)
+                if ids is None:
+                    ids = array("i", self.stream(word))
                 if len(word) <= 64:
-                    if len(remembered) >= REMEMBERED:
-                        remembered.clear()
-                    remembered[word] = ids
+                    if len(young) >= REMEMBERED:
+                        young, old = self.remembered = {}, young
+                    young[word] = ids
             out.extend(ids)
 
     def encode(self, text: str) -> array:
