@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citewerk.llm import (
     chat_format,
+    decontaminate,
     exact_dedup,
     html_extract,
     lm_score,
@@ -139,3 +140,10 @@ def op9_lm_score(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
         "base_score", "score",
     )
+
+
+@query()
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the benchmark items that leak into it."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, table(spark, folder, "benchmark"), ["doc_id"])
