@@ -5,21 +5,22 @@ A benchmark item leaks into a document when some stretch of the document is with
 
 Windows of the size of the items start at every word of every document. A CGK random walk reads a
 window and moves on by a random bit that depends on step and character; so strings at a small
-edit distance give walks at a small Hamming distance. Each repetition samples `SAMPLES` steps of
-one of `walks` walks, spread over the whole window (its last sample depends on the size band of
-the item), and a window is a candidate of an item when all samples agree. Windows that disagree
-with every item in the early samples of a repetition are given up early, which changes nothing in
-the result. Candidates are verified with an exact bit-parallel edit distance.
+edit distance give walks at a small Hamming distance. Each repetition samples nine steps of
+one of `walks` walks over the whole window (its last sample depends on the size band of
+the item), and a window is a candidate of an item when all samples agree. So that an edit at the start of an item
+does not spoil all repetitions, an item is entered from each of its first `anchors` words. Windows
+that disagree with every item in the early samples of a repetition are given up early, which
+changes nothing in the result. Candidates are verified with an exact bit-parallel edit distance.
 
 Unedited passages are found: their windows give equal walks, as long as a sampled step lies inside
 the item, which fails with a chance of about 1 % in one repetition and so never in all. For edited
-ones recall depends on `walks` x `repetitions`; the tests measure it (0.9 and more at 2 % of
+ones recall depends on `walks` x `repetitions` x `anchors`; the tests measure it (0.9 and more at 2 % of
 edits). Short items have samples of their own that fit into them (`SCALES`).
 
 The items are a stated query set: they are read in blocks of at most `block_items` items and
 `block_chars` characters, the size that is proven for what tasks get; documents are not shuffled.
 
-Defined results: a null text counts as empty and leaks nothing; items with fewer than three letters or digits match nothing;
+Defined results: a null text counts as empty and leaks nothing; items with fewer than six characters match nothing;
 items that repeat are all listed; one row for each row of docs, in any number of blocks.
 """
 
@@ -38,10 +39,12 @@ from citewerk.llm.shared import fresh, pieces, texts
 
 _WORD = re.compile(r"[^\W_]+")
 SYMBOLS = 64
-#: (least item length, early steps, middle steps): of SAMPLES samples 4 are taken in the early
-#: steps and 2 up to the middle ones; both decide whether a walk goes on.
-SCALES = ((3, 1, 2), (6, 2, 5), (12, 5, 14), (24, 12, 32), (48, 24, 66), (72, 40, 120))
-SAMPLES = 7
+#: (least item length, ends of the levels): of SAMPLES samples 4 are taken before the first end,
+#: two before the second and two before the third; the last lies in the rest of the window.
+SCALES = (
+    (6, (2, 3, 5)), (12, (5, 9, 14)), (24, (8, 18, 32)), (48, (12, 30, 66)), (72, (16, 40, 120)),
+)
+SAMPLES = (4, 2, 2)
 BATCH_CHARS = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -91,23 +94,24 @@ class Plan:
     walks: int
     repetitions: int
     longest: int
-    early_steps: int = SCALES[-1][1]
-    middle_steps: int = SCALES[-1][2]
+    ends: tuple[int, int, int]
     seed: int = 11
 
     def __post_init__(self):
         rng = np.random.default_rng(self.seed)
-        early, middle = self.early_steps, self.middle_steps
-        self.steps = 2 * self.longest + middle
-        self.bits = rng.integers(0, 2, (self.walks, self.steps, SYMBOLS)).astype(np.int32)
+        self.steps = 2 * self.longest + self.ends[-1]
+        self.bits = rng.integers(0, 2, (self.walks, self.steps, SYMBOLS))
         shape = (self.walks, self.repetitions)
-        self.early = np.sort(rng.integers(0, early, (*shape, 4)), axis=2)
-        self.middle = np.sort(rng.integers(early, middle, (*shape, 2)), axis=2)
+        begins = (0, *self.ends[:-1])
+        self.samples = [
+            np.sort(rng.integers(low, high, (*shape, n)), axis=2)
+            for low, high, n in zip(begins, self.ends, SAMPLES)
+        ]
         self.late = rng.random(shape)
 
     def late_step(self, walk: int, repetition: int, band: int) -> int:
         """The last sample of windows of a band, somewhere in the rest of the window."""
-        low = self.middle_steps
+        low = self.ends[-1]
         high = max(low + 1, int(1.6 * band_size(band)) if band else 0)
         return int(low + self.late[walk, repetition] * (high - low))
 
@@ -125,8 +129,8 @@ def band_size(band: int) -> int:
 
 
 def _add(keys: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    mixed = (keys + symbols.astype(np.uint64) + np.uint64(1)) * _MULTIPLIER
-    return mixed ^ (mixed >> np.uint64(29))
+    """Keys of up to nine symbols of six bits."""
+    return (keys << np.uint64(6)) | symbols
 
 
 def _member(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -134,41 +138,42 @@ def _member(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == keys
 
 
+def _slot(keys: np.ndarray) -> np.ndarray:
+    """Where a table of 2^18 flags holds a key of four symbols."""
+    return ((keys ^ (keys >> np.uint32(13))) & np.uint32((1 << 18) - 1)).astype(np.int64)
+
+
 class Scale:
-    """The sampled keys of the items of one scale, given as (number, normal form)."""
+    """The sampled keys of the items of one scale, given as (number, text from one of its words)."""
 
     def __init__(self, items: list[tuple[int, str]], plan: Plan):
         self.plan = plan
-        self.items = items
-        live = range(len(items))
-        self.bands = sorted({band_of(len(self.items[k][1])) for k in live})
-        self.early: dict[tuple[int, int], np.ndarray] = {}
-        self.middle: dict[tuple[int, int], np.ndarray] = {}
-        self.late: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
+        of = [band_of(len(text)) for _, text in items]
+        self.bands = sorted(set(of))
+        numbers = np.array([number for number, _ in items], np.int64)
         tail = np.zeros(plan.steps + 1, np.uint8)
-        parts = [np.concatenate([codes_of(self.items[k][1]), tail]) for k in live]
-        codes = np.concatenate(parts) if parts else tail
+        parts = [np.concatenate([codes_of(text), tail]) for _, text in items]
+        codes = np.concatenate(parts)
         starts = np.cumsum([0, *map(len, parts)])[:-1].astype(np.int64)
-        of_band = {b: [n for n, k in enumerate(live) if band_of(len(self.items[k][1])) == b] for b in self.bands}
+        #: By walk and repetition: flags of the first level, sorted keys of the next two.
+        self.levels: dict[tuple[int, int], list[np.ndarray]] = {}
+        self.late: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
         for walk in range(plan.walks):
-            seen = self._trace(codes, starts, walk) if parts else None
+            seen = self._trace(codes, starts, walk)
             for rep in range(plan.repetitions):
-                if seen is None:
-                    continue
-                keys = np.zeros(len(starts), np.uint64)
-                for step in plan.early[walk, rep]:
-                    keys = _add(keys, seen[step])
-                table = np.zeros(1 << 16, bool)
-                table[(keys >> np.uint64(48)).astype(np.int64)] = True
-                self.early[walk, rep] = table
-                for step in plan.middle[walk, rep]:
-                    keys = _add(keys, seen[step])
-                self.middle[walk, rep] = np.unique(keys)
+                keys, tables = np.zeros(len(starts), np.uint64), []
+                for level, samples in enumerate(plan.samples):
+                    for step in samples[walk, rep]:
+                        keys = _add(keys, seen[step])
+                    tables.append(np.unique(keys))
+                flags = np.zeros(1 << 18, bool)
+                flags[_slot(tables[0].astype(np.uint32))] = True
+                self.levels[walk, rep] = [flags, *tables[1:]]
                 for band in self.bands:
-                    members = np.array(of_band[band])
+                    members = np.flatnonzero(np.array(of) == band)
                     last = _add(keys[members], seen[plan.late_step(walk, rep, band)][members])
                     order = np.argsort(last, kind="stable")
-                    self.late[walk, rep, band] = (last[order], np.array([items[n][0] for n in members[order]], np.int64))
+                    self.late[walk, rep, band] = (last[order], numbers[members[order]])
 
     def _trace(self, codes: np.ndarray, starts: np.ndarray, walk: int) -> list[np.ndarray]:
         """Symbols of all steps of one walk over the items."""
@@ -181,58 +186,60 @@ class Scale:
 
     def candidates(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item number, window number) of all windows that agree with an item's samples."""
-        plan = self.plan
+        plan, reps = self.plan, range(self.plan.repetitions)
         items, windows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        if not self.bands or not len(starts):
-            return items[0], windows[0]
-        end = max(plan.late_step(w, r, b) for w in range(plan.walks) for r in range(plan.repetitions) for b in self.bands)  # noqa: E501
-        for walk in range(plan.walks):
-            bits = plan.bits[walk]
-            at = starts.astype(np.int32)
-            keys = [np.zeros(len(starts), np.uint64) for _ in range(plan.repetitions)]
-            for step in range(plan.early_steps):
-                symbols = codes[at]
-                for rep in range(plan.repetitions):
-                    for _ in range(int((plan.early[walk, rep] == step).sum())):
-                        keys[rep] = _add(keys[rep], symbols)
-                at += bits[step][symbols]
-            alive = [
-                np.flatnonzero(self.early[walk, rep][(keys[rep] >> np.uint64(48)).astype(np.int64)])
-                for rep in range(plan.repetitions)
-            ]
-            some = np.unique(np.concatenate(alive))
-            at, place = at[some], [np.searchsorted(some, a) for a in alive]
-            keys = [k[a] for k, a in zip(keys, alive)]
-            for step in range(plan.early_steps, plan.middle_steps):
-                symbols = codes[at]
-                for rep in range(plan.repetitions):
-                    for _ in range(int((plan.middle[walk, rep] == step).sum())):
-                        keys[rep] = _add(keys[rep], symbols[place[rep]])
-                at += bits[step][symbols]
-            left = [_member(keys[rep], self.middle[walk, rep]) for rep in range(plan.repetitions)]
-            kept = np.unique(np.concatenate([place[rep][left[rep]] for rep in range(plan.repetitions)]))
-            if not len(kept):
+        for walk in range(plan.walks if len(starts) else 0):
+            at, step = starts.astype(np.int64), 0
+            some = np.arange(len(starts))  # windows that still walk
+            own = [some] * plan.repetitions  # of these, the ones that a repetition still wants
+            keys = [np.zeros(len(starts), np.uint32) for _ in reps]
+            for level, end in enumerate(plan.ends):
+                wanted = {int(s) for s in plan.samples[level][walk].ravel()}
+                seen = {}
+                for step in range(step, end):
+                    symbols = codes.take(at)
+                    if step in wanted:
+                        seen[step] = symbols
+                    at = at + plan.bits[walk, step].take(symbols)
+                step = end
+                for rep in reps:
+                    table = self.levels[walk, rep][level]
+                    if level == 0:
+                        key = keys[rep]
+                        for s in plan.samples[0][walk, rep]:
+                            key = (key << np.uint32(6)) | seen[int(s)]
+                        left = np.flatnonzero(table.take(_slot(key)))
+                        keys[rep] = key[left].astype(np.uint64)
+                        own[rep] = left
+                    else:
+                        for s in plan.samples[level][walk, rep]:
+                            keys[rep] = _add(keys[rep], seen[int(s)][own[rep]])
+                        left = np.flatnonzero(_member(keys[rep], table))
+                        keys[rep], own[rep] = keys[rep][left], own[rep][left]
+                kept = np.zeros(len(at), bool)
+                for rep in reps:
+                    kept[own[rep]] = True
+                place = np.cumsum(kept) - 1
+                own = [place[o] for o in own]
+                at, some = at[kept], some[kept]
+            if not len(at):
                 continue
-            at = at[kept]
-            traced = {}
-            wanted = {plan.late_step(walk, r, b) for r in range(plan.repetitions) for b in self.bands}
-            for step in range(plan.middle_steps, end + 1):
-                symbols = codes[at]
-                if step in wanted:
+            traced = {plan.late_step(walk, r, b): None for r in reps for b in self.bands}
+            for step in range(step, max(traced) + 1):
+                symbols = codes.take(at)
+                if step in traced:
                     traced[step] = symbols
-                at += bits[step][symbols]
-            for rep in range(plan.repetitions):
-                chosen = place[rep][left[rep]]
-                own = np.searchsorted(kept, chosen)
+                at = at + plan.bits[walk, step].take(symbols)
+            for rep in reps:
                 for band in self.bands:
-                    last = _add(keys[rep][left[rep]], traced[plan.late_step(walk, rep, band)][own])
+                    last = _add(keys[rep], traced[plan.late_step(walk, rep, band)][own[rep]])
                     table, numbers = self.late[walk, rep, band]
                     low, high = np.searchsorted(table, last), np.searchsorted(table, last, "right")
                     count = high - low
                     hit = np.repeat(np.arange(len(last)), count)
                     inner = np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count)
                     items.append(numbers[np.repeat(low, count) + inner])
-                    windows.append(some[chosen[hit]])
+                    windows.append(some[own[rep][hit]])
         if len(items) == 1:
             return items[0], windows[0]
         pair = np.unique(np.stack([np.concatenate(windows), np.concatenate(items)]), axis=1)
@@ -243,17 +250,31 @@ class ItemIndex:
     """A block of items, ready to be looked for."""
 
     def __init__(
-        self, items: list[tuple[object, str]], walks: int = 3, repetitions: int = 4, edit_share: float = 0.1
+        self,
+        items: list[tuple[object, str]],
+        walks: int = 2,
+        repetitions: int = 3,
+        anchors: int = 5,
+        edit_share: float = 0.1,
     ):
+        """Walks begin at each of an item's first `anchors` words, as long as half of it follows."""
         self.edit_share = edit_share
         self.items = [(key, normal_form(text or "")) for key, text in items]
-        self.scales = []
-        limits = [least for least, _, _ in SCALES[1:]] + [1 << 62]
-        for (least, early, middle), limit in zip(SCALES, limits):
-            own = [(k, t) for k, (_, t) in enumerate(self.items) if least <= len(t) < limit]
-            if own:
-                longest = max(len(t) for _, t in own)
-                self.scales.append(Scale(own, Plan(walks, repetitions, longest, early, middle)))
+        self.entries: list[tuple[int, int]] = []  # (item, where its walk begins)
+        by_scale: dict[int, list[tuple[int, str]]] = {}
+        for number, (_, body) in enumerate(self.items):
+            begins = [0, *[m.start() + 1 for m in re.finditer(" ", body)]][:anchors]
+            for begin in begins:
+                rest = body[begin:]
+                if len(rest) < SCALES[0][0] or begin and 2 * len(rest) < len(body):
+                    continue
+                scale = max(k for k, (least, _) in enumerate(SCALES) if least <= len(rest))
+                by_scale.setdefault(scale, []).append((len(self.entries), rest))
+                self.entries.append((number, begin))
+        self.scales = [
+            Scale(own, Plan(walks, repetitions, max(len(t) for _, t in own), SCALES[scale][1]))
+            for scale, own in sorted(by_scale.items())
+        ]
         self.reach = max([scale.plan.steps + 1 for scale in self.scales], default=1)
 
     def leaks(self, documents: list[str]) -> list[dict[int, int]]:
@@ -282,14 +303,18 @@ class ItemIndex:
         found = np.concatenate([np.empty(0, np.int64), *[items for items, _ in pairs]])
         where = np.concatenate([np.empty(0, np.int64), *[windows for _, windows in pairs]])
         owner = np.searchsorted(begins, starts[where], "right") - 1
-        for item, start, k in zip(found.tolist(), starts[where].tolist(), owner.tolist()):
-            number, text = batch[k]
+        done: set[tuple[int, int, int]] = set()
+        for entry, start, k in zip(found.tolist(), starts[where].tolist(), owner.tolist()):
+            (item, begin), (number, text) = self.entries[entry], batch[k]
+            if (item, k, start - begin) in done:
+                continue
+            done.add((item, k, start - begin))
             body = self.items[item][1]
             allowed = int(self.edit_share * len(body))
             if out[number].get(item, allowed + 1) == 0:
                 continue
-            at = start - int(begins[k])
-            near = text[max(0, at - allowed) : at + len(body) + allowed]
+            at = start - begin - int(begins[k])
+            near = text[max(0, at - allowed) : max(0, at + len(body) + allowed)]
             distance = 0 if body in near else best_distance(body, near)
             if distance <= min(allowed, out[number].get(item, allowed)):
                 out[number][item] = distance
@@ -317,8 +342,9 @@ def find_leaks(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     edit_share: float = 0.1,
-    walks: int = 3,
-    repetitions: int = 4,
+    walks: int = 2,
+    repetitions: int = 3,
+    anchors: int = 5,
     block_items: int = 20_000,
     block_chars: int = 1 << 23,
 ) -> DataFrame:
@@ -353,7 +379,7 @@ def find_leaks(
     block = next(blocks, [])
     while True:
         following = next(blocks, None)
-        index = context.broadcast(ItemIndex(block, walks, repetitions, edit_share))
+        index = context.broadcast(ItemIndex(block, walks, repetitions, anchors, edit_share))
         last = following is None
         body = "" if last else f"`{text}` string, "
         schema = f"{columns}, {body}`{ids}` array<{kind}>, `{edits}` array<int>"

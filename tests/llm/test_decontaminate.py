@@ -66,10 +66,10 @@ def test_recall():
 def test_tables(spark):
     rng = random.Random(4)
     items = [(i, sentence(rng, 20)) for i in range(7)] + [(7, None), (8, ""), (9, "short item")]
-    items += [(10, items[0][1]), (11, "ox"), (12, "qua vadis"), (13, "zig"), (14, "a somewhat longer item of words here")]
+    items += [(10, items[0][1]), (11, "ox"), (12, "qua vadis"), (13, "zigzag"), (14, "a somewhat longer item of words here")]
     docs = [(1, None, "x"), (2, "", "x"), (3, items[0][1].upper() + "!!", None), (3, items[0][1], "y")]
     docs += [(4, sentence(rng, 30), "z"), (5, sentence(rng, 20_000) + "\n" + items[3][1] + " " + items[5][1], "z")]
-    docs += [(7, "so qua Vadis zig", "z"), (8, "ox a somewhat-longer item of words here", "z")]
+    docs += [(7, "so qua Vadis zigzag", "z"), (8, "ox a somewhat-longer item of words here", "z")]
     docs += [(6, "a Short, item", "z"), (None, items[2][1].replace(" ", "*** "), "z")]
     left = spark.createDataFrame(docs, "doc_id long, text string, item_ids string")
     right = spark.createDataFrame(items, "item_id long, text string")
