@@ -11,8 +11,7 @@ matrix product for each step. Batched matrix products then give the normalised l
 of all classes after each class. A word of a shared class has (c + 1) / (sum of c + words + 1) of
 its class, so all words, with one place for unseen ones in each class, sum to one.
 
-Counts of words are not broadcast: the `FREQUENT` most frequent ones are, an array of fixed
-size; all other words of the texts meet their counts in a join.
+Counts of words are not broadcast, but for at most `FREQUENT` of the most frequent ones; all other words of the texts meet their counts in a join.
 
 Defined results: a null text counts as empty, its only token is the end; a null id counts as empty
 text in the split; an empty training part leaves uniform probabilities; rows that repeat are
@@ -36,7 +35,7 @@ from citewerk.llm.words import word_hashes
 OWN = 512
 ENDINGS = 512
 CLASSES = OWN + ENDINGS
-FREQUENT = 1 << 19
+FREQUENT = 1 << 18
 #: The end of a text, as a token; no word has this hash (its class bits apart, a mixed constant).
 END = np.uint64(0x0A5C3F1E9B7D2460)
 _FLUSH = 1 << 21
@@ -110,7 +109,16 @@ def count_tokens(docs: DataFrame, text_col: str) -> DataFrame:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """Frequent tokens and class sizes from the counts of all."""
-    top = counts.orderBy(F.desc("n"), "hash").limit(FREQUENT).toPandas()
+    level = F.floor(F.log2("n") * 16)
+    steps = counts.groupBy(level.alias("level")).count().collect()  # at most some 1,000 rows
+    held, least = 0, None
+    for row in sorted(steps, key=lambda r: -r.level):
+        held += row["count"]
+        if held > FREQUENT:
+            break
+        least = row.level
+    top = counts.where(level >= least if least is not None else F.lit(False)).toPandas()
+    top = top.sort_values(["n", "hash"], ascending=[False, True])
     hashes = top["hash"].to_numpy(np.int64).view(np.uint64)
     n = top["n"].to_numpy(np.int64)
     is_end = hashes == END

@@ -37,7 +37,7 @@ def check(rows, got):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
-@pytest.mark.parametrize("frequent", [1 << 19, 700])
+@pytest.mark.parametrize("frequent", [1 << 18, 700])
 def test_documents(spark, monkeypatch, frequent):
     """With a short list of frequent words most counts come from the join."""
     monkeypatch.setattr(lm_score, "FREQUENT", frequent)
