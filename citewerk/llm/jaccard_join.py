@@ -96,9 +96,10 @@ class Bands:
         size = self.lower[band + 1] - 1
         need = self.distance(size, size * 100 // self.percent) + 1
         m = need
-        while need > 1:
-            filled = 1 - (1 - 1 / m) ** size
-            if m * filled - 2 * np.sqrt(m * filled * (1 - filled)) >= need:
+        while 1 < need and m < 3 * size:
+            empty = m * (1 - 1 / m) ** size
+            spread = m * (m - 1) * (1 - 2 / m) ** size + empty - empty**2
+            if m - empty - 2 * np.sqrt(max(0.0, spread)) >= need:
                 break
             m += 1
         return m
@@ -125,7 +126,8 @@ class Bands:
 
 
 def segment_of(tokens: np.ndarray, band: int, m: int) -> np.ndarray:
-    return (mix(tokens ^ (np.uint64(band + 1) * _ODD)) % np.uint64(m)).astype(np.int64)
+    seed = mix(np.array([band + 1], np.uint64))
+    return (mix(tokens ^ seed) % np.uint64(m)).astype(np.int64)
 
 
 def segment_key(sums: np.ndarray, segment: np.ndarray, band: int) -> np.ndarray:

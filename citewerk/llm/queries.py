@@ -12,6 +12,7 @@ from citewerk.llm import (
     decontaminate,
     exact_dedup,
     html_extract,
+    jaccard_join,
     lm_score,
     quality,
     sentencepiece_codec,
@@ -147,3 +148,10 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the benchmark items that leak into it."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return decontaminate.find_leaks(docs, table(spark, folder, "benchmark"), ["doc_id"])
+
+
+@query()
+def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its component of near copies (3-word shingles, 90 %)."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return jaccard_join.similar_groups(docs, words=3, percent=90)
