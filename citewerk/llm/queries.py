@@ -15,10 +15,11 @@ from citewerk.llm import (
     jaccard_join,
     lm_score,
     quality,
+    secret_scan,
     sentencepiece_codec,
     url_filter,
 )
-from citewerk.llm.shared import UPPER, id_bucket, table
+from citewerk.llm.shared import UPPER, id_bucket, settle, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -155,3 +156,22 @@ def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its component of near copies (3-word shingles, 90 %)."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return jaccard_join.similar_groups(docs, words=3, percent=90)
+
+
+@query()
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every key-like run of every document, with the forest's score and verdict.
+
+    The labelled findings to train from are values assigned to key-like names against plain
+    numbers and words.
+    """
+    docs = table(spark, folder, "documents")
+    language = secret_scan.learn_language(docs, "text")
+    found = settle(secret_scan.candidates(docs, ["doc_id"]))
+    label = secret_scan.assigned_label(F.col("before"), F.col("candidate"))
+    forest = secret_scan.fit(found, label, language)
+    scored = found.select(
+        "doc_id", "start", "end", F.sha2("candidate", 256).alias("candidate_sha256"),
+        secret_scan.judge(found, forest, language).alias("score"),
+    )
+    return scored.withColumn("is_secret", F.col("score") >= 0.5)

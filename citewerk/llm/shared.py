@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -26,12 +27,26 @@ def settle(rows: DataFrame) -> DataFrame:
     The folder is the one that the session names in `spark.checkpoint.dir`. Only a session
     without one, such as a local test, gets a temporary folder of its own.
     """
-    spark = rows.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
+    _shared_folder(rows.sparkSession)
+    return rows.checkpoint()
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
         context = spark.sparkContext
-        if context.getCheckpointDir() is None:
+        folder = context.getCheckpointDir()
+        if folder is None:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="citewerk-checkpoints-"))
-    return rows.checkpoint()
+            folder = context.getCheckpointDir()
+    return folder
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows as Parquet in a new folder of the shared storage, read again."""
+    path = f"{_shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 def fresh(taken: Iterable[str], *wanted: str) -> list[str]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citewerk.llm import decontaminate, exact_dedup, jaccard_join, quality, sentencepiece_codec
-from citewerk.llm.shared import fresh, id_bucket, settle, table
+from citewerk.llm.shared import fresh, id_bucket, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -57,8 +57,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder; each result is on shared storage before the next."""
+    """All stages over the documents of a folder; each result but the last is written as Parquet
+    to shared storage and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
+        docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
