@@ -56,10 +56,10 @@ def slug(name: Column) -> Column:
 
 
 def is_quoted(excerpt: Column, heading: Column, text: Column) -> Column:
-    """Whether the excerpt occurs verbatim, white space aside; an empty one never does."""
+    """Whether the excerpt occurs verbatim, white space aside; an empty or NULL one never does."""
     needle = collapse_whitespace(excerpt)
     haystack = collapse_whitespace(F.concat(F.coalesce(heading, F.lit("")), F.lit(" "), text))
-    return (F.length(needle) > 0) & F.contains(haystack, needle)
+    return F.coalesce((F.length(needle) > 0) & F.contains(haystack, needle), F.lit(False))
 
 
 def source_element(

@@ -196,8 +196,8 @@ def distractors_found(
     return labels_found(risks, [(x.label, "headline", x.terms) for x in distractors], key)
 
 
-def isolation(reports: DataFrame, foreign_terms: Sequence[str], key: str = "report_id") -> DataFrame:
-    """Sources of other projects and terms that belong to another project, per report."""
+def isolation_columns(foreign_terms: Sequence[str]) -> list[Column]:
+    """Sources of other projects and terms that belong to another project, of a report's row."""
     sources = F.map_values("sources")
     text = match_form(
         F.concat(
@@ -206,29 +206,87 @@ def isolation(reports: DataFrame, foreign_terms: Sequence[str], key: str = "repo
         )
     )
     terms = F.array(*[F.lit(t) for t in foreign_terms]).cast("array<string>")
-    return reports.withColumn("_text", text).select(
-        key,
+    return [
         F.size(F.filter(sources, lambda c: c["project_id"] != F.col("project_id"))).alias(
             "foreign_sources"
         ),
-        F.filter(terms, lambda t: F.contains(F.col("_text"), t)).alias("foreign_terms"),
-    )
+        F.filter(terms, lambda t: F.contains(text, t)).alias("foreign_terms"),
+    ]
 
 
-def report_figures(reports: DataFrame, key: str = "report_id") -> DataFrame:
-    """Size of each report: risks, facts, evidence, short excerpts, risks without conclusion."""
+def isolation(reports: DataFrame, foreign_terms: Sequence[str], key: str = "report_id") -> DataFrame:
+    return reports.select(key, *isolation_columns(foreign_terms))
+
+
+def risk_forms(risks: Column, sources: Column) -> Column:
+    """For each risk of a row its title, normalised texts and cited places."""
+    def form(risk: Column) -> Column:
+        evidence = F.flatten(F.transform(risk["facts"], lambda f: f["evidence"]))
+        places = F.transform(
+            evidence,
+            lambda e: F.struct(
+                sources[e["chunk_id"]]["file_name"].alias("file_name"),
+                sources[e["chunk_id"]]["locator"].alias("locator"),
+            ),
+        )
+        return F.struct(
+            risk["title"].alias("title"),
+            match_form(own_words(risk)).alias("words"),
+            match_form(_lines(risk["uncertainties"])).alias("doubts"),
+            match_form(headline(risk)).alias("headline"),
+            F.array_distinct(places).alias("places"),
+        )
+
+    return F.transform(risks, form)
+
+
+def finding_verdicts(forms: Column, findings: Sequence[Finding]) -> Column:
+    """For each finding: found, covered places, expected places and risk titles, in one row."""
+    def verdict(finding: Finding) -> Column:
+        expected = _places_literal(finding.locations)
+        hits = F.filter(
+            forms,
+            lambda r: matches_terms(r["words"], finding.terms)
+            & (F.size(F.array_intersect(r["places"], expected)) > 0),
+        )
+        cited = F.flatten(F.transform(hits, lambda r: F.array_intersect(r["places"], expected)))
+        return F.struct(
+            F.lit(finding.label).alias("label"),
+            (F.size(hits) > 0).alias("found"),
+            F.size(F.array_distinct(cited)).alias("covered"),
+            F.lit(len(finding.locations)).alias("expected"),
+            F.array_sort(F.array_distinct(F.transform(hits, lambda r: r["title"]))).alias("titles"),
+        )
+
+    return F.array_sort(F.array(*[verdict(f) for f in findings])) if findings else F.array()
+
+
+def matched_labels(forms: Column, rules: Sequence[tuple[str, str, Terms]]) -> Column:
+    """Labels that any risk of the row matches. Rules are (label, field, terms)."""
+    def hit(label: str, field: str, terms: Terms) -> Column:
+        return F.when(F.exists(forms, lambda r: matches_terms(r[field], terms)), F.lit(label))
+
+    found = F.array(*[hit(*rule) for rule in rules]).cast("array<string>")
+    return F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
+
+
+def figure_columns() -> list[Column]:
+    """Size of a report: risks, facts, evidence, short excerpts, risks without conclusion."""
     facts = F.flatten(F.transform("risks", lambda r: r["facts"]))
     evidence = F.flatten(F.transform(facts, lambda f: f["evidence"]))
     short = F.filter(evidence, lambda e: F.length(F.trim(e["excerpt"])) < SHORT_EXCERPT)
     bare = F.filter("risks", lambda r: F.coalesce(F.size(r["conclusions"]), F.lit(0)) <= 0)
-    return reports.select(
-        key,
+    return [
         F.size("risks").alias("risks"),
         F.size(facts).alias("facts"),
         F.size(evidence).alias("evidence"),
         F.size(short).alias("short_excerpts"),
         F.size(bare).alias("risks_without_conclusion"),
-    )
+    ]
+
+
+def report_figures(reports: DataFrame, key: str = "report_id") -> DataFrame:
+    return reports.select(key, *figure_columns())
 
 
 # ---------------------------------------------------------------- numbering

@@ -103,15 +103,21 @@ def explode_evidence(reports: DataFrame, key: str = "report_id") -> DataFrame:
 def problem_of(
     chunk_id: Column, excerpt: Column, project_id: Column, delivered: Column, own: Column, quoted: Column
 ) -> Column:
-    """First thing wrong with a citation, NULL if nothing is."""
-    shown = F.concat(F.lit("'"), chunk_id, F.lit("'"))
+    """First thing wrong with a citation, NULL if nothing is; NULL ids and excerpts are wrong."""
+    def holds(condition: Column) -> Column:
+        return F.coalesce(condition, F.lit(False))
+
+    shown = F.concat(F.lit("'"), F.coalesce(chunk_id, F.lit("")), F.lit("'"))
+    owner = F.coalesce(project_id, F.lit(""))
     return (
-        F.when(~delivered, F.concat(F.lit("Quelle "), shown, F.lit(" wurde nicht geliefert.")))
-        .when(~own, F.concat(F.lit("Quelle "), shown, F.lit(" gehört nicht zu "), project_id, F.lit(".")))
+        F.when(
+            ~holds(delivered), F.concat(F.lit("Quelle "), shown, F.lit(" wurde nicht geliefert."))
+        )
+        .when(~holds(own), F.concat(F.lit("Quelle "), shown, F.lit(" gehört nicht zu "), owner, F.lit(".")))
         .when(
-            ~quoted,
+            ~holds(quoted),
             F.concat(
-                F.lit("Der Auszug „"), excerpt, F.lit("“ steht nicht wörtlich in Quelle "), shown,
+                F.lit("Der Auszug „"), F.coalesce(excerpt, F.lit("")), F.lit("“ steht nicht wörtlich in Quelle "), shown,
                 F.lit("."),
             ),
         )
@@ -121,11 +127,13 @@ def problem_of(
 def check_citations(evidence: DataFrame, sources: DataFrame, project_id: Column | str) -> DataFrame:
     """Evidence rows with `problem`: not delivered, of another project, or not verbatim.
 
-    `sources` are the delivered chunks. Evidence of hot chunks is safe: chunk_id is
-    unique on the source side and AQE splits a skewed evidence side.
+    `sources` are the delivered chunks; only those that are cited at all take part in the
+    join. Evidence of hot chunks is safe: chunk_id is unique on the source side and AQE
+    splits a skewed evidence side.
     """
     owner = F.lit(project_id) if isinstance(project_id, str) else project_id
-    delivered = sources.select(
+    cited = evidence.select("chunk_id").distinct()
+    delivered = sources.join(cited, "chunk_id", "left_semi").select(
         F.col("chunk_id"),
         F.col("project_id").alias("_source_project"),
         F.col("heading").alias("_heading"),
@@ -150,9 +158,8 @@ def check_citations(evidence: DataFrame, sources: DataFrame, project_id: Column
 
 def problems(checked: DataFrame) -> DataFrame:
     """The readable problem list, in the order of the analysis."""
-    where = F.concat(
-        F.lit("Risiko „"), F.col("title"), F.lit("“, Fakt „"), F.col("statement"), F.lit("“: ")
-    )
+    title, statement = (F.coalesce(F.col(c), F.lit("")) for c in ("title", "statement"))
+    where = F.concat(F.lit("Risiko „"), title, F.lit("“, Fakt „"), statement, F.lit("“: "))
     return (
         checked.where(F.col("problem").isNotNull())
         .withColumn("message", F.concat(where, F.col("problem")))
@@ -199,6 +206,43 @@ def value_problems(risks: Column) -> Column:
     )
 
 
+def _object(**fields: str) -> str:
+    """Pattern of a variant schema with any of the fields, each of its type."""
+    return "OBJECT<((" + "|".join(f"{k}: {v}" for k, v in sorted(fields.items())) + ")(, )?)*>"
+
+
+def _array(element: str) -> str:
+    return f"ARRAY<(VOID|{element})>"
+
+
+_EVIDENCE = _array(_object(chunk_id="STRING", excerpt="STRING"))
+_FACTS = _array(_object(statement="STRING", evidence=_EVIDENCE))
+_LISTS = dict.fromkeys(OPTIONAL_KEYS, _array("STRING"))
+_RISKS = _array(_object(**dict.fromkeys(RISK_TEXT_FIELDS, "STRING"), facts=_FACTS, **_LISTS))
+_TYPES = f"^{_object(risks=_RISKS)}$"
+
+
+def _nothing_null(objects: Column, risks: Column) -> Column:
+    """No NULL in place of a risk, a field, a list entry or a citation."""
+
+    def all_set(values: Column) -> Column:
+        return F.forall(values, lambda v: v.isNotNull())
+
+    def lists_set(risk: Column) -> Column:
+        lists = F.array(risk["conclusions"], risk["uncertainties"])
+        return F.forall(lists, lambda part: F.coalesce(all_set(part), F.lit(True)))
+
+    def fact_set(fact: Column) -> Column:
+        return fact["statement"].isNotNull() & F.forall(
+            fact["evidence"],
+            lambda e: e.isNotNull() & e["chunk_id"].isNotNull() & e["excerpt"].isNotNull(),
+        )
+
+    return F.forall(objects, lambda o: all_set(F.map_values(o))) & F.forall(
+        risks, lambda r: r.isNotNull() & lists_set(r) & F.forall(r["facts"], fact_set)
+    )
+
+
 def shape_problems(json_text: Column, parsed: Column) -> Column:
     """array<string> of violations: malformed JSON, missing or unknown keys, values
     outside their enumeration, facts without evidence.
@@ -238,9 +282,14 @@ def shape_problems(json_text: Column, parsed: Column) -> Column:
             lambda f: F.forall(f["evidence"], lambda e: keys_ok(e, ("chunk_id", "excerpt"))),
         ),
     )
+    # A variant exists only for text that is JSON to its end; its schema names every type.
+    kinds = F.schema_of_variant(F.try_parse_json(json_text)).rlike(_TYPES)
     values = value_problems(risks)
     rules = [
         (keys_ok(top, ("risks",)) & risks.isNotNull(), "kein Objekt mit genau dem Feld risks"),
-        (risk_keys & fact_keys & evidence_keys, "fehlende oder unbekannte Felder"),
+        (
+            risk_keys & fact_keys & evidence_keys & kinds & _nothing_null(objects, risks),
+            "fehlende oder unbekannte Felder",
+        ),
     ]
     return F.concat(_violated(rules), values)

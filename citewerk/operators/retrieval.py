@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Collection, Iterator, Sequence
 from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +36,8 @@ POSITION_WEIGHT = 0.1
 # Similarities closer than this are equal; below it, only summation order differs.
 SIMILARITY_DIGITS = 12
 MERGE_PARTS = 64
-# Up to this many ids are looked up by predicate when their chunks are fetched.
-LOOKUP_IDS = 10_000
+# Found ids, proven by questions x limit to be at most so many, are broadcast.
+BROADCAST_HITS = 10_000
 # Parts of the index within a project.
 SHARDS = 16
 
@@ -315,23 +314,17 @@ def fuse(by_vector: DataFrame, by_text: DataFrame, limit: int, k: int = RRF_K) -
 def fetch_chunks(index: DataFrame, project_id: str, ids: DataFrame, at_most: int) -> DataFrame:
     """Chunk columns of found ids. `at_most` is their proven number: questions x limit.
 
-    Few ids are looked up: they are computed first (their lists run here) and become
-    predicates, so the scan for the wide text columns is pruned to their shards and to the
-    row groups that can hold them. Many ids are joined.
+    One join, lazy like every other plan. A stored index is partitioned by shard, and the
+    shard of an id is part of the key, so Spark prunes the scan for the wide text columns
+    to the shards that the ids lie in.
     """
     chunks = in_project(index, project_id)
-    if at_most > LOOKUP_IDS:
-        return chunks.select(*CHUNK_COLUMNS).join(ids, "chunk_id")
-    keyed = ids.withColumn("_shard", shard_of(F.col("chunk_id")))
-    found = keyed.collect()
-    wanted = sorted({r.chunk_id for r in found})
-    # Parquet filters hold short lists of values exactly, long ones only as a range.
-    groups = [wanted[at : at + 10] for at in range(0, len(wanted), 10)]
-    chunks = chunks.where(reduce(or_, (F.col("chunk_id").isin(g) for g in groups), F.lit(False)))
-    if "shard" in index.columns:
-        chunks = chunks.where(F.col("shard").isin(sorted({r["_shard"] for r in found})))
-    local = index.sparkSession.createDataFrame(found, keyed.schema).drop("_shard")
-    return chunks.select(*CHUNK_COLUMNS).join(F.broadcast(local), "chunk_id")
+    sharded = "shard" in index.columns
+    keyed = ids.withColumn("shard", shard_of(F.col("chunk_id"))) if sharded else ids
+    columns = [*CHUNK_COLUMNS, "shard"] if sharded else list(CHUNK_COLUMNS)
+    side = F.broadcast(keyed) if at_most <= BROADCAST_HITS else keyed
+    found = chunks.select(*columns).join(side, ["chunk_id", "shard"] if sharded else "chunk_id")
+    return found.drop("shard")
 
 
 # ---------------------------------------------------------------- public searches

@@ -132,30 +132,28 @@ def evaluate_search(
 
 
 def score_reports(reports: DataFrame, rules: ReportRules) -> DataFrame:
-    """One row per report with everything the rules and the run data say about it."""
-    risks = ev.risk_texts(reports)
-    findings = (
-        ev.findings_found(risks, rules.findings)
-        .groupBy("report_id")
-        .agg(
-            F.count_if("found").alias("findings_found"),
-            F.array_sort(F.collect_list(F.struct("label", "found", "covered", "expected", "titles")))
-            .alias("findings"),
-        )
+    """One row per report with everything the rules and the run data say about it.
+
+    All of it lies in the report's own row, so nothing is joined or grouped, and a report
+    without risks or evidence keeps its row.
+    """
+    formed = reports.withColumn("_forms", ev.risk_forms(F.col("risks"), F.col("sources")))
+    links = [(x.label, "doubts" if x.only_uncertainties else "words", x.terms) for x in rules.links]
+    distractors = [(x.label, "headline", x.terms) for x in rules.distractors]
+    findings = ev.finding_verdicts(F.col("_forms"), rules.findings)
+    isolated = ev.isolation_columns(rules.foreign_terms)
+    scored = formed.select(
+        "report_id",
+        "model_name",
+        "created_at",
+        "stats.*",
+        F.size("sources").alias("cited_chunks"),
+        *ev.figure_columns(),
+        *isolated,
+        findings.alias("findings"),
+        ev.matched_labels(F.col("_forms"), links).alias("links"),
+        ev.matched_labels(F.col("_forms"), distractors).alias("distractors"),
     )
-    links = ev.links_found(risks, rules.links).withColumnRenamed("labels", "links")
-    distractors = ev.distractors_found(risks, rules.distractors)
-    return (
-        reports.select(
-            "report_id",
-            "model_name",
-            "created_at",
-            "stats.*",
-            F.size("sources").alias("cited_chunks"),
-        )
-        .join(ev.report_figures(reports), "report_id")
-        .join(ev.isolation(reports, rules.foreign_terms), "report_id")
-        .join(findings, "report_id", "left")
-        .join(links, "report_id", "left")
-        .join(distractors.withColumnRenamed("labels", "distractors"), "report_id", "left")
+    return scored.withColumn(
+        "findings_found", F.size(F.filter("findings", lambda f: f["found"])).cast("long")
     )

@@ -132,8 +132,9 @@ def ingest_files(
 ) -> IngestResult:
     """Read the unknown ones of the given files (rows of `discover`) into the tables.
 
-    File contents are never shuffled: identities are compared as narrow rows, and the
-    contents of the pending files alone are read again where they are needed.
+    Identities are compared as narrow rows, and the contents of the pending files alone are
+    read again. Contents stay where they are read on a first load and wherever the pending
+    paths fit a broadcast.
     """
     stamp = now or datetime.now(UTC).replace(tzinfo=None)
     rejected = files.where(project_of(F.col("relative")).isNull()).select(
@@ -149,7 +150,8 @@ def ingest_files(
     pending = identities.where(F.col("known").isNull()).select("path")
     skipped = identities.where("known").count()
 
-    todo = identified(restrict(files, pending, "path"))
+    # On a first load all files are pending and nothing is joined; later runs have few.
+    todo = identified(restrict(files, pending, "path") if skipped else files)
     extracted(todo, stamp, max_chars, overlap).write.parquet(f"{staging}/documents")
     staged = spark.read.schema(STAGED).parquet(f"{staging}/documents")
     documents, segments, chunks = write_documents(spark, staged, tables_dir)

@@ -177,11 +177,9 @@ def to_json(report: dict) -> str:
 
 
 def read_reports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Stored reports, one row each, keyed by their file. An invalid one is an error."""
+    """Stored reports, one row each, keyed by the path of their file. An invalid one is an error."""
     reader = spark.read.schema(REPORT).option("multiLine", True).option("mode", "FAILFAST")
-    reports = reader.json(paths).withColumn(
-        "report_id", F.regexp_extract(F.input_file_name(), r"([^/]+)\z", 1)
-    )
+    reports = reader.json(paths).withColumn("report_id", F.input_file_name())
     complete = [F.col(c).isNotNull() for c in ("created_at", "model_name", "stats", "sources")]
     sound = is_project_id(F.col("project_id")) & (F.size(value_problems(F.col("risks"))) == 0)
     for present in complete:

@@ -10,7 +10,6 @@ from citewerk.operators.chunks import rechunk
 from citewerk.plans import canned_sql
 from citewerk.plans.sample_views import table, view
 from citewerk.queries.registry import query
-from citewerk.sources.tables import spread
 
 CUT = "[.!?:;](?:\\n+|\\s+)|\\n+"
 
@@ -79,7 +78,7 @@ def spans_sql(source: str, max_chars: int, overlap: int) -> str:
     """
 )
 def cut_points(spark, folder):
-    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    documents = table(spark, folder, "documents").select("doc_id", "text")
     cuts = documents.select("doc_id", F.explode_outer(boundary_positions("text")).alias("boundary"))
     return cuts.where(F.col("boundary").isNotNull())
 
@@ -94,7 +93,7 @@ def cut_points(spark, folder):
     """
 )
 def chunk_spans(spark, folder):
-    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    documents = table(spark, folder, "documents").select("doc_id", "text")
     return documents.select("doc_id", F.inline_outer(text_spans(F.col("text")))).select(
         "doc_id", "char_start", "char_end", F.sha2("text", 256).alias("text_hash")
     )
@@ -111,7 +110,7 @@ def chunk_spans(spark, folder):
     """
 )
 def chunk_length_distribution(spark, folder):
-    documents = spread(table(spark, folder, "documents").select("lang", "text"))
+    documents = table(spark, folder, "documents").select("lang", "text")
     kind = F.when(F.col("lang") == "es", "tabellenzeile").otherwise("seite")
     spans = text_spans(F.col("text"), kind, SMALL, SMALL_OVERLAP)
     chunks = documents.select(F.col("lang").alias("doc_type"), F.explode_outer(spans).alias("s"))

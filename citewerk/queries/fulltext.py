@@ -15,7 +15,6 @@ from citewerk.operators.retrieval import (
 )
 from citewerk.plans.sample_views import table, view
 from citewerk.queries.registry import query
-from citewerk.sources.tables import spread
 
 STOPS = ("der", "die", "das", "und", "in", "zu", "von", "mit", "the", "of", "and", "to")
 PARTS = (
@@ -124,7 +123,7 @@ SOURCE_SQL = (
 
 
 def lexed_corpus(spark, folder):
-    corpus = spread(view(spark, folder, "corpus").select("chunk_id", "project_id", "heading", "text"))
+    corpus = view(spark, folder, "corpus").select("chunk_id", "project_id", "heading", "text")
     searched = F.concat(F.coalesce("heading", F.lit("")), F.lit(" "), F.col("text"))
     return corpus.select("chunk_id", "project_id", lexemes(searched, STOPS).alias("lexemes"))
 
@@ -141,7 +140,7 @@ def asked() -> list[list[str]]:
     """
 )
 def token_lists(spark, folder):
-    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    documents = table(spark, folder, "documents").select("doc_id", "text")
     return documents.select("doc_id", tokens("text").alias("list")).select(
         "doc_id",
         F.size("list").alias("tokens"),
@@ -158,7 +157,7 @@ def token_lists(spark, folder):
     """
 )
 def word_stems(spark, folder):
-    documents = spread(table(spark, folder, "documents").select("text"))
+    documents = table(spark, folder, "documents").select("text")
     words = documents.select(F.explode_outer(tokens("text")).alias("word")).distinct()
     words = words.where(F.col("word").isNotNull())
     digits = F.col("word").rlike(r"\p{Nd}")
@@ -321,7 +320,7 @@ def compound_splits(spark, folder):
     "corpus",
 )
 def compound_terms(spark, folder):
-    corpus = spread(view(spark, folder, "corpus").select("chunk_id", "heading", "text"))
+    corpus = view(spark, folder, "corpus").select("chunk_id", "heading", "text")
     searched = F.concat(F.coalesce("heading", F.lit("")), F.lit(" "), F.col("text"))
     return corpus.select(
         "chunk_id", compound_parts(searched, Lexicon(PARTS)).alias("compound_terms")

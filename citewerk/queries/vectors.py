@@ -27,10 +27,8 @@ from citewerk.queries.fulltext import (
 )
 from citewerk.queries.registry import query
 from citewerk.schemas import CHUNK_COLUMNS
-from citewerk.sources.tables import spread
 
 DIM = 64
-MAX_QUESTIONS = 1000
 
 
 def vector_index(spark, folder):
@@ -41,17 +39,18 @@ def vector_index(spark, folder):
     )
 
 
-def question_vectors(spark, folder) -> list[list[float]]:
-    """One question vector per label: its first vector. Labels are a fixed handful."""
+QUESTION_LABELS = tuple(range(10))
+
+
+def question_vectors(spark, folder, labels=QUESTION_LABELS) -> list[list[float]]:
+    """One question vector per asked label: its first vector."""
     firsts = (
         table(spark, folder, "embeddings")
+        .where(F.col("label").isin(*labels))
         .groupBy("label")
         .agg(F.min_by("embedding", "vec_id").alias("embedding"))
     )
-    found = firsts.orderBy("label").limit(MAX_QUESTIONS + 1).collect()
-    if len(found) > MAX_QUESTIONS:
-        raise ValueError(f"more than {MAX_QUESTIONS} labels; ask in several batches")
-    return [list(r.embedding) for r in found]
+    return [list(r.embedding) for r in firsts.orderBy("label").collect()]
 
 
 class LabelEncoder:
@@ -184,7 +183,7 @@ def full_index(spark, folder):
     embeddings = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("doc_id"), "embedding"
     )
-    corpus = spread(view(spark, folder, "corpus"))
+    corpus = view(spark, folder, "corpus")
     terms = index_terms(F.col("heading"), F.col("text"), Lexicon(PARTS), STOPS)
     lexed = corpus.withColumn("lexemes", terms["lexemes"])
     return corpus_chunks(lexed.join(embeddings, "doc_id", "left"), "lexemes", "embedding")
@@ -219,7 +218,7 @@ PASSAGE_SQL = (
     "corpus",
 )
 def index_build(spark, folder):
-    chunks = spread(corpus_chunks(view(spark, folder, "corpus")))
+    chunks = corpus_chunks(view(spark, folder, "corpus"))
     built = index_rows(chunks, TextShape(), Lexicon(PARTS), 3, stops=STOPS)
     return built.select(
         "chunk_id",

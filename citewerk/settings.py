@@ -21,8 +21,8 @@ HITS_PER_QUESTION = 16
 GENERATOR_RETRIES = 2
 SHORT_EXCERPT = 20
 
-# Narrow id sets up to this many rows (about 50 bytes each) may be broadcast.
-BROADCAST_IDS = 1_000_000
+# Narrow id sets up to this many bytes, measured first, may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from citewerk.functions.ids import require_project_id
 from citewerk.schemas import TABLES
-from citewerk.settings import BROADCAST_IDS
+from citewerk.settings import BROADCAST_BYTES
 from citewerk.sources import storage
 
 
@@ -59,9 +60,10 @@ def register_views(
         read_table(spark, tables_dir, name).createOrReplaceTempView(name)
 
 
-def is_small(ids: DataFrame, bound: int = BROADCAST_IDS) -> bool:
-    """Whether a narrow id set is proven to stay within the broadcast bound."""
-    return ids.limit(bound + 1).count() <= bound
+def is_small(ids: DataFrame, bound: int = BROADCAST_BYTES) -> bool:
+    """Whether a narrow id set is proven, by the bytes of its values, to fit a broadcast."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8 for c in ids.columns), F.lit(0))
+    return (ids.agg(F.sum(size)).first()[0] or 0) <= bound
 
 
 def restrict(wide: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
@@ -76,20 +78,13 @@ def restrict(wide: DataFrame, ids: DataFrame, key: str, how: str = "left_semi")
 
 def settled(rows: DataFrame) -> DataFrame:
     """Rows that two branches of a plan read: computed and written once to the checkpoint
-    folder the session names. Without such a folder each branch computes them."""
-    if rows.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return rows.checkpoint()
-    return rows
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Give work that is heavy per row one task per core where a scan has too few splits.
-
-    A scan with more splits - any table of real size - is returned unchanged, without a
-    shuffle. Only for plain scans: their number of splits is known without running them.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
+    folder of the session. A session without one, such as a local test, gets its own."""
+    spark = rows.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        context = spark.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="citewerk-checkpoints-"))
+    return rows.checkpoint()
 
 
 def append_new(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:

@@ -188,7 +188,7 @@ def test_stored_report_can_be_scored(spark, report, tmp_path):
     _, data = write_report(spark, report, str(tmp_path), "bericht")
     reports = read_reports(spark, data)
     stored = reports.first()
-    assert stored.report_id == "bericht.json"
+    assert stored.report_id.endswith("/bericht.json")
     assert stored.sources[PERMIT[0]].document_date == date(2026, 9, 15)
 
     (tmp_path / "alt.json").write_text('{"project_id": "BAU-42", "risks": []}')
