@@ -154,15 +154,6 @@ def deletions(tokens: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.nda
     return where, segment_key(sums[where] - values, where, band)
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if len(small) * 100 < percent * len(large) or not len(small):
-        return False
-    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-    both = int((large[at] == small).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def _longs(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64).view(np.int64))
 
@@ -217,13 +208,13 @@ def _token_rows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
                 [
                     batch.column(0),
                     pa.array([int(mix(t).sum(dtype=np.uint64).view(np.int64)) for t in sets], pa.int64()),
-                    pa.array([t.tobytes() for t in sets], pa.binary()),
+                    pa.array([t.view(np.int64) for t in sets], pa.list_(pa.int64())),
                 ],
                 names=["id", "k1", "tokens"],
             )
 
     schema = T.StructType().add("id", docs.schema[id_col].dataType).add("k1", T.LongType())
-    schema = schema.add("tokens", T.BinaryType())
+    schema = schema.add("tokens", T.ArrayType(T.LongType()))
     again = (
         docs.where(maybe)
         .select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -235,23 +226,14 @@ def _token_rows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1024):
-            keep = [
-                linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent)
-                for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            ]
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"]
-            )
-
+    """The pairs (a, b) whose sets are linked, by the exact size of their intersection."""
     of_a = tokens.select(F.col("uid").alias("a"), F.col("tokens").alias("ta"))
     of_b = tokens.select(F.col("uid").alias("b"), F.col("tokens").alias("tb"))
-    whole = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "ta", "tb")
-    return whole.mapInArrow(run, "a long, b long")
+    whole = pairs.join(of_a, "a").join(of_b, "b")
+    na, nb = F.size("ta"), F.size("tb")
+    near = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+    both = F.size(F.array_intersect("ta", "tb"))
+    return whole.where(near & (both * 100 >= (na + nb - both) * percent)).select("a", "b")
 
 
 def _pairs_in_lists(rows: DataFrame) -> DataFrame:
@@ -288,8 +270,8 @@ def _neighbourhoods(short: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in pieces(batches, 32):
-            for view, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = np.frombuffer(raw, np.uint64)
+            for view, held in zip(batch.column(0).to_pylist(), batch.column(1)):
+                tokens = held.values.to_numpy().view(np.uint64)
                 band, m, _ = bands.views(len(tokens))[view & 1]
                 for whole, (segment, key) in (
                     (True, occupied(tokens, band, m)), (False, deletions(tokens, band, m)),

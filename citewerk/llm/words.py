@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
