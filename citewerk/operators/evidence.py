@@ -219,7 +219,7 @@ _EVIDENCE = _array(_object(chunk_id="STRING", excerpt="STRING"))
 _FACTS = _array(_object(statement="STRING", evidence=_EVIDENCE))
 _LISTS = dict.fromkeys(OPTIONAL_KEYS, _array("STRING"))
 _RISKS = _array(_object(**dict.fromkeys(RISK_TEXT_FIELDS, "STRING"), facts=_FACTS, **_LISTS))
-_TYPES = f"^{_object(risks=_RISKS)}$"
+_TYPES = f"^OBJECT<answer: {_object(risks=_RISKS)}, closed: STRING>$"
 
 
 def _nothing_null(objects: Column, risks: Column) -> Column:
@@ -282,8 +282,10 @@ def shape_problems(json_text: Column, parsed: Column) -> Column:
             lambda f: F.forall(f["evidence"], lambda e: keys_ok(e, ("chunk_id", "excerpt"))),
         ),
     )
-    # A variant exists only for text that is JSON to its end; its schema names every type.
-    kinds = F.schema_of_variant(F.try_parse_json(json_text)).rlike(_TYPES)
+    # The schema of a variant names every type. Parsing stops after the first value, so the text
+    # is put before a further field, which only a text that is JSON to its end leaves readable.
+    whole = F.try_parse_json(F.concat(F.lit('{"answer":'), json_text, F.lit(',"closed":"yes"}')))
+    kinds = F.schema_of_variant(whole).rlike(_TYPES)
     values = value_problems(risks)
     rules = [
         (keys_ok(top, ("risks",)) & risks.isNotNull(), "kein Objekt mit genau dem Feld risks"),
