@@ -219,7 +219,7 @@ _EVIDENCE = _array(_object(chunk_id="STRING", excerpt="STRING"))
 _FACTS = _array(_object(statement="STRING", evidence=_EVIDENCE))
 _LISTS = dict.fromkeys(OPTIONAL_KEYS, _array("STRING"))
 _RISKS = _array(_object(**dict.fromkeys(RISK_TEXT_FIELDS, "STRING"), facts=_FACTS, **_LISTS))
-_TYPES = f"^OBJECT<answer: {_object(risks=_RISKS)}, closed: STRING>$"
+_TYPES = f"^OBJECT<answer: OBJECT<(.*, )?risks: {_RISKS}(, .*)?>, closed: STRING>$"
 
 
 def _nothing_null(objects: Column, risks: Column) -> Column:

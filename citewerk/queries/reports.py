@@ -165,6 +165,13 @@ SHAPES = [
     (_answer(facts=_FACT % ', "page": 1'), "fehlende oder unbekannte Felder"),
     (_answer(change=', "comment": "x"'), "kein Objekt mit genau dem Feld risks"),
     ('{"risks": []}', ""),
+    (_answer(title="5"), "fehlende oder unbekannte Felder"),
+    (_answer(measure="null"), "fehlende oder unbekannte Felder|Pflichtfeld ohne Text"),
+    (_answer(conclusions="null"), "fehlende oder unbekannte Felder"),
+    (_answer(uncertainties='["k", null]'), "fehlende oder unbekannte Felder"),
+    (_answer(facts='{"statement": null, "evidence": [{"chunk_id": "c", "excerpt": "e"}]}'), "fehlende oder unbekannte Felder"),
+    (_answer(facts='{"statement": "s", "evidence": [{"chunk_id": null, "excerpt": "e"}]}'), "fehlende oder unbekannte Felder"),
+    (_answer() + " Ende", "fehlende oder unbekannte Felder"),
     (
         "keine Antwort",
         "kein Objekt mit genau dem Feld risks|fehlende oder unbekannte Felder|"
