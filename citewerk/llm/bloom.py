@@ -74,15 +74,24 @@ class MemberFilter:
             plane[start : start + SEGMENT_BYTES] = np.frombuffer(row.body, np.uint8)
         self.plane = keys.sparkSession.sparkContext.broadcast(plane)
 
-    def may_hold(self, key: Column) -> Column:
+    def asker(self):
+        """A function for tasks: which of an array of keys the filter holds."""
         plane, bits = self.plane, self.bits
 
+        def ask(keys: np.ndarray) -> np.ndarray:
+            where, masks = _slots(_positions(keys, bits))
+            return ((plane.value[where] & masks) > 0).all(axis=1)
+
+        return ask
+
+    def may_hold(self, key: Column) -> Column:
+        ask = self.asker()
+
         @F.pandas_udf("boolean")
-        def ask(values: pd.Series) -> pd.Series:
-            where, masks = _slots(_positions(values.to_numpy(np.int64), bits))
-            return pd.Series(((plane.value[where] & masks) > 0).all(axis=1))
+        def held(values: pd.Series) -> pd.Series:
+            return pd.Series(ask(values.to_numpy(np.int64)))
 
-        return ask(key.cast("long"))
+        return held(key.cast("long"))
 
 
 def drop_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:

@@ -10,7 +10,8 @@ Cost-based allocation. The number of rows that share a key is its cost. A view t
 below `hot` does without its hot ones: all its links show in the others. A view that has fewer is
 `short`; short views also enter the one-deletion neighbourhoods of their segments, where a segment
 counts twice, as it meets partners that differ in it by one shingle. Views that are still short
-meet over hot keys, but only each other, and only across components that are not known to be one.
+meet over hot keys, but only each other, only across components that are not known to be one, and
+each over its cheapest segments, as many as it lacks units.
 
 Links are verified exactly on the whole sets. Components grow in two steps: every key first links
 its members with its smallest one, so a group of any size takes as many pairs as rows; only pairs
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -261,33 +262,76 @@ def _pairs_in_lists(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _neighbourhoods(short: DataFrame, percent: int) -> DataFrame:
-    """(key, view, segment, whole) of all segments of short views and their one-deletions.
+def _segments_of(view: int, held: pa.Scalar, bands: Bands):
+    """(segment, key, whole, gain) of a short view's segments and their one-deletions.
 
-    short has view and tokens; whole is false for a deletion.
+    gain is 2 for a segment of several shingles, as its neighbourhood counts too, else 1.
+    """
+    tokens = held.values.to_numpy().view(np.uint64)
+    band, m, _ = bands.views(len(tokens))[view & 1]
+    segment, key = occupied(tokens, band, m)
+    near, near_key = deletions(tokens, band, m)
+    gain = np.ones(m, np.int64)
+    gain[near] = 2
+    whole = np.r_[np.ones(len(segment), bool), np.zeros(len(near), bool)]
+    segment = np.r_[segment, near]
+    return segment, np.r_[key, near_key].view(np.int64), whole, gain
+
+
+def _neighbourhoods(short: DataFrame, percent: int, dear=None, wanted: bool = False) -> DataFrame:
+    """(key, view, comp, segment, whole, gain) of short views (view, comp, tokens).
+
+    With `dear`, a test for keys, only those that are dear or, if not `wanted`, that are not.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in pieces(batches, 32):
-            for view, held in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tokens = held.values.to_numpy().view(np.uint64)
-                band, m, _ = bands.views(len(tokens))[view & 1]
-                for whole, (segment, key) in (
-                    (True, occupied(tokens, band, m)), (False, deletions(tokens, band, m)),
-                ):
-                    if len(key):
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                _longs(key),
-                                pa.array(np.full(len(key), view, np.int64)),
-                                pa.array(segment.astype(np.int32)),
-                                pa.array(np.full(len(key), whole)),
-                            ],
-                            names=["key", "view", "segment", "whole"],
-                        )
-
-    return short.mapInArrow(run, "key long, view long, segment int, whole boolean")
+            for view, comp, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                segment, key, whole, gain = _segments_of(view, held, bands)
+                at = np.arange(len(key)) if dear is None else np.flatnonzero(dear(key) == wanted)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(key[at]),
+                            pa.array(np.full(len(at), view, np.int64)),
+                            pa.array(np.full(len(at), comp, np.int64)),
+                            pa.array(segment[at].astype(np.int32)),
+                            pa.array(whole[at]),
+                            pa.array(gain[segment[at]].astype(np.int32)),
+                        ],
+                        names=["key", "view", "comp", "segment", "whole", "gain"],
+                    )
+
+    schema = "key long, view long, comp long, segment int, whole boolean, gain int"
+    return short.select("view", "comp", "tokens").mapInArrow(run, schema)
+
+
+def _missing_units(short: DataFrame, percent: int, dear) -> DataFrame:
+    """(view, missing) of the short views (view, need, tokens) that keys below the limit don't cover.
+
+    A segment counts nothing if its own key is dear, once if one of its neighbourhood is, else fully.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for batch in pieces(batches, 256):
+            views, missing = [], []
+            for view, need, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                segment, key, whole, gain = _segments_of(view, held, bands)
+                costly = dear(key)
+                units = np.zeros(len(gain), np.int64)
+                units[segment[whole]] = gain[segment[whole]]
+                units[segment[costly & ~whole]] = 1
+                units[segment[costly & whole]] = 0
+                if units.sum() < need:
+                    views.append(view)
+                    missing.append(need - int(units.sum()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(views, pa.int64()), pa.array(missing, pa.int64())], names=["view", "missing"]
+            )
+
+    return short.select("view", "need", "tokens").mapInArrow(run, "view long, missing long")
 
 
 def similar_groups(
@@ -389,46 +433,50 @@ def similar_groups(
 
 
 def _short_pairs(short, tokens, placed, across, percent: int, hot: int) -> list[DataFrame]:
-    """Pairs of short views: over one-deletion neighbourhoods, then over hot keys."""
-    with_tokens = short.join(tokens, "uid").select("view", "tokens")
-    near = settle(_neighbourhoods(with_tokens, percent))
-    costs = near.groupBy("key").agg(F.count(F.lit(1)).alias("cost")).where("cost > 1")
-    near = settle(
-        near.join(settle(costs), "key", "left").withColumn("cost", F.coalesce("cost", F.lit(1)))
+    """Pairs of short views: over one-deletion neighbourhoods, then over dear keys."""
+    whole = settle(placed(short).join(tokens.withColumnRenamed("uid", "of"), F.shiftright("view", 1) == F.col("of"))
+                   .select("view", "need", "comp", "tokens"))
+    costs = _neighbourhoods(whole, percent).groupBy("key").agg(F.count(F.lit(1)).alias("cost"))
+    dear_keys = settle(costs.where(F.col("cost") > 2 * hot))
+    # a filter may take a few cheap keys for dear: all that follows goes by the filter
+    dear = MemberFilter(dear_keys.select("key")).asker()
+    found = [across(_neighbourhoods(whole, percent, dear))]
+    still = settle(_missing_units(whole, percent, dear))
+    if not still.take(1):
+        return found
+    left = _neighbourhoods(whole.join(still.select("view"), "view", "left_semi"), percent, dear, True)
+    mixed = settle(
+        left.groupBy("key")
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("cost"))
+        .where("low < high")
+        .select("key", "cost")
+    )
+    left = settle(left.join(mixed, "key"))
+    # allocation: a view asks over its cheapest segments until it has the units that it needs;
+    # segments whose keys hold one component only cost nothing and are not in `left`
+    # (where only a neighbourhood is dear, the segment itself has counted once already)
+    prices = left.groupBy("view", "segment").agg(
+        F.sum("cost").alias("price"),
+        F.when(F.max("whole"), F.max("gain")).otherwise(1).alias("gain"),
     )
-    dear = F.col("cost") > 2 * hot
-    segment = near.groupBy("view", "segment").agg(
-        F.max(F.when(F.col("whole") & dear, 1).otherwise(0)).alias("whole_dear"),
-        F.max(F.when(~F.col("whole") & dear, 1).otherwise(0)).alias("near_dear"),
-        F.max(F.when(F.col("whole"), 0).otherwise(1)).alias("several"),
+    order = Window.partitionBy("view").orderBy(F.col("price") / F.col("gain"), "segment")
+    before = F.coalesce(
+        F.sum("gain").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    units = segment.select(
-        "view",
-        F.when(F.col("whole_dear") == 1, 0)
-        .when((F.col("several") == 1) & (F.col("near_dear") == 0), 2)
-        .otherwise(1)
-        .alias("units"),
+    asked = (
+        prices.withColumn("before", before).join(still, "view")
+        .where(F.col("before") < F.col("missing")).select("view", "segment")
+    )
+    ask = left.join(asked, ["view", "segment"], "left_semi").select(
+        "key", F.col("view").alias("v1"), F.col("comp").alias("c1"), F.col("whole").alias("w1")
     )
-    enough = units.groupBy("view").agg(F.sum("units").alias("units"))
-    still = settle(
-        short.join(enough, "view", "left")
-        .where(F.coalesce("units", F.lit(0)) < F.col("need"))
-        .select("view")
+    told = left.select(
+        "key", F.col("view").alias("v2"), F.col("comp").alias("c2"), F.col("whole").alias("w2")
     )
-    cheap = placed(near.where(~dear & (F.col("cost") > 1)).select("key", "view", "whole"))
-    found = [across(cheap)]
-    if still.take(1):
-        left = placed(near.where(dear).join(still, "view", "left_semi").select("key", "view", "whole"))
-        left = settle(left)
-        mixed = left.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-        mixed = mixed.where("low < high").select("key")
-        left = settle(left.join(mixed, "key", "left_semi"))
-        one = left.where("whole").select("key", F.col("view").alias("v1"), F.col("comp").alias("c1"))
-        two = left.select("key", F.col("view").alias("v2"), F.col("comp").alias("c2"), "whole")
-        apart = (F.col("c1") != F.col("c2")) & (~F.col("whole") | (F.col("v1") < F.col("v2")))
-        met = one.join(two, "key").where(apart)
-        a, b = F.shiftright("v1", 1), F.shiftright("v2", 1)
-        found.append(met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+    apart = (F.col("c1") != F.col("c2")) & (F.col("w1") | F.col("w2")) & (F.col("v1") < F.col("v2"))
+    met = ask.join(told, "key").where(apart)
+    a, b = F.shiftright("v1", 1), F.shiftright("v2", 1)
+    found.append(met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
     return found
 
 
