@@ -36,7 +36,6 @@ BLANK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
 REMEMBERED = 300_000
-_MISSING = object()
 _NEVER = float("-inf")
 
 
@@ -80,12 +79,14 @@ class Codec:
         self.unknown = library.unk_id()
         self.penalty = lowest - UNKNOWN_PENALTY
         self.longest = max(map(len, known), default=1)
-        #: Every beginning of a piece, with the piece if it is one.
-        self.begins: dict[str, tuple[int, float, tuple[int]] | None] = {}
-        for text in known:
-            for n in range(1, len(text)):
-                self.begins.setdefault(text[:n], None)
-        self.begins.update(known)
+        self.known = known
+        #: Pieces by their characters; a piece that ends at a node is held under "".
+        self.tree: dict = {}
+        for text, piece in known.items():
+            node = self.tree
+            for char in text:
+                node = node.setdefault(char, {})
+            node[""] = piece
         self.stretches = self._stretches(known)
         self.is_byte = np.zeros(len(self.surface), bool)
         self.is_byte[list(self.bytes)] = True
@@ -116,7 +117,7 @@ class Codec:
         last boundary given out. After every `longest` characters the surviving paths, those to
         the positions that the next piece can start from, are followed back to where they meet.
         """
-        look_up, longest, size, missing = self.begins.get, self.longest, len(text), _MISSING
+        tree, longest, size = self.tree, self.longest, len(text)
         score, back, via = [0.0] + [_NEVER] * size, [0] * (size + 1), [()] * (size + 1)
         if size > 2 * longest:
             for part in (score, back, via):
@@ -127,17 +128,19 @@ class Codec:
             if so_far == _NEVER:
                 continue
             single = False
-            for end in range(at + 1, min(size, at + longest) + 1):
-                piece = look_up(text[at:end], missing)
-                if piece is None:
-                    continue
-                if piece is missing:
+            node, to = tree, here
+            for char in text[at : at + longest]:
+                node = node.get(char)
+                if node is None:
                     break
-                if end == at + 1:
-                    single = True
-                if so_far + piece[1] > score[end - base]:
-                    score[end - base] = so_far + piece[1]
-                    back[end - base], via[end - base] = at, piece[2]
+                to += 1
+                piece = node.get("")
+                if piece is not None:
+                    if to == here + 1:
+                        single = True
+                    reached = so_far + piece[1]
+                    if reached > score[to]:
+                        score[to], back[to], via[to] = reached, at, piece[2]
             if not single and so_far + self.penalty > score[here + 1]:
                 score[here + 1] = so_far + self.penalty
                 back[here + 1], via[here + 1] = at, self._spell(text[at])

@@ -48,10 +48,10 @@ def brute(codec, text):
     for at in range(len(text) - 1, -1, -1):
         ways = []
         for end in range(at + 1, len(text) + 1):
-            piece = codec.begins.get(text[at:end])
+            piece = codec.known.get(text[at:end])
             if piece:
                 ways.append(piece[1] + best[end])
-        if not codec.begins.get(text[at]):
+        if not codec.known.get(text[at]):
             ways.append(codec.penalty + best[at + 1])
         best[at] = max(ways)
     return best[0]
@@ -68,7 +68,7 @@ def test_best_score_with_pieces_across_words(text):
     codec = SMALL
     assert codec.stretches is None
     ids = list(codec.encode(text))
-    scores = {i: s for i, s, _ in filter(None, codec.begins.values())}
+    scores = {i: s for i, s, _ in filter(None, codec.known.values())}
     normal = "▁" + text.replace(" ", "▁") if text else ""
     unknown = text.count("c")
     total = sum(scores.get(i, 0.0) for i in ids) + codec.penalty * unknown
