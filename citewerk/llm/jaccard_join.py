@@ -433,7 +433,25 @@ def similar_groups(
 
 
 def _short_pairs(short, tokens, placed, across, percent: int, hot: int) -> list[DataFrame]:
-    """Pairs of short views: over one-deletion neighbourhoods, then over dear keys."""
+    """Pairs of short views: over one-deletion neighbourhoods, then over dear keys.
+
+    A shingle that no other short class has adds one to the distance of every such pair, so a view
+    with as many of these as it needs units has no short partner and takes no further part.
+    """
+    classes = short.select("uid").distinct().join(tokens, "uid")
+    lone = (
+        classes.select("uid", F.explode("tokens").alias("token"))
+        .groupBy("token")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"))
+        .where("n = 1")
+        .groupBy("uid")
+        .agg(F.count(F.lit(1)).alias("lone"))
+    )
+    short = settle(
+        short.join(lone, "uid", "left")
+        .where(F.coalesce("lone", F.lit(0)) < F.col("need"))
+        .select("view", "uid", "need")
+    )
     whole = settle(placed(short).join(tokens.withColumnRenamed("uid", "of"), F.shiftright("view", 1) == F.col("of"))
                    .select("view", "need", "comp", "tokens"))
     costs = _neighbourhoods(whole, percent).groupBy("key").agg(F.count(F.lit(1)).alias("cost"))
