@@ -10,8 +10,8 @@ each node left, with C characters, T tags, LC characters and LT tags in links,
 (zero denominators count as 1; without links on the page it is C / T). The subtree with the
 greatest sum of its children's densities is the centre of the content. The smallest density on the
 path from the body to it is the threshold; every other node that reaches it contributes the
-greatest-sum subtree below it, and headings beside the path belong to it. Where the centre stands
-in an article element (else a main element), the markup itself names the subtree: all of it counts.
+greatest-sum subtree below it, and headings beside the path belong to it. This holds on every
+page; an article element is one more candidate: it counts whole if its density reaches the threshold.
 
 Text comes out in page order, one block for each block element: character references decoded,
 white space one blank, blocks joined by an empty line.
@@ -208,10 +208,6 @@ def content_nodes(root: Node) -> set[int]:
     path = [centre]
     while path[-1] is not root:
         path.append(parents[id(path[-1])])
-    for tag in ("article", "main"):
-        for node in path:
-            if node.tag == tag:
-                return {id(node)}
     threshold = min(node.density for node in path)
     # the greatest sum below each node, children before parents
     best: dict[int, Node] = {}
@@ -224,6 +220,7 @@ def content_nodes(root: Node) -> set[int]:
             if other is None or own.total >= other.total:
                 best[id(parent)] = own
     chosen = {id(centre)}
+    chosen |= {id(n) for n, _ in nodes if n.tag == "article" and n.density >= threshold}
     for node in path[1:]:
         chosen |= {id(p) for p in node.parts if isinstance(p, Node) and p.tag in HEADINGS}
     waiting = [root]

@@ -53,3 +53,26 @@ def test_table(spark):
     got = sorted((r.page_id, r.text_, r.n_chars) for r in found.collect())
     assert got == [(1, "", 0), (2, "", 0), (2, "é", 1), (2, "é", 1)]
     assert extract(pages.limit(0), ["page_id"]).count() == 0
+
+
+def paragraphs(name, n=4):
+    return [f"A long paragraph {name} {i} that says a lot about nothing." for i in range(n)]
+
+
+def marked_up(blocks):
+    return "".join(f"<p>{b}</p>" for b in blocks)
+
+
+def test_several_articles():
+    parts = [paragraphs("of part one", 6), paragraphs("of part two"), paragraphs("of part three")]
+    page = "<main>" + "".join(f"<article>{marked_up(p)}</article>" for p in parts) + "</main>"
+    assert main_text(page) == "\n\n".join(sum(parts, []))
+    nested = f"<article>{marked_up(parts[0])}<article>{marked_up(parts[1])}</article></article>"
+    assert main_text(nested) == "\n\n".join(parts[0] + parts[1])
+
+
+def test_text_beside_an_article():
+    inside, beside = paragraphs("inside", 6), paragraphs("beside")
+    links = "<ul>" + "".join(f"<li><a href=x{i}>More {i}</a></li>" for i in range(9)) + "</ul>"
+    page = f"<body>{links}<article>{marked_up(inside)}</article><div>{marked_up(beside)}</div>{links}</body>"
+    assert main_text(page) == "\n\n".join(inside + beside)
