@@ -2,8 +2,11 @@
 
 A page is read into a DOM (implied end tags, unclosed tags and raw-text elements as browsers take
 them). Page furniture goes first: navigation, page headers and footers, sidebars, notices,
-adverts, forms, scripts, hidden parts and reader comments, told by tag, role, class or id. For
-each node left, with C characters, T tags, LC characters and LT tags in links,
+adverts, forms, scripts, hidden parts and reader comments, told by tag, role, class or id. A class
+or id tells it by a whole token (`sidebar`) or a compound of known parts (`site-footer`), never by
+one that modifies another element (`has-sidebar`, `no-comments`); and a node that holds an article
+or main element, or the centre of a page without these, is no furniture by its name. For each node
+left, with C characters, T tags, LC characters and LT tags in links,
 
     density = C / T * log(C / LC * T / LT) / log(ln(C / (C - LC) * LC + LC_body / C_body * C + e))
 
@@ -40,7 +43,7 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_NAME = re.compile(r"[a-z]+")
+_PART = re.compile(r"[^\W\d_]+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe".split())
 BLOCK = frozenset(
@@ -67,16 +70,30 @@ WORDS = frozenset(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments "
     "respond disqus share sharing social related login signup search widget pagination pager".split()
 )
+#: A token of several parts names furniture if all parts are here or in WORDS, and one is in WORDS.
+PARTS = frozenset(
+    "site page main top bottom left right primary secondary side global mobile desktop header container "
+    "wrapper wrap box bar block area section list item items link links button buttons inner outer posts post "
+    "entry article slot form icon icons toggle thread unit group panel title author".split()
+)
+#: A header is named by these beside the word itself.
+HEADER_PARTS = frozenset("site page main top global mobile desktop container wrapper wrap inner outer bar".split())
+#: Parts that tell of another element.
+MODIFIERS = frozenset("has no with without not is hide show enable disable".split())
+#: What these name is dropped though it holds articles, unless nothing else on the page has text.
+REPLIES = frozenset("comment comments respond disqus cookie cookies consent gdpr".split())
 #: Never taken for furniture by class or id, articles only by a class that is one word of WORDS.
 CONTENT = frozenset("html body main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "named", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str):
+    def __init__(self, tag: str, named: frozenset[str] = frozenset()):
         self.tag = tag
+        #: The words that name it furniture.
+        self.named = named
         self.parts: list[Node | str] = []
 
 
@@ -94,19 +111,76 @@ def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id"):
-            words = set(value.split() if tag == "article" else _NAME.findall(value))
-            if words & WORDS or "header" in words and not in_article:
-                return True
     return False
 
 
+def furniture_words(tag: str, attributes: str, in_article: bool) -> frozenset[str]:
+    """The words of class and id that name an element page furniture."""
+    found: set[str] = set()
+    if not attributes.strip() or tag in CONTENT:
+        return frozenset()
+    for match in _ATTRIBUTE.finditer(attributes):
+        if match[1].lower() not in ("class", "id"):
+            continue
+        for token in (match[2] or match[3] or match[4] or "").lower().split():
+            if token in WORDS:
+                found.add(token)
+            if tag == "article":
+                continue
+            parts = set(_PART.findall(token))
+            if parts & MODIFIERS:
+                continue
+            if parts & WORDS and parts <= WORDS | PARTS:
+                found |= parts & WORDS
+            elif "header" in parts and parts - {"header"} <= HEADER_PARTS and not in_article:
+                found.add("header")
+    return frozenset(found)
+
+
 def parse(page: str) -> Node:
     """The body of the page, furniture left out."""
+    root, named = _read(page)
+    if named:
+        _drop_named(root)
+    return root
+
+
+def _drop_named(root: Node) -> None:
+    """Take out the nodes that class or id names furniture and that do not hold the content."""
+    nodes = _ordered(root)
+    _measure(nodes)
+    parents = {id(node): parent for node, parent in nodes}
+    articles = [n for n, _ in nodes if n.tag in ("article", "main") and n.chars and not n.named]
+    replies = {id(n) for n, _ in nodes if n.named & REPLIES}
+    inside = set(replies)  # of comments and the like
+    for node, parent in nodes:
+        if parent is not None and id(parent) in inside:
+            inside.add(id(node))
+    outside = [n for n, _ in nodes if id(n) not in inside]
+    chosen = [n for n in articles if id(n) not in inside]
+    if not chosen and any(isinstance(p, str) and p.strip() for n in outside for p in n.parts):
+        # the centre by sums without what is inside
+        sums = [sum(p.density for p in n.parts if isinstance(p, Node) and id(p) not in inside) for n in outside]
+        chosen = [outside[max(range(len(sums)), key=sums.__getitem__)]]
+    elif not chosen:
+        chosen = articles or [max(nodes, key=lambda n: n[0].total)[0]]
+    held: set[int] = set()
+    for node in chosen:
+        while node is not None and id(node) not in held:
+            held.add(id(node))
+            node = parents[id(node)]
+    for node, _ in nodes:
+        if any(isinstance(p, Node) and p.named and id(p) not in held for p in node.parts):
+            node.parts = [p for p in node.parts if not isinstance(p, Node) or not p.named or id(p) in held]
+
+
+def _read(page: str) -> tuple[Node, bool]:
+    """The body without what is furniture by tag, role or state, and whether names tell of more."""
     root = Node("body")
     stack: list[Node] = [root]
     skipped = 0  # depth of the stack at which furniture began
     articles = 0
+    any_named = False
     at, size = 0, len(page)
 
     def close(down_to: int) -> None:
@@ -144,7 +218,8 @@ def parse(page: str) -> Node:
                     close(depth)
                 elif stack[depth].tag in WALLS:
                     break
-        node = Node(tag)
+        node = Node(tag, frozenset() if skipped else furniture_words(tag, attributes, articles > 0))
+        any_named = any_named or bool(node.named)
         drop = not skipped and _is_furniture(tag, attributes, articles > 0)
         if not skipped and not drop:
             stack[-1].parts.append(node)
@@ -160,7 +235,7 @@ def parse(page: str) -> Node:
             skipped = len(stack)
         if tag == "head":
             skipped = skipped or len(stack)
-    return root
+    return root, any_named
 
 
 def _ordered(root: Node) -> list[tuple[Node, Node | None]]:

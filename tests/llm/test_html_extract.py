@@ -2,7 +2,7 @@
 
 import pytest
 
-from citewerk.llm.html_extract import extract, main_text
+from citewerk.llm.html_extract import extract, furniture_words, main_text
 
 PAGES = {
     "template": (
@@ -76,3 +76,28 @@ def test_text_beside_an_article():
     links = "<ul>" + "".join(f"<li><a href=x{i}>More {i}</a></li>" for i in range(9)) + "</ul>"
     page = f"<body>{links}<article>{marked_up(inside)}</article><div>{marked_up(beside)}</div>{links}</body>"
     assert main_text(page) == "\n\n".join(inside + beside)
+
+
+def test_layout_classes_are_no_furniture():
+    text = paragraphs("of the page")
+    wanted = "\n\n".join(text)
+    names = "content has-sidebar|col with-sidebar|no-comments|page-with-menu|search-results|share-price|related-work"
+    for name in names.split("|"):
+        assert main_text(f"<body><nav>n</nav><div class='{name}'>{marked_up(text)}</div></body>") == wanted, name
+        assert main_text(f"<div id='{name.split()[-1]}'>{marked_up(text)}</div>") == wanted, name
+    # names that hold the content are no furniture, whatever they say
+    for name in ("sidebar", "site-footer", "comments"):
+        assert main_text(f"<body><div class={name}>{marked_up(text)}</div></body>") == wanted, name
+        assert main_text(f"<body><div class={name}><article>{marked_up(text)}</article></div></body>") == wanted, name
+
+
+def test_known_compounds_are_furniture():
+    text, more = paragraphs("of the page"), paragraphs("of no use", 9)
+    for name in "site-footer cookie-banner comment-list main-nav sidebar-2 ad_slot related-posts page-header".split():
+        assert furniture_words("div", f" class='x {name}'", False), name
+    for name in ("site-footer", "cookie-banner", "comments", "comment-list", "newsletter box"):
+        page = f"<body><article>{marked_up(text)}</article><div class='{name}'>{marked_up(more)}</div></body>"
+        assert main_text(page) == "\n\n".join(text), name
+    replies = f"<div id=comments>{marked_up(more)}<article>{marked_up(more)}</article></div>"
+    assert main_text(f"<div class=post>{marked_up(text)}</div>{replies}") == "\n\n".join(text)
+    assert main_text(f"<article>{marked_up(text)}</article>{replies}") == "\n\n".join(text)
