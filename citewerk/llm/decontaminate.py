@@ -7,15 +7,16 @@ Windows of the size of the items start at every word of every document. A CGK ra
 window and moves on by a random bit that depends on step and character; so strings at a small
 edit distance give walks at a small Hamming distance. Each repetition samples nine steps of
 one of `walks` walks over the whole window (its last sample depends on the size band of
-the item), and a window is a candidate of an item when all samples agree. So that an edit at the start of an item
-does not spoil all repetitions, an item is entered from each of its first `anchors` words. Windows
+the item), and a window is a candidate of an item when all samples agree. So that edits in one part of an item
+do not spoil all repetitions, an item is entered from up to `anchors` words spread over all of it. Windows
 that disagree with every item in the early samples of a repetition are given up early, which
 changes nothing in the result. Candidates are verified with an exact bit-parallel edit distance.
 
 Unedited passages are found: their windows give equal walks, as long as a sampled step lies inside
 the item, which fails with a chance of about 1 % in one repetition and so never in all. For edited
-ones recall depends on `walks` x `repetitions` x `anchors`; the tests measure it (0.9 and more at 2 % of
-edits). Short items have samples of their own that fit into them (`SCALES`).
+ones recall depends on `walks` x `repetitions` x `anchors`; the tests measure it (0.9 and more in each band of
+edits up to `edit_share`). Short items have samples of their own that fit into them (`SCALES`), with
+`SHORT_WALKS` and `SHORT_REPETITIONS` at least where they are shorter than `SHORT`.
 
 The items are a stated query set: they are read in blocks of at most `block_items` items and
 `block_chars` characters, the size that is proven for what tasks get; documents are not shuffled.
@@ -45,6 +46,10 @@ SCALES = (
     (6, (2, 3, 5)), (12, (5, 9, 14)), (24, (8, 18, 32)), (48, (12, 30, 66)), (72, (16, 40, 120)),
 )
 SAMPLES = (4, 2, 2)
+#: Below this many characters few words are there to enter from: scales of such items walk more.
+SHORT, SHORT_WALKS, SHORT_REPETITIONS = 48, 3, 6
+#: No entry needs more of an item behind it.
+ENOUGH = 72
 BATCH_CHARS = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -144,17 +149,20 @@ def _slot(keys: np.ndarray) -> np.ndarray:
 
 
 class Scale:
-    """The sampled keys of the items of one scale, given as (number, text from one of its words)."""
+    """The sampled keys of the entries of one scale, given as (number, item, begin of the entry)."""
 
-    def __init__(self, items: list[tuple[int, str]], plan: Plan):
+    def __init__(self, entries: list[tuple[int, int, int]], bodies: list[str], plan: Plan):
         self.plan = plan
-        of = [band_of(len(text)) for _, text in items]
+        of = [band_of(len(bodies[item]) - begin) for _, item, begin in entries]
         self.bands = sorted(set(of))
-        numbers = np.array([number for number, _ in items], np.int64)
+        numbers = np.array([number for number, _, _ in entries], np.int64)
         tail = np.zeros(plan.steps + 1, np.uint8)
-        parts = [np.concatenate([codes_of(text), tail]) for _, text in items]
+        parts, place, held = [], {}, 0
+        for item in sorted({item for _, item, _ in entries}):
+            parts += [codes_of(bodies[item]), tail]
+            place[item], held = held, held + len(bodies[item]) + len(tail)
         codes = np.concatenate(parts)
-        starts = np.cumsum([0, *map(len, parts)])[:-1].astype(np.int64)
+        starts = np.array([place[item] + begin for _, item, begin in entries], np.int64)
         #: By walk and repetition: flags of the first level, sorted keys of the next two.
         self.levels: dict[tuple[int, int], list[np.ndarray]] = {}
         self.late: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -175,13 +183,17 @@ class Scale:
                     order = np.argsort(last, kind="stable")
                     self.late[walk, rep, band] = (last[order], numbers[members[order]])
 
-    def _trace(self, codes: np.ndarray, starts: np.ndarray, walk: int) -> list[np.ndarray]:
-        """Symbols of all steps of one walk over the items."""
-        at, out = starts.copy(), []
-        for bits in self.plan.bits[walk]:
+    def _trace(self, codes: np.ndarray, starts: np.ndarray, walk: int) -> dict[int, np.ndarray]:
+        """Symbols of the sampled steps of one walk over the entries."""
+        plan = self.plan
+        wanted = {int(s) for samples in plan.samples for s in samples[walk].ravel()}
+        wanted |= {plan.late_step(walk, r, b) for r in range(plan.repetitions) for b in self.bands}
+        at, out = starts.copy(), {}
+        for step in range(max(wanted) + 1):
             symbols = codes[at]
-            out.append(symbols)
-            at = at + bits[symbols]
+            if step in wanted:
+                out[step] = symbols
+            at = at + plan.bits[walk, step][symbols]
         return out
 
     def candidates(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,27 +266,34 @@ class ItemIndex:
         items: list[tuple[object, str]],
         walks: int = 2,
         repetitions: int = 3,
-        anchors: int = 5,
+        anchors: int = 24,
         edit_share: float = 0.1,
     ):
-        """Walks begin at each of an item's first `anchors` words, as long as half of it follows."""
+        """Walks begin at up to `anchors` words of an item, evenly spread, as long as enough follows."""
         self.edit_share = edit_share
         self.items = [(key, normal_form(text or "")) for key, text in items]
+        bodies = [body for _, body in self.items]
         self.entries: list[tuple[int, int]] = []  # (item, where its walk begins)
-        by_scale: dict[int, list[tuple[int, str]]] = {}
-        for number, (_, body) in enumerate(self.items):
-            begins = [0, *[m.start() + 1 for m in re.finditer(" ", body)]][:anchors]
+        by_scale: dict[int, list[tuple[int, int, int]]] = {}
+        for number, body in enumerate(bodies):
+            size = len(body)
+            least = min(ENOUGH, max(SHORT, size / 2)) if size >= ENOUGH else max(SCALES[0][0], size / 3)
+            begins = [m.start() + 1 for m in re.finditer(" ", body) if size - m.start() - 1 >= least]
+            begins = [0, *begins] if size >= SCALES[0][0] else []
+            if len(begins) > anchors:
+                begins = [begins[k * len(begins) // anchors] for k in range(anchors)]
             for begin in begins:
-                rest = body[begin:]
-                if len(rest) < SCALES[0][0] or begin and 2 * len(rest) < len(body):
-                    continue
-                scale = max(k for k, (least, _) in enumerate(SCALES) if least <= len(rest))
-                by_scale.setdefault(scale, []).append((len(self.entries), rest))
+                scale = max(k for k, (low, _) in enumerate(SCALES) if low <= size - begin)
+                by_scale.setdefault(scale, []).append((len(self.entries), number, begin))
                 self.entries.append((number, begin))
-        self.scales = [
-            Scale(own, Plan(walks, repetitions, max(len(t) for _, t in own), SCALES[scale][1]))
-            for scale, own in sorted(by_scale.items())
-        ]
+        self.scales = []
+        for scale, own in sorted(by_scale.items()):
+            least, ends = SCALES[scale]
+            many = (walks, repetitions)
+            if least < SHORT:
+                many = (max(walks, SHORT_WALKS), max(repetitions, SHORT_REPETITIONS))
+            longest = max(len(bodies[item]) - begin for _, item, begin in own)
+            self.scales.append(Scale(own, bodies, Plan(*many, longest, ends)))
         self.reach = max([scale.plan.steps + 1 for scale in self.scales], default=1)
 
     def leaks(self, documents: list[str]) -> list[dict[int, int]]:
@@ -344,7 +363,7 @@ def find_leaks(
     edit_share: float = 0.1,
     walks: int = 2,
     repetitions: int = 3,
-    anchors: int = 5,
+    anchors: int = 24,
     block_items: int = 20_000,
     block_chars: int = 1 << 23,
 ) -> DataFrame:

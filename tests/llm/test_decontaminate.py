@@ -84,3 +84,22 @@ def test_tables(spark):
     assert kept.columns == left.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 4]
     assert find_leaks(left.limit(0), right, ["doc_id"]).count() == 0
     assert find_leaks(left, right.limit(0), ["doc_id"]).where("contaminated").count() == 0
+
+
+def test_recall_in_every_band_of_edits():
+    """Whatever brute force finds within the threshold, by band of edits and size of items."""
+    rng = random.Random(6)
+    for low, high in ((12, 24), (24, 48), (48, 72), (72, 120), (120, 400)):
+        items = [(i, normal_form(sentence(rng, 90))[: rng.randint(low, high)].strip()) for i in range(50)]
+        index = ItemIndex(items)
+        for share in (0.02, 0.04, 0.06, 0.08, 0.1):
+            docs, owners = [], []
+            for i, (_, body) in enumerate(index.items):
+                for _ in range(3):
+                    doc = sentence(rng, 40) + " " + edited(rng, body, share) + " " + sentence(rng, 30)
+                    if best_distance(body, normal_form(doc)) <= int(0.1 * len(body)):
+                        docs.append(doc)
+                        owners.append(i)
+            hits = sum(i in found for i, found in zip(owners, index.leaks(docs)))
+            print(low, high, share, len(docs), hits / len(docs))
+            assert hits >= 0.9 * len(docs), (low, high, share, hits, len(docs))
