@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from citewerk.llm.bloom import MemberFilter, drop_ids
 from citewerk.llm.components import components
-from citewerk.llm.shared import pieces, raw_texts, settle
+from citewerk.llm.shared import fresh, pieces, raw_texts, settle
 from citewerk.llm.words import mix, word_hashes
 
 HOT = 32
@@ -499,7 +499,31 @@ def _short_pairs(short, tokens, placed, across, percent: int, hot: int) -> list[
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each group of similar ones, the one with the smallest id."""
-    found = similar_groups(docs, id_col, text_col, **options)
-    extra = found.where(~F.col(id_col).eqNullSafe(F.col("component_id")))
-    return drop_ids(docs, settle(extra.select(id_col).distinct()), id_col)
+    """docs with one document of each group of similar ones, the one with the smallest id.
+
+    Rows go by id and hash of the text, so null and repeated ids stand for nobody else; null ids
+    come last, and among equal ids the hash decides. Rows that repeat in both are one document.
+    """
+    (key,) = fresh(docs.columns, "row_key")
+    own = F.col(f"`{id_col}`")
+    keyed = docs.withColumn(
+        key,
+        F.struct(own.isNull().alias("none"), own.alias("id"), F.xxhash64(f"`{text_col}`").alias("mark")),
+    )
+    found = settle(similar_groups(keyed, key, text_col, **options))
+    extra = found.where(~F.col(key).eqNullSafe(F.col("component_id")))
+    kept = drop_ids(keyed, settle(extra.select(key).distinct()), key)
+    repeated = (
+        found.where((F.col("n_shingles") > 0) & F.col(key).eqNullSafe(F.col("component_id")))
+        .groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
+    )
+    repeated = settle(repeated)
+    if repeated.take(1):
+        again = MemberFilter(repeated.select(F.xxhash64(key).alias("hash"))).may_hold(F.xxhash64(key))
+        # a filter may take single rows for repeated ones, and texts without shingles always stay
+        told = repeated.select(F.col(key).alias("twice"))
+        checked = kept.where(again).join(told, F.col(key).eqNullSafe(F.col("twice")), "left")
+        single = checked.where("twice is null").drop("twice")
+        one = checked.where("twice is not null").drop("twice").dropDuplicates([key])
+        kept = kept.where(~again).unionByName(single).unionByName(one)
+    return kept.drop(key)

@@ -123,3 +123,26 @@ def test_deletions_meet_whole_segments():
         at = jaccard_join.segment_of(tokens, 3, 5)[drop]
         near = dict(zip(*jaccard_join.occupied(rest, 3, 5)))
         assert near[at] in set(keys[segment == at].tolist())
+
+
+def test_keep_one_by_row(spark):
+    """Several null ids and repeated ids with different texts against brute force over rows."""
+    rng = random.Random(12)
+    texts = [t for _, t in corpus(5, 150) if t and t.strip()]
+    rows = [(None if rng.random() < 0.4 else rng.randrange(60), t) for t in texts]
+    rows += [(None, "a b c d e f g h"), (None, "a b c d e f g h"), (None, None), (None, ""), (3, ""), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {}
+    for number, _, root in brute([(k, text) for k, (_, text) in enumerate(rows)], 5, 80):
+        groups.setdefault(root, []).append(number)
+    got = [tuple(r) for r in keep_one_each(docs).collect()]
+    assert len(got) == len(groups)
+    left = list(got)
+    for members in groups.values():
+        own = [rows[k] for k in members]
+        here = [r for r in left if r in own]
+        assert here, own
+        ids = [i for i, _ in own if i is not None]
+        assert here[0][0] == (min(ids) if ids else None)
+        left.remove(here[0])
+    assert not left
