@@ -1,7 +1,10 @@
-"""Secret scan: every run of key-like characters, judged by a random forest.
+"""Secret scan: every value of a key-like name and run of key-like characters, judged by a random forest.
 
-Candidates are runs of at least `SHORTEST` characters of A-Z a-z 0-9 + / = _ - in whole texts. A
-forest trained from labelled findings removes false positives. It sees the length and character
+Candidates are, in whole texts, all values that are assigned to a key-like name or stand quoted
+after one, whatever their length and characters, and elsewhere runs of at least `SHORTEST`
+characters of A-Z a-z 0-9 + / = _ - (a run that lies inside a value is part of it). A value in
+quotes ends at the closing quote or the end of the line; one without quotes at white space, less
+the , ; ) ] } > and quotes that end it. A forest trained from labelled findings removes false positives. It sees the length and character
 classes of a candidate, its character transitions (against those of all texts), how much of it
 dictionary words cover (the most frequent words of all texts), the path it comes from, and the
 words beside it.
@@ -35,6 +38,16 @@ from citewerk.llm.shared import fresh, pieces, settle, texts
 SHORTEST = 16
 DICTIONARY = 20_000
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{%d,}" % SHORTEST)
+_VALUE = re.compile(
+    r"(?:token|secret|passw(?:or)?d|passphrase|passcode|pwd|api[_-]?key|auth(?!or(?!i[sz])|entic(?!at))|credential"
+    r"|(?:private|access|signing|encryption)[_-]?key)\w*"
+    r"(?:[\"']?\]?[ \t]*(?::=|=>|==?|:)[ \t]*(?:(?:bearer|basic)[ \t]+)?"
+    r"(?:\"((?:[^\"\\\n]|\\.)+)|'((?:[^'\\\n]|\\.)+)|`([^`\n]+)|([^\s\"'`]\S*))"
+    r"|(?:[ \t]+(?:is|was))?[ \t]+(?:\"((?:[^\"\\\n]|\\.)+)\"|'((?:[^'\\\n]|\\.)+)'|`([^`\n]+)`))",
+    re.IGNORECASE,
+)
+#: Ends of values without quotes that belong to what surrounds them.
+_ENDING = ",;)]}>\"'`"
 _PLAIN = re.compile(r"[a-z]{4,12}")
 _NEAR = re.compile(r"[A-Za-z]+")
 #: Characters before and after a candidate that its neighbouring words are taken from.
@@ -81,6 +94,33 @@ class Language:
         return covered / max(1, len(low))
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """Where candidates stand: values of key-like names, and key-like runs outside of these."""
+    values = []
+    for match in _VALUE.finditer(text):
+        start, end = match.span(match.lastindex)
+        if match.lastindex == 4:
+            end = start + (len(match[4].rstrip(_ENDING)) or len(match[4]))
+        values.append((start, end))
+    if not values:
+        return [m.span() for m in _CANDIDATE.finditer(text)]
+    out, at = [], 0
+    for match in _CANDIDATE.finditer(text):
+        start, end = match.span()
+        while at < len(values) and values[at][1] <= start:
+            at += 1
+        # what a value leaves of a run is a candidate of its own if it is long enough
+        k = at
+        while k < len(values) and values[k][0] < end:
+            if values[k][0] - start >= SHORTEST:
+                out.append((start, values[k][0]))
+            start = max(start, values[k][1])
+            k += 1
+        if end - start >= SHORTEST:
+            out.append((start, end))
+    return sorted(values + out)
+
+
 def learn_language(docs: DataFrame, text_col: str) -> Language:
     """Counts over all texts; tasks sum up before the shuffle."""
 
@@ -129,7 +169,7 @@ def describe(candidate: str, before: str, after: str, path: str, language: Langu
     entropy = -sum(n / size * math.log2(n / size) for n in counts.values())
     kinds = _kinds(candidate)
     classes = np.where(kinds == 26, 0, np.where(kinds == 28, 1, 2))
-    cased = np.frombuffer(candidate.encode(), np.uint8)
+    cased = np.frombuffer(candidate.encode("utf-32-le"), np.uint32)
     classes = np.where((cased >= 65) & (cased <= 90), 3, classes)
     near = [w.lower() for w in _NEAR.findall(before)][-3:]
     following = [w.lower() for w in _NEAR.findall(after)][:2]
@@ -142,9 +182,9 @@ def describe(candidate: str, before: str, after: str, path: str, language: Langu
         sum(c.islower() for c in candidate) / size,
         sum(not c.isalnum() for c in candidate) / size,
         entropy,
-        float((classes[1:] != classes[:-1]).mean()),
+        float((classes[1:] != classes[:-1]).mean()) if size > 1 else 0.0,
         float(re.fullmatch(r"[0-9a-fA-F]+", candidate) is not None),
-        float(language.transitions[kinds[:-1], kinds[1:]].mean()),
+        float(language.transitions[kinds[:-1], kinds[1:]].mean()) if size > 1 else 0.0,
         language.coverage(candidate),
         float(close.endswith(("=", ":"))),
         float(before[-1:] in ("'", '"') and after[:1] in ("'", '"')),
@@ -241,9 +281,9 @@ def candidates(
         for batch in pieces(batches):
             paths = texts(batch.column(len(keep) + 1))
             rows = [
-                (k, m.start(), m.end(), m[0], t[max(0, m.start() - AROUND) : m.start()], t[m.end() : m.end() + AROUND], paths[k])
+                (k, start, end, t[start:end], t[max(0, start - AROUND) : start], t[end : end + AROUND], paths[k])
                 for k, t in enumerate(texts(batch.column(len(keep))))
-                for m in _CANDIDATE.finditer(t)
+                for start, end in spans(t)
             ]
             if not rows:
                 continue
@@ -295,8 +335,20 @@ def judge(found: DataFrame, forest: RandomForest, language: Language) -> Column:
 
 def assigned_label(before: Column, candidate: Column) -> Column:
     """A label for findings that nobody has labelled: 1 for a value assigned to a key-like name,
-    0 for runs of digits and for words, null for all others."""
-    named = before.rlike(r"(?i)(token|secret|passw(or)?d|api[_-]?key|auth)\w*\s*[=:]\s*[\"']?$")
+    0 for runs of digits, words, hashes, UUIDs and paths elsewhere, null for all others."""
+    name = r"(?i)(token|secret|passw(or)?d|passphrase|passcode|pwd|api[_-]?key|auth|credential|(private|access|signing|encryption)[_-]?key)\w*"
+    named = before.rlike(
+        name + r"(\s*[=:]\s*[\"']?|[\"']?\]?\s*(:=|=>|==?|:)\s*((bearer|basic)\s+)?[\"'`]?|(\s+(is|was))?\s+[\"'`])$"
+    )
+    near = before.rlike(r"(?i)(token|secret|passw|pwd|key|auth|credential|bearer)[^\n]*$")
     plain = candidate.rlike(r"^([0-9]+|[A-Za-z]+|[=_-]+)$")
     mixed = candidate.rlike(r"[0-9]") & candidate.rlike(r"[A-Za-z]")
-    return F.when(named & mixed, 1).when(plain & ~named, 0)
+    uuid = candidate.rlike(r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$")
+    digest = candidate.rlike(r"^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})$")
+    path = candidate.rlike(r"^/?([A-Za-z0-9_-]+/){2,}[A-Za-z0-9_-]*$") & candidate.rlike(r"[a-z]{3,}[a-z0-9_-]*/")
+    file_name = candidate.rlike(r"^[A-Za-z]{3,}([_-][A-Za-z0-9]+)+$")
+    return (
+        F.when(named & mixed, 1)
+        .when(plain & ~named, 0)
+        .when((uuid | digest | path | file_name) & ~named & ~near, 0)
+    )

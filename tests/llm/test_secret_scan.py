@@ -81,3 +81,47 @@ def test_tree_learns_an_interaction():
     labels = ((values[:, 0] > 0.5) ^ (values[:, 1] > 0.5)).astype(float)
     forest = RandomForest().fit(values[:1_500], labels[:1_500])
     assert ((forest.scores(values[1_500:]) > 0.5) == labels[1_500:]).mean() > 0.9
+
+
+def test_values_of_key_names():
+    from citewerk.llm.secret_scan import spans
+
+    long = "A1b2" * 6
+    cases = {
+        'password = "hunter2-abc"': ["hunter2-abc"],
+        "pwd: Tr0ub4dor&3!": ["Tr0ub4dor&3!"],
+        "api_key=sk.live:12$ab, next": ["sk.live:12$ab"],
+        '{"client_secret": "p\\"q 7", "n": 1}': ['p\\"q 7'],
+        "the password is 'x y z' here": ["x y z"],
+        "Authorization: Bearer abc.def.ghi": ["abc.def.ghi"],
+        "config['token'] = 'é1'": ["é1"],
+        "--password=a": ["a"],
+        f"token: {long}": [long],
+        f"token: {long}.{long} and {long}": [f"{long}.{long}", long],
+        f"passwd=a1;{long}\nauthor: {long}": [f"a1;{long}", long],
+        "pwd=" + "z9!" * 20_000: ["z9!" * 20_000],
+        "author: Jo, authority = x, the token ring and a secret": [],
+        "password:": [],
+    }
+    for text, wanted in cases.items():
+        assert [text[a:b] for a, b in spans(text)] == wanted, text[:80]
+
+
+def test_short_and_punctuated_passwords(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(900):
+        value = "".join(rng.choices("abcdefgh", k=4)) + rng.choice("&!$.-:") + "".join(rng.choices("0123456789XYZ", k=4))
+        digest = "".join(rng.choices("0123456789abcdef", k=40))
+        uuid = "-".join("".join(rng.choices("0123456789abcdef", k=k)) for k in (8, 4, 4, 4, 12))
+        rows.append((i, f'{rng.choice(["password", "pwd", "db_passwd"])} = "{value}1"\ncommit {digest}\nsee {uuid} in it'))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    language = learn_language(docs, "text")
+    found = candidates(docs, ["doc_id"], path_col=None)
+    label = assigned_label(F.col("before"), F.col("candidate"))
+    assert {(r.l, r["count"]) for r in found.groupBy(label.alias("l")).count().collect()} == {(1, 900), (0, 1_800)}
+    forest = fit(found.where("doc_id % 3 > 0"), label, language)
+    scored = found.where("doc_id % 3 = 0").withColumn("score", judge(found, forest, language)).collect()
+    assert len(scored) == 900
+    wrong = [r for r in scored if (r.score >= 0.5) != (len(r.candidate) == 10)]
+    assert len(wrong) < 9
