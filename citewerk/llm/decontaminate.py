@@ -21,7 +21,8 @@ edits up to `edit_share`). Short items have samples of their own that fit into t
 The items are a stated query set: they are read in blocks of at most `block_items` items and
 `block_chars` characters, the size that is proven for what tasks get; documents are not shuffled.
 
-Defined results: a null text counts as empty and leaks nothing; items with fewer than six characters match nothing;
+Defined results: a null text counts as empty and leaks nothing; items of three to five characters allow
+no edits and match whole words only; items with fewer than three characters match nothing;
 items that repeat are all listed; one row for each row of docs, in any number of blocks.
 """
 
@@ -46,6 +47,8 @@ SCALES = (
     (6, (2, 3, 5)), (12, (5, 9, 14)), (24, (8, 18, 32)), (48, (12, 30, 66)), (72, (16, 40, 120)),
 )
 SAMPLES = (4, 2, 2)
+#: Items below this many characters are not looked for.
+SHORTEST = 3
 #: Below this many characters few words are there to enter from: scales of such items walk more.
 SHORT, SHORT_WALKS, SHORT_REPETITIONS = 48, 3, 6
 #: No entry needs more of an item behind it.
@@ -294,6 +297,12 @@ class ItemIndex:
                 many = (max(walks, SHORT_WALKS), max(repetitions, SHORT_REPETITIONS))
             longest = max(len(bodies[item]) - begin for _, item, begin in own)
             self.scales.append(Scale(own, bodies, Plan(*many, longest, ends)))
+        #: Items too short for a walk, as words between blanks.
+        self.exact: dict[str, list[int]] = {}
+        for number, body in enumerate(bodies):
+            if SHORTEST <= len(body) < SCALES[0][0]:
+                self.exact.setdefault(body, []).append(number)
+        self.exact_words = max([body.count(" ") + 1 for body in self.exact], default=0)
         self.reach = max([scale.plan.steps + 1 for scale in self.scales], default=1)
 
     def leaks(self, documents: list[str]) -> list[dict[int, int]]:
@@ -311,7 +320,18 @@ class ItemIndex:
         self._scan(batch, out)
         return out
 
+    def _exact(self, batch: list[tuple[int, str]], out: list[dict[int, int]]) -> None:
+        """Items of a few characters, looked up by the words that they are made of."""
+        for number, text in batch:
+            words = text.split(" ")
+            for size in range(1, self.exact_words + 1):
+                there = set(words) if size == 1 else set(map(" ".join, zip(*[words[k:] for k in range(size)])))
+                for body in self.exact.keys() & there:
+                    out[number].update(dict.fromkeys(self.exact[body], 0))
+
     def _scan(self, batch: list[tuple[int, str]], out: list[dict[int, int]]) -> None:
+        if self.exact:
+            self._exact(batch, out)
         whole = " ".join(text for _, text in batch)
         codes = np.concatenate([codes_of(whole), np.zeros(self.reach, np.uint8)])
         blank = codes_of(" ")[0]

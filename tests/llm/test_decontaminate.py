@@ -103,3 +103,10 @@ def test_recall_in_every_band_of_edits():
             hits = sum(i in found for i, found in zip(owners, index.leaks(docs)))
             print(low, high, share, len(docs), hits / len(docs))
             assert hits >= 0.9 * len(docs), (low, high, share, hits, len(docs))
+
+
+def test_items_of_a_few_characters():
+    index = ItemIndex([(0, "zig"), (1, "Q"), (2, "a b c"), (3, "!!"), (4, None), (5, "zig"), (6, "a somewhat longer item")])
+    docs = ["so Zig, zag", "zigzag", "q a-b c", "a b cd", "", "x a somewhat longer item zig"]
+    got = [sorted(f.items()) for f in index.leaks(docs)]
+    assert got == [[(0, 0), (5, 0)], [], [(2, 0)], [], [], [(0, 0), (5, 0), (6, 0)]]
