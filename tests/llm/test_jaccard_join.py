@@ -115,6 +115,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("hub", [0, 500, 1000])
+def test_components_take_few_rounds(spark, hub):
+    """A chain of rising ids and a star: rounds grow with the logarithm, not with the length."""
+    if hub:
+        edges, limit = [(hub, k) for k in range(1001) if k != hub], 4
+    else:
+        edges, limit = [(k, k + 1) for k in range(1000)], 22
+    rounds = []
+    found = components(spark.createDataFrame([*edges, edges[0], (5, 5)], "a long, b long"), rounds)
+    assert {r.root for r in found.collect()} == {0} and found.count() == 1001
+    assert len(rounds) <= limit
+
+
 def test_deletions_meet_whole_segments():
     tokens = np.sort(np.random.default_rng(1).integers(0, 1 << 62, 40).astype(np.uint64))
     segment, keys = jaccard_join.deletions(tokens, 3, 5)
