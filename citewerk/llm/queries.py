@@ -17,6 +17,7 @@ from citewerk.llm import (
     quality,
     secret_scan,
     sentencepiece_codec,
+    simhash,
     url_filter,
 )
 from citewerk.llm.shared import UPPER, id_bucket, settle, table
@@ -175,3 +176,9 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         secret_scan.judge(found, forest, language).alias("score"),
     )
     return scored.withColumn("is_secret", F.col("score") >= 0.5)
+
+
+@query()
+def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its fingerprint and its component of near copies (4 bits of 64)."""
+    return simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
