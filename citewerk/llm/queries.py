@@ -13,6 +13,7 @@ from citewerk.llm import (
     exact_dedup,
     html_extract,
     jaccard_join,
+    lexical_rank,
     lm_score,
     quality,
     secret_scan,
@@ -182,3 +183,46 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its fingerprint and its component of near copies (4 bits of 64)."""
     return simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+_SQL_TERMS = (
+    "regexp_extract_all(" + SQL_LOWER.format("coalesce(text, '')")
+    + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+
+@query(
+    f"""
+    WITH split AS (
+        SELECT doc_id, {_SQL_TERMS} AS terms FROM documents
+    ), docs AS (
+        SELECT doc_id, terms, len(terms) AS n FROM split WHERE len(terms) > 0
+    ), whole AS (
+        SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM docs
+    ), asked AS (
+        SELECT DISTINCT item_id, unnest({_SQL_TERMS}) AS term FROM benchmark
+    ), said AS (
+        SELECT doc_id, n, unnest(terms) AS term FROM docs
+    ), tf AS (
+        SELECT doc_id, n, term, count(*) AS tf
+        FROM said WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, n, term
+    ), df AS (
+        SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+        FROM tf, whole GROUP BY term, docs
+    ), scores AS (
+        SELECT item_id, doc_id,
+               CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total)))) AS BIGINT)
+                   AS score
+        FROM tf JOIN df USING (term) JOIN asked USING (term), whole
+        GROUP BY item_id, doc_id
+    ), ranks AS (
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+        FROM scores WHERE score > 0
+    )
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranks WHERE rank <= 10
+    """
+)
+def op12_lexical_rank(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of each benchmark item by damped term weights."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lexical_rank.best_documents(docs, table(spark, folder, "benchmark"))

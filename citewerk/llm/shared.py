@@ -42,11 +42,14 @@ def _shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(rows: DataFrame, name: str) -> DataFrame:
-    """rows as Parquet in a new folder of the shared storage, read again."""
+def written(rows: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """rows as Parquet in a new folder of the shared storage, read again.
+
+    With `by`, files are apart for each value of that column, and a filter on it reads only its own.
+    """
     path = f"{_shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
+    (rows.write.partitionBy(by) if by else rows.write).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
