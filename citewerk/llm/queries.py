@@ -11,6 +11,7 @@ from citewerk.llm import (
     chat_format,
     decontaminate,
     exact_dedup,
+    hard_negatives,
     html_extract,
     jaccard_join,
     lexical_rank,
@@ -226,3 +227,36 @@ def op12_lexical_rank(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best documents of each benchmark item by damped term weights."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return lexical_rank.best_documents(docs, table(spark, folder, "benchmark"))
+
+
+@query(
+    """
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT a.vec_id AS anchor_id, v.vec_id AS vec_id, a.label = v.label AS same,
+               CAST(list_inner_product(a.q, v.q) AS BIGINT) AS score
+        FROM v AS a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0
+    ), positives AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+    FROM (
+        SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+               row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+        FROM positives AS p JOIN scored AS s
+          ON p.anchor_id = s.anchor_id AND NOT same
+         AND 80 * positive_score <= 100 * score AND score <= positive_score
+    )
+    WHERE rank <= 5
+    """
+)
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Up to five hard negatives for each of the five positives of every anchor."""
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=turned)
