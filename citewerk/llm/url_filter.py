@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citewerk.llm.shared import UPPER, settle
+from citewerk.llm.skew import join_counted
 
 Rule = tuple[str, str]
 
@@ -38,6 +39,8 @@ RULES: tuple[Rule, ...] = (
 )
 #: A word of a host name has at most so many letters; longer runs are split.
 LONGEST_WORD = 24
+#: Longer runs of letters in a host are cut (a part of a host name has 63 characters at most).
+LONGEST_NAME = 256
 
 
 def lower_ascii(text: Column) -> Column:
@@ -66,8 +69,13 @@ def judged(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, C
 
 def word_counts(pages: DataFrame, html_col: str, hosts: DataFrame) -> DataFrame:
     """(word, n) over the visible text of all pages and the parts of hyphenated host names."""
-    visible = F.regexp_replace(F.coalesce(F.col(f"`{html_col}`"), F.lit("")), r"<[^>]*>", " ")
-    names_out = F.regexp_replace(visible, r"[^\s.]+(\.[^\s.]+)+", " ")
+    html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
+    # Every pattern goes over a character once: no tag starts behind the last ">", a dotted run is
+    # tried at its start only, and possessive groups neither go back nor recurse.
+    rest = F.substring_index(html, ">", -1)
+    tagged = F.left(html, F.length(html) - F.length(rest))
+    visible = F.concat(F.regexp_replace(tagged, r"<[^>]*+>", " "), rest)
+    names_out = F.regexp_replace(visible, r"(?<![^\s.])[^\s.]++(?:\.[^\s.]++)++", " ")
     in_text = pages.select(F.explode(F.split(lower_ascii(names_out), r"[^\p{L}]+")).alias("word"))
     hyphened = hosts.select(F.explode(F.split("host", r"\.")).alias("name")).where(
         F.col("name").contains("-")
@@ -156,44 +164,54 @@ def filter_urls(
     url = F.col(f"`{url_col}`")
     host, path = host_of(url), path_of(url)
     rule, said = judged(F.col("_host"), F.col("_path"), rules)
+    # all columns are renamed on the way in, so names of the caller's cannot clash
     seen = (
         pages.select(*[F.col(f"`{n}`").alias(f"_keep{i}") for i, n in enumerate(keep)], host.alias("_host"), path.alias("_path"))
         .withColumn("_rule", rule)
         .withColumn("_said", said)
         .withColumn("_pattern", _path_pattern(F.col("_path")))
+        .withColumn("_host_key", F.md5("_host"))
+        .withColumn("_pattern_key", F.md5("_pattern"))
     )
     kinds = settle(
-        seen.groupBy("_host", "_pattern")
+        seen.groupBy("_host_key", "_pattern_key")
         .agg(
+            F.first("_host").alias("host"),
+            F.first("_pattern").alias("pattern"),
             F.sum(F.when(F.col("_said") == "block", 1).otherwise(0)).alias("blocked"),
             F.sum(F.when(F.col("_said") == "allow", 1).otherwise(0)).alias("allowed"),
+            F.count(F.lit(1)).alias("urls"),
         )
-        .withColumnsRenamed({"_host": "host", "_pattern": "pattern"})
+        .withColumnsRenamed({"_host_key": "host_key", "_pattern_key": "pattern_key"})
     )
-    hosts = kinds.groupBy("host").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"))
-    patterns = kinds.groupBy("pattern").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"))
-
-    runs = hosts.select("host", F.explode(F.split("host", r"[^\p{L}]+")).alias("name")).where("name <> ''")
-    names = segmented_names(runs.select("name").distinct(), word_counts(pages, html_col, hosts))
+    sums_of = [F.sum(n).alias(n) for n in ("blocked", "allowed", "urls")]
+    # words carry the short key of their host or pattern, so a long url is not repeated for each of its words
+    hosts = settle(kinds.groupBy("host_key").agg(F.first("host").alias("host"), *sums_of))
+    patterns = settle(kinds.groupBy("pattern_key").agg(F.first("pattern").alias("pattern"), *sums_of))
+
+    letters = F.regexp_extract_all("host", F.lit(r"\p{L}{1,%d}" % LONGEST_NAME), F.lit(0))
+    runs = hosts.select("host_key", F.explode(letters).alias("name"))
+    counts = settle(word_counts(pages, html_col, hosts))
+    names = segmented_names(runs.select("name").distinct(), counts)
     host_words = settle(
-        runs.join(names, "name").select("host", F.explode("words").alias("word"))
-        .select("host", F.concat(F.lit("h:"), "word").alias("token"))
+        runs.join(names, "name").select("host_key", F.explode("words").alias("word"))
+        .select("host_key", F.concat(F.lit("h:"), "word").alias("token"))
     )
     path_words = patterns.select(
-        "pattern", F.explode(F.split("pattern", r"[^\p{L}\p{N}]+")).alias("word")
-    ).where("word <> ''").select("pattern", F.concat(F.lit("p:"), "word").alias("token"))
+        "pattern_key", F.explode(F.split("pattern", r"[^\p{L}\p{N}]+")).alias("word")
+    ).where("word <> ''").select("pattern_key", F.concat(F.lit("p:"), "word").alias("token"))
 
     counted = (
-        host_words.join(hosts, "host").select("token", "blocked", "allowed")
-        .unionByName(path_words.join(patterns, "pattern").select("token", "blocked", "allowed"))
+        host_words.join(hosts, "host_key").select("token", "blocked", "allowed")
+        .unionByName(path_words.join(patterns, "pattern_key").select("token", "blocked", "allowed"))
         .groupBy("token")
         .agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"))
     )
     counted = settle(counted)
     sums = counted.agg(F.sum("blocked"), F.sum("allowed"), F.count(F.lit(1))).first()
     blocked, allowed, distinct = (float(v or 0) for v in sums)
-    urls = kinds.agg(F.sum("blocked"), F.sum("allowed")).first()
-    judged_block, judged_allow = (float(v or 0) for v in urls)
+    urls = kinds.agg(F.sum("blocked"), F.sum("allowed"), F.sum("urls")).first()
+    judged_block, judged_allow, all_urls = (float(v or 0) for v in urls)
     prior = math.log((judged_block + smoothing) / (judged_allow + smoothing))
     if not judged_block:
         prior = -math.inf
@@ -203,15 +221,16 @@ def filter_urls(
     weights = counted.select("token", weight.alias("weight"))
 
     def summed(words: DataFrame, key: str, name: str) -> DataFrame:
-        return words.join(weights, "token").groupBy(key).agg(F.sum("weight").alias(name))
+        return words.select(key, "token").join(weights, "token").groupBy(key).agg(F.sum("weight").alias(name))
 
-    host_odds = summed(host_words, "host", "host_odds").withColumnRenamed("host", "_host")
-    path_odds = summed(path_words, "pattern", "path_odds").withColumnRenamed("pattern", "_pattern")
+    host_odds = hosts.select("host_key", "urls").join(summed(host_words, "host_key", "host_odds"), "host_key")
+    path_odds = patterns.select("pattern_key", "urls").join(summed(path_words, "pattern_key", "path_odds"), "pattern_key")
     zero = F.lit(0.0)
     odds = F.lit(prior) + F.coalesce("host_odds", zero) + F.coalesce("path_odds", zero)
+    by_host = join_counted(seen, settle(host_odds.withColumnRenamed("host_key", "_host_key")), "_host_key", "urls", all_urls)
+    path_side = settle(path_odds.withColumnRenamed("pattern_key", "_pattern_key"))
     return (
-        seen.join(host_odds, "_host", "left")
-        .join(path_odds, "_pattern", "left")
+        join_counted(by_host, path_side, "_pattern_key", "urls", all_urls)
         .select(
             *[F.col(f"_keep{i}").alias(n) for i, n in enumerate(keep)],
             F.col("_host").alias("host"),

@@ -101,3 +101,30 @@ def test_empty(spark):
     assert filter_urls(none, ["page_id"]).count() == 0
     only = filter_urls(pages(spark, [None, "http://a.org/"]), ["page_id"]).collect()
     assert {r.verdict for r in only} == {"allow"}
+
+
+def test_long_and_odd_pages(spark):
+    """A megabyte of dots, of one run, of opening brackets and of dotted runs; repeated pages."""
+    size = 1_000_000
+    odd = ["a." * (size // 2), "a" * size, "<" * size, "a..b " * (size // 5), "<p" * (size // 2) + ">red", "." * size]
+    plain = "<p>red car red car retro.com blog</p>"
+    rows = [(i, f"http://redcar.example.org/en/{i}", h) for i, h in enumerate([*odd, None, plain, plain])]
+    rows += [rows[-1], (99, "http://" + "ab-" * 3_000 + ".com/" + "/x1" * 100_000, plain)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = filter_urls(frame, ["page_id"]).collect()
+    assert len(got) == len(rows) and all(r.verdict in ("allow", "block") for r in got)
+
+
+def test_word_counts_as_by_plain_patterns(spark):
+    import re
+
+    from citewerk.llm.url_filter import word_counts
+
+    rows = ["<p>a.b c..d e.f..g .h i. j</p> x<y z>kk ll<mm", "one.two three<b>four</b>.five <six", "> a.b.c <q.r> ss.tt>", ".. a.", None, ""]
+    frame = spark.createDataFrame([(r,) for r in rows], "html string")
+    want = Counter()
+    for r in rows:
+        text = re.sub(r"[^\s.]+(\.[^\s.]+)+", " ", re.sub(r"<[^>]*>", " ", r or ""))
+        want.update(w for w in re.split(r"[^a-z]+", text) if 1 < len(w) <= 24)
+    none = spark.createDataFrame([], "host string")
+    assert {r.word: r.n for r in word_counts(frame, "html", none).collect()} == dict(want)
