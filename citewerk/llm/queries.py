@@ -170,12 +170,11 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """
     docs = table(spark, folder, "documents")
     language = secret_scan.learn_language(docs, "text")
-    found = settle(secret_scan.candidates(docs, ["doc_id"]))
     label = secret_scan.assigned_label(F.col("before"), F.col("candidate"))
-    forest = secret_scan.fit(found, label, language)
+    found = settle(secret_scan.described(secret_scan.candidates(docs, ["doc_id"]), ["doc_id"], language, label))
     scored = found.select(
-        "doc_id", "start", "end", F.sha2("candidate", 256).alias("candidate_sha256"),
-        secret_scan.judge(found, forest, language).alias("score"),
+        "doc_id", "start", "end", "candidate_sha256",
+        secret_scan.judge_described(found, secret_scan.fit_described(found)).alias("score"),
     )
     return scored.withColumn("is_secret", F.col("score") >= 0.5)
 

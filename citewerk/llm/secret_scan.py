@@ -38,12 +38,15 @@ from citewerk.llm.shared import fresh, pieces, settle, texts
 SHORTEST = 16
 DICTIONARY = 20_000
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{%d,}" % SHORTEST)
+# A run of word characters is entered at its start only and its first key-like name decides (what
+# follows would end at the same place), so no run is scanned twice, whatever its length.
 _VALUE = re.compile(
-    r"(?:token|secret|passw(?:or)?d|passphrase|passcode|pwd|api[_-]?key|auth(?!or(?!i[sz])|entic(?!at))|credential"
-    r"|(?:private|access|signing|encryption)[_-]?key)\w*"
-    r"(?:[\"']?\]?[ \t]*(?::=|=>|==?|:)[ \t]*(?:(?:bearer|basic)[ \t]+)?"
-    r"(?:\"((?:[^\"\\\n]|\\.)+)|'((?:[^'\\\n]|\\.)+)|`([^`\n]+)|([^\s\"'`]\S*))"
-    r"|(?:[ \t]+(?:is|was))?[ \t]+(?:\"((?:[^\"\\\n]|\\.)+)\"|'((?:[^'\\\n]|\\.)+)'|`([^`\n]+)`))",
+    r"(?:(?<!\w)(?>\w*?(?:token|secret|passw(?:or)?d|passphrase|passcode|pwd|api_?key"
+    r"|auth(?!or(?!i[sz])|entic(?!at))|credential|(?:private|access|signing|encryption)_?key))"
+    r"|(?:api|private|access|signing|encryption)-key)\w*+"
+    r"(?:[\"']?\]?[ \t]*+(?::=|=>|==?|:)[ \t]*+(?:(?:bearer|basic)[ \t]++)?"
+    r"(?:\"((?:[^\"\\\n]|\\.)++)|'((?:[^'\\\n]|\\.)++)|`([^`\n]++)|([^\s\"'`]\S*+))"
+    r"|(?:[ \t]++(?:is|was))?[ \t]++(?:\"((?:[^\"\\\n]|\\.)++)\"|'((?:[^'\\\n]|\\.)++)'|`([^`\n]++)`))",
     re.IGNORECASE,
 )
 #: Ends of values without quotes that belong to what surrounds them.
@@ -288,10 +291,10 @@ def candidates(
             if not rows:
                 continue
             made = list(zip(*rows))
-            own = batch.take(pa.array(made[0], pa.int64()))
+            own = [column.take(pa.array(made[0], pa.int64())) for column in batch.columns[: len(keep)]]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [*own.columns[: len(keep)], *[pa.array(v, kind) for v, kind in zip(made[1:], kinds)]],
+                [*own, *[pa.array(v, kind) for v, kind in zip(made[1:], kinds)]],
                 names=[*keep, *names],
             )
 
@@ -302,22 +305,59 @@ def candidates(
     return chosen.mapInArrow(run, schema)
 
 
+def described(found: DataFrame, keep: list[str], language: Language, label: Column | None = None) -> DataFrame:
+    """keep, start, end, candidate_sha256, label and the values of FEATURES of each row of candidates.
+
+    What is stored of these rows holds no candidate in plain.
+    """
+    held = found.sparkSession.sparkContext.broadcast(language)
+
+    @F.pandas_udf("array<double>")
+    def values(candidate: pd.Series, before: pd.Series, after: pd.Series, path: pd.Series) -> pd.Series:
+        return pd.Series([describe(*row, held.value) for row in zip(candidate, before, after, path)], dtype=object)
+
+    return found.select(
+        *[F.col(f"`{n}`") for n in keep], "start", "end", F.sha2("candidate", 256).alias("candidate_sha256"),
+        (F.lit(None) if label is None else label).cast("int").alias("label"),
+        values("candidate", "before", "after", "path").alias("features"),
+    )
+
+
+def fit_described(rows: DataFrame, max_findings: int = 5_000, **options) -> RandomForest:
+    """A forest from the labelled ones of described rows: of either label at most `max_findings`
+    different ones, those with the smallest hashes."""
+    labelled = rows.where("label is not null").select("label", "candidate_sha256", "features").distinct()
+    mark = F.xxhash64("candidate_sha256", "features")
+    counts = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
+    values: list[list[float]] = []
+    labels: list[float] = []
+    for value in sorted(counts):
+        near = (F.col("label") == value) & (F.pmod(mark, F.lit(counts[value])) < 2 * max_findings)
+        for row in labelled.where(near).orderBy(mark, "candidate_sha256", "features").limit(max_findings).collect():
+            values.append(row.features)
+            labels.append(float(value > 0))
+    return RandomForest(**options).fit(np.array(values).reshape(-1, len(FEATURES)), np.array(labels))
+
+
 def fit(
     findings: DataFrame, label: Column, language: Language, max_findings: int = 5_000, **options
 ) -> RandomForest:
     """A forest from labelled findings, which have candidate, before, after and path; null labels don't count."""
-    rows = findings.select("candidate", "before", "after", "path", label.cast("int").alias("label"))
-    rows = rows.where("label is not null")
-    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    chosen = F.lit(False)
-    mark = F.xxhash64("candidate", "before", "after")
-    for value, n in counts.items():
-        chosen = chosen | ((F.col("label") == value) & (F.pmod(mark, F.lit(n)) < max_findings))
-    sample = rows.where(chosen).limit(4 * max_findings).toPandas().sort_values(["candidate", "before", "after", "path"])
-    values = [describe(r.candidate, r.before, r.after, r.path, language) for r in sample.itertuples()]
-    return RandomForest(**options).fit(
-        np.array(values).reshape(-1, len(FEATURES)), (sample["label"].to_numpy() > 0).astype(float)
-    )
+    chosen = findings.select("candidate", "before", "after", "path", F.lit(0).alias("start"), F.lit(0).alias("end"),
+                             label.cast("int").alias("label"))
+    rows = described(chosen.where("label is not null"), [], language, F.col("label"))
+    return fit_described(settle(rows), max_findings, **options)
+
+
+def judge_described(rows: DataFrame, forest: RandomForest) -> Column:
+    """The forest's score of each described row."""
+    held = rows.sparkSession.sparkContext.broadcast(forest)
+
+    @F.pandas_udf("double")
+    def score(features: pd.Series) -> pd.Series:
+        return pd.Series(held.value.scores(np.array(features.tolist()).reshape(-1, len(FEATURES))))
+
+    return score("features")
 
 
 def judge(found: DataFrame, forest: RandomForest, language: Language) -> Column:
@@ -345,8 +385,11 @@ def assigned_label(before: Column, candidate: Column) -> Column:
     mixed = candidate.rlike(r"[0-9]") & candidate.rlike(r"[A-Za-z]")
     uuid = candidate.rlike(r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$")
     digest = candidate.rlike(r"^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})$")
-    path = candidate.rlike(r"^/?([A-Za-z0-9_-]+/){2,}[A-Za-z0-9_-]*$") & candidate.rlike(r"[a-z]{3,}[a-z0-9_-]*/")
-    file_name = candidate.rlike(r"^[A-Za-z]{3,}([_-][A-Za-z0-9]+)+$")
+    # possessive, so that long candidates take neither stack nor time; a folder is read from its end
+    folders = F.slice(F.split(candidate, "/"), 1, F.size(F.split(candidate, "/")) - 1)
+    wordy = F.exists(folders, lambda name: F.reverse(name).rlike(r"^[a-z0-9_-]*?[a-z]{3}"))
+    path = candidate.rlike(r"^/?(?:[A-Za-z0-9_-]++/){2,}+[A-Za-z0-9_-]*+$") & wordy
+    file_name = candidate.rlike(r"^[A-Za-z]{3,}+(?:[_-][A-Za-z0-9]++)++$")
     return (
         F.when(named & mixed, 1)
         .when(plain & ~named, 0)

@@ -125,3 +125,49 @@ def test_short_and_punctuated_passwords(spark):
     assert len(scored) == 900
     wrong = [r for r in scored if (r.score >= 0.5) != (len(r.candidate) == 10)]
     assert len(wrong) < 9
+
+
+def test_names_within_runs():
+    from citewerk.llm.secret_scan import spans
+
+    cases = {
+        "mytoken=a1": ["a1"], "x_api_key_2 = 'b'": ["b"], "secret_api-key = v": ["v"], "tokentoken: w": ["w"],
+        "author_token=c": ["c"], "author-token=d": ["d"], "MY-API-KEY: e": ["e"], "x-access-key=f, auth=g": ["f", "g"],
+        "token token=h": ["h"], "private_key2key = i": ["i"], 'token "a"secret="b"': ["a", "b"],
+    }
+    for text, wanted in cases.items():
+        assert [text[a:b] for a, b in spans(text)] == wanted, text
+
+
+def test_long_runs_take_linear_time(spark):
+    """A megabyte of key words, of parts of names and paths, of quotes and blanks, in texts and as candidates."""
+    import time
+
+    from citewerk.llm.secret_scan import spans
+
+    size = 1_000_000
+    texts = ["token" * (size // 5), "token " * (size // 6), "api-key" * (size // 7), "token" + " " * size,
+             'token "' * (size // 7), "token='" + "\\'" * (size // 2), "private_" * (size // 8), "auth" * (size // 4)]
+    for text in texts:
+        started = time.perf_counter()
+        spans(text)
+        assert time.perf_counter() - started < 10, text[:20]
+    runs = ["abc" + "_a" * (size // 2), "abc/" * (size // 4), "/" * size, "a" * size, "a1-" * (size // 3) + "x/"]
+    docs = spark.createDataFrame([(i, f"see {r} and") for i, r in enumerate([*runs, *texts])], "doc_id long, text string")
+    found = candidates(docs, ["doc_id"], path_col=None)
+    labels = found.select("doc_id", assigned_label(F.col("before"), F.col("candidate")).alias("l")).collect()
+    assert {(r.doc_id, r.l) for r in labels if r.doc_id in (0, 1)} == {(0, 0), (1, 0)}
+
+
+def test_no_plain_candidates_are_kept(spark):
+    from citewerk.llm.secret_scan import described, fit_described, judge_described
+
+    rows = [(i, f"password = 'abc{i % 7}&x' and commit " + f"{i:040x}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    language = learn_language(docs, "text")
+    label = assigned_label(F.col("before"), F.col("candidate"))
+    found = described(candidates(docs, ["doc_id"], path_col=None), ["doc_id"], language, label)
+    assert found.columns == ["doc_id", "start", "end", "candidate_sha256", "label", "features"]
+    forest, again = fit_described(found, 5), fit_described(found.repartition(3), 5)
+    assert all(np.array_equal(a, b) for a, b in zip(forest.nodes, again.nodes))
+    assert found.select(judge_described(found, forest).alias("s")).where("s is null").count() == 0
