@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +57,19 @@ def components(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
         )
     lowest = roots.groupBy("root").agg(F.min("node").alias("low"))
     return settle(roots.join(lowest, "root").select("node", F.col("low").alias("root")))
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of every node that is not the smallest of its component; for links within a task."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    ia, ib = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        la, lb = label[ia], label[ib]
+        if (la == lb).all():
+            break
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while (label[label] != label).any():
+            label = label[label]
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]

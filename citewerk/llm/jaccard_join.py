@@ -9,9 +9,11 @@ band and, where smaller partners may be there, in the band below (its two `views
 Cost-based allocation. The number of rows that share a key is its cost. A view that has U + 1 keys
 below `hot` does without its hot ones: all its links show in the others. A view that has fewer is
 `short`; short views also enter the one-deletion neighbourhoods of their segments, where a segment
-counts twice, as it meets partners that differ in it by one shingle. Views that are still short
-meet over hot keys, but only each other, only across components that are not known to be one, and
-each over its cheapest segments, as many as it lacks units.
+counts twice, as it meets partners that differ in it by one shingle, and the keys of their empty
+segments, so that no view lacks units. Views that are still short meet over hot keys, but only each
+other, only across components that are not known to be one, and each over its cheapest segments, as
+many as it lacks units; the sets of such a key are compared inside tasks, block by block, and give a
+spanning forest of their links instead of their pairs.
 
 Links are verified exactly on the whole sets. Components grow in two steps: every key first links
 its members with its smallest one, so a group of any size takes as many pairs as rows; only pairs
@@ -35,11 +37,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citewerk.llm.bloom import MemberFilter, drop_ids
-from citewerk.llm.components import components
+from citewerk.llm.components import components, forest
 from citewerk.llm.shared import fresh, pieces, raw_texts, settle
 from citewerk.llm.words import mix, word_hashes
 
 HOT = 32
+#: Views in a task at once over a dear key, tokens of theirs in one matrix, and pairs of sets that a
+#: token is counted in one by one.
+BLOCK, TOKENS_AT_ONCE, RARE_PAIRS = 256, 4096, 16
 BAND_GROWTH = 1.5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -194,6 +199,27 @@ def _index(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
     return narrow.mapInArrow(run, schema)
 
 
+def _shared_keys(reps: DataFrame, shared=None) -> DataFrame:
+    """(view, key) of the representatives' views; with `shared`, a test for keys, only those it holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 1024):
+            uid = batch.column(0).to_numpy(zero_copy_only=False)
+            views = batch.column(1)
+            sizes = views.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(uid)), sizes)
+            role = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keys = views.flatten()
+            view = np.repeat(uid[row] * 2 + role, keys.value_lengths().to_numpy(zero_copy_only=False))
+            key = keys.flatten().to_numpy(zero_copy_only=False)
+            if shared is not None and len(key):
+                held = shared(key)
+                view, key = view[held], key[held]
+            yield pa.RecordBatch.from_arrays([pa.array(view), pa.array(key)], names=["view", "key"])
+
+    return reps.select("uid", "keys").mapInArrow(run, "view long, key long")
+
+
 def _token_rows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """(uid, tokens) of the wanted classes (uid, id, k1, k2), read again from their texts.
 
@@ -271,6 +297,10 @@ def _segments_of(view: int, held: pa.Scalar, bands: Bands):
     band, m, _ = bands.views(len(tokens))[view & 1]
     segment, key = occupied(tokens, band, m)
     near, near_key = deletions(tokens, band, m)
+    # sets may also agree on a segment that is empty in both
+    empty = np.setdiff1d(np.arange(m), segment)
+    segment = np.r_[segment, empty]
+    key = np.r_[key, segment_key(np.zeros(len(empty), np.uint64), empty, band)]
     gain = np.ones(m, np.int64)
     gain[near] = 2
     whole = np.r_[np.ones(len(segment), bool), np.zeros(len(near), bool)]
@@ -341,6 +371,7 @@ def similar_groups(
     words: int = 5,
     percent: int = 80,
     hot: int = HOT,
+    block: int = BLOCK,
 ) -> DataFrame:
     """(id, n_shingles, component_id) for every row of docs.
 
@@ -350,20 +381,23 @@ def similar_groups(
     index = index.withColumn("uid", F.monotonically_increasing_id())  # rows are on disk: stable
     classes = settle(index.where("n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("rep")))
     members = index.select("uid", "id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left")
-    reps = settle(
-        index.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
-        .where(F.size("needs") > 0)
-        .select("uid", "id", "k1", "keys", "needs")
-    )
-    entries = reps.select("uid", F.posexplode("keys").alias("role", "own")).select(
-        (F.col("uid") * 2 + F.col("role")).alias("view"), F.explode("own").alias("key")
+    # rows with the keys of their views stay where they are: only ids that may be copies are looked up
+    copies = members.where("rep is not null and uid <> rep").select(F.col("uid").alias("copy"))
+    copies = settle(copies)
+    maybe = MemberFilter(copies).may_hold(F.col("uid"))
+    keyed = index.where(F.size("needs") > 0)
+    reps = keyed.where(~maybe).unionByName(
+        keyed.where(maybe).join(copies, F.col("uid") == F.col("copy"), "left_anti")
     )
     costs = (
-        entries.groupBy("key")
+        _shared_keys(reps)
+        .groupBy("key")
         .agg(F.count(F.lit(1)).alias("cost"), F.min("view").alias("first"))
         .where("cost > 1")
     )
-    shared = settle(entries.join(settle(costs), "key"))
+    costs = settle(costs)
+    # nearly every key occurs once: the others are known now, and only these are shuffled
+    shared = settle(_shared_keys(reps, MemberFilter(costs.select("key")).asker()).join(costs, "key"))
 
     needs = reps.select("uid", F.posexplode(F.arrays_zip("keys", "needs")).alias("role", "of")).select(
         (F.col("uid") * 2 + F.col("role")).alias("view"), "uid",
@@ -407,12 +441,15 @@ def similar_groups(
 
     cold = placed(shared.where(F.col("cost") <= hot).withColumn("whole", F.lit(True)))
     found = [across(cold)]
+    more_links = None
     if short.take(1):
-        found += _short_pairs(short, tokens, placed, across, percent, hot)
+        more, more_links = _short_pairs(short, tokens, placed, across, percent, hot, block)
+        found += more
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    more_links = settle(_verified(settle(pairs.where("a <> b").distinct()), tokens, percent))
+    verified = _verified(settle(pairs.where("a <> b").distinct()), tokens, percent)
+    more_links = settle(verified if more_links is None else verified.unionByName(more_links))
     # whole components move: links join the roots of the first step
     roots = components(
         links.unionByName(more_links)
@@ -432,8 +469,8 @@ def similar_groups(
     )
 
 
-def _short_pairs(short, tokens, placed, across, percent: int, hot: int) -> list[DataFrame]:
-    """Pairs of short views: over one-deletion neighbourhoods, then over dear keys.
+def _short_pairs(short, tokens, placed, across, percent: int, hot: int, block: int):
+    """Of short views the pairs over one-deletion neighbourhoods and the links over dear keys, if any.
 
     A shingle that no other short class has adds one to the distance of every such pair, so a view
     with as many of these as it needs units has no short partner and takes no further part.
@@ -461,7 +498,7 @@ def _short_pairs(short, tokens, placed, across, percent: int, hot: int) -> list[
     found = [across(_neighbourhoods(whole, percent, dear))]
     still = settle(_missing_units(whole, percent, dear))
     if not still.take(1):
-        return found
+        return found, None
     left = _neighbourhoods(whole.join(still.select("view"), "view", "left_semi"), percent, dear, True)
     mixed = settle(
         left.groupBy("key")
@@ -485,17 +522,87 @@ def _short_pairs(short, tokens, placed, across, percent: int, hot: int) -> list[
         prices.withColumn("before", before).join(still, "view")
         .where(F.col("before") < F.col("missing")).select("view", "segment")
     )
-    ask = left.join(asked, ["view", "segment"], "left_semi").select(
-        "key", F.col("view").alias("v1"), F.col("comp").alias("c1"), F.col("whole").alias("w1")
+    ask = left.join(asked, ["view", "segment"], "left_semi").select("key", "view").distinct()
+    met = _linked_over_dear_keys(ask, left.select("key", "view").distinct(), whole, percent, block)
+    return found, met
+
+
+def _linked_over_dear_keys(ask: DataFrame, told: DataFrame, whole: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) between views that ask over a dear key and all that it holds, compared inside tasks.
+
+    Askers of a key are dealt into slices, its views into blocks, and every slice meets every block;
+    a task compares one slice with one block and hands on a spanning forest of the links it finds.
+    """
+    sizes = told.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    asking = ask.groupBy("key").agg(F.count(F.lit(1)).alias("n_ask"))
+    sizes = settle(
+        sizes.join(asking, "key").select(
+            "key", F.ceil(F.col("n") / block).alias("blocks"), F.ceil(F.col("n_ask") / block).alias("slices")
+        )
+    )
+    numbers = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    own = lambda count: F.pmod(F.xxhash64("view"), F.col(count))
+    askers = ask.join(sizes, "key").select(
+        "key", "view", F.lit(True).alias("asks"), own("slices").alias("slice"), numbers("blocks").alias("block")
     )
-    told = left.select(
-        "key", F.col("view").alias("v2"), F.col("comp").alias("c2"), F.col("whole").alias("w2")
+    held = told.join(sizes, "key").select(
+        "key", "view", F.lit(False).alias("asks"), own("blocks").alias("block"), numbers("slices").alias("slice")
     )
-    apart = (F.col("c1") != F.col("c2")) & (F.col("w1") | F.col("w2")) & (F.col("v1") < F.col("v2"))
-    met = ask.join(told, "key").where(apart)
-    a, b = F.shiftright("v1", 1), F.shiftright("v2", 1)
-    found.append(met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
-    return found
+    rows = askers.unionByName(held).join(whole.select("view", "comp", "tokens"), "view")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        column = lambda name: table.column(name).combine_chunks()
+        asks = column("asks").to_numpy(zero_copy_only=False)
+        uid = column("view").to_numpy(zero_copy_only=False) >> 1
+        comp = column("comp").to_numpy(zero_copy_only=False)
+        lists = column("tokens")
+        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        both = common(lists, size, asks)
+        n = size[asks][:, None] + size[~asks][None, :]
+        linked = (both * 100 >= (n - both) * percent) & (comp[asks][:, None] != comp[~asks][None, :])
+        i, j = np.nonzero(linked)
+        a, b = forest(uid[asks][i], uid[~asks][j])
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return rows.groupBy("key", "slice", "block").applyInArrow(run, "a long, b long")
+
+
+def common(lists: pa.Array, size: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """How many tokens the sets of one side share with each set of the other.
+
+    Tokens in few pairs of sets are counted pair by pair, the others as a product of matrices.
+    """
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.where(side, np.cumsum(side) - 1, np.cumsum(~side) - 1)
+    tokens, token = np.unique(flat, return_inverse=True)
+    of_side = side[row]
+    there = [np.bincount(token[of_side == s], minlength=len(tokens)) for s in (True, False)]
+    pairs = there[0] * there[1]
+    total = np.zeros((int(side.sum()), int((~side).sum())), np.float32)
+    rare = (pairs > 0) & (pairs <= RARE_PAIRS)
+    order = np.argsort(token, kind="stable")
+    order = order[rare[token[order]]]
+    ones, others = order[of_side[order]], order[~of_side[order]]
+    low = np.searchsorted(token[others], token[ones], "left")
+    count = np.searchsorted(token[others], token[ones], "right") - low
+    first = np.repeat(ones, count)
+    second = others[np.repeat(low, count) + np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)]
+    np.add.at(total, (place[row[first]], place[row[second]]), 1)
+    often = np.flatnonzero(pairs > RARE_PAIRS)
+    number = np.full(len(tokens), -1)
+    for at in range(0, len(often), TOKENS_AT_ONCE):
+        some = often[at : at + TOKENS_AT_ONCE]
+        number[:] = -1
+        number[some] = np.arange(len(some))
+        mats = []
+        for s in (True, False):
+            own = np.flatnonzero((of_side == s) & (number[token] >= 0))
+            mat = np.zeros((int((side == s).sum()), len(some)), np.float32)
+            mat[place[row[own]], number[token[own]]] = 1
+            mats.append(mat)
+        total += mats[0] @ mats[1].T
+    return total.astype(np.int64)
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

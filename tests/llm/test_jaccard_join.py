@@ -61,11 +61,11 @@ def corpus(seed, size):
     return out + [out[3], out[3], (9_006, out[5][1].upper())]
 
 
-@pytest.mark.parametrize("n, percent, hot", [(3, 90, 32), (5, 80, 3)])
-def test_against_brute_force(spark, n, percent, hot):
+@pytest.mark.parametrize("n, percent, hot, block", [(3, 90, 32, 256), (5, 80, 3, 4)])
+def test_against_brute_force(spark, n, percent, hot, block):
     rows = corpus(n * percent + hot, 200)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = similar_groups(docs, words=n, percent=percent, hot=hot)
+    found = similar_groups(docs, words=n, percent=percent, hot=hot, block=block)
     assert found.columns == ["doc_id", "n_shingles", "component_id"]
     assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(rows, n, percent)
 
@@ -159,3 +159,57 @@ def test_keep_one_by_row(spark):
         assert here[0][0] == (min(ids) if ids else None)
         left.remove(here[0])
     assert not left
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_one_very_common_passage(spark, percent, monkeypatch):
+    """Texts that share most of their shingles and are still not all linked: every key is dear, and what
+    tasks hand on grows with the views and not with their pairs."""
+    rng = random.Random(percent)
+    word = lambda: "".join(rng.choices("abcdefgh", k=3))
+    passage = [word() for _ in range(60)]
+    few = [[word() for _ in range(4)] for _ in range(12)]
+    rows = []
+    for i in range(260):
+        own = list(passage)
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            at = rng.randrange(len(own))
+            own[at:at] = rng.choice(few)
+        rows.append((i, " ".join(own)))
+    made = []
+    old = jaccard_join._linked_over_dear_keys
+
+    def counted(ask, told, whole, *options):
+        found = old(ask, told, whole, *options)
+        made.append((found.count(), told.count()))
+        return found
+
+    monkeypatch.setattr(jaccard_join, "_linked_over_dear_keys", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = similar_groups(docs, words=3, percent=percent, hot=3, block=16)
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(rows, 3, percent)
+    assert made and all(links <= 40 * views for links, views in made)
+
+
+def test_common_counts():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(0, 60))) for _ in range(40)]
+    side = rng.random(40) < 0.4
+    lists = pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))
+    for limit in (0, 16, 10_000):
+        jaccard_join.RARE_PAIRS, kept = limit, jaccard_join.RARE_PAIRS
+        got = jaccard_join.common(lists, np.array([len(s) for s in sets]), side)
+        jaccard_join.RARE_PAIRS = kept
+        want = [[len(np.intersect1d(a, b)) for b, t in zip(sets, side) if not t] for a, s in zip(sets, side) if s]
+        assert got.tolist() == want
+
+
+def test_few_occupied_segments(spark):
+    """Small universes leave segments empty; sets also meet on these."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randint(20, 60)))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = similar_groups(docs, words=5, percent=80, hot=2, block=8)
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(rows, 5, 80)
