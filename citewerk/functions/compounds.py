@@ -1,5 +1,8 @@
 """Parts of German compound words, added to the full-text index.
 
+Anything with `parts(word)` can split: the word list of this module, or the statistical splitter
+of `operators.splitter`, which is learnt from the corpus.
+
 A word is cut in two where both sides are entries of a lexicon; the left side
 may carry a linking `s`. The right-most cut wins because German compounds grow to
 the left, and each side is cut further by the same rule. Precision goes before
@@ -14,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from functools import lru_cache
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -28,17 +32,10 @@ MAX_LEXICON_BYTES = 64 * 1024 * 1024
 
 _WORD = re.compile(r"[^\W\d_]+")
 
-# A start lexicon of German building vocabulary.
-BUILDING_WORDS = """
-abnahme anschluss antrag arbeit auflage auftrag aufsicht aufzug ausbau bau baubeginn
-baugenehmigung bauherr bauleiter bauantrag bauamt beginn behörde bericht beton brand brandschutz
-budget dach decke dämmung estrich fassade fenster fertigung firma fläche frist fundament
-garage gebäude genehmigung gericht gerüst gewerk grund grundstück gutachten haus haustechnik
-heizung herr holz kanal keller kosten kran lager leistung leitung liefer lieferung mangel
-material metall miet nachweis park plan planung prüf prüfung raum reserve roh rohbau samstag
-schutz schule stahl statik status straße technik teil termin tor treppe unternehmer verkehr
-vertrag verzug wand wasser werk wohn zeit ziel
-"""
+class Parts(Protocol):
+    """What splits words: parts of a compound in reading order, none for other words."""
+
+    def parts(self, word: str) -> list[str]: ...
 
 
 class Lexicon:
@@ -58,6 +55,9 @@ class Lexicon:
     def __contains__(self, word: str) -> bool:
         return word in self.words
 
+    def parts(self, word: str) -> list[str]:
+        return split_compound(word, self)
+
     def as_left_part(self, word: str) -> bool:
         return word in self.words or (word.endswith("s") and word[:-1] in self.words)
 
@@ -68,8 +68,14 @@ def _interned(words: frozenset[str]) -> Lexicon:
     return Lexicon(words)
 
 
-def building_lexicon() -> Lexicon:
-    return Lexicon(BUILDING_WORDS.split())
+class NoParts:
+    """Splits nothing."""
+
+    def parts(self, word: str) -> list[str]:
+        return []
+
+
+NO_PARTS = NoParts()
 
 
 def split_compound(word: str, lexicon: Lexicon, shortest: int = MIN_PART_LENGTH) -> list[str]:
@@ -90,16 +96,18 @@ def split_compound(word: str, lexicon: Lexicon, shortest: int = MIN_PART_LENGTH)
 
 
 @lru_cache(maxsize=1 << 18)
-def _remembered(word: str, lexicon: Lexicon) -> tuple[str, ...]:
-    return tuple(split_compound(word, lexicon))
+def _remembered(word: str, lexicon: Parts) -> tuple[str, ...]:
+    return tuple(lexicon.parts(word))
 
 
-def compound_parts_local(text: str, lexicon: Lexicon) -> str:
+def compound_parts_local(text: str, lexicon: Parts) -> str:
+    if isinstance(lexicon, NoParts):
+        return ""
     words = _WORD.findall(text)
     return " ".join(dict.fromkeys(p for word in words for p in _remembered(word, lexicon)))
 
 
-def compound_parts(text: Column, lexicon: Lexicon) -> Column:
+def compound_parts(text: Column, lexicon: Parts) -> Column:
     """Distinct parts of all compounds of a text, in order of first occurrence."""
 
     @F.arrow_udf(T.StringType())
@@ -111,7 +119,7 @@ def compound_parts(text: Column, lexicon: Lexicon) -> Column:
     return run(text)
 
 
-def word_parts(word: Column, lexicon: Lexicon) -> Column:
+def word_parts(word: Column, lexicon: Parts) -> Column:
     """Parts of a single word as an array.
 
     Declared non-deterministic so that a filter on the result is not moved below a
@@ -121,7 +129,7 @@ def word_parts(word: Column, lexicon: Lexicon) -> Column:
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def run(words: pa.Array) -> pa.Array:
         return pa.array(
-            [split_compound(w or "", lexicon) for w in words.to_pylist()], pa.list_(pa.string())
+            [lexicon.parts(w or "") for w in words.to_pylist()], pa.list_(pa.string())
         )
 
     return run.asNondeterministic()(word)

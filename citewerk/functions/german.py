@@ -30,11 +30,12 @@ _FOLD = str.maketrans("UYäöü", "uyaou")
 
 def _ending(choices: Iterable[str]):
     """Finder of the longest of some endings; '' where a word has none of them."""
-    pattern = re.compile("(?:" + "|".join(choices) + r")\Z")
+    longest_first = tuple(sorted(choices, key=len, reverse=True))
 
     def find(word: str) -> str:
-        found = pattern.search(word)  # the left-most match is the longest ending
-        return found[0] if found else ""
+        if not word.endswith(longest_first):
+            return ""
+        return next(e for e in longest_first if word.endswith(e))
 
     return find
 
@@ -44,8 +45,10 @@ _step1, _step2, _step3 = map(_ending, (STEP1_SUFFIXES, STEP2_SUFFIXES, STEP3_SUF
 
 def stem(word: str) -> str:
     """Stem of one lower-case word."""
-    word = word.replace("ß", "ss")
-    word = _GLIDE.sub(lambda m: m[1] + m[2].upper() + m[3], word)
+    if "ß" in word:
+        word = word.replace("ß", "ss")
+    if "u" in word or "y" in word:
+        word = _GLIDE.sub(lambda m: m[1] + m[2].upper() + m[3], word)
     head = _REGION.match(word)
     if head is None or len(word) < 3:
         return word.translate(_FOLD)

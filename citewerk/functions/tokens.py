@@ -9,13 +9,15 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Collection, Iterable
+from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citewerk.functions.compounds import Lexicon, compound_parts_local
+from citewerk.functions.compounds import NO_PARTS, Parts, compound_parts_local
 from citewerk.functions.german import index_form, lexeme, stop_words
 
 # Words (hyphenated ones as a whole), digit-led codes, signed and dotted numbers.
@@ -26,31 +28,79 @@ _TOKEN = re.compile(
 )
 
 
-# Lines without any of these consist of plain words, which a simpler pattern finds faster.
-_SPECIAL = re.compile(r"[-\d_]")
-_WORD = re.compile(r"\w+")
+_PLAIN = re.compile(r"[^\W\d_]+")
+#: Stretches between blanks that a worker remembers, and the longest of them.
+REMEMBERED, LONGEST_REMEMBERED = 1 << 19, 64
 
 
 def tokens_of(text: str) -> list[str]:
     """Lower-case tokens in order; a hyphenated word is followed by its parts."""
-    text = text.lower()
-    if _SPECIAL.search(text) is None:
-        return _WORD.findall(text)
-    found = []
-    for line in text.split("\n"):
-        found += _WORD.findall(line) if _SPECIAL.search(line) is None else _special_tokens(line)
+    found: list[str] = []
+    for run in text.lower().split():
+        found += _run_tokens(run)
     return found
 
 
-def _special_tokens(line: str) -> list[str]:
+def _run_tokens(run: str) -> list[str]:
+    """Tokens of a stretch without blanks; no token spans a blank."""
+    if _PLAIN.fullmatch(run):
+        return [run]
     found = []
-    for token in _TOKEN.findall(line):
+    for token in _TOKEN.findall(run):
         found.append(token)
         if "-" in token and token[0].isalpha():
             found += token.split("-")
     return found
 
 
+class Vocabulary(dict):
+    """What each stretch between blanks becomes, worked out when it is first met.
+
+    Stretches repeat heavily, so a text costs one look-up for each of them; the bounds keep this
+    below some 50 MB a worker.
+    """
+
+    def __init__(self, become: Callable[[str], tuple]):
+        super().__init__()
+        self.become = become
+
+    def __missing__(self, run: str) -> tuple:
+        made = self.become(run)
+        if len(self) < REMEMBERED and len(run) <= LONGEST_REMEMBERED:
+            self[run] = made
+        return made
+
+
+@lru_cache(maxsize=4)
+def _lexeme_vocabulary(stops: frozenset[str]) -> Vocabulary:
+    return Vocabulary(lambda run: tuple(index_form(t) for t in _run_tokens(run) if t not in stops))
+
+
+@lru_cache(maxsize=4)
+def _place_vocabulary(stops: frozenset[str]) -> Vocabulary:
+    """(number of tokens, lexemes, place of each): stop words take a place, too."""
+
+    def become(run: str) -> tuple:
+        found = _run_tokens(run)
+        kept = [(n, index_form(t)) for n, t in enumerate(found) if t not in stops]
+        return len(found), tuple(w for _, w in kept), tuple(n for n, _ in kept)
+
+    return Vocabulary(become)
+
+
+def placed_lexemes(text: str, stops: frozenset[str], words: list[str], places: list[int], at: int = 0) -> int:
+    """Append the lexemes of a text and their places, counted from `at`; returns the next place."""
+    for count, found, offsets in map(_place_vocabulary(stops).__getitem__, text.lower().split()):
+        if len(found) == 1:
+            words.append(found[0])
+            places.append(at + offsets[0])
+        elif found:
+            words += found
+            places += [at + n for n in offsets]
+        at += count
+    return at
+
+
 def _string_lists(
     texts: Iterable[str | None], per_text: Callable[[str], list[str]]
 ) -> pa.ListArray:
@@ -69,13 +119,13 @@ def tokens(texts: pa.Array) -> pa.Array:
 def lexemes(text: Column, stops: Collection[str] | None = None) -> Column:
     """Stemmed tokens without stop words, repetitions kept, in order.
 
-    Each Python worker remembers the stems it has seen, so nothing is shuffled to find
-    the distinct words.
+    Each Python worker remembers what it has seen, so nothing is shuffled to find the distinct words.
     """
     stops = stop_words() if stops is None else frozenset(stops)
 
     def per_text(value: str) -> list[str]:
-        return [index_form(token) for token in tokens_of(value) if token not in stops]
+        known = _lexeme_vocabulary(stops)
+        return list(chain.from_iterable(map(known.__getitem__, value.lower().split())))
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def run(texts: pa.Array) -> pa.Array:
@@ -105,45 +155,74 @@ def lexeme_counts(lexemes_per_text: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
 
 
+ENTRIES = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("lexeme", T.StringType()),
+            T.StructField("places", T.ArrayType(T.IntegerType())),
+        ]
+    )
+)
+
+
+@F.arrow_udf(ENTRIES)
+def lexeme_places(words: pa.Array, places: pa.Array) -> pa.Array:
+    """Distinct lexemes of each text with their places in ascending order."""
+    ends, entries, at_ends, at = [0], [], [0], []
+    for found, where in zip(words.to_pylist(), places.to_pylist()):
+        of: dict[str, list[int]] = {}
+        for word, place in zip(found or (), where or ()):
+            of.setdefault(word, []).append(place)
+        entries += of
+        for own in of.values():
+            at += own
+            at_ends.append(len(at))
+        ends.append(len(entries))
+    lists = pa.ListArray.from_arrays(pa.array(at_ends, pa.int32()), pa.array(at, pa.int32()))
+    rows = pa.StructArray.from_arrays([pa.array(entries, pa.string()), lists], names=["lexeme", "places"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+
 INDEX_TERMS = T.StructType(
     [
         T.StructField("compound_terms", T.StringType()),
         T.StructField("lexemes", T.ArrayType(T.StringType())),
+        T.StructField("places", T.ArrayType(T.IntegerType())),
     ]
 )
 
 
 def index_terms(
-    heading: Column, text: Column, lexicon: Lexicon, stops: Collection[str] | None = None
+    heading: Column, text: Column, lexicon: Parts, stops: Collection[str] | None = None
 ) -> Column:
-    """struct<compound_terms, lexemes> of a chunk: the parts of its compounds, and the
-    lexemes of heading, text and those parts. One pass over the text for both.
+    """struct<compound_terms, lexemes, places> of a chunk: the parts of its compounds, and the
+    lexemes of heading, text and those parts with their places. One pass over the text for all.
     """
     stops = stop_words() if stops is None else frozenset(stops)
 
     @F.arrow_udf(INDEX_TERMS)
     def run(headings: pa.Array, texts: pa.Array) -> pa.Array:
-        terms = []
-
-        def per_text(searched: str) -> list[str]:
-            parts = compound_parts_local(searched, lexicon)
-            terms.append(parts)
-            found = tokens_of(searched)
-            if parts:
-                found += tokens_of(parts)
-            return [index_form(token) for token in found if token not in stops]
-
-        pairs = zip(headings.to_pylist(), texts.to_pylist(), strict=True)
-        lists = _string_lists([f"{h or ''} {t or ''}" for h, t in pairs], per_text)
+        terms, ends, words, places = [], [0], [], []
+        for head, body in zip(headings.to_pylist(), texts.to_pylist(), strict=True):
+            searched = f"{head or ''} {body or ''}"
+            terms.append(compound_parts_local(searched, lexicon))
+            at = placed_lexemes(searched, stops, words, places)
+            placed_lexemes(terms[-1], stops, words, places, at)
+            ends.append(len(words))
+        offsets = pa.array(ends, pa.int32())
+        lists = [
+            pa.ListArray.from_arrays(offsets, pa.array(words, pa.string())),
+            pa.ListArray.from_arrays(offsets, pa.array(places, pa.int32())),
+        ]
         return pa.StructArray.from_arrays(
-            [pa.array(terms, pa.string()), lists], names=["compound_terms", "lexemes"]
+            [pa.array(terms, pa.string()), *lists], names=["compound_terms", "lexemes", "places"]
         )
 
     return run(heading, text)
 
 
 def question_lexemes(
-    question: str, lexicon: Lexicon | None = None, stops: Collection[str] | None = None
+    question: str, lexicon: Parts = NO_PARTS, stops: Collection[str] | None = None
 ) -> list[str]:
     """Distinct lexemes of a question and of the parts of its compounds.
 
@@ -151,7 +230,7 @@ def question_lexemes(
     alternatives are formed, so a stem that is itself a stop word drops out.
     """
     stops = stop_words() if stops is None else frozenset(stops)
-    parts = compound_parts_local(question, lexicon) if lexicon else ""
+    parts = compound_parts_local(question, lexicon)
     kept: dict[str, None] = {}
     for token in tokens_of(f"{question} {parts}"):
         once = lexeme(token, stops)

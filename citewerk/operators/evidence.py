@@ -7,10 +7,11 @@ from collections.abc import Collection, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewerk.functions.compounds import Lexicon
+from citewerk.functions.compounds import NO_PARTS, Parts
 from citewerk.functions.ids import require_project_id
 from citewerk.functions.text import is_quoted, source_element
 from citewerk.functions.vectors import Encoder
+from citewerk.operators.postings import Inverted
 from citewerk.operators.retrieval import fetch_chunks, hybrid_hits
 from citewerk.schemas import CHUNK_COLUMNS, LEVELS, RISK_CATEGORIES, RISK_STATUSES, RISK_TEXT_FIELDS
 from citewerk.settings import CANDIDATES_PER_METHOD, EMBEDDING_DIM, HITS_PER_QUESTION
@@ -44,8 +45,9 @@ def collect_evidence(
     hits_per_question: int = HITS_PER_QUESTION,
     candidates: int = CANDIDATES_PER_METHOD,
     dim: int = EMBEDDING_DIM,
-    lexicon: Lexicon | None = None,
+    lexicon: Parts = NO_PARTS,
     stops: Collection[str] | None = None,
+    inverted: Inverted | None = None,
 ) -> DataFrame:
     """Chunks found by any of the questions, each once, in chronological order.
 
@@ -53,7 +55,7 @@ def collect_evidence(
     """
     require_project_id(project_id)
     hits = hybrid_hits(
-        index, project_id, questions, encoder, hits_per_question, candidates, dim, lexicon, stops
+        index, project_id, questions, encoder, hits_per_question, candidates, dim, lexicon, stops, inverted
     )
     ids = hits.select("chunk_id").distinct()
     found = fetch_chunks(index, project_id, ids, len(questions) * hits_per_question)

@@ -1,9 +1,12 @@
-"""The retrieval index: a Parquet table, one row per chunk, keyed by chunk_id.
-
-Layout: partitioned by project and `shard` (a hash of the chunk id). A search prunes
-to one project; an update rewrites only the shards it touches, so a project that
-holds a third of all rows is never rewritten as one unit. New chunks - the usual
-case - are a plain append.
+"""The retrieval index: a Parquet table, keyed by chunk_id, and the tables that belong to it.
+
+Layout: rows are partitioned by project and `shard` (a hash of the chunk id), so a search prunes to
+one project. Every write only appends: rows carry a sequence number, and what they replace or what
+is removed is noted in the narrow table `gone` (chunk_id, before: rows with a smaller number are
+dead). Readers leave dead rows out by an anti-join with that table, a broadcast as long as its
+measured bytes allow. `compact` rewrites the shards that hold dead rows and empties the table; it
+is the only step during which nobody should read. The inverted index (`operators.postings`) lies
+beside the rows, and so does the model of the compound splitter.
 """
 
 from __future__ import annotations
@@ -14,18 +17,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citewerk.functions.compounds import Lexicon
+from citewerk.functions.compounds import Parts
 from citewerk.functions.ids import require_project_id
 from citewerk.functions.text import passage_text
 from citewerk.functions.tokens import index_terms
 from citewerk.functions.vectors import Encoder, checked_embedding, embed
+from citewerk.operators import postings
 from citewerk.operators.retrieval import shard_of
 from citewerk.schemas import CHUNK_COLUMNS, INDEX
 from citewerk.settings import EMBEDDING_BATCH, EMBEDDING_DIM
 from citewerk.sources import storage
-from citewerk.sources.tables import first_per_key, is_small, missing_columns
+from citewerk.sources.tables import first_per_key, is_small, missing_columns, restrict
 
 COLUMNS = tuple(INDEX.fieldNames())
+STORED = T.StructType(
+    [*INDEX.fields, T.StructField("seq", T.LongType()), T.StructField("shard", T.IntegerType())]
+)
+GONE = T.StructType([T.StructField("chunk_id", T.StringType()), T.StructField("before", T.LongType())])
 
 
 def text_hash(heading: Column, text: Column) -> Column:
@@ -37,7 +45,7 @@ def text_hash(heading: Column, text: Column) -> Column:
 def check_index(spark: SparkSession, path: str) -> None:
     """Refuse an index written with an older layout instead of searching it silently."""
     if storage.has_data(spark, path):
-        missing = missing_columns(spark.read.parquet(path).columns, COLUMNS)
+        missing = missing_columns(spark.read.parquet(path).columns, STORED.fieldNames())
         if missing:
             raise RuntimeError(
                 f"Index {path} ist veraltet (es fehlt: {', '.join(missing)}). "
@@ -45,24 +53,62 @@ def check_index(spark: SparkSession, path: str) -> None:
             )
 
 
+def postings_path(path: str) -> str:
+    return f"{path}_postings"
+
+
+def gone_path(path: str) -> str:
+    return f"{path}_gone"
+
+
+def splitter_path(path: str) -> str:
+    return f"{path}_splitter"
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """All stored rows, dead ones too."""
+    if not storage.has_data(spark, path):
+        return spark.createDataFrame([], STORED)
+    return spark.read.schema(STORED).parquet(path).select(*STORED.fieldNames())
+
+
+def _gone(spark: SparkSession, path: str) -> DataFrame | None:
+    """chunk_id, before; null where nothing was replaced or removed since the last compaction."""
+    if not storage.has_data(spark, gone_path(path)):
+        return None
+    noted = spark.read.schema(GONE).parquet(gone_path(path))
+    return noted.groupBy("chunk_id").agg(F.max("before").alias("before"))
+
+
+def _alive(rows: DataFrame, gone: DataFrame | None, how: str = "left_anti") -> DataFrame:
+    if gone is None:
+        return rows if how == "left_anti" else rows.where(F.lit(False))
+    noted = gone.withColumnRenamed("chunk_id", "_gone")
+    side = F.broadcast(noted) if is_small(noted) else noted
+    return rows.join(side, (F.col("chunk_id") == F.col("_gone")) & (F.col("seq") < F.col("before")), how)
+
+
 def open_index(spark: SparkSession, path: str) -> DataFrame:
-    """The index, empty where nothing has been written yet."""
+    """The live rows of the index, none where nothing has been written yet."""
     check_index(spark, path)
-    if not storage.has_data(spark, path):
-        return spark.createDataFrame([], INDEX).withColumn("shard", F.lit(0))
-    stored = T.StructType([*INDEX.fields, T.StructField("shard", T.IntegerType())])
-    return spark.read.schema(stored).parquet(path).select(*COLUMNS, "shard")
+    return _alive(_stored(spark, path), _gone(spark, path))
+
+
+def open_postings(spark: SparkSession, path: str) -> postings.Inverted:
+    """The inverted index that belongs to the index at `path`."""
+    return postings.Inverted(postings.read_blocks(spark, postings_path(path)), _gone(spark, path))
 
 
 def reset_index(spark: SparkSession, path: str) -> None:
     """Drop the index. Nothing is lost: the chunks table is the source."""
-    storage.remove(spark, path)
+    for own in (path, postings_path(path), gone_path(path), splitter_path(path), _mark(path)):
+        storage.remove(spark, own)
 
 
 def index_rows(
     chunks: DataFrame,
     encoder: Encoder,
-    lexicon: Lexicon,
+    lexicon: Parts,
     dim: int = EMBEDDING_DIM,
     batch_size: int = EMBEDDING_BATCH,
     stops: Collection[str] | None = None,
@@ -75,6 +121,7 @@ def index_rows(
         .withColumn("compound_terms", F.col("_terms.compound_terms"))
         .withColumn("embedding", embed(passage_text(heading, text), encoder, dim, batch_size))
         .withColumn("lexemes", F.col("_terms.lexemes"))
+        .withColumn("places", F.col("_terms.places"))
         .drop("_terms")
         .withColumn("text_hash", text_hash(heading, text))
     )
@@ -88,7 +135,7 @@ def merge_rows(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
 def _write(rows: DataFrame, path: str, mode: str) -> None:
     """Files are ordered by chunk id, so that looking up ids can skip row groups."""
     (
-        rows.select(*COLUMNS, "shard")
+        rows.select(*STORED.fieldNames())
         .hint("rebalance", "project_id", "shard")
         .sortWithinPartitions("project_id", "shard", "chunk_id")
         .write.mode(mode)
@@ -98,17 +145,35 @@ def _write(rows: DataFrame, path: str, mode: str) -> None:
     )
 
 
-def _overwrite(spark: SparkSession, path: str, rows: DataFrame, shards: DataFrame) -> None:
-    """Replace the given shards by `rows`.
+def _mark(path: str) -> str:
+    """A file that exists while a write is under way: rows and postings may differ after a failure."""
+    return f"{path}_open_run"
+
+
+def _next_seq(spark: SparkSession, path: str) -> int:
+    stored = _stored(spark, path).agg(F.max("seq")).first()[0] or 0
+    gone = _gone(spark, path)
+    noted = gone.agg(F.max("before")).first()[0] if gone is not None else 0
+    return max(stored, noted or 0) + 1
+
+
+def _note_gone(spark: SparkSession, path: str, ids: DataFrame, seq: int, live: DataFrame) -> None:
+    """Mark the rows of `ids` (chunk_id) that are older than seq as dead."""
+    dead = restrict(live.select("project_id", "shard", "chunk_id", "lexemes"), ids, "chunk_id")
+    postings.count_out(dead, postings_path(path))
+    ids.select("chunk_id", F.lit(seq).cast("long").alias("before")).write.mode("append").parquet(gone_path(path))
 
-    A shard left without rows gets no file of its own, so it is removed explicitly.
-    """
-    emptied = shards.join(
-        rows.select("project_id", "shard").distinct(), ["project_id", "shard"], "left_anti"
-    )
-    _write(rows, path, "overwrite")
-    for row in emptied.toLocalIterator():
-        storage.remove(spark, f"{path}/project_id={row.project_id}/shard={row.shard}")
+
+def _begin(spark: SparkSession, path: str) -> None:
+    if storage.exists(spark, _mark(path)):
+        rebuild_postings(spark, path)
+    storage.mark(spark, _mark(path))
+
+
+def rebuild_postings(spark: SparkSession, path: str) -> None:
+    """Write the inverted index anew from the live rows, as after a write that did not end."""
+    storage.remove(spark, postings_path(path))
+    postings.replace(open_index(spark, path), postings_path(path))
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, dim: int | None = None) -> int:
@@ -116,9 +181,10 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, dim: int | None = No
 
     With `dim`, a vector of another length fails the job before anything is stored.
 
-    `rows` is written to a staging table first: it is computed once (encoding is the
-    expensive part), and if the job dies while shards are replaced, the staged rows are
-    still there. Readers must not run while shards are being replaced.
+    `rows` is written to a staging table first, so it is computed once (encoding is the expensive
+    part). What is stored grows by the rows given, whatever they replace. A run that dies leaves a
+    mark, and the next one writes the inverted index anew before it goes on; replaced chunks whose
+    new rows were not written count as not indexed.
     """
     staged_path = storage.staging_path(spark, path)
     if dim is not None:
@@ -128,53 +194,55 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, dim: int | None = No
     staged = spark.read.parquet(f"{staged_path}/rows")
     count = staged.count()
     if count:
+        check_index(spark, path)
+        _begin(spark, path)
         # Whether ids repeat is asked on narrow rows; the wide rows are regrouped only then.
         ids = staged.groupBy("chunk_id").count()
         repeated = not ids.where("count > 1").isEmpty()
         unique = first_per_key(staged, "chunk_id", ["document_id", "index"]) if repeated else staged
-        current = open_index(spark, path)
-        known = current.select("chunk_id", "project_id", "shard").join(
-            unique.select("chunk_id"), "chunk_id", "left_semi"
-        )
-        if known.isEmpty():
-            _write(unique, path, "append")
-        else:
-            _replace(spark, path, current, known, unique, staged_path)
+        live = open_index(spark, path)
+        restrict(live.select("chunk_id"), unique, "chunk_id").write.parquet(f"{staged_path}/known")
+        known = spark.read.parquet(f"{staged_path}/known")
+        seq = _next_seq(spark, path)
+        if not known.isEmpty():
+            _note_gone(spark, path, known, seq, live)
+        fresh = unique.withColumn("seq", F.lit(seq).cast("long"))
+        postings.append(fresh, postings_path(path))
+        _write(fresh, path, "append")
+        storage.remove(spark, _mark(path))
     storage.remove(spark, staged_path)
     return count
 
 
-def _replace(
-    spark: SparkSession,
-    path: str,
-    current: DataFrame,
-    known: DataFrame,
-    batch: DataFrame,
-    staged_path: str,
-) -> None:
-    """Rewrite the shards that hold a replaced row, append the rest.
+def compact(spark: SparkSession, path: str) -> int:
+    """Rewrite the shards that hold dead rows, and forget what was noted; returns the dead rows.
 
-    The key of a row never changes its shard but its project may differ, so the shards
-    of both the old and the new row count as touched.
+    The live rows of these shards are staged first, so a run that dies can be repeated.
     """
+    gone = _gone(spark, path)
+    if gone is None:
+        return 0
+    _begin(spark, path)
+    staged_path = storage.staging_path(spark, path)
     where = ["project_id", "shard"]
-    touched = known.select(*where).union(
-        batch.join(known.select("chunk_id"), "chunk_id", "left_semi").select(*where)
-    ).distinct()
-    touched.write.parquet(f"{staged_path}/touched")
+    stored = _stored(spark, path)
+    dead = _alive(stored.select("chunk_id", "seq", *where), gone, "left_semi")
+    dead.groupBy(*where).count().write.parquet(f"{staged_path}/touched")
     touched = spark.read.parquet(f"{staged_path}/touched")
-    side = F.broadcast(touched) if is_small(touched) else touched
-    merged = merge_rows(
-        current.join(side, where, "left_semi"), batch.join(side, where, "left_semi"), "chunk_id"
-    )
-    merged.write.parquet(f"{staged_path}/merged")
-    merged = spark.read.parquet(f"{staged_path}/merged")
-    rest = batch.join(side, where, "left_anti")
-    rest.write.parquet(f"{staged_path}/rest")
-    _overwrite(spark, path, merged, touched)
-    rest = spark.read.parquet(f"{staged_path}/rest")
-    if not rest.isEmpty():
-        _write(rest, path, "append")
+    side = F.broadcast(touched.select(*where)) if is_small(touched) else touched.select(*where)
+    _alive(stored.join(side, where, "left_semi"), gone).write.parquet(f"{staged_path}/kept")
+    kept = spark.read.parquet(f"{staged_path}/kept")
+    emptied = touched.join(kept.select(*where).distinct(), where, "left_anti")
+    _write(kept, path, "overwrite")
+    postings.replace(kept, postings_path(path))
+    for row in emptied.toLocalIterator():  # a shard without rows gets no file of its own
+        for own in (path, postings_path(path)):
+            storage.remove(spark, f"{own}/project_id={row.project_id}/shard={row.shard}")
+    number = touched.agg(F.sum("count")).first()[0] or 0
+    storage.remove(spark, gone_path(path))
+    storage.remove(spark, _mark(path))
+    storage.remove(spark, staged_path)
+    return number
 
 
 def known_ids(index: DataFrame, project_id: str | None = None) -> DataFrame:
@@ -207,23 +275,15 @@ def stale_ids(index: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def prune_index(spark: SparkSession, path: str, chunks: DataFrame) -> int:
-    """Remove stale rows; returns their number. Rewrites only the shards that hold one."""
-    current = open_index(spark, path)
+    """Remove rows whose chunk is gone; returns their number. Notes their ids and rewrites nothing."""
+    live = open_index(spark, path)
     staged_path = storage.staging_path(spark, path)
-    where = ["project_id", "shard"]
-    current.join(stale_ids(current, chunks), "chunk_id", "left_semi").select(
-        "chunk_id", *where
-    ).write.parquet(f"{staged_path}/stale")
+    stale_ids(live, chunks).write.parquet(f"{staged_path}/stale")
     stale = spark.read.parquet(f"{staged_path}/stale")
     count = stale.count()
     if count:
-        shards = stale.select(*where).distinct()
-        side = F.broadcast(shards) if is_small(shards) else shards
-        kept = current.join(side, where, "left_semi").join(
-            stale.select("chunk_id"), "chunk_id", "left_anti"
-        )
-        kept.write.parquet(f"{staged_path}/kept")
-        kept = spark.read.parquet(f"{staged_path}/kept")
-        _overwrite(spark, path, kept, shards)
+        _begin(spark, path)
+        _note_gone(spark, path, stale, _next_seq(spark, path), live)
+        storage.remove(spark, _mark(path))
     storage.remove(spark, staged_path)
     return count

@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citewerk.functions.compounds import Lexicon, building_lexicon
+from citewerk.functions.compounds import NO_PARTS, Parts
 from citewerk.functions.ids import require_project_id
 from citewerk.functions.tokens import lexeme_counts, question_lexemes
 from citewerk.functions.vectors import Encoder, as_matrix, cosine_table, embed_query
+from citewerk.operators.postings import SCORERS, Inverted, any_word
+from citewerk.operators.ranking import CANDIDATES, POSITION_WEIGHT, ranked
 from citewerk.schemas import CHUNK_COLUMNS
 from citewerk.settings import (
     CANDIDATES_PER_METHOD,
@@ -31,11 +33,8 @@ from citewerk.settings import (
     SEARCH_LIMIT,
 )
 
-# Weight of one matching position in a cover-density rank (default class).
-POSITION_WEIGHT = 0.1
 # Similarities closer than this are equal; below it, only summation order differs.
 SIMILARITY_DIGITS = 12
-MERGE_PARTS = 64
 # Found ids, proven by questions x limit to be at most so many, are broadcast.
 BROADCAST_HITS = 10_000
 # Parts of the index within a project.
@@ -46,9 +45,6 @@ def shard_of(chunk_id: Column) -> Column:
     return F.pmod(F.xxhash64(chunk_id), F.lit(SHARDS)).cast("int")
 
 
-_TEXT_CANDIDATES = "question_no int, chunk_id string, text_score double, text_rank int"
-
-
 def in_project(index: DataFrame, project_id: str) -> DataFrame:
     return index.where(F.col("project_id") == require_project_id(project_id))
 
@@ -149,28 +145,6 @@ def _candidate_type(score: str) -> T.StructType:
     )
 
 
-def ranked(rows: DataFrame, score: str, rank: str, k: int) -> DataFrame:
-    """The k best rows per question with their 1-based rank.
-
-    Catalyst turns each filter on a row number into a window group limit that cuts every
-    map-side partition to k rows per group before the shuffle. A question is cut in
-    `MERGE_PARTS` parts first: the lists of very many scan partitions would otherwise meet
-    in one task.
-    """
-    best = [F.desc_nulls_last(score), F.asc("chunk_id")]
-    part = F.pmod(F.spark_partition_id(), F.lit(MERGE_PARTS))
-    within = Window.partitionBy("question_no", "_part").orderBy(*best)
-    overall = Window.partitionBy("question_no").orderBy(*best)
-    return (
-        rows.withColumn("_part", part)
-        .withColumn("_place", F.row_number().over(within))
-        .where(F.col("_place") <= k)
-        .drop("_part", "_place")
-        .withColumn(rank, F.row_number().over(overall))
-        .where(F.col(rank) <= k)
-    )
-
-
 def vector_candidates(
     index: DataFrame, project_id: str, vectors: Sequence[Sequence[float]], k: int
 ) -> DataFrame:
@@ -199,7 +173,7 @@ def text_candidates(
     """
     asked = [list(words) for words in questions]
     if not any(asked):
-        return index.sparkSession.createDataFrame([], _TEXT_CANDIDATES)
+        return index.sparkSession.createDataFrame([], CANDIDATES)
     # No filter on the lexemes: where they come from a UDF, it would run a second time.
     rows = in_project(index, project_id).select(F.col("chunk_id").cast("string"), "lexemes")
     best = _partition_top_k(_lexeme_scores(asked), len(asked), k, "text_score")
@@ -214,14 +188,13 @@ def matches_all(lexemes: Column, wanted: Sequence[str]) -> Column:
     )
 
 
-# ---------------------------------------------------------------- inverted index
+# ---------------------------------------------------------------- postings of rows at hand
 
 
 def postings(index: DataFrame) -> DataFrame:
     """project_id, lexeme, chunk_id, positions: one row per distinct lexeme of a chunk.
 
-    A chunk is one row, so its lexemes are counted where it lies, without a shuffle. The
-    shard of a stored index is kept.
+    A chunk is one row, so its lexemes are counted where it lies, without a shuffle.
     """
     place = [c for c in ("project_id", "shard") if c in index.columns]
     counted = index.select(*place, "chunk_id", lexeme_counts("lexemes").alias("entries"))
@@ -232,49 +205,6 @@ def postings(index: DataFrame) -> DataFrame:
     )
 
 
-def write_postings(index: DataFrame, path: str) -> None:
-    """Store the inverted index, ordered by lexeme within a project and shard.
-
-    Replaces the shards that `index` has rows of and no others, so after an update it is
-    enough to pass the shards concerned. Range partitioning includes the chunk, so a
-    frequent lexeme is split over files; the order lets Parquet statistics skip the row
-    groups of other lexemes.
-    """
-    order = ["project_id", "shard", "lexeme", "chunk_id"]
-    (
-        postings(index)
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("project_id", "shard")
-        .parquet(path)
-    )
-
-
-def text_candidates_from_postings(
-    inverted: DataFrame, project_id: str, questions: Sequence[Sequence[str]], k: int
-) -> DataFrame:
-    """The same list as `text_candidates`, reading only the lexemes asked for."""
-    asked: dict[str, list[int]] = {}
-    for number, words in enumerate(questions):
-        for word in words:
-            asked.setdefault(word, []).append(number)
-    if not asked:
-        return inverted.sparkSession.createDataFrame([], _TEXT_CANDIDATES)
-    askers = F.create_map(
-        *[c for w, ns in asked.items() for c in (F.lit(w), F.array(*[F.lit(n) for n in ns]))]
-    )
-    scored = (
-        in_project(inverted, project_id)
-        .where(F.col("lexeme").isin(list(asked)))
-        .select("chunk_id", "positions", F.explode(askers[F.col("lexeme")]).alias("question_no"))
-        .groupBy("question_no", "chunk_id")
-        .agg((F.sum("positions") * F.lit(POSITION_WEIGHT)).alias("text_score"))
-    )
-    return ranked(scored, "text_score", "text_rank", k)
-
-
 # ---------------------------------------------------------------- fusion
 
 
@@ -349,15 +279,26 @@ def text_search(
     project_id: str,
     question: str,
     limit: int,
-    lexicon: Lexicon | None = None,
+    lexicon: Parts = NO_PARTS,
     stops: Collection[str] | None = None,
+    inverted: Inverted | None = None,
+    scorer: str = "any",
 ) -> DataFrame:
-    """Chunks of one project by full text, words joined by OR, best first."""
+    """Chunks of one project by full text, best first.
+
+    Scorers: `any` (words joined by OR), and over the stored postings `all` (joined by AND, by
+    cover density) and `bm25`.
+    """
     require_project_id(project_id)
-    words = question_lexemes(question, lexicon or building_lexicon(), stops)
-    found = text_candidates(index, project_id, [words], limit).drop("question_no")
+    words = question_lexemes(question, lexicon, stops)
+    if inverted is not None:
+        found = SCORERS[scorer](inverted, project_id, [words], limit)
+    elif scorer == "any":
+        found = text_candidates(index, project_id, [words], limit)
+    else:
+        raise ValueError(f"Scorer {scorer} needs the stored postings")
     return (
-        fetch_chunks(index, project_id, found, limit)
+        fetch_chunks(index, project_id, found.drop("question_no"), limit)
         .orderBy("text_rank")
         .select(*CHUNK_COLUMNS, F.col("text_score").alias("rank"))
     )
@@ -371,22 +312,21 @@ def hybrid_hits(
     limit: int,
     candidates: int = CANDIDATES_PER_METHOD,
     dim: int = EMBEDDING_DIM,
-    lexicon: Lexicon | None = None,
+    lexicon: Parts = NO_PARTS,
     stops: Collection[str] | None = None,
-    inverted: DataFrame | None = None,
+    inverted: Inverted | None = None,
 ) -> DataFrame:
     """Fused hits of several questions in one plan: one vector scan, one text scan.
 
-    With `inverted`, the stored postings, the text list reads only the lexemes asked for.
+    With `inverted`, the stored postings, the text list reads only blocks that matter.
     """
     require_project_id(project_id)
-    lexicon = lexicon or building_lexicon()
     vectors = [embed_query(q, encoder, dim) for q in questions]
     words = [question_lexemes(q, lexicon, stops) for q in questions]
     if inverted is None:
         by_text = text_candidates(index, project_id, words, candidates)
     else:
-        by_text = text_candidates_from_postings(inverted, project_id, words, candidates)
+        by_text = any_word(inverted, project_id, words, candidates)
     return fuse(vector_candidates(index, project_id, vectors, candidates), by_text, limit)
 
 
@@ -399,9 +339,9 @@ def search(
     limit: int = SEARCH_LIMIT,
     candidates: int = CANDIDATES_PER_METHOD,
     dim: int = EMBEDDING_DIM,
-    lexicon: Lexicon | None = None,
+    lexicon: Parts = NO_PARTS,
     stops: Collection[str] | None = None,
-    inverted: DataFrame | None = None,
+    inverted: Inverted | None = None,
 ) -> DataFrame:
     """Hybrid search in one project: chunk columns, score, vector_rank, text_rank."""
     hits = hybrid_hits(

@@ -16,10 +16,11 @@ from itertools import groupby
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citewerk.functions.compounds import Lexicon, building_lexicon
+from citewerk.functions.compounds import NO_PARTS, Parts
 from citewerk.functions.tokens import question_lexemes
 from citewerk.functions.vectors import Encoder, embed_query
 from citewerk.operators import evaluation as ev
+from citewerk.operators.postings import Inverted, any_word
 from citewerk.operators.retrieval import (
     fetch_chunks,
     fuse,
@@ -73,13 +74,13 @@ def evaluate_search(
     k: int = SEARCH_LIMIT,
     candidates: int = CANDIDATES_PER_METHOD,
     dim: int = EMBEDDING_DIM,
-    lexicon: Lexicon | None = None,
+    lexicon: Parts = NO_PARTS,
+    inverted: Inverted | None = None,
 ) -> DataFrame:
     """Recall@k per case and method: method, label, kind, hits, expected, recall.
 
     All cases of a project are answered by one plan.
     """
-    lexicon = lexicon or building_lexicon()
     spark = index.sparkSession
     found = []
     ordered = sorted(cases, key=lambda c: c.project_id)
@@ -89,7 +90,10 @@ def evaluate_search(
         words = [question_lexemes(c.question, lexicon) for c in asked]
         depth = max(k, candidates)
         by_vector = vector_candidates(index, project_id, vectors, depth)
-        by_text = text_candidates(index, project_id, words, depth)
+        if inverted is None:
+            by_text = text_candidates(index, project_id, words, depth)
+        else:
+            by_text = any_word(inverted, project_id, words, depth)
         # The hybrid list is fused from its own number of candidates, whatever k is.
         fused = fuse(
             by_vector.where(F.col("vector_rank") <= candidates),

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citewerk.functions.chunking import SPAN_TYPE, with_spans
-from citewerk.functions.compounds import Lexicon, building_lexicon
+from citewerk.functions.compounds import Parts
 from citewerk.functions.ids import require_project_id
 from citewerk.functions.text import nfc
 from citewerk.functions.vectors import Encoder
 from citewerk.operators.chunks import explode_chunks
-from citewerk.operators.index import index_rows, open_index, pending_ids, upsert
+from citewerk.operators import splitter
+from citewerk.operators.index import index_rows, open_index, pending_ids, splitter_path, upsert
 from citewerk.operators.segments import SEGMENT_STRUCT, explode_segments, segments_of
 from citewerk.schemas import DOCUMENTS
 from citewerk.settings import (
@@ -190,7 +191,7 @@ def index_chunks(
     project_id: str | None = None,
     batch_size: int = EMBEDDING_BATCH,
     dim: int = EMBEDDING_DIM,
-    lexicon: Lexicon | None = None,
+    lexicon: Parts | None = None,
     commits: int = 1,
     stops: Collection[str] | None = None,
     compare_texts: bool = False,
@@ -200,6 +201,9 @@ def index_chunks(
     The encoder is not called where nothing is pending. Ids are compared as narrow rows;
     chunk texts stay where they were read. A long run can be stored in several `commits`:
     if it is aborted, the next run goes on after the last one.
+
+    Without a `lexicon` compounds are split by the model stored with the index; a first run learns
+    it from all chunks.
     """
     chunks = read_table(spark, tables_dir, "chunks", project_id)
     index = open_index(spark, index_path)
@@ -211,9 +215,21 @@ def index_chunks(
     pending = spark.read.parquet(f"{staging}/pending")
     waiting = pending.count()
     share = F.pmod(F.xxhash64("chunk_id", F.lit("commit")), F.lit(commits))
+    if waiting and lexicon is None:
+        lexicon = stored_splitter(spark, index_path, chunks)
     for number in range(commits if waiting else 0):
         due = restrict(chunks, pending.where(share == number), "chunk_id")
-        rows = index_rows(due, encoder, lexicon or building_lexicon(), dim, batch_size, stops)
+        rows = index_rows(due, encoder, lexicon, dim, batch_size, stops)
         upsert(spark, index_path, rows)
     storage.remove(spark, staging)
     return IndexResult(embedded=waiting, skipped=total - waiting)
+
+
+def stored_splitter(spark: SparkSession, index_path: str, chunks: DataFrame | None = None) -> splitter.Splitter:
+    """The splitter that belongs to an index, for building it and for asking it; where there is none
+    yet, it is learnt from `chunks` and stored."""
+    path = splitter_path(index_path)
+    if chunks is not None and not storage.has_data(spark, path):
+        said = F.concat_ws(" ", "heading", "text")
+        splitter.save(splitter.learn(splitter.distinct_words(chunks, said)), path)
+    return splitter.splitter(splitter.load(spark, path))

@@ -17,7 +17,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewerk.functions.compounds import Lexicon
+from citewerk.functions.compounds import NO_PARTS, Parts
 from citewerk.functions.ids import is_project_id, require_project_id
 from citewerk.functions.text import citation, collapse_whitespace
 from citewerk.functions.vectors import Encoder
@@ -31,6 +31,7 @@ from citewerk.operators.evidence import (
     source_blocks,
     value_problems,
 )
+from citewerk.operators.postings import Inverted
 from citewerk.schemas import ANALYSIS, CHUNKS, REPORT
 from citewerk.settings import EMBEDDING_DIM, GENERATOR_RETRIES
 from citewerk.sources import storage
@@ -158,10 +159,11 @@ def create_report(
     generator: Generator,
     retries: int = GENERATOR_RETRIES,
     dim: int = EMBEDDING_DIM,
-    lexicon: Lexicon | None = None,
+    lexicon: Parts = NO_PARTS,
+    inverted: Inverted | None = None,
 ) -> dict:
     evidence = collect_evidence(
-        index, project_id=project_id, encoder=encoder, dim=dim, lexicon=lexicon
+        index, project_id=project_id, encoder=encoder, dim=dim, lexicon=lexicon, inverted=inverted
     )
     return analyze(evidence, project_id=project_id, generator=generator, retries=retries)
 

@@ -5,6 +5,6 @@ Each module fills the registry through `query`.
 """
 
 from citewerk.queries.registry import ORACLES, QUERIES
-from citewerk.queries import chunking, documents, fulltext, reports, sql_examples, vectors  # noqa: F401, E402
+from citewerk.queries import chunking, documents, fulltext, reports, splitting, sql_examples, vectors  # noqa: F401, E402
 
 __all__ = ["ORACLES", "QUERIES"]

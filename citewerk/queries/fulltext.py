@@ -7,29 +7,12 @@ from pyspark.sql import functions as F
 from citewerk.functions import german
 from citewerk.functions.compounds import Lexicon, compound_parts, word_parts
 from citewerk.functions.tokens import lexemes, question_lexemes, tokens
-from citewerk.operators.retrieval import (
-    matches_all,
-    postings,
-    text_candidates,
-    text_candidates_from_postings,
-)
+from citewerk.operators.postings import all_words, any_word, bm25
+from citewerk.operators.retrieval import matches_all, postings, text_candidates
 from citewerk.plans.sample_views import table, view
+from citewerk.queries.fixtures import PARTS, QUESTIONS, SEARCHED, STOPS, stored_index
 from citewerk.queries.registry import query
 
-STOPS = ("der", "die", "das", "und", "in", "zu", "von", "mit", "the", "of", "and", "to")
-PARTS = (
-    "heit", "keit", "ung", "lich", "ver", "sch", "ein", "ent", "ing", "tion", "ment", "ach", "gen",
-    "enst", "ieren", "auch", "that", "tive", "lichkeit", "enheit", "erung", "einung",
-)
-
-# The questions; each is a handful of words, as a user would ask.
-QUESTIONS = (
-    "Verkeit und die Genehmigungen",
-    "erung lichen schkeit enheit über",
-    "the nation and inghere",
-)
-SEARCHED = "DOC-1"
-
 TOKENS_SQL = r"""
     list_reduce(list_concat([['']], list_transform(
         regexp_extract_all(lower({t}),
@@ -184,9 +167,12 @@ def text_vectors(spark, folder):
     )
 
 
+def words_sql(questions: list[list[str]]) -> str:
+    return ", ".join(f"({n}, '{w}')" for n, words in enumerate(questions) for w in words)
+
+
 def question_rows_sql() -> str:
-    rows = [(n, w) for n, words in enumerate(asked()) for w in words]
-    return ", ".join(f"({n}, '{w}')" for n, w in rows)
+    return words_sql(asked())
 
 
 RANKED_SQL = f"""
@@ -214,8 +200,82 @@ def fulltext_top_k(spark, folder):
 
 @query(RANKED_SQL, "corpus")
 def fulltext_top_k_from_postings(spark, folder):
-    inverted = postings(lexed_corpus(spark, folder))
-    found = text_candidates_from_postings(inverted, SEARCHED, asked(), 30)
+    """The same lists from stored blocks, of which only those that may hold a best chunk are read."""
+    found = any_word(stored_index(spark, folder, None).inverted, SEARCHED, asked(), 30)
+    return found.select("question_no", "chunk_id", F.round("text_score", 6).alias("text_score"), "text_rank")
+
+
+# Questions of several words, joined by AND.
+PHRASES = ("the nation", "erung und über", "and inghere the", "der in")
+
+
+def phrases() -> list[list[str]]:
+    return [question_lexemes(q, stops=STOPS) for q in PHRASES]
+
+
+@query(
+    f"""
+    WITH {SOURCE_SQL}, {lexemes_sql("source")},
+    wanted(question_no, lexeme) AS (VALUES {words_sql(phrases())}),
+    needed AS (SELECT question_no, count(*) AS words FROM wanted GROUP BY 1),
+    said AS (
+        SELECT w.question_no, x.id, x.place, x.lexeme,
+               row_number() OVER (PARTITION BY w.question_no, x.id ORDER BY x.place) AS nth
+        FROM lexed x JOIN wanted w USING (lexeme) JOIN source s ON s.id = x.id
+        WHERE s.project_id = '{SEARCHED}'
+    ), last AS (
+        SELECT e.question_no, e.id, e.place AS q, e.nth, w.lexeme,
+               (SELECT max(b.place) FROM said b WHERE b.question_no = e.question_no AND b.id = e.id
+                AND b.lexeme = w.lexeme AND b.place <= e.place) AS p
+        FROM said e JOIN wanted w ON e.question_no = w.question_no
+    ), ends AS (
+        SELECT question_no, id, q, nth, min(p) AS p
+        FROM last JOIN needed USING (question_no) WHERE p IS NOT NULL
+        GROUP BY question_no, id, q, nth, words HAVING count(*) = words
+    ), covers AS (
+        SELECT question_no, id, p, min(q) AS q, min(nth) AS nth FROM ends GROUP BY 1, 2, 3
+    ), scored AS (
+        SELECT c.question_no, c.id AS chunk_id,
+               round(sum(0.1 / (1 + c.q - c.p - (c.nth - s.nth))), 6) AS text_score
+        FROM covers c JOIN said s ON s.question_no = c.question_no AND s.id = c.id AND s.place = c.p
+        GROUP BY 1, 2
+    )
+    SELECT question_no, chunk_id, text_score FROM scored
+    """,
+    "corpus",
+)
+def cover_density_ranks(spark, folder):
+    """Every chunk that holds all words of a question, by cover density from stored places."""
+    found = all_words(stored_index(spark, folder, None).inverted, SEARCHED, phrases(), 1 << 30)
+    return found.select("question_no", "chunk_id", F.round("text_score", 6).alias("text_score"))
+
+
+@query(
+    f"""
+    WITH {SOURCE_SQL}, {lexemes_sql("source")},
+    wanted(question_no, lexeme) AS (VALUES {question_rows_sql()}),
+    own AS (SELECT id, lexeme FROM lexed JOIN source USING (id) WHERE project_id = '{SEARCHED}'),
+    whole AS (
+        SELECT (SELECT count(*) FROM source WHERE project_id = '{SEARCHED}') AS chunks, count(*) AS total FROM own
+    ), size AS (SELECT id, count(*) AS size FROM own GROUP BY 1),
+    df AS (SELECT lexeme, count(DISTINCT id) AS n FROM own GROUP BY 1),
+    tf AS (SELECT id, lexeme, count(*) AS c FROM own GROUP BY 1, 2),
+    scored AS (
+        SELECT question_no, id AS chunk_id, sum(
+            ln(1 + (chunks - n + 0.5) / (n + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * size * chunks / total))
+        ) AS text_score
+        FROM tf JOIN wanted USING (lexeme) JOIN df USING (lexeme) JOIN size USING (id), whole GROUP BY 1, 2
+    ), ranked AS (
+        SELECT question_no, chunk_id, round(text_score, 6) AS text_score, row_number() OVER (
+            PARTITION BY question_no ORDER BY round(text_score, 9) DESC, chunk_id) AS text_rank
+        FROM scored
+    )
+    SELECT * FROM ranked WHERE text_rank <= 30
+    """,
+    "corpus",
+)
+def bm25_top_k(spark, folder):
+    found = bm25(stored_index(spark, folder, None).inverted, SEARCHED, asked(), 30)
     return found.select("question_no", "chunk_id", F.round("text_score", 6).alias("text_score"), "text_rank")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citewerk.functions.compounds import Lexicon
-from citewerk.functions.tokens import index_terms, question_lexemes
+from citewerk.functions.tokens import question_lexemes
 from citewerk.functions.vectors import cosine_similarity
 from citewerk.operators.evidence import collect_evidence
 from citewerk.operators.index import index_rows
@@ -16,15 +16,8 @@ from citewerk.operators.retrieval import (
     vector_candidates,
 )
 from citewerk.plans.sample_views import table, view
-from citewerk.queries.fulltext import (
-    PARTS,
-    QUESTIONS,
-    SEARCHED,
-    STOPS,
-    WORDS_SQL,
-    compounds_sql,
-    lexemes_sql,
-)
+from citewerk.queries.fixtures import PARTS, QUESTIONS, SEARCHED, STOPS, corpus_chunks, stored_index
+from citewerk.queries.fulltext import WORDS_SQL, compounds_sql, lexemes_sql
 from citewerk.queries.registry import query
 from citewerk.schemas import CHUNK_COLUMNS
 
@@ -163,32 +156,6 @@ INDEX_TEXT_SQL = f"""
     ), {lexemes_sql("source")}"""
 
 
-def corpus_chunks(corpus, *further: str):
-    """Rows of the corpus view with the columns of the chunks table."""
-    made = {
-        "segment_id": F.col("document_id"),
-        "index": F.col("position").cast("int"),
-        "char_start": F.lit(0),
-        "char_end": F.length("text"),
-        "source_path": F.col("file_name"),
-        "page_no": F.lit(None).cast("int"),
-    }
-    return corpus.select(
-        *[made[c].alias(c) if c in made else F.col(c) for c in CHUNK_COLUMNS], *further
-    )
-
-
-def full_index(spark, folder):
-    """Documents as an index: text of every row, vectors where a row has one."""
-    embeddings = table(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("doc_id"), "embedding"
-    )
-    corpus = view(spark, folder, "corpus")
-    terms = index_terms(F.col("heading"), F.col("text"), Lexicon(PARTS), STOPS)
-    lexed = corpus.withColumn("lexemes", terms["lexemes"])
-    return corpus_chunks(lexed.join(embeddings, "doc_id", "left"), "lexemes", "embedding")
-
-
 class TextShape:
     """An encoder whose vectors can be told from the text: length, letters e, blanks."""
 
@@ -283,8 +250,9 @@ def encoder(spark, folder):
     "corpus",
 )
 def hybrid_hits_batch(spark, folder):
+    stored = stored_index(spark, folder, PARTS)
     hits = hybrid_hits(
-        full_index(spark, folder),
+        stored.rows,
         SEARCHED,
         QUESTIONS,
         encoder(spark, folder),
@@ -292,6 +260,7 @@ def hybrid_hits_batch(spark, folder):
         dim=DIM,
         lexicon=Lexicon(PARTS),
         stops=STOPS,
+        inverted=stored.inverted,
     )
     return hits.withColumn("score", F.round("score", 9)).select(
         "question_no", "chunk_id", "score", "vector_rank", "text_rank", "hit_rank"
@@ -309,14 +278,16 @@ def hybrid_hits_batch(spark, folder):
     "corpus",
 )
 def hybrid_search(spark, folder):
+    stored = stored_index(spark, folder, PARTS)
     hits = search(
-        full_index(spark, folder),
+        stored.rows,
         project_id=SEARCHED,
         question=QUESTIONS[0],
         encoder=encoder(spark, folder),
         dim=DIM,
         lexicon=Lexicon(PARTS),
         stops=STOPS,
+        inverted=stored.inverted,
     )
     return hits.select(
         "chunk_id",
@@ -340,14 +311,16 @@ def hybrid_search(spark, folder):
     "corpus",
 )
 def evidence_collection(spark, folder):
+    stored = stored_index(spark, folder, PARTS)
     found = collect_evidence(
-        full_index(spark, folder),
+        stored.rows,
         project_id=SEARCHED,
         encoder=encoder(spark, folder),
         questions=QUESTIONS,
         dim=DIM,
         lexicon=Lexicon(PARTS),
         stops=STOPS,
+        inverted=stored.inverted,
     )
     assert tuple(found.columns) == CHUNK_COLUMNS
     return found.select("chunk_id", "document_date", "file_name", "index", "locator", "text")

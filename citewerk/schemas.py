@@ -68,6 +68,7 @@ INDEX = T.StructType(
         T.StructField("compound_terms", _S, False),
         T.StructField("embedding", T.ArrayType(T.FloatType(), False), True),
         T.StructField("lexemes", T.ArrayType(_S, False), False),
+        T.StructField("places", T.ArrayType(T.IntegerType(), False), False),
         T.StructField("text_hash", _S, False),
     ]
 )
