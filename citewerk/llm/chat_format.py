@@ -14,7 +14,11 @@ Defined results: null role or text counts as empty; a null score as 0; equal bra
 the leaf id that is smaller as text; a message whose parent is not in its tree is a root; messages that repeat
 (tree, node) are one message, the greatest by (parent, role, text); messages on or below a cycle
 of replies have no root and belong to no path; an empty table gives an empty result.
-The whole of one conversation is one row of the result, so it is put together in one task.
+
+The result has one row for each turn, in order of `place`, and a conversation is their texts put
+together: however long it is, formatting and reading back go through it turn by turn and hold one
+batch of turns. Digests need the turns of a conversation in order, so these lie in one partition,
+sorted outside of memory. `whole` puts conversations into single rows for those who know them short.
 """
 
 from __future__ import annotations
@@ -48,18 +52,11 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-def format_turns(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
-    """The formatted conversation and the spans that count for the loss."""
-    out: list[str] = []
-    spans, at = [], 0
-    for role, text in turns:
-        head = TURN + escape(role).replace("\n", "\\\n") + "\n"
-        body = escape(text)
-        if role == "assistant":
-            spans.append((at + len(head), at + len(head) + len(body)))
-        out += (head, body, END, "\n")
-        at += len(head) + len(body) + len(END) + 1
-    return "".join(out), spans
+def format_turn(role: str, text: str) -> tuple[str, int, int]:
+    """A formatted turn and where the text stands in it, escaped."""
+    head = TURN + escape(role).replace("\n", "\\\n") + "\n"
+    body = escape(text)
+    return head + body + END + "\n", len(head), len(head) + len(body)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -136,8 +133,11 @@ def format_trees(
     score_col: str = "score",
     branches: int = 1,
 ) -> DataFrame:
-    """One row for each chosen path: tree id, leaf, branch_rank, branch_score, n_turns,
-    formatted, loss_spans."""
+    """One row for each turn of each chosen path: tree id, leaf, branch_rank, branch_score, place, formatted,
+    loss_start, loss_end (code points of the whole conversation; null where nothing counts for the loss).
+
+    The turns of a conversation lie in one partition in their order.
+    """
     columns = {
         "tree": _key(F.col(f"`{tree_col}`")),
         "node": _key(F.col(f"`{node_col}`")),
@@ -156,78 +156,114 @@ def format_trees(
     turns = (
         paths.join(best, ["tree", "leaf"])
         .join(rows.select("tree", "node", "id", "role", "text"), ["tree", "node"])
-        .groupBy("tree", "leaf")
-        .agg(
-            F.first("id").alias("id"),
-            F.first("branch_rank").alias("branch_rank"),
-            F.first("branch_score").alias("branch_score"),
-            F.sort_array(F.collect_list(F.struct("up", "role", "text")), asc=False).alias("turns"),
-        )
+        .select("tree", "leaf", "id", "branch_rank", "branch_score", "up", "role", "text")
+        .repartition("tree", "leaf")
+        .sortWithinPartitions("tree", "leaf", F.desc("up"))
     )
+    kind = messages.schema[tree_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 128):
-            made = [
-                format_turns([(t["role"], t["text"]) for t in turns])
-                for turns in batch.column("turns").to_pylist()
-            ]
+        own, place, at = None, 0, 0
+        for batch in pieces(batches, 512):
+            rows = []
+            keys = zip(batch.column("tree").to_pylist(), batch.column("leaf").to_pylist())
+            said = zip(keys, batch.column("role").to_pylist(), batch.column("text").to_pylist())
+            for key, role, text in said:
+                if key != own:
+                    own, place, at = key, 0, 0
+                turn, start, end = format_turn(role, text)
+                counts = role == "assistant"
+                rows.append((place, turn, at + start if counts else None, at + end if counts else None))
+                place, at = place + 1, at + len(turn)
+            made = list(zip(*rows)) or [[]] * 4
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    batch.column("leaf"),
-                    batch.column("branch_rank"),
-                    batch.column("branch_score"),
-                    pa.array([len(t) for t in batch.column("turns")], pa.int64()),
-                    pa.array([text for text, _ in made], pa.string()),
-                    pa.array(
-                        [[{"start": a, "end": b} for a, b in spans] for _, spans in made],
-                        pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])),
-                    ),
-                ],
-                names=["id", "leaf", "branch_rank", "branch_score", "n_turns", "formatted", "loss_spans"],
+                [*(batch.column(c) for c in ("id", "leaf", "branch_rank", "branch_score")),
+                 *(pa.array(v, k) for v, k in zip(made, kinds))],
+                names=["id", "leaf", "branch_rank", "branch_score", "place", "formatted", "loss_start", "loss_end"],
             )
 
-    kind = messages.schema[tree_col].dataType.simpleString()
     formatted = turns.mapInArrow(
         run,
-        f"id {kind}, leaf string, branch_rank int, branch_score double, n_turns long, "
-        "formatted string, loss_spans array<struct<start: long, end: long>>",
+        f"id {kind.simpleString()}, leaf string, branch_rank int, branch_score double, place long, "
+        "formatted string, loss_start long, loss_end long",
     )
     return formatted.withColumn("leaf", F.expr("substring(leaf, 2)")).withColumnRenamed("id", tree_col)
 
 
-def read_back(formatted: DataFrame, id_col: str) -> DataFrame:
-    """Digests of what the formatted conversations and their loss masks hold."""
+def whole(formatted: DataFrame, id_col: str) -> DataFrame:
+    """One row for each conversation: id, leaf, branch_rank, branch_score, n_turns, formatted, loss_spans.
+
+    For conversations that are known to be short: each is put together in one row.
+    """
+    turns = F.array_sort(F.collect_list(F.struct("place", "formatted", "loss_start", "loss_end")))
+    span = F.transform(
+        F.filter("turns", lambda t: t["loss_start"].isNotNull()),
+        lambda t: F.struct(t["loss_start"].alias("start"), t["loss_end"].alias("end")),
+    )
+    return (
+        formatted.groupBy(id_col, "leaf", "branch_rank", "branch_score")
+        .agg(turns.alias("turns"))
+        .select(
+            id_col, "leaf", "branch_rank", "branch_score", F.size("turns").cast("long").alias("n_turns"),
+            F.array_join("turns.formatted", "").alias("formatted"), span.alias("loss_spans"),
+        )
+    )
+
+
+def read_back(formatted: DataFrame, id_col: str, in_order: bool = False) -> DataFrame:
+    """Digests of what the formatted conversations and their loss masks hold, read turn by turn.
+
+    `in_order` says that the turns of a conversation lie in one partition in their order, as
+    `format_trees` gives them; others are dealt and sorted first.
+    """
+    rows = formatted.select(id_col, "leaf", "place", "formatted", "loss_start", "loss_end")
+    if not in_order:
+        rows = rows.repartition(id_col, "leaf").sortWithinPartitions(id_col, "leaf", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 128):
-            rows = []
-            for text, spans in zip(
-                batch.column("formatted").to_pylist(), batch.column("loss_spans").to_pylist()
-            ):
-                turns = parse(text)
-                told = "".join(f"{role}\n{body}\n" for role, body in turns)
-                loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
-                rows.append(
-                    (
-                        len(turns),
-                        hashlib.sha256(told.encode()).hexdigest(),
-                        len(loss),
-                        hashlib.sha256(loss.encode()).hexdigest(),
-                        len(text),
-                    )
-                )
-            made = list(zip(*rows)) or [[]] * 5
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(v, k) for v, k in zip(made, kinds)]],
+        own = turns = None
+        done: list[tuple] = []
+
+        def give() -> pa.RecordBatch:
+            made = list(zip(*done)) or [[]] * 6
+            kinds = [id_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(v, k) for v, k in zip(made, kinds)],
                 names=[id_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
-            )
+            )
 
-    kind = formatted.schema[id_col].dataType.simpleString()
-    return formatted.select(id_col, "formatted", "loss_spans").mapInArrow(
+        def end() -> None:
+            done.append((own[0], turns, told.hexdigest(), loss_chars, loss.hexdigest(), at))
+
+        for batch in pieces(batches, 512):
+            for tree, leaf, _, text, start, stop in zip(*(c.to_pylist() for c in batch.columns)):
+                if (tree, leaf) != own:
+                    if own is not None:
+                        end()
+                    own, turns, at, loss_chars = (tree, leaf), 0, 0, 0
+                    told, loss = hashlib.sha256(), hashlib.sha256()
+                for role, body in parse(text):
+                    turns += 1
+                    told.update(f"{role}\n{body}\n".encode())
+                if start is not None:
+                    counted = unescape(text[start - at : stop - at])
+                    loss.update(counted.encode())
+                    loss_chars += len(counted)
+                at += len(text)
+            yield give()
+            done = []
+        if own is not None:
+            end()
+        yield give()
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = formatted.schema[id_col].dataType
+    id_type = to_arrow_type(kind)
+    return rows.mapInArrow(
         run,
-        f"`{id_col}` {kind}, n_turns long, turns_sha256 string, loss_chars long, "
+        f"`{id_col}` {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, "
         "loss_sha256 string, formatted_chars long",
     )
 
@@ -241,14 +277,46 @@ def chains(
 ) -> DataFrame:
     """Linear conversations as reply trees: each row answers the row before it.
 
-    Rows go by turn, then role, then text. The score of a message is its length.
+    Rows go by turn, then role, then text. The score of a message is its length. Rows are range
+    partitioned in that order and numbered in two levels, so a conversation may span partitions.
     """
-    order = Window.partitionBy(id_col).orderBy(turn_col, role_col, text_col)
-    place = F.row_number().over(order).alias("node_id")
-    rows = conversations.select(
-        F.col(id_col).alias("tree_id"), place, F.col(role_col).alias("role"), F.col(text_col).alias("text")
-    )
-    return rows.select(
+    taken = conversations.select(
+        F.col(id_col).alias("tree_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"),
+        F.col(text_col).alias("text"),
+    )
+    order = ["tree_id", "turn", "role"]
+    rows = settle(taken.repartitionByRange(*order).sortWithinPartitions(*order, "text"))
+    placed = rows.select("tree_id", F.spark_partition_id().alias("part"))
+    sizes = placed.groupBy("part", "tree_id").count()
+    # of each partition only the last conversation can go on in the next one, so these are few
+    spread = sizes.groupBy("tree_id").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("tree_id")
+    same = sizes.tree_id.eqNullSafe(spread.tree_id)
+    before: dict[int, int] = {}
+    held: dict[object, int] = {}
+    for row in sorted(sizes.join(spread, same, "left_semi").collect(), key=lambda r: r.part):
+        if row.tree_id in held:
+            before[row.part] = held[row.tree_id]
+        held[row.tree_id] = held.get(row.tree_id, 0) + row["count"]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at = (), 0
+        for batch in batches:
+            numbers = []
+            for part, tree in zip(batch.column("part").to_pylist(), batch.column("tree_id").to_pylist()):
+                if (tree,) != own:
+                    # the first conversation of a partition may go on from the one before
+                    at = before.get(part, 0) if own == () else 0
+                    own = (tree,)
+                at += 1
+                numbers.append(at)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("tree_id", "role", "text")), pa.array(numbers, pa.int64())],
+                names=["tree_id", "role", "text", "node_id"],
+            )
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("tree_id", "role", "text"))
+    numbered = rows.withColumn("part", F.spark_partition_id()).mapInArrow(number, f"{kinds}, node_id long")
+    return numbered.select(
         "tree_id", "node_id", F.when(F.col("node_id") > 1, F.col("node_id") - 1).alias("parent_id"),
         "role", "text", F.length("text").alias("score"),
     )

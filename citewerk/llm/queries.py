@@ -103,7 +103,7 @@ def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
     trees = chat_format.chains(rows.unionByName(more))
     formatted = chat_format.format_trees(trees)
-    return chat_format.read_back(formatted, "tree_id").withColumnRenamed("tree_id", "conv_id")
+    return chat_format.read_back(formatted, "tree_id", in_order=True).withColumnRenamed("tree_id", "conv_id")
 
 
 @query()
