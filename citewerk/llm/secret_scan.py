@@ -49,6 +49,8 @@ _VALUE = re.compile(
     r"|(?:[ \t]++(?:is|was))?[ \t]++(?:\"((?:[^\"\\\n]|\\.)++)\"|'((?:[^'\\\n]|\\.)++)'|`([^`\n]++)`))",
     re.IGNORECASE,
 )
+#: Every key-like name holds one of these; a value ends on the line of its name.
+_NAMES = ("token", "secret", "passw", "passphrase", "passcode", "pwd", "key", "auth", "credential")
 #: Ends of values without quotes that belong to what surrounds them.
 _ENDING = ",;)]}>\"'`"
 _PLAIN = re.compile(r"[a-z]{4,12}")
@@ -97,10 +99,23 @@ class Language:
         return covered / max(1, len(low))
 
 
+def _value_matches(text: str) -> Iterator[re.Match]:
+    """Matches of _VALUE, looked for on lines that hold a name at all."""
+    folded = text.casefold()
+    if not any(name in folded for name in _NAMES):
+        return
+    at = 0
+    for line in text.split("\n"):
+        folded = line.casefold()
+        if any(name in folded for name in _NAMES):
+            yield from _VALUE.finditer(text, at, at + len(line))
+        at += len(line) + 1
+
+
 def spans(text: str) -> list[tuple[int, int]]:
     """Where candidates stand: values of key-like names, and key-like runs outside of these."""
     values = []
-    for match in _VALUE.finditer(text):
+    for match in _value_matches(text):
         start, end = match.span(match.lastindex)
         if match.lastindex == 4:
             end = start + (len(match[4].rstrip(_ENDING)) or len(match[4]))
