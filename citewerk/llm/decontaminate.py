@@ -10,7 +10,8 @@ one of `walks` walks over the whole window (its last sample depends on the size
 the item), and a window is a candidate of an item when all samples agree. So that edits in one part of an item
 do not spoil all repetitions, an item is entered from up to `anchors` words spread over all of it. Windows
 that disagree with every item in the early samples of a repetition are given up early, which
-changes nothing in the result. Candidates are verified with an exact bit-parallel edit distance.
+changes nothing in the result. Candidates that share too few runs of three characters with the item to be
+within the allowed edits are put aside, the others verified with an exact bit-parallel edit distance.
 
 Unedited passages are found: their windows give equal walks, as long as a sampled step lies inside
 the item, which fails with a chance of about 1 % in one repetition and so never in all. For edited
@@ -19,7 +20,8 @@ edits up to `edit_share`). Short items have samples of their own that fit into t
 `SHORT_WALKS` and `SHORT_REPETITIONS` at least where they are shorter than `SHORT`.
 
 The items are a stated query set: they are read in blocks of at most `block_items` items and
-`block_chars` characters, the size that is proven for what tasks get; documents are not shuffled.
+`block_chars` characters, the size that is proven for what tasks get; documents are not shuffled, and
+between blocks they are written with what was found.
 
 Defined results: a null text counts as empty and leaks nothing; items of three to five characters allow
 no edits and match whole words only; items with fewer than three characters match nothing;
@@ -37,14 +39,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citewerk.llm.shared import fresh, pieces, texts
+from citewerk.llm.shared import fresh, pieces, texts, written
 
 _WORD = re.compile(r"[^\W_]+")
+#: ASCII bytes that are no letters or digits become blanks; other characters that end words are odd.
+_ASCII_WORDS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
+_ODD = re.compile(r"[^\w\x00-\x7f]")
 SYMBOLS = 64
 #: (least item length, ends of the levels): of SAMPLES samples 4 are taken before the first end,
-#: two before the second and two before the third; the last lies in the rest of the window.
+#: two before the second and two before the third; the last lies in the rest of the window. Scales with
+#: the same first end and as many walks share bits and first samples, so that windows walk once for them.
 SCALES = (
-    (6, (2, 3, 5)), (12, (5, 9, 14)), (24, (8, 18, 32)), (48, (12, 30, 66)), (72, (16, 40, 120)),
+    (6, (2, 3, 5)), (12, (5, 9, 14)), (24, (8, 18, 32)), (48, (12, 18, 40)), (72, (12, 18, 48)),
 )
 SAMPLES = (4, 2, 2)
 #: Items below this many characters are not looked for.
@@ -53,12 +59,19 @@ SHORTEST = 3
 SHORT, SHORT_WALKS, SHORT_REPETITIONS = 48, 3, 6
 #: No entry needs more of an item behind it.
 ENOUGH = 72
-BATCH_CHARS = 1 << 20
+#: Candidates without enough runs of so many symbols of the item are no leaks and not measured.
+GRAM = 3
+BATCH_CHARS = 1 << 21
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal_form(text: str) -> str:
-    return " ".join(_WORD.findall(text.lower()))
+    """Lower-case words joined by blanks."""
+    lower = text.lower()
+    plain = b" ".join(lower.encode().translate(_ASCII_WORDS).split()).decode()
+    if plain.isascii() or not _ODD.search(plain):
+        return plain
+    return " ".join(_WORD.findall(lower))
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -67,6 +80,12 @@ def codes_of(text: str) -> np.ndarray:
     return ((points * np.uint32(2654435761)) >> np.uint32(26)).astype(np.uint8)
 
 
+def grams_of(codes: np.ndarray) -> np.ndarray:
+    """A number below 2^18 for each run of GRAM symbols."""
+    wide = codes.astype(np.int32)
+    return (wide[:-2] << 12) | (wide[1:-1] << 6) | wide[2:] if len(wide) >= GRAM else wide[:0]
+
+
 def best_distance(item: str, text: str) -> int:
     """Smallest edit distance of the item to any stretch of the text (Myers, bit-parallel)."""
     size = len(item)
@@ -106,16 +125,21 @@ class Plan:
     seed: int = 11
 
     def __post_init__(self):
-        rng = np.random.default_rng(self.seed)
         self.steps = 2 * self.longest + self.ends[-1]
-        self.bits = rng.integers(0, 2, (self.walks, self.steps, SYMBOLS))
         shape = (self.walks, self.repetitions)
         begins = (0, *self.ends[:-1])
-        self.samples = [
-            np.sort(rng.integers(low, high, (*shape, n)), axis=2)
-            for low, high, n in zip(begins, self.ends, SAMPLES)
-        ]
-        self.late = rng.random(shape)
+        # the bits of a step and the samples of a level depend on nothing but the seed and where they are
+        self.bits = np.stack(
+            [np.random.default_rng((self.seed, w)).integers(0, 2, (self.steps, SYMBOLS)) for w in range(self.walks)]
+        )
+        self.samples = [self._sampled(shape, low, high, n) for low, high, n in zip(begins, self.ends, SAMPLES)]
+        self.late = np.random.default_rng((self.seed, 98)).random(shape)
+
+    def _sampled(self, shape: tuple[int, int], low: int, high: int, count: int) -> np.ndarray:
+        """Steps of one level, different ones as far as there are so many."""
+        rng = np.random.default_rng((self.seed, 97, low, high))
+        steps = np.resize(np.arange(low, high), max(count, high - low))
+        return np.sort(rng.permuted(np.broadcast_to(steps, (*shape, len(steps))), axis=2)[..., :count], axis=2)
 
     def late_step(self, walk: int, repetition: int, band: int) -> int:
         """The last sample of windows of a band, somewhere in the rest of the window."""
@@ -199,46 +223,31 @@ class Scale:
             at = at + plan.bits[walk, step][symbols]
         return out
 
-    def candidates(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item number, window number) of all windows that agree with an item's samples."""
+    def rest(self, walk: int, codes, at, some, own, keys) -> tuple[np.ndarray, np.ndarray]:
+        """(item number, window number) of the windows that agree in all further samples, too.
+
+        `some` are the windows that still walk and `at` where they stand; own and keys are, for each
+        repetition, those of them that it wants and their keys.
+        """
         plan, reps = self.plan, range(self.plan.repetitions)
+        own, keys, step = list(own), list(keys), plan.ends[0]
+        for level, end in enumerate(plan.ends[1:], 1):
+            wanted = {int(s) for s in plan.samples[level][walk].ravel()}
+            seen = {}
+            for step in range(step, end):
+                symbols = codes.take(at)
+                if step in wanted:
+                    seen[step] = symbols
+                at = at + plan.bits[walk, step].take(symbols)
+            step = end
+            for rep in reps:
+                for s in plan.samples[level][walk, rep]:
+                    keys[rep] = _add(keys[rep], seen[int(s)][own[rep]])
+                left = np.flatnonzero(_member(keys[rep], self.levels[walk, rep][level]))
+                keys[rep], own[rep] = keys[rep][left], own[rep][left]
+            at, some, own = _wanted(at, some, own)
         items, windows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for walk in range(plan.walks if len(starts) else 0):
-            at, step = starts.astype(np.int64), 0
-            some = np.arange(len(starts))  # windows that still walk
-            own = [some] * plan.repetitions  # of these, the ones that a repetition still wants
-            keys = [np.zeros(len(starts), np.uint32) for _ in reps]
-            for level, end in enumerate(plan.ends):
-                wanted = {int(s) for s in plan.samples[level][walk].ravel()}
-                seen = {}
-                for step in range(step, end):
-                    symbols = codes.take(at)
-                    if step in wanted:
-                        seen[step] = symbols
-                    at = at + plan.bits[walk, step].take(symbols)
-                step = end
-                for rep in reps:
-                    table = self.levels[walk, rep][level]
-                    if level == 0:
-                        key = keys[rep]
-                        for s in plan.samples[0][walk, rep]:
-                            key = (key << np.uint32(6)) | seen[int(s)]
-                        left = np.flatnonzero(table.take(_slot(key)))
-                        keys[rep] = key[left].astype(np.uint64)
-                        own[rep] = left
-                    else:
-                        for s in plan.samples[level][walk, rep]:
-                            keys[rep] = _add(keys[rep], seen[int(s)][own[rep]])
-                        left = np.flatnonzero(_member(keys[rep], table))
-                        keys[rep], own[rep] = keys[rep][left], own[rep][left]
-                kept = np.zeros(len(at), bool)
-                for rep in reps:
-                    kept[own[rep]] = True
-                place = np.cumsum(kept) - 1
-                own = [place[o] for o in own]
-                at, some = at[kept], some[kept]
-            if not len(at):
-                continue
+        if len(at):
             traced = {plan.late_step(walk, r, b): None for r in reps for b in self.bands}
             for step in range(step, max(traced) + 1):
                 symbols = codes.take(at)
@@ -255,10 +264,58 @@ class Scale:
                     inner = np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count)
                     items.append(numbers[np.repeat(low, count) + inner])
                     windows.append(some[own[rep][hit]])
-        if len(items) == 1:
-            return items[0], windows[0]
-        pair = np.unique(np.stack([np.concatenate(windows), np.concatenate(items)]), axis=1)
-        return pair[1], pair[0]
+        return np.concatenate(items), np.concatenate(windows)
+
+
+def _wanted(at: np.ndarray, some: np.ndarray, own: list[np.ndarray]):
+    """Windows that at least one repetition still wants, numbered anew."""
+    kept = np.zeros(len(at), bool)
+    for rows in own:
+        kept[rows] = True
+    place = np.cumsum(kept) - 1
+    return at[kept], some[kept], [place[rows] for rows in own]
+
+
+def candidates(scales: list[Scale], codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(item number, window number) of all windows that agree with an item's samples.
+
+    The scales share walks and first samples: windows walk to the end of the first level once, and
+    what some scale wants goes on for each of them.
+    """
+    plan = scales[0].plan
+    items, windows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    first = {int(s) for s in plan.samples[0].ravel()}
+    for walk in range(plan.walks if len(starts) else 0):
+        at, seen = starts.astype(np.int32 if len(codes) < 1 << 31 else np.int64), {}
+        for step in range(plan.ends[0]):
+            symbols = codes.take(at)
+            if step in first:
+                seen[step] = symbols.astype(np.uint32)
+            at = at + plan.bits[walk, step].astype(at.dtype).take(symbols)
+        passed = []
+        for rep in range(plan.repetitions):
+            samples = plan.samples[0][walk, rep]
+            key = seen[int(samples[0])]
+            for s in samples[1:]:
+                key = (key << np.uint32(6)) | seen[int(s)]
+            slot = _slot(key)
+            hit = np.flatnonzero(_any([scale.levels[walk, rep][0] for scale in scales]).take(slot))
+            passed.append((hit, key[hit].astype(np.uint64), slot[hit]))
+        for scale in scales:
+            own, keys = [], []
+            for rep, (hit, key, slot) in enumerate(passed):
+                mine = scale.levels[walk, rep][0].take(slot)
+                own.append(hit[mine])
+                keys.append(key[mine])
+            item, window = scale.rest(walk, codes, *_wanted(at, np.arange(len(starts)), own), keys)
+            items.append(item)
+            windows.append(window)
+    pair = np.unique(np.stack([np.concatenate(windows), np.concatenate(items)]), axis=1)
+    return pair[1], pair[0]
+
+
+def _any(flags: list[np.ndarray]) -> np.ndarray:
+    return flags[0] if len(flags) == 1 else np.logical_or.reduce(flags)
 
 
 class ItemIndex:
@@ -297,6 +354,12 @@ class ItemIndex:
                 many = (max(walks, SHORT_WALKS), max(repetitions, SHORT_REPETITIONS))
             longest = max(len(bodies[item]) - begin for _, item, begin in own)
             self.scales.append(Scale(own, bodies, Plan(*many, longest, ends)))
+        families: dict[tuple, list[Scale]] = {}
+        for scale in self.scales:
+            plan = scale.plan
+            families.setdefault((plan.walks, plan.repetitions, plan.ends[0]), []).append(scale)
+        self.families = list(families.values())
+        self.grams = [grams_of(codes_of(body)) for body in bodies]
         #: Items too short for a walk, as words between blanks.
         self.exact: dict[str, list[int]] = {}
         for number, body in enumerate(bodies):
@@ -338,11 +401,12 @@ class ItemIndex:
         gaps = codes[: len(whole)] == blank
         starts = np.flatnonzero(~gaps & np.r_[True, gaps[:-1]]) if len(whole) else np.empty(0, np.int64)
         begins = np.cumsum([0, *[len(text) + 1 for _, text in batch]])
-        pairs = [scale.candidates(codes, starts) for scale in self.scales]
+        pairs = [candidates(family, codes, starts) for family in self.families]
         found = np.concatenate([np.empty(0, np.int64), *[items for items, _ in pairs]])
         where = np.concatenate([np.empty(0, np.int64), *[windows for _, windows in pairs]])
         owner = np.searchsorted(begins, starts[where], "right") - 1
         done: set[tuple[int, int, int]] = set()
+        grams, there = grams_of(codes), np.zeros(1 << 18, bool)
         for entry, start, k in zip(found.tolist(), starts[where].tolist(), owner.tolist()):
             (item, begin), (number, text) = self.entries[entry], batch[k]
             if (item, k, start - begin) in done:
@@ -354,6 +418,14 @@ class ItemIndex:
                 continue
             at = start - begin - int(begins[k])
             near = text[max(0, at - allowed) : max(0, at + len(body) + allowed)]
+            low = max(0, at - allowed) + int(begins[k])
+            own = grams[low : low + max(0, len(near) - GRAM + 1)]
+            there[own] = True
+            common = int(there[self.grams[item]].sum())
+            there[own] = False
+            # each edit spoils GRAM of an item's runs at most
+            if common < len(self.grams[item]) - GRAM * allowed:
+                continue
             distance = 0 if body in near else best_distance(body, near)
             if distance <= min(allowed, out[number].get(item, allowed)):
                 out[number][item] = distance
@@ -397,7 +469,7 @@ def find_leaks(
 
     def searched(index, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches, 256):
+            for batch in pieces(batches, 1024):
                 found = index.value.leaks(texts(batch.column(len(keep))))
                 numbers = [[index.value.items[i][0] for i in sorted(f)] for f in found]
                 distances = [[f[i] for i in sorted(f)] for f in found]
@@ -425,6 +497,7 @@ def find_leaks(
         rows = rows.mapInArrow(searched(index, last), schema)
         if last:
             break
+        rows = written(rows, "leaks")  # one block's index at a time in a task
         block = following
     return rows.select(*[F.col(f"`{n}`") for n in keep], (F.size(ids) > 0).alias(leaked), ids, edits)
 

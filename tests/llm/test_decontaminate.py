@@ -110,3 +110,24 @@ def test_items_of_a_few_characters():
     docs = ["so Zig, zag", "zigzag", "q a-b c", "a b cd", "", "x a somewhat longer item zig"]
     got = [sorted(f.items()) for f in index.leaks(docs)]
     assert got == [[(0, 0), (5, 0)], [], [(2, 0)], [], [], [(0, 0), (5, 0), (6, 0)]]
+
+
+def test_normal_form_as_by_pattern():
+    import re
+
+    rng = random.Random(9)
+    parts = ["Ab", "é", "_", "-", " ", "\n", "…", "“", "ß", "7", "½", "²", "\x1f", "\u2028", "İ", "ا", "़", "😀"]
+    for _ in range(400):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 30)))
+        assert normal_form(text) == " ".join(re.findall(r"[^\W_]+", text.lower())), repr(text)
+
+
+def test_scales_share_first_samples():
+    index = ItemIndex([(i, sentence(random.Random(i), 12 + 3 * i)) for i in range(20)])
+    for family in index.families:
+        first = family[0].plan
+        for scale in family[1:]:
+            steps = min(first.steps, scale.plan.steps)
+            assert (scale.plan.samples[0] == first.samples[0]).all()
+            assert (scale.plan.bits[:, :steps] == first.bits[:, :steps]).all()
+    assert max(map(len, index.families)) > 1
