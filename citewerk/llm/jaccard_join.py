@@ -44,7 +44,7 @@ from citewerk.llm.words import mix, word_hashes
 HOT = 32
 #: Views in a task at once over a dear key, tokens of theirs in one matrix, and pairs of sets that a
 #: token is counted in one by one.
-BLOCK, TOKENS_AT_ONCE, RARE_PAIRS = 256, 4096, 16
+BLOCK, TOKENS_AT_ONCE, RARE_PAIRS = 512, 4096, 16
 BAND_GROWTH = 1.5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -533,7 +533,16 @@ def _linked_over_dear_keys(ask: DataFrame, told: DataFrame, whole: DataFrame, pe
     Askers of a key are dealt into slices, its views into blocks, and every slice meets every block;
     a task compares one slice with one block and hands on a spanning forest of the links it finds.
     """
-    sizes = told.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    # keys that hold the same views, as the segments of a common passage do, are one
+    mark = F.xxhash64("view")
+    held_by = told.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 8)).alias("s")
+    )
+    same = held_by.groupBy("n", "x", "s").agg(F.min("key").alias("one"))
+    one = settle(held_by.join(same, ["n", "x", "s"]).select("key", "one", "n"))
+    told = told.join(one.where(F.col("key") == F.col("one")).select("key"), "key", "left_semi")
+    ask = settle(ask.join(one, "key").select(F.col("one").alias("key"), "view").distinct())
+    sizes = one.where(F.col("key") == F.col("one")).select("key", "n")
     asking = ask.groupBy("key").agg(F.count(F.lit(1)).alias("n_ask"))
     sizes = settle(
         sizes.join(asking, "key").select(
