@@ -42,9 +42,10 @@ from citewerk.llm.shared import fresh, pieces, raw_texts, settle
 from citewerk.llm.words import mix, word_hashes
 
 HOT = 32
-#: Views in a task at once over a dear key, tokens of theirs in one matrix, and pairs of sets that a
-#: token is counted in one by one.
+#: Views of a dear key in a block, tokens of theirs in one matrix, and pairs of sets that a token is
+#: counted in one by one; below, tokens of all views of a block.
 BLOCK, TOKENS_AT_ONCE, RARE_PAIRS = 512, 4096, 16
+TOKENS_IN_BLOCK = 1 << 18
 BAND_GROWTH = 1.5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -542,12 +543,17 @@ def _linked_over_dear_keys(ask: DataFrame, told: DataFrame, whole: DataFrame, pe
     one = settle(held_by.join(same, ["n", "x", "s"]).select("key", "one", "n"))
     told = told.join(one.where(F.col("key") == F.col("one")).select("key"), "key", "left_semi")
     ask = settle(ask.join(one, "key").select(F.col("one").alias("key"), "view").distinct())
-    sizes = one.where(F.col("key") == F.col("one")).select("key", "n")
-    asking = ask.groupBy("key").agg(F.count(F.lit(1)).alias("n_ask"))
+    # blocks and slices are bounded by views and by their tokens, so long texts come in smaller ones
+    weighed = told.withColumn("asks", F.lit(False)).unionByName(ask.withColumn("asks", F.lit(True))).join(
+        whole.select("view", F.size("tokens").alias("size")), "view"
+    )
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / TOKENS_IN_BLOCK))
+    parted = weighed.groupBy("key", "asks").agg(parts.alias("parts"))
     sizes = settle(
-        sizes.join(asking, "key").select(
-            "key", F.ceil(F.col("n") / block).alias("blocks"), F.ceil(F.col("n_ask") / block).alias("slices")
-        )
+        parted.groupBy("key").agg(
+            F.max(F.when(~F.col("asks"), F.col("parts"))).alias("blocks"),
+            F.max(F.when(F.col("asks"), F.col("parts"))).alias("slices"),
+        ).where("slices is not null")
     )
     numbers = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     own = lambda count: F.pmod(F.xxhash64("view"), F.col(count))

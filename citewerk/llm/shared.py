@@ -37,6 +37,8 @@ def _shared_folder(spark: SparkSession) -> str:
         context = spark.sparkContext
         folder = context.getCheckpointDir()
         if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("Name a folder that all machines share in spark.checkpoint.dir")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="citewerk-checkpoints-"))
             folder = context.getCheckpointDir()
     return folder
