@@ -23,9 +23,9 @@ from citewerk.functions.vectors import (
 from citewerk.operators.chunks import BLOCK, running_offset
 from citewerk.sources import office, pdf
 from citewerk.sources.files import date_from_segments, date_from_text, doc_type_of, project_of
-from tests.conftest import FakeEncoder, make_docx, make_xlsx
+from tests.conftest import LetterEncoder, make_docx, make_xlsx
 
-SENTENCE = "Die Baugenehmigung für Haus B ist nicht erteilt, weil der Prüfbericht Brandschutz fehlt. "
+SENTENCE = "Das Ruderlager an Steuerbord wird erst vermessen, wenn das Dock leer und die Welle frei ist. "
 LONG = "\n".join(SENTENCE * 4 for _ in range(6))
 
 
@@ -36,7 +36,7 @@ def pieces(text, max_chars=600, overlap=150):
 def test_spans_keep_sentences():
     found = pieces(LONG)
     assert len(found) > 1
-    assert all(len(p) <= 600 and p.startswith("Die ") and p.endswith(".") for p in found)
+    assert all(len(p) <= 600 and p.startswith("Das ") and p.endswith(".") for p in found)
     offsets = list(spans(LONG, 600, 150))
     assert offsets[1][0] < offsets[0][1]
     assert offsets[0][0] == 0 and offsets[-1][1] == len(LONG.rstrip())
@@ -206,10 +206,10 @@ def test_vectors(spark):
     )
     found = [r[0] for r in rows.orderBy("i").select(cosine_similarity(F.col("e"), [3.0, 0.0])).collect()]
     assert found == [1.0, 0.0, None, None]
-    texts = spark.createDataFrame([(f"t{'x' * i}",) for i in range(70)], "t string").coalesce(1)
-    vectors = texts.select(embed(F.col("t"), FakeEncoder(3), 3, 32), F.length("t")).collect()
-    assert [v[0][0] for v in vectors] == [float(v[1]) for v in vectors]
-    assert embed_query("  Frage ", FakeEncoder(2, {"query: Frage": [1, 2]}), 2) == [1.0, 2.0]
+    texts = spark.createDataFrame([("en" * i + "i",) for i in range(70)], "t string").coalesce(1)
+    vectors = texts.select(embed(F.col("t"), LetterEncoder(3), 3, 32), F.length("t")).collect()
+    assert [v[0] for v in vectors] == [[(v[1] - 1) / 2, (v[1] - 1) / 2, 1.0] for v in vectors]
+    assert embed_query("  Nenner ", LetterEncoder(4), 4) == LetterEncoder(4).encode(["query: Nenner"])[0]
     with pytest.raises(ValueError, match="Dimension"):
         require_dimension([1.0], 2)
     with pytest.raises(Exception, match="Dimension"):

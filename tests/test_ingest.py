@@ -9,7 +9,7 @@ from citewerk.schemas import TABLES
 from citewerk.sources.office import read_items
 from citewerk.sources.tables import read_table
 from citewerk.streaming.ingest import ingest_stream
-from tests.conftest import FakeEncoder, make_docx, make_pdf, make_xlsx
+from tests.conftest import LetterEncoder, make_docx, make_pdf, make_xlsx
 
 NOW = datetime(2026, 9, 17, 8, 0)
 
@@ -33,23 +33,23 @@ def test_first_run_writes_all_tables(spark, raw_dir):
         assert [f.dataType for f in table.schema] == [f.dataType for f in schema]
         assert table.count() == getattr(result, name)
     documents = {r.source_path: r for r in rows(spark, out, "documents")}
-    protocol = documents["BAU-42/protokolle/2026-09-15_baubesprechung.docx"]
+    protocol = documents["SEE-7/protokolle/2031-02-17_werftrunde.docx"]
     assert protocol.doc_type == "protokoll" and protocol.ingested_at == NOW
-    assert protocol.document_date == date(2026, 9, 15)
-    plan = documents["BAU-42/terminplan/bauzeitenplan.xlsx"]
-    assert plan.document_date == date(2026, 9, 15)
-    assert documents["BAU-42/statusberichte/statusbericht_2026-09.pdf"].document_date == date(2026, 9, 1)
+    assert protocol.document_date == date(2031, 2, 17)
+    plan = documents["SEE-7/terminplan/dockplan.xlsx"]
+    assert plan.document_date == date(2031, 2, 17)
+    assert documents["SEE-7/statusberichte/dock_2031-02.pdf"].document_date == date(2031, 2, 1)
     chunks = rows(spark, out, "chunks")
-    assert {c.document_date for c in chunks if c.file_name == "bauzeitenplan.xlsx"} == {date(2026, 9, 15)}
+    assert {c.document_date for c in chunks if c.file_name == "dockplan.xlsx"} == {date(2031, 2, 17)}
     assert all(c.source_path.startswith(c.project_id + "/") for c in chunks)
     assert len({c.chunk_id for c in chunks}) == len(chunks)
     assert {p: p.read_bytes() for p in raw_dir.rglob("*") if p.is_file()} == before
 
 
 def test_segments_of_each_format(spark, raw_dir):
-    out, _ = run(spark, raw_dir, project_id="BAU-42")
+    out, _ = run(spark, raw_dir, project_id="SEE-7")
     names = {r.document_id: r.file_name for r in rows(spark, out, "documents")}
-    assert set(r.project_id for r in rows(spark, out, "documents")) == {"BAU-42"}
+    assert set(r.project_id for r in rows(spark, out, "documents")) == {"SEE-7"}
     segments = {}
     for s in sorted(rows(spark, out, "segments"), key=lambda s: s["index"]):
         segments.setdefault(names[s.document_id], []).append(s)
@@ -57,30 +57,30 @@ def test_segments_of_each_format(spark, raw_dir):
         assert [s["index"] for s in found] == list(range(len(found)))
         assert all(s.text.strip() for s in found)
 
-    pdf = segments["statusbericht_2026-09.pdf"]
+    pdf = segments["dock_2031-02.pdf"]
     assert [(s.kind, s.page_no, s.locator) for s in pdf] == [("seite", 1, "S. 1"), ("seite", 2, "S. 2")]
-    assert [s.heading for s in pdf] == ["Projektstatusbericht September 2026", "2. Termine"]
-    assert "Auflagen" in pdf[0].text and "Antrag ruht" in pdf[1].text
+    assert [s.heading for s in pdf] == ["Dockbericht Februar 2031", "3. Proben"]
+    assert "geflickt" in pdf[0].text and "Messung steht aus" in pdf[1].text
 
-    docx = segments["2026-09-15_baubesprechung.docx"]
-    assert [s.locator for s in docx] == ["Protokoll Baubesprechung Nr. 25", "TOP 1", "TOP 2", "Abschnitt 2"]
+    docx = segments["2031-02-17_werftrunde.docx"]
+    assert [s.locator for s in docx] == ["Logbuch der Werftrunde 8", "TOP 1", "TOP 2", "Abschnitt 2"]
     assert docx[2].text.splitlines()[1:] == [
-        "Thema: Brandschutzprüfung",
-        "Sachstand: Kein Verantwortlicher benannt.",
-        "Verantwortlich: ungeklärt",
+        "Gegenstand: Ruderprüfung",
+        "Lage: Noch niemand eingeteilt.",
+        "Zuständig: offen",
     ]
-    assert docx[1].heading == "Tagesordnungspunkte" and docx[-1].heading is None
+    assert docx[1].heading == "Punkte der Runde" and docx[-1].heading is None
     assert all(s.page_no is None for s in docx)
 
-    xlsx = segments["bauzeitenplan.xlsx"]
+    xlsx = segments["dockplan.xlsx"]
     assert [s.locator for s in xlsx] == [
-        "Bauzeitenplan, Kopf",
-        "Bauzeitenplan, Zeile V02",
-        "Bauzeitenplan, Zeile V07",
+        "Dockplan, Kopf",
+        "Dockplan, Zeile D3",
+        "Dockplan, Zeile D9",
     ]
-    assert xlsx[0].text == "Bauzeitenplan BAU-42 – Stand 15.09.2026"
-    assert xlsx[1].text.splitlines()[2:] == ["Verzug (AT): 10", "Status: verzögert", "Ende: 13.11.2026"]
-    assert "Verzug (AT)" not in xlsx[2].text
+    assert xlsx[0].text == "Dockplan SEE-7, Stand 17.02.2031"
+    assert xlsx[1].text.splitlines()[2:] == ["Tage zu spät: 4", "Lage: läuft", "Ende: 16.02.2031"]
+    assert "Tage zu spät" not in xlsx[2].text
 
 
 def test_second_run_is_a_no_op_and_changes_are_versions(spark, raw_dir, docx_bytes):
@@ -90,8 +90,8 @@ def test_second_run_is_a_no_op_and_changes_are_versions(spark, raw_dir, docx_byt
     assert (second.documents, second.skipped, second.chunks) == (0, first.documents, 0)
     assert read_table(spark, out, "chunks").count() == chunks
 
-    (raw_dir / "BAU-42/protokolle/2026-09-15_baubesprechung.docx").write_bytes(docx_bytes + b" ")
-    (raw_dir / "BAU-42/protokolle/2026-09-22_baubesprechung.docx").write_bytes(docx_bytes)
+    (raw_dir / "SEE-7/protokolle/2031-02-17_werftrunde.docx").write_bytes(docx_bytes + b" ")
+    (raw_dir / "SEE-7/protokolle/2031-02-24_werftrunde.docx").write_bytes(docx_bytes)
     _, third = run(spark, raw_dir)
     assert (third.documents, third.skipped) == (2, 3)
     versions = read_table(spark, out, "documents").groupBy("source_path").count()
@@ -126,9 +126,9 @@ def test_rejected_ignored_and_unknown(spark, raw_dir, pdf_bytes):
     (raw_dir / "lose_datei.pdf").write_bytes(pdf_bytes)
     (raw_dir / "entwurf").mkdir()
     (raw_dir / "entwurf/bericht.pdf").write_bytes(pdf_bytes)
-    (raw_dir / "BAU-42/notiz.txt").write_text("x")
-    (raw_dir / "BAU-42/sonstiges").mkdir()
-    (raw_dir / "BAU-42/sonstiges/irgendwas_2026-13.pdf").write_bytes(pdf_bytes)
+    (raw_dir / "SEE-7/notiz.txt").write_text("x")
+    (raw_dir / "SEE-7/sonstiges").mkdir()
+    (raw_dir / "SEE-7/sonstiges/irgendwas_2026-13.pdf").write_bytes(pdf_bytes)
     out, result = run(spark, raw_dir)
     assert list(result.rejected_paths()) == ["entwurf/bericht.pdf", "lose_datei.pdf"]
     assert result.documents == 5
@@ -144,7 +144,7 @@ def test_empty_and_missing_folder(spark, tmp_path):
     assert read_table(spark, str(tmp_path / "t"), "documents").count() == 0
 
 
-@pytest.mark.parametrize("project", ["..", "BAU-42/..", "../raw", "BAU-42\n", "", "bau-42"])
+@pytest.mark.parametrize("project", ["..", "SEE-7/..", "../raw", "SEE-7\n", "", "see-7"])
 def test_bad_project_id_is_refused_before_reading(spark, raw_dir, project):
     with pytest.raises(ValueError, match="Projekt-ID"):
         run(spark, raw_dir, project_id=project)
@@ -159,8 +159,8 @@ def test_unknown_suffix():
 def test_index_is_incremental(spark, raw_dir):
     out, result = run(spark, raw_dir)
     path = str(raw_dir.parent / "index")
-    options = dict(tables_dir=out, index_path=path, encoder=FakeEncoder(), dim=8)
-    some = index_chunks(spark, project_id="BAU-43", **options)
+    options = dict(tables_dir=out, index_path=path, encoder=LetterEncoder(8), dim=8)
+    some = index_chunks(spark, project_id="SEE-8", **options)
     assert some.embedded == 2
     rest = index_chunks(spark, commits=3, **options)
     assert (rest.embedded, rest.skipped) == (result.chunks - 2, 2)
@@ -193,8 +193,8 @@ def test_stream_ingest(spark, raw_dir, pdf_bytes):
     options = dict(raw_dir=str(raw_dir), tables_dir=out, checkpoint_dir=str(raw_dir.parent / "ck"))
     ingest_stream(spark, **options).awaitTermination()
     assert read_table(spark, out, "documents").count() == 4
-    (raw_dir / "BAU-44").mkdir()
-    (raw_dir / "BAU-44/neu.pdf").write_bytes(pdf_bytes)
+    (raw_dir / "SEE-44").mkdir()
+    (raw_dir / "SEE-44/neu.pdf").write_bytes(pdf_bytes)
     ingest_stream(spark, **options).awaitTermination()
     assert read_table(spark, out, "documents").count() == 5
 
@@ -216,19 +216,19 @@ def test_two_project_corpus(spark, tmp_path):
         return make_pdf([[(16, f"Abschnitt {n}"), (11, f"Text {n}. {stand}")] for n in range(pages)])
 
     tasks = [["ID", "Vorgang", "Status"]] + [[f"V0{n}", f"Vorgang {n}", "offen"] for n in range(1, 10)]
-    plan = make_xlsx({"Bauzeitenplan": [["Plan, Stand: 15.9.2026"], [], *tasks]})
+    plan = make_xlsx({"Dockplan": [["Plan, Stand: 17.2.2031"], [], *tasks]})
     files = {
-        "BAU-42/protokolle/2026-09-01_baubesprechung.docx": (minutes(5), 8, date(2026, 9, 1)),
-        "BAU-42/protokolle/2026-09-08_baubesprechung.docx": (minutes(5), 8, date(2026, 9, 8)),
-        "BAU-42/protokolle/2026-09-15_baubesprechung.docx": (minutes(5), 8, date(2026, 9, 15)),
-        "BAU-42/statusberichte/statusbericht_2026-08.pdf": (paper(3, "Stand 31.08.2026"), 3, date(2026, 8, 31)),
-        "BAU-42/statusberichte/statusbericht_2026-09.pdf": (paper(4, "Stand 15.09.2026"), 4, date(2026, 9, 15)),
-        "BAU-42/terminplan/bauzeitenplan.xlsx": (plan, 10, date(2026, 9, 15)),
-        "BAU-42/genehmigungen/baugenehmigung.pdf": (paper(2), 2, None),
-        "BAU-42/genehmigungen/behördenkorrespondenz.pdf": (paper(3), 3, None),
-        "BAU-43/protokolle/2026-09-10_baubesprechung.docx": (minutes(4), 7, date(2026, 9, 10)),
-        "BAU-43/statusberichte/statusbericht_2026-09.pdf": (paper(2, "Stand 15.09.2026"), 2, date(2026, 9, 15)),
-        "BAU-43/genehmigungen/baugenehmigung.pdf": (paper(1), 1, None),
+        "SEE-7/protokolle/2026-09-01_baubesprechung.docx": (minutes(5), 8, date(2026, 9, 1)),
+        "SEE-7/protokolle/2026-09-08_baubesprechung.docx": (minutes(5), 8, date(2026, 9, 8)),
+        "SEE-7/protokolle/2031-02-17_werftrunde.docx": (minutes(5), 8, date(2031, 2, 17)),
+        "SEE-7/statusberichte/statusbericht_2026-08.pdf": (paper(3, "Stand 31.08.2026"), 3, date(2026, 8, 31)),
+        "SEE-7/statusberichte/dock_2031-02.pdf": (paper(4, "Stand 17.02.2031"), 4, date(2031, 2, 17)),
+        "SEE-7/terminplan/dockplan.xlsx": (plan, 10, date(2031, 2, 17)),
+        "SEE-7/genehmigungen/baugenehmigung.pdf": (paper(2), 2, None),
+        "SEE-7/genehmigungen/behördenkorrespondenz.pdf": (paper(3), 3, None),
+        "SEE-8/protokolle/2026-09-10_baubesprechung.docx": (minutes(4), 7, date(2026, 9, 10)),
+        "SEE-8/statusberichte/dock_2031-02.pdf": (paper(2, "Stand 17.02.2031"), 2, date(2031, 2, 17)),
+        "SEE-8/genehmigungen/baugenehmigung.pdf": (paper(1), 1, None),
     }
     for name, (data, _, _) in files.items():
         # Decomposed umlauts on disk, as some file systems store them.
@@ -242,4 +242,4 @@ def test_two_project_corpus(spark, tmp_path):
     assert {p: d.document_date for p, d in found.items()} == {p: f[2] for p, f in files.items()}
     counts = {r.source_path: r["count"] for r in read_table(spark, out, "chunks").groupBy("source_path").count().collect()}
     assert counts == {p: f[1] for p, f in files.items()}
-    assert read_table(spark, out, "chunks", "BAU-42").count() == 46
+    assert read_table(spark, out, "chunks", "SEE-7").count() == 46
