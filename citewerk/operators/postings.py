@@ -28,7 +28,7 @@ from citewerk.functions.ids import require_project_id
 from citewerk.functions.tokens import lexeme_places
 from citewerk.operators.ranking import CANDIDATES, POSITION_WEIGHT, ranked
 from citewerk.sources import storage
-from citewerk.sources.tables import is_small
+from citewerk.sources.tables import is_small, restrict
 
 #: Buckets of a project; a multiple of the shards, so that each lies within one shard.
 BUCKETS = 1024
@@ -57,10 +57,14 @@ _PLACE = ("project_id", "shard", "lexeme", "bucket")
 
 @dataclass(frozen=True)
 class Inverted:
-    """Stored blocks, and what was replaced or removed since: chunk_id, before (null: nothing)."""
+    """Stored blocks, and what was replaced or removed since: chunk_id, before (null: nothing).
+
+    With `only` (chunk_id), entries of other chunks do not count, as in a search of last versions.
+    """
 
     blocks: DataFrame
     gone: DataFrame | None = None
+    only: DataFrame | None = None
 
 
 def bucket_of(chunk_id: Column) -> Column:
@@ -156,6 +160,8 @@ def _asked(inverted: Inverted, project_id: str, questions: Sequence[Sequence[str
 
 
 def _live(entries: DataFrame, inverted: Inverted) -> DataFrame:
+    if inverted.only is not None:
+        entries = restrict(entries, inverted.only, "chunk_id")
     if inverted.gone is None:
         return entries
     gone = inverted.gone.select(F.col("chunk_id").alias("_gone"), "before")
@@ -200,6 +206,8 @@ def any_word(inverted: Inverted, project_id: str, questions: Sequence[Sequence[s
         return inverted.blocks.sparkSession.createDataFrame([], CANDIDATES)
     rows, askers = _asked(inverted, project_id, questions)
     replaced = inverted.gone.count() if inverted.gone is not None else 0
+    if inverted.only is not None:
+        replaced = BUCKETS  # any count may be that of a chunk that is left out: no bucket is ruled out
     wanted = reachable(rows, askers, k, replaced)
     if len(questions) * BUCKETS <= BROADCAST_BUCKETS:
         wanted = F.broadcast(wanted)

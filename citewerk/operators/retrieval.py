@@ -26,6 +26,7 @@ from citewerk.functions.vectors import Encoder, as_matrix, cosine_table, embed_q
 from citewerk.operators.postings import SCORERS, Inverted, any_word
 from citewerk.operators.ranking import CANDIDATES, POSITION_WEIGHT, ranked
 from citewerk.schemas import CHUNK_COLUMNS
+from citewerk.sources.tables import restrict
 from citewerk.settings import (
     CANDIDATES_PER_METHOD,
     EMBEDDING_DIM,
@@ -49,6 +50,24 @@ def in_project(index: DataFrame, project_id: str) -> DataFrame:
     return index.where(F.col("project_id") == require_project_id(project_id))
 
 
+def latest_versions(documents: DataFrame) -> DataFrame:
+    """document_id of the last version of each path of a project: the one taken in last, of equal
+    times the one with the greatest id. A narrow aggregate with partial maxima."""
+    return (
+        documents.groupBy("project_id", "source_path")
+        .agg(F.max(F.struct("ingested_at", "document_id")).alias("last"))
+        .select(F.col("last.document_id").alias("document_id"))
+    )
+
+
+def latest_only(index: DataFrame, documents: DataFrame) -> DataFrame:
+    """Index rows of last versions, for searches that leave superseded versions out.
+
+    Candidates are cut to k after this, so k rows of last versions are found wherever there are so many.
+    """
+    return restrict(index, latest_versions(documents), "document_id")
+
+
 # ---------------------------------------------------------------- top-k
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from citewerk.functions import german
 from citewerk.functions.compounds import Lexicon, compound_parts, word_parts
 from citewerk.functions.tokens import lexemes, question_lexemes, tokens
 from citewerk.operators.postings import all_words, any_word, bm25
-from citewerk.operators.retrieval import matches_all, postings, text_candidates
+from citewerk.operators.retrieval import latest_only, matches_all, postings, text_candidates
 from citewerk.plans.sample_views import table, view
 from citewerk.queries.fixtures import PARTS, QUESTIONS, SEARCHED, STOPS, stored_index
 from citewerk.queries.registry import query
@@ -305,6 +307,47 @@ def fulltext_all_words(spark, folder):
     return lexed_corpus(spark, folder).where(matches_all(F.col("lexemes"), wanted)).select("chunk_id")
 
 
+# Versions: every third document is an earlier state of the one before it.
+VERSIONED_SQL = """
+    papers AS (
+        SELECT document_id, chunk_id, project_id, 'path/' || CAST(doc_id - doc_id % 3 AS VARCHAR) AS source_path,
+               TIMESTAMP '2026-01-01' - INTERVAL 1 DAY * (doc_id % 3 // 2) AS ingested_at
+        FROM corpus
+    ), newest AS (
+        SELECT max((ingested_at, document_id))[2] AS document_id FROM papers GROUP BY project_id, source_path
+    )"""
+
+
+@query(
+    f"""
+    WITH {SOURCE_SQL}, {lexemes_sql("source")}, {VERSIONED_SQL},
+    wanted(question_no, lexeme) AS (VALUES {question_rows_sql()}),
+    scored AS (
+        SELECT w.question_no, x.id AS chunk_id, count(*) AS positions
+        FROM lexed x JOIN wanted w USING (lexeme) JOIN papers p ON p.chunk_id = x.id
+        WHERE p.project_id = '{SEARCHED}' AND p.document_id IN (SELECT document_id FROM newest) GROUP BY 1, 2
+    )
+    SELECT question_no, chunk_id, round(CAST(positions AS DOUBLE) * 0.1, 6) AS text_score, text_rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY question_no ORDER BY positions DESC, chunk_id) AS text_rank
+          FROM scored) WHERE text_rank <= 30
+    """,
+    "corpus",
+)
+def latest_versions_top_k(spark, folder):
+    """Full text over last versions only, resolved before the lists are cut."""
+    number = F.col("doc_id")
+    days = F.floor(number % 3 / 2).cast("int")
+    papers = view(spark, folder, "corpus").select(
+        "document_id", "project_id",
+        F.concat(F.lit("path/"), (number - number % 3).cast("string")).alias("source_path"),
+        (F.date_sub(F.lit("2026-01-01").cast("date"), days)).cast("timestamp").alias("ingested_at"),
+    )
+    stored = stored_index(spark, folder, None)
+    only = latest_only(stored.rows, papers).select("chunk_id")
+    found = any_word(replace(stored.inverted, only=only), SEARCHED, asked(), 30)
+    return found.select("question_no", "chunk_id", F.round("text_score", 6).alias("text_score"), "text_rank")
+
+
 # ---------------------------------------------------------------- compounds
 
 LEXICON_SQL = "lexicon(part) AS (VALUES " + ", ".join(f"('{p}')" for p in PARTS) + ")"

@@ -16,6 +16,7 @@ from citewerk.operators import postings as inv
 from citewerk.operators.evidence import collect_evidence
 from citewerk.operators.ranking import POSITION_WEIGHT
 from citewerk.operators.retrieval import (
+    latest_only,
     matches_all,
     reciprocal_rank_fusion,
     search,
@@ -318,3 +319,22 @@ def test_older_layout_is_refused(spark, tmp_path):
         ix.open_index(spark, path)
     ix.reset_index(spark, path)
     assert ix.open_index(spark, path).count() == 0 and ix.open_postings(spark, path).blocks.count() == 0
+
+
+def test_last_versions_only(spark, tmp_path):
+    from dataclasses import replace
+    from datetime import datetime
+
+    first, second = note("v1", "Leck Leck am Rumpf", file="a/x.pdf"), note("v2", "Leck am Rumpf", file="a/y.pdf")
+    index, inverted = stored(spark, str(tmp_path / "index"), [first, second, note("else", "Rumpf", file="b.pdf")])
+    papers = spark.createDataFrame(
+        [("d-a/x.pdf", "SEE-7", "SEE-7/a", datetime(2025, 1, 1)), ("d-a/y.pdf", "SEE-7", "SEE-7/a", datetime(2025, 2, 1)),
+         ("d-b.pdf", "SEE-7", "SEE-7/b", datetime(2024, 1, 1)), ("d-z", "SEE-8", "SEE-7/a", datetime(2026, 1, 1))],
+        "document_id string, project_id string, source_path string, ingested_at timestamp",
+    )
+    last = latest_only(index, papers)
+    assert set(keys(last)) == {"v2", "else"}
+    assert keys(text_search(last, project_id="SEE-7", question="Leck", limit=1)) == ["v2"]
+    only = replace(inverted, only=last.select("chunk_id"))
+    assert keys(text_search(last, project_id="SEE-7", question="Leck", limit=1, inverted=only)) == ["v2"]
+    assert keys(text_search(index, project_id="SEE-7", question="Leck", limit=1, inverted=inverted)) == ["v1"]
