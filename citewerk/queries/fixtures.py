@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +67,15 @@ def full_index(spark: SparkSession, folder: str, lexicon: Parts) -> DataFrame:
     )
 
 
+def _place(spark: SparkSession) -> str:
+    """A new folder on shared storage; a local session without one gets a temporary folder that goes with it."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.master.startswith("local["):
+        folder = tempfile.mkdtemp(prefix="citewerk-index-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        return f"{folder}/index"
+    return storage.staging_path(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/citewerk")
+
+
 #: Where a session has its index of a folder.
 _paths: dict[tuple, str] = {}
 
@@ -76,7 +88,7 @@ def stored_index(spark: SparkSession, folder: str, parts: tuple[str, ...] | None
     """
     key = (spark.sparkContext.applicationId, folder, parts)
     if key not in _paths:
-        path = storage.staging_path(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/citewerk")
+        path = _place(spark)
         rows = full_index(spark, folder, Lexicon(parts) if parts else NO_PARTS)
         ix.upsert(spark, path, rows.select(*ix.COLUMNS))
         _paths[key] = path
