@@ -248,9 +248,11 @@ def _token_rows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
         .select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
         .mapInArrow(run, schema)
     )
-    chosen = wanted.select(F.col("id").alias("wanted_id"), F.col("k1").alias("wanted_k1"), "uid")
-    same = F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("k1") == F.col("wanted_k1"))
-    return again.join(chosen, same).select("uid", "tokens").dropDuplicates(["uid"])
+    # joined by a hash of the id, so that rows that repeat are in one place and need no exchange of their own
+    again = again.withColumn("mark", F.xxhash64("id"))
+    chosen = wanted.select(F.xxhash64("id").alias("mark"), "k1", F.col("id").alias("wanted_id"), "uid")
+    found = again.join(chosen, ["mark", "k1"]).where(F.col("id").eqNullSafe(F.col("wanted_id")))
+    return found.dropDuplicates(["mark", "k1", "uid"]).select("uid", "tokens")
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
