@@ -248,12 +248,11 @@ def _token_rows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
         .select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
         .mapInArrow(run, schema)
     )
-    # joined by a hash of the id, so that rows that repeat are in one place and need no exchange of their own
+    # joined by hashes of id and set (equal sets have equal tokens whoever holds them): rows that repeat
+    # are then in one place and need no exchange of their own
     again = again.withColumn("mark", F.xxhash64("id"))
-    chosen = wanted.select(F.xxhash64("id").alias("mark"), "k1", F.col("id").alias("wanted_id"), "uid")
-    # as a condition, not as a key: a key of its own would deal the rows anew
-    same = F.when(F.col("id").isNull(), F.col("wanted_id").isNull()).otherwise(F.col("id") == F.col("wanted_id"))
-    found = again.join(chosen, ["mark", "k1"]).where(same)
+    chosen = wanted.select(F.xxhash64("id").alias("mark"), "k1", "uid")
+    found = again.join(chosen, ["mark", "k1"])
     return found.dropDuplicates(["mark", "k1", "uid"]).select("uid", "tokens")
 
 
