@@ -155,34 +155,6 @@ def lexeme_counts(lexemes_per_text: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
 
 
-ENTRIES = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("lexeme", T.StringType()),
-            T.StructField("places", T.ArrayType(T.IntegerType())),
-        ]
-    )
-)
-
-
-@F.arrow_udf(ENTRIES)
-def lexeme_places(words: pa.Array, places: pa.Array) -> pa.Array:
-    """Distinct lexemes of each text with their places in ascending order."""
-    ends, entries, at_ends, at = [0], [], [0], []
-    for found, where in zip(words.to_pylist(), places.to_pylist()):
-        of: dict[str, list[int]] = {}
-        for word, place in zip(found or (), where or ()):
-            of.setdefault(word, []).append(place)
-        entries += of
-        for own in of.values():
-            at += own
-            at_ends.append(len(at))
-        ends.append(len(entries))
-    lists = pa.ListArray.from_arrays(pa.array(at_ends, pa.int32()), pa.array(at, pa.int32()))
-    rows = pa.StructArray.from_arrays([pa.array(entries, pa.string()), lists], names=["lexeme", "places"])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
-
-
 INDEX_TERMS = T.StructType(
     [
         T.StructField("compound_terms", T.StringType()),

@@ -11,7 +11,7 @@ beside the rows, and so does the model of the compound splitter.
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,8 +115,9 @@ def index_rows(
 ) -> DataFrame:
     """Chunks with everything searching needs. Runs where the chunks are, no shuffle."""
     heading, text = F.col("heading"), F.col("text")
+    kept = [c for c in ("seq", "shard") if c in chunks.columns]
     return (
-        chunks.select(*CHUNK_COLUMNS)
+        chunks.select(*CHUNK_COLUMNS, *kept)
         .withColumn("_terms", index_terms(heading, text, lexicon, stops))
         .withColumn("compound_terms", F.col("_terms.compound_terms"))
         .withColumn("embedding", embed(passage_text(heading, text), encoder, dim, batch_size))
@@ -132,11 +133,14 @@ def merge_rows(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     return batch.unionByName(existing.join(batch.select(key), key, "left_anti"))
 
 
+def _clustered(rows: DataFrame) -> DataFrame:
+    return rows.hint("rebalance", "project_id", "shard")
+
+
 def _write(rows: DataFrame, path: str, mode: str) -> None:
-    """Files are ordered by chunk id, so that looking up ids can skip row groups."""
+    """Store clustered rows. Files are ordered by chunk id, so that looking up ids can skip row groups."""
     (
         rows.select(*STORED.fieldNames())
-        .hint("rebalance", "project_id", "shard")
         .sortWithinPartitions("project_id", "shard", "chunk_id")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
@@ -176,21 +180,35 @@ def rebuild_postings(spark: SparkSession, path: str) -> None:
     postings.replace(open_index(spark, path), postings_path(path))
 
 
-def upsert(spark: SparkSession, path: str, rows: DataFrame, dim: int | None = None) -> int:
+def upsert(
+    spark: SparkSession,
+    path: str,
+    rows: DataFrame,
+    dim: int | None = None,
+    finish: Callable[[DataFrame], DataFrame] | None = None,
+) -> int:
     """Insert rows, replacing those with a known chunk_id; returns how many were given.
 
     With `dim`, a vector of another length fails the job before anything is stored.
 
-    `rows` is written to a staging table first, so it is computed once (encoding is the expensive
-    part). What is stored grows by the rows given, whatever they replace. A run that dies leaves a
+    `rows` is written to a staging table first, so it is computed once. `finish` adds what takes much
+    room or time (lexemes, places, vectors) to rows that lie in their shards already, so that only
+    what it starts from is staged and shuffled; its results are staged, too, if rows are replaced.
+
+    What is stored grows by the rows given, whatever they replace. A run that dies leaves a
     mark, and the next one writes the inverted index anew before it goes on; replaced chunks whose
     new rows were not written count as not indexed.
     """
+
+    def finished(given: DataFrame) -> DataFrame:
+        done = finish(given) if finish is not None else given
+        if dim is not None:
+            done = done.withColumn("embedding", checked_embedding(F.col("embedding"), dim))
+        return done
+
     staged_path = storage.staging_path(spark, path)
-    if dim is not None:
-        rows = rows.withColumn("embedding", checked_embedding(F.col("embedding"), dim))
-    keyed = rows.select(*COLUMNS).withColumn("shard", shard_of(F.col("chunk_id")))
-    keyed.write.parquet(f"{staged_path}/rows")
+    given = rows if finish is not None else finished(rows).select(*COLUMNS)
+    given.withColumn("shard", shard_of(F.col("chunk_id"))).write.parquet(f"{staged_path}/rows")
     staged = spark.read.parquet(f"{staged_path}/rows")
     count = staged.count()
     if count:
@@ -204,11 +222,18 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, dim: int | None = No
         restrict(live.select("chunk_id"), unique, "chunk_id").write.parquet(f"{staged_path}/known")
         known = spark.read.parquet(f"{staged_path}/known")
         seq = _next_seq(spark, path)
-        if not known.isEmpty():
+        fresh = _clustered(unique).withColumn("seq", F.lit(seq).cast("long"))
+        replacing = not known.isEmpty()
+        if finish is not None:
+            fresh = finished(fresh)
+            if replacing:
+                fresh.select(*STORED.fieldNames()).write.parquet(f"{staged_path}/finished")
+                fresh = _clustered(spark.read.parquet(f"{staged_path}/finished"))
+        if replacing:
             _note_gone(spark, path, known, seq, live)
-        fresh = unique.withColumn("seq", F.lit(seq).cast("long"))
-        postings.append(fresh, postings_path(path))
         _write(fresh, path, "append")
+        storage.remove(spark, staged_path)
+        postings.append(_stored(spark, path).where(F.col("seq") == seq), postings_path(path))
         storage.remove(spark, _mark(path))
     storage.remove(spark, staged_path)
     return count
@@ -233,7 +258,7 @@ def compact(spark: SparkSession, path: str) -> int:
     _alive(stored.join(side, where, "left_semi"), gone).write.parquet(f"{staged_path}/kept")
     kept = spark.read.parquet(f"{staged_path}/kept")
     emptied = touched.join(kept.select(*where).distinct(), where, "left_anti")
-    _write(kept, path, "overwrite")
+    _write(_clustered(kept), path, "overwrite")
     postings.replace(kept, postings_path(path))
     for row in emptied.toLocalIterator():  # a shard without rows gets no file of its own
         for own in (path, postings_path(path)):

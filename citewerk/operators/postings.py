@@ -1,10 +1,10 @@
 """The inverted index in blocks: stored beside the retrieval index, read by every text search.
 
-A row holds the entries of one lexeme in one bucket of chunks: their ids, the sequence number of
+A row holds entries of one lexeme in one bucket of chunks: their ids, the sequence number of
 the chunk rows they belong to, chunk sizes and places, and in front of them the greatest number of
 places. Rows of the empty lexeme count the chunks and the lexemes of a shard; replaced and removed
 chunks are counted with minus one, so document frequency and mean length are sums. A write only
-appends.
+appends, and makes blocks inside the tasks that read the stored rows, without a shuffle.
 
 A search reads the narrow columns of the lexemes asked for first. The greatest counts of a bucket
 add up to a bound of its scores, and some chunk reaches each of them, so the k-th best of these is a
@@ -16,22 +16,25 @@ best is taken. Ties are kept, so the list is exact.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citewerk.functions.ids import require_project_id
-from citewerk.functions.tokens import lexeme_places
 from citewerk.operators.ranking import CANDIDATES, POSITION_WEIGHT, ranked
 from citewerk.sources import storage
 from citewerk.sources.tables import is_small, restrict
 
 #: Buckets of a project; a multiple of the shards, so that each lies within one shard.
 BUCKETS = 1024
+#: Blocks are made of so many lexemes at a time, or of one chunk.
+BLOCK_TOKENS = 1 << 21
 #: Buckets that survive, one row for each question, are broadcast up to so many rows.
 BROADCAST_BUCKETS = 1 << 18
 # Usual constants of BM25.
@@ -52,7 +55,6 @@ BLOCKS = T.StructType(
         T.StructField("places", T.ArrayType(T.ArrayType(T.IntegerType()))),
     ]
 )
-_PLACE = ("project_id", "shard", "lexeme", "bucket")
 
 
 @dataclass(frozen=True)
@@ -72,36 +74,109 @@ def bucket_of(chunk_id: Column) -> Column:
 
 
 def blocks(index: DataFrame) -> DataFrame:
-    """Rows of BLOCKS for index rows (project_id, shard, chunk_id, seq, lexemes, places)."""
-    own = index.select(
-        "project_id", "shard", bucket_of(F.col("chunk_id")).alias("bucket"), "chunk_id", "seq",
-        F.size("lexemes").alias("size"), lexeme_places("lexemes", "places").alias("entries"),
-    )
-    # Outer, because for the inner form Catalyst adds a filter that runs the UDF again.
-    rows = own.select("project_id", "shard", "bucket", "chunk_id", "seq", "size", F.inline_outer("entries"))
-    listed = F.array_sort(F.collect_list(F.struct("chunk_id", "seq", "size", "places")))
-    grouped = (
-        rows.where(F.col("lexeme").isNotNull())
-        .groupBy(*_PLACE)
-        .agg(F.count("*").alias("n"), F.max(F.size("places")).alias("most"), listed.alias("items"))
+    """Rows of BLOCKS for index rows (project_id, shard, chunk_id, seq, lexemes, places).
+
+    Blocks are made where the rows lie, of `BLOCK_TOKENS` lexemes at a time: a lexeme and a bucket may
+    have several. Nothing is shuffled, so rows that lie by shard give few and large blocks.
+    """
+    return index.select(
+        "project_id", "shard", bucket_of(F.col("chunk_id")).alias("bucket"), "chunk_id", "seq", "lexemes", "places"
+    ).mapInArrow(_inverted, BLOCKS)
+
+
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body of `blocks`."""
+    held: list[pa.RecordBatch] = []
+    tokens = 0
+    for batch in batches:
+        lengths = pc.fill_null(pc.list_value_length(batch.column("lexemes")), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            read = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, read + BLOCK_TOKENS - tokens, side="right")))
+            held.append(batch.slice(at, stop - at))
+            tokens += int(ends[stop - 1]) - read
+            at = stop
+            if tokens >= BLOCK_TOKENS or at < batch.num_rows:
+                yield _blocks_of(held)
+                held, tokens = [], 0
+    if held:
+        yield _blocks_of(held)
+
+
+def _blocks_of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The blocks of some index rows, by project, shard, lexeme and bucket, and the counts of each shard."""
+    rows = pa.Table.from_batches(held).sort_by([(c, "ascending") for c in ("project_id", "shard", "bucket", "chunk_id", "seq")])
+    rows = rows.combine_chunks()
+    project, shard, bucket, chunk, seq, words, places = (rows.column(c).combine_chunks() for c in rows.column_names)
+    sizes, placed = (pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False) for c in (words, places))
+    if not np.array_equal(sizes, placed):
+        raise ValueError("Every lexeme of a chunk needs one place")
+    known = words.flatten().dictionary_encode()
+    order = pc.array_sort_indices(known.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+
+    def changes(*columns: np.ndarray) -> np.ndarray:
+        """Where a run of equal values begins."""
+        new = np.zeros(len(columns[0]), bool)
+        new[:1] = True
+        for column in columns:
+            new[1:] |= column[1:] != column[:-1]
+        return new
+
+    buckets, shards = bucket.to_numpy(zero_copy_only=False), shard.to_numpy(zero_copy_only=False)
+    names = project.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    lies = np.cumsum(changes(names, shards)) - 1  # number of the project and shard of a row
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    word = rank[known.indices.to_numpy(zero_copy_only=False)] if len(row) else np.empty(0, np.int64)
+    # rows are in order of buckets and ids, places of a row in order: a stable sort keeps both
+    sort = np.argsort((lies[row] * max(1, len(order)) + word) * len(sizes) + row, kind="stable")
+    row, word = row[sort], word[sort]
+    entries = np.flatnonzero(changes(lies[row], word, row))
+    entry_row, entry_word = row[entries], word[entries]
+    counts = np.diff(np.append(entries, len(row)))
+    starts = np.flatnonzero(changes(lies[entry_row], entry_word, buckets[entry_row]))
+    first = entry_row[starts]
+    whole = np.flatnonzero(changes(lies))  # one row more for each shard
+
+    def lists(values: pa.Array) -> pa.Array:
+        ends = np.concatenate([starts, np.full(len(whole) + 1, len(entries))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+    at = pa.array(np.concatenate([first, whole]))
+    zeros = np.zeros(len(whole), np.int64)
+    texts = pc.take(pc.take(known.dictionary, pa.array(order)), pa.array(entry_word[starts]))
+    own = pc.take(places.flatten(), pa.array(sort))
+    own = pa.ListArray.from_arrays(pa.array(np.append(entries, len(row)), pa.int32()), own)
+    columns = {
+        "project_id": pc.take(project, at),
+        "shard": pc.take(shard, at),
+        "lexeme": pa.concat_arrays([texts, pa.array([""] * len(whole), texts.type)]),
+        "bucket": np.concatenate([buckets[first], zeros - 1]),
+        "n": np.concatenate([np.diff(np.append(starts, len(entries))), np.diff(np.append(whole, len(sizes)))]),
+        "total": np.concatenate([np.zeros(len(starts), np.int64), np.add.reduceat(sizes.astype(np.int64), whole)]),
+        "most": np.concatenate([np.maximum.reduceat(counts, starts) if len(starts) else counts, zeros]),
+        "chunk_ids": lists(pc.take(chunk, pa.array(entry_row))),
+        "seqs": lists(pc.take(seq, pa.array(entry_row))),
+        "sizes": lists(pa.array(sizes[entry_row], pa.int32())),
+        "places": lists(own),
+    }
+    types = {"shard": pa.int32(), "bucket": pa.int32(), "n": pa.int64(), "total": pa.int64(), "most": pa.int32()}
+    return pa.RecordBatch.from_pydict(
+        {c: pa.array(v, types[c]) if isinstance(v, np.ndarray) else v for c, v in columns.items()}
     )
-    entries = grouped.select(
-        *_PLACE, "n", F.lit(0).cast("long").alias("total"), "most",
-        *[F.col(f"items.{a}").alias(b) for a, b in
-          (("chunk_id", "chunk_ids"), ("seq", "seqs"), ("size", "sizes"), ("places", "places"))],
-    )
-    return entries.unionByName(_counted(index, 1).where("lexeme = ''"))
 
 
-def _counted(index: DataFrame, sign: int) -> DataFrame:
-    """Statistics without entries: chunks that hold a lexeme, chunks and lexemes of a shard."""
-    size = F.size("lexemes")
+def _counted_out(index: DataFrame) -> DataFrame:
+    """Minus the chunks that hold a lexeme, and minus the chunks and lexemes of a shard."""
     places = index.select("project_id", "shard", F.explode(F.array_distinct("lexemes")).alias("lexeme"), F.lit(0).alias("size"))
-    whole = index.select("project_id", "shard", F.lit("").alias("lexeme"), size.alias("size"))
+    whole = index.select("project_id", "shard", F.lit("").alias("lexeme"), F.size("lexemes").alias("size"))
     return (
-        (places.unionByName(whole) if sign < 0 else whole)
+        places.unionByName(whole)
         .groupBy("project_id", "shard", "lexeme")
-        .agg((sign * F.count("*")).alias("n"), (sign * F.sum("size")).alias("total"))
+        .agg((-F.count("*")).alias("n"), (-F.sum("size")).alias("total"))
         .select(
             "project_id", "shard", "lexeme", F.lit(-1).alias("bucket"), "n", "total", F.lit(0).alias("most"),
             *[F.array().cast(BLOCKS[c].dataType).alias(c) for c in ("chunk_ids", "seqs", "sizes", "places")],
@@ -113,7 +188,6 @@ def _write(rows: DataFrame, path: str, mode: str) -> None:
     """Files are ordered by lexeme, so that row groups of other lexemes are skipped."""
     (
         rows.select(*BLOCKS.fieldNames())
-        .hint("rebalance", "project_id", "shard")
         .sortWithinPartitions("project_id", "shard", "lexeme", "bucket")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
@@ -123,18 +197,18 @@ def _write(rows: DataFrame, path: str, mode: str) -> None:
 
 
 def append(index: DataFrame, path: str) -> None:
-    """Store the entries of new index rows."""
+    """Store the entries of new index rows, which lie by project and shard as a stored index does."""
     _write(blocks(index), path, "append")
 
 
 def count_out(index: DataFrame, path: str) -> None:
     """Take index rows that are about to be replaced or removed out of the statistics."""
-    _write(_counted(index, -1), path, "append")
+    _write(_counted_out(index).hint("rebalance", "project_id", "shard"), path, "append")
 
 
 def replace(index: DataFrame, path: str) -> None:
     """Write the shards that `index` has rows of anew, and no others."""
-    _write(blocks(index), path, "overwrite")
+    _write(blocks(index).hint("rebalance", "project_id", "shard"), path, "overwrite")
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:

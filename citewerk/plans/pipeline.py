@@ -19,7 +19,7 @@ from citewerk.operators.chunks import explode_chunks
 from citewerk.operators import splitter
 from citewerk.operators.index import index_rows, open_index, pending_ids, splitter_path, upsert
 from citewerk.operators.segments import SEGMENT_STRUCT, explode_segments, segments_of
-from citewerk.schemas import DOCUMENTS
+from citewerk.schemas import CHUNK_COLUMNS, DOCUMENTS
 from citewerk.settings import (
     CHUNK_MAX_CHARS,
     CHUNK_OVERLAP_CHARS,
@@ -219,8 +219,8 @@ def index_chunks(
         lexicon = stored_splitter(spark, index_path, chunks)
     for number in range(commits if waiting else 0):
         due = restrict(chunks, pending.where(share == number), "chunk_id")
-        rows = index_rows(due, encoder, lexicon, dim, batch_size, stops)
-        upsert(spark, index_path, rows)
+        own = due.select(*CHUNK_COLUMNS)
+        upsert(spark, index_path, own, finish=lambda rows: index_rows(rows, encoder, lexicon, dim, batch_size, stops))
     storage.remove(spark, staging)
     return IndexResult(embedded=waiting, skipped=total - waiting)
 

@@ -54,16 +54,19 @@ def corpus_chunks(corpus: DataFrame, *further: str) -> DataFrame:
     )
 
 
-def full_index(spark: SparkSession, folder: str, lexicon: Parts) -> DataFrame:
-    """Documents as index rows: text of every row, vectors where a row has one."""
+def index_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as chunks: text of every row, vectors where a row has one."""
     embeddings = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    corpus = view(spark, folder, "corpus")
-    terms = index_terms(F.col("heading"), F.col("text"), lexicon, STOPS)
-    lexed = corpus.withColumn("terms", terms)
-    rows = lexed.join(embeddings, "doc_id", "left")
-    return corpus_chunks(rows, "terms", "embedding").select(
-        *CHUNK_COLUMNS, "terms.compound_terms", "embedding", "terms.lexemes", "terms.places",
-        ix.text_hash(F.col("heading"), F.col("text")).alias("text_hash"),
+    return corpus_chunks(view(spark, folder, "corpus").join(embeddings, "doc_id", "left"), "embedding")
+
+
+def finished(rows: DataFrame, lexicon: Parts) -> DataFrame:
+    """Index rows of chunks that have their vectors."""
+    heading, text = F.col("heading"), F.col("text")
+    lexed = rows.withColumn("terms", index_terms(heading, text, lexicon, STOPS))
+    return lexed.select(
+        *rows.columns, "terms.compound_terms", "terms.lexemes", "terms.places",
+        ix.text_hash(heading, text).alias("text_hash"),
     )
 
 
@@ -89,8 +92,8 @@ def stored_index(spark: SparkSession, folder: str, parts: tuple[str, ...] | None
     key = (spark.sparkContext.applicationId, folder, parts)
     if key not in _paths:
         path = _place(spark)
-        rows = full_index(spark, folder, Lexicon(parts) if parts else NO_PARTS)
-        ix.upsert(spark, path, rows.select(*ix.COLUMNS))
+        lexicon = Lexicon(parts) if parts else NO_PARTS
+        ix.upsert(spark, path, index_source(spark, folder), finish=lambda rows: finished(rows, lexicon))
         _paths[key] = path
     return Stored(ix.open_index(spark, _paths[key]), ix.open_postings(spark, _paths[key]))
 

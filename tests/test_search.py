@@ -199,6 +199,46 @@ def test_blocks_below_the_kth_score_are_not_read(spark, filled):
     assert inv.reachable(rows, askers, 10_000).count() == buckets
 
 
+def test_blocks_are_made_where_rows_lie(spark, filled, monkeypatch):
+    """However many blocks a lexeme has in a bucket, they hold each entry once, and nothing is shuffled."""
+    index = ix._stored(spark, filled[0])
+    want = {
+        (r.chunk_id, r.seq, w, tuple(p for x, p in zip(r.lexemes, r.places) if x == w))
+        for r in index.collect() for w in r.lexemes
+    }
+    for tokens in (1, 50, inv.BLOCK_TOKENS):
+        made = []
+        for batch in index.select(
+            "project_id", "shard", inv.bucket_of(F.col("chunk_id")).alias("bucket"), "chunk_id", "seq", "lexemes", "places"
+        ).toArrow().to_batches():
+            monkeypatch.setattr(inv, "BLOCK_TOKENS", tokens)
+            made += [r for b in inv._inverted(iter([batch])) for r in b.to_pylist()]
+        got = [
+            (c, s, r["lexeme"], tuple(p))
+            for r in made if r["bucket"] >= 0 for c, s, p in zip(r["chunk_ids"], r["seqs"], r["places"])
+        ]
+        assert len(got) == len(want) and set(got) == want
+        assert sum(r["n"] for r in made if r["lexeme"] == "") == index.count()
+        assert all(r["n"] == len(r["places"]) and r["most"] == max(map(len, r["places"])) for r in made if r["lexeme"])
+    assert "Exchange" not in inv.blocks(index)._jdf.queryExecution().toString()
+
+
+def test_rows_are_finished_in_their_shards(spark, tmp_path):
+    """What is staged and shuffled is what `finish` starts from; a wrong vector stores nothing."""
+    from citewerk.schemas import CHUNK_COLUMNS
+
+    path, shaped = str(tmp_path / "index"), lambda rows: ix.index_rows(rows, TopicEncoder(), WORDS, DIM)
+    chunks = lambda notes: spark.createDataFrame([[n[c] for c in CHUNKS.fieldNames()] for n in notes], CHUNKS).select(*CHUNK_COLUMNS)
+    assert ix.upsert(spark, path, chunks([*NOTES, HULL]), DIM, finish=shaped) == 5
+    assert ix.upsert(spark, path, chunks([dict(HULL, text="Kiel geprüft.")]), DIM, finish=shaped) == 1
+    with pytest.raises(Exception, match="Dimension"):
+        ix.upsert(spark, path, chunks([dict(HULL, text="Neu."), note("new", "Neu.")]), DIM + 1, finish=shaped)
+    index, inverted = ix.open_index(spark, path), ix.open_postings(spark, path)
+    assert {r.chunk_id: r.text for r in index.collect()} == {n["chunk_id"]: n["text"] for n in NOTES} | {"hull": "Kiel geprüft."}
+    assert keys(inv.any_word(inverted, "SEE-7", [["kiel"]], 5)) == ["hull"]
+    assert inv.statistics(inverted, "SEE-7", ["kiel", "leck"])[::2] == (3, {"kiel": 1, "leck": 0})
+
+
 def plain_covers(lists):
     """All shortest stretches by trying every pair of ends."""
     places = sorted(p for own in lists for p in own)
