@@ -144,6 +144,7 @@ def _write(rows: DataFrame, path: str, mode: str) -> None:
         .sortWithinPartitions("project_id", "shard", "chunk_id")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", storage.COMPRESSION)
         .partitionBy("project_id", "shard")
         .parquet(path)
     )
@@ -208,7 +209,8 @@ def upsert(
 
     staged_path = storage.staging_path(spark, path)
     given = rows if finish is not None else finished(rows).select(*COLUMNS)
-    given.withColumn("shard", shard_of(F.col("chunk_id"))).write.parquet(f"{staged_path}/rows")
+    given = given.withColumn("shard", shard_of(F.col("chunk_id")))
+    given.write.parquet(f"{staged_path}/rows", compression=storage.COMPRESSION)
     staged = spark.read.parquet(f"{staged_path}/rows")
     count = staged.count()
     if count:
@@ -227,7 +229,8 @@ def upsert(
         if finish is not None:
             fresh = finished(fresh)
             if replacing:
-                fresh.select(*STORED.fieldNames()).write.parquet(f"{staged_path}/finished")
+                wide = fresh.select(*STORED.fieldNames())
+                wide.write.parquet(f"{staged_path}/finished", compression=storage.COMPRESSION)
                 fresh = _clustered(spark.read.parquet(f"{staged_path}/finished"))
         if replacing:
             _note_gone(spark, path, known, seq, live)
@@ -255,7 +258,8 @@ def compact(spark: SparkSession, path: str) -> int:
     dead.groupBy(*where).count().write.parquet(f"{staged_path}/touched")
     touched = spark.read.parquet(f"{staged_path}/touched")
     side = F.broadcast(touched.select(*where)) if is_small(touched) else touched.select(*where)
-    _alive(stored.join(side, where, "left_semi"), gone).write.parquet(f"{staged_path}/kept")
+    alive = _alive(stored.join(side, where, "left_semi"), gone)
+    alive.write.parquet(f"{staged_path}/kept", compression=storage.COMPRESSION)
     kept = spark.read.parquet(f"{staged_path}/kept")
     emptied = touched.join(kept.select(*where).distinct(), where, "left_anti")
     _write(_clustered(kept), path, "overwrite")

@@ -191,6 +191,7 @@ def _write(rows: DataFrame, path: str, mode: str) -> None:
         .sortWithinPartitions("project_id", "shard", "lexeme", "bucket")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", storage.COMPRESSION)
         .partitionBy("project_id", "shard")
         .parquet(path)
     )

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 from datetime import date
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +73,15 @@ def held(spark, tmp_path_factory):
     return stored(spark, str(tmp_path_factory.mktemp("held") / "index"), NOTES)
 
 
+def test_stored_tables_are_small(spark, tmp_path):
+    """Lists of places take most of the room: rows and blocks are stored with the denser codec."""
+    path = str(tmp_path / "index")
+    stored(spark, path, NOTES)
+    for own in (path, ix.postings_path(path)):
+        files = [pq.ParquetFile(f).metadata.row_group(0) for f in Path(own).rglob("*.parquet")]
+        assert files and {g.column(n).compression for g in files for n in range(g.num_columns)} == {"ZSTD"}
+
+
 def keys(found):
     return [r.chunk_id for r in found.collect()]
 
