@@ -15,15 +15,18 @@ grow with the data, its size is checked, and it travels inside the UDF.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import lru_cache
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citewerk.functions import stretches
+
 # Fixed values.
 MIN_WORD_LENGTH = 7
 MIN_PART_LENGTH = 3
@@ -95,16 +98,42 @@ def split_compound(word: str, lexicon: Lexicon, shortest: int = MIN_PART_LENGTH)
     return []
 
 
-@lru_cache(maxsize=1 << 18)
-def _remembered(word: str, lexicon: Parts) -> tuple[str, ...]:
-    return tuple(lexicon.parts(word))
+def _run_parts(run: str, lexicon: Parts) -> Sequence[str]:
+    """Parts of all compounds of a stretch without blanks; no word spans a blank."""
+    found = _WORD.findall(run)
+    return tuple(lexicon.parts(found[0]) if len(found) == 1 else (p for word in found for p in lexicon.parts(word)))
+
+
+@lru_cache(maxsize=2)
+def _vocabulary(lexicon: Parts) -> stretches.Vocabulary:
+    return stretches.Vocabulary(lambda run: _run_parts(run, lexicon))
 
 
 def compound_parts_local(text: str, lexicon: Parts) -> str:
+    runs = () if isinstance(lexicon, NoParts) else dict.fromkeys(text.split())
+    return " ".join(dict.fromkeys(p for run in runs for p in _run_parts(run, lexicon)))
+
+
+def first_parts(
+    rows: np.ndarray, runs: np.ndarray, distinct: list[str], count: int, lexicon: Parts
+) -> tuple[list[str], np.ndarray, np.ndarray, list[str]]:
+    """Distinct parts of each text in order of first occurrence: joined by blanks; and as their rows,
+    their numbers, and the list that these numbers count in. Takes the stretches of `stretches.runs`."""
     if isinstance(lexicon, NoParts):
-        return ""
-    words = _WORD.findall(text)
-    return " ".join(dict.fromkeys(p for word in words for p in _remembered(word, lexicon)))
+        none = np.empty(0, np.int64)
+        return [""] * count, none, none, []
+    known = _vocabulary(lexicon)
+    lists = [known[run] for run in distinct]
+    numbers: dict[str, int] = {}
+    flat = np.array([numbers.setdefault(p, len(numbers)) for own in lists for p in own], np.int64)
+    lengths = stretches.sizes(lists)
+    seen = np.repeat(rows, lengths[runs]) * max(1, len(numbers)) + flat[stretches.items(lengths, runs)]
+    first = np.sort(np.unique(seen, return_index=True)[1])
+    part_rows, part_numbers = np.divmod(seen[first], max(1, len(numbers)))
+    parts = list(numbers)
+    joined = [parts[n] for n in part_numbers.tolist()]
+    ends = np.searchsorted(part_rows, np.arange(count + 1))
+    return [" ".join(joined[a:b]) for a, b in zip(ends[:-1], ends[1:])], part_rows, part_numbers, parts
 
 
 def compound_parts(text: Column, lexicon: Parts) -> Column:
@@ -112,9 +141,10 @@ def compound_parts(text: Column, lexicon: Parts) -> Column:
 
     @F.arrow_udf(T.StringType())
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(
-            [compound_parts_local(t or "", lexicon) for t in texts.to_pylist()], pa.string()
-        )
+        found: list[str] = []
+        for at, count in stretches.pieces(texts):
+            found += first_parts(*stretches.runs(texts.slice(at, count)), count, lexicon)[0]
+        return pa.array(found, pa.string())
 
     return run(text)
 

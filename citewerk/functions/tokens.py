@@ -8,17 +8,20 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Collection, Iterable
+from collections.abc import Callable, Collection, Sequence
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citewerk.functions.compounds import NO_PARTS, Parts, compound_parts_local
-from citewerk.functions.german import index_form, lexeme, stop_words
+from citewerk.functions import stretches
+from citewerk.functions.compounds import NO_PARTS, Parts, compound_parts_local, first_parts
+from citewerk.functions.german import lexeme, stem, stop_words
 
 # Words (hyphenated ones as a whole), digit-led codes, signed and dotted numbers.
 _TOKEN = re.compile(
@@ -29,8 +32,6 @@ _TOKEN = re.compile(
 
 
 _PLAIN = re.compile(r"[^\W\d_]+")
-#: Stretches between blanks that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST_REMEMBERED = 1 << 19, 64
 
 
 def tokens_of(text: str) -> list[str]:
@@ -53,67 +54,45 @@ def _run_tokens(run: str) -> list[str]:
     return found
 
 
-class Vocabulary(dict):
-    """What each stretch between blanks becomes, worked out when it is first met.
-
-    Stretches repeat heavily, so a text costs one look-up for each of them; the bounds keep this
-    below some 50 MB a worker.
-    """
-
-    def __init__(self, become: Callable[[str], tuple]):
-        super().__init__()
-        self.become = become
-
-    def __missing__(self, run: str) -> tuple:
-        made = self.become(run)
-        if len(self) < REMEMBERED and len(run) <= LONGEST_REMEMBERED:
-            self[run] = made
-        return made
+_DIGIT = re.compile(r"\d")
+_FIRST = (0,)
 
 
-@lru_cache(maxsize=4)
-def _lexeme_vocabulary(stops: frozenset[str]) -> Vocabulary:
-    return Vocabulary(lambda run: tuple(index_form(t) for t in _run_tokens(run) if t not in stops))
+def _form(token: str) -> str:
+    """`german.index_form` without a memory of its own."""
+    return token if _DIGIT.search(token) else stem(token)
 
 
-@lru_cache(maxsize=4)
-def _place_vocabulary(stops: frozenset[str]) -> Vocabulary:
+@lru_cache(maxsize=2)
+def _vocabulary(stops: frozenset[str]) -> stretches.Vocabulary:
     """(number of tokens, lexemes, place of each): stop words take a place, too."""
 
     def become(run: str) -> tuple:
-        found = _run_tokens(run)
-        kept = [(n, index_form(t)) for n, t in enumerate(found) if t not in stops]
+        found = _run_tokens(run.lower())
+        if len(found) == 1:
+            return (1, (), ()) if found[0] in stops else (1, (_form(found[0]),), _FIRST)
+        kept = [(n, _form(t)) for n, t in enumerate(found) if t not in stops]
         return len(found), tuple(w for _, w in kept), tuple(n for n, _ in kept)
 
-    return Vocabulary(become)
-
-
-def placed_lexemes(text: str, stops: frozenset[str], words: list[str], places: list[int], at: int = 0) -> int:
-    """Append the lexemes of a text and their places, counted from `at`; returns the next place."""
-    for count, found, offsets in map(_place_vocabulary(stops).__getitem__, text.lower().split()):
-        if len(found) == 1:
-            words.append(found[0])
-            places.append(at + offsets[0])
-        elif found:
-            words += found
-            places += [at + n for n in offsets]
-        at += count
-    return at
+    return stretches.Vocabulary(become)
 
 
-def _string_lists(
-    texts: Iterable[str | None], per_text: Callable[[str], list[str]]
-) -> pa.ListArray:
-    ends, flat = [0], []
-    for text in texts:
-        flat += per_text(text or "")
-        ends.append(len(flat))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.string()))
+def _string_lists(texts: pa.Array, become: Callable[[str], Sequence[str]]) -> pa.Array:
+    """For each text what its stretches become, in order."""
+    made = [pa.array([], pa.list_(pa.string()))]
+    for at, count in stretches.pieces(texts):
+        rows, runs, distinct = stretches.runs(texts.slice(at, count))
+        lists = [become(run) for run in distinct]
+        lengths = stretches.sizes(lists)
+        words = pa.array(list(chain.from_iterable(lists)), pa.string())
+        words = words.take(pa.array(stretches.items(lengths, runs)))
+        made.append(pa.ListArray.from_arrays(stretches.list_offsets(rows, lengths[runs], count), words))
+    return pa.concat_arrays(made)
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def tokens(texts: pa.Array) -> pa.Array:
-    return _string_lists(texts.to_pylist(), tokens_of)
+    return _string_lists(texts, lambda run: _run_tokens(run.lower()))
 
 
 def lexemes(text: Column, stops: Collection[str] | None = None) -> Column:
@@ -123,13 +102,10 @@ def lexemes(text: Column, stops: Collection[str] | None = None) -> Column:
     """
     stops = stop_words() if stops is None else frozenset(stops)
 
-    def per_text(value: str) -> list[str]:
-        known = _lexeme_vocabulary(stops)
-        return list(chain.from_iterable(map(known.__getitem__, value.lower().split())))
-
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def run(texts: pa.Array) -> pa.Array:
-        return _string_lists(texts.to_pylist(), per_text)
+        known = _vocabulary(stops)
+        return _string_lists(texts, lambda run: known[run][1])
 
     return run(text)
 
@@ -174,25 +150,45 @@ def index_terms(
 
     @F.arrow_udf(INDEX_TERMS)
     def run(headings: pa.Array, texts: pa.Array) -> pa.Array:
-        terms, ends, words, places = [], [0], [], []
-        for head, body in zip(headings.to_pylist(), texts.to_pylist(), strict=True):
-            searched = f"{head or ''} {body or ''}"
-            terms.append(compound_parts_local(searched, lexicon))
-            at = placed_lexemes(searched, stops, words, places)
-            placed_lexemes(terms[-1], stops, words, places, at)
-            ends.append(len(words))
-        offsets = pa.array(ends, pa.int32())
-        lists = [
-            pa.ListArray.from_arrays(offsets, pa.array(words, pa.string())),
-            pa.ListArray.from_arrays(offsets, pa.array(places, pa.int32())),
-        ]
-        return pa.StructArray.from_arrays(
-            [pa.array(terms, pa.string()), *lists], names=["compound_terms", "lexemes", "places"]
-        )
+        known = _vocabulary(stops)
+        whole = pc.binary_join_element_wise(pc.fill_null(headings, ""), pc.fill_null(texts, ""), " ")
+        made = [_placed(whole.slice(at, count), known, lexicon) for at, count in stretches.pieces(whole)]
+        return pa.concat_arrays([pa.array([], _TERMS), *made])
 
     return run(heading, text)
 
 
+_TERMS = pa.struct(
+    [("compound_terms", pa.string()), ("lexemes", pa.list_(pa.string())), ("places", pa.list_(pa.int32()))]
+)
+
+
+def _placed(texts: pa.Array, known: stretches.Vocabulary, lexicon: Parts) -> pa.Array:
+    """INDEX_TERMS of some texts: the parts of a text's compounds follow its own stretches."""
+    count = len(texts)
+    rows, runs, distinct = stretches.runs(texts)
+    terms, part_rows, part_numbers, parts = first_parts(rows, runs, distinct, count, lexicon)
+    runs = np.concatenate([runs, part_numbers + len(distinct)])
+    rows = np.concatenate([rows, part_rows])
+    order = np.argsort(rows, kind="stable")
+    rows, runs = rows[order], runs[order]
+    become = [known[run] for run in chain(distinct, parts)]
+
+    tokens_in = np.array([b[0] for b in become], np.int64)[runs]
+    ends = np.cumsum(tokens_in)
+    before = np.concatenate([[0], ends])[np.searchsorted(rows, np.arange(count))]  # tokens of earlier texts
+    at = ends - tokens_in - before[rows]
+
+    lengths = stretches.sizes([b[1] for b in become])
+    items = pa.array(stretches.items(lengths, runs))
+    words = pa.array(list(chain.from_iterable(b[1] for b in become)), pa.string()).take(items)
+    inner = np.array(list(chain.from_iterable(b[2] for b in become)), np.int64)
+    places = pa.array(inner[items.to_numpy()] + np.repeat(at, lengths[runs]), pa.int32())
+    offsets = stretches.list_offsets(rows, lengths[runs], count)
+    lists = [pa.ListArray.from_arrays(offsets, words), pa.ListArray.from_arrays(offsets, places)]
+    return pa.StructArray.from_arrays([pa.array(terms, pa.string()), *lists], fields=list(_TERMS))
+
+
 def question_lexemes(
     question: str, lexicon: Parts = NO_PARTS, stops: Collection[str] | None = None
 ) -> list[str]:

@@ -251,3 +251,28 @@ endstream endobj
     assert list(pdf.pages(data)) == [[(12.0, "Haus (B) ä"), (12.0, "Rohbau liegt")], []]
     with pytest.raises(ValueError, match="PyMuPDF"):
         list(pdf.pages(b"trailer << /Encrypt 9 0 R >>"))
+
+
+def test_lists_are_made_piece_by_piece(spark, monkeypatch):
+    """Texts of a batch are lexed in bounded pieces, whose lists are those of each text alone."""
+    import pyarrow as pa
+
+    from citewerk.functions import stretches, tokens
+    from citewerk.functions.compounds import compound_parts_local
+    from citewerk.functions.german import index_form
+
+    texts = ["Schiffbau: Bau-Amt 48.500", None, "", " \u0130stanbul\xa0\u039f\u0394\u039f\u03a3. und ", "und der Schiffsbau " * 9]
+    whole, stops = pa.array(texts, pa.string()), frozenset(["und", "der"])
+    for size in (1, 40, 1 << 20):
+        monkeypatch.setattr(stretches, "PIECE_BYTES", size)
+        assert sum(n for _, n in stretches.pieces(whole)) == len(texts)
+        got = tokens._string_lists(whole, lambda run: tokens._run_tokens(run.lower())).to_pylist()
+        assert got == [tokens_of(t or "") for t in texts]
+        made = []
+        for at, count in stretches.pieces(whole):
+            made += tokens._placed(pa.array([t or "" for t in texts[at : at + count]]), tokens._vocabulary(stops), SHIP_WORDS).to_pylist()
+        for text, row in zip(texts, made, strict=True):
+            parts = compound_parts_local(text or "", SHIP_WORDS)
+            placed = [(index_form(t), n) for n, t in enumerate(tokens_of(f"{text or ''} {parts}")) if t not in stops]
+            assert row == {"compound_terms": parts, "lexemes": [w for w, _ in placed], "places": [n for _, n in placed]}
+    assert len(list(stretches.pieces(whole))) == 1
