@@ -11,6 +11,7 @@ beside the rows, and so does the model of the compound splitter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,13 +24,15 @@ from citewerk.functions.text import passage_text
 from citewerk.functions.tokens import index_terms
 from citewerk.functions.vectors import Encoder, checked_embedding, embed
 from citewerk.operators import postings
-from citewerk.operators.retrieval import shard_of
+from citewerk.operators.retrieval import SHARDS, shard_of
 from citewerk.schemas import CHUNK_COLUMNS, INDEX
 from citewerk.settings import EMBEDDING_BATCH, EMBEDDING_DIM
 from citewerk.sources import storage
 from citewerk.sources.tables import first_per_key, is_small, missing_columns, restrict
 
 COLUMNS = tuple(INDEX.fieldNames())
+#: Bytes of text in a piece of a shard, which one task lexes and stores.
+TASK_BYTES = 8 << 20
 STORED = T.StructType(
     [*INDEX.fields, T.StructField("seq", T.LongType()), T.StructField("shard", T.IntegerType())]
 )
@@ -134,7 +137,21 @@ def merge_rows(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
 
 
 def _clustered(rows: DataFrame) -> DataFrame:
-    return rows.hint("rebalance", "project_id", "shard")
+    """Rows by project, shard and piece. A shard is cut in so many pieces, a power of two, that each has about
+    `TASK_BYTES` of text: what a task lexes, sorts and writes does not grow with the table. A piece holds
+    whole buckets of the inverted index as long as there are fewer pieces than buckets."""
+    weight = F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(64)
+    sizes = rows.groupBy("project_id").agg(F.sum(weight).alias("_bytes"))
+    total = sizes.agg(F.sum("_bytes")).first()[0] or 0
+    power = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_bytes") / (SHARDS * TASK_BYTES))))
+    sizes = sizes.select(F.col("project_id").alias("_project"), F.pow(F.lit(2), power).cast("bigint").alias("_pieces"))
+    # one row for each project, which has folders of its own anyway
+    sized = rows.join(F.broadcast(sizes), F.col("project_id").eqNullSafe(F.col("_project")))
+    piece = F.pmod(F.shiftright(F.xxhash64("chunk_id"), int(math.log2(SHARDS))), F.col("_pieces"))
+    dealt = sized.withColumn("_piece", piece).repartition(
+        max(1, math.ceil(total / TASK_BYTES)), "project_id", "shard", "_piece"
+    )
+    return dealt.select(*rows.columns)
 
 
 def _write(rows: DataFrame, path: str, mode: str) -> None:
@@ -150,6 +167,13 @@ def _write(rows: DataFrame, path: str, mode: str) -> None:
     )
 
 
+def _narrow(spark: SparkSession) -> SparkSession:
+    """A session that reads few stored pieces in a task, whose blocks are sorted there."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(2 * TASK_BYTES))
+    return own
+
+
 def _mark(path: str) -> str:
     """A file that exists while a write is under way: rows and postings may differ after a failure."""
     return f"{path}_open_run"
@@ -236,7 +260,7 @@ def upsert(
             _note_gone(spark, path, known, seq, live)
         _write(fresh, path, "append")
         storage.remove(spark, staged_path)
-        postings.append(_stored(spark, path).where(F.col("seq") == seq), postings_path(path))
+        postings.append(_stored(_narrow(spark), path).where(F.col("seq") == seq), postings_path(path))
         storage.remove(spark, _mark(path))
     storage.remove(spark, staged_path)
     return count

@@ -32,7 +32,7 @@ from citewerk.sources import storage
 from citewerk.sources.tables import is_small, restrict
 
 #: Buckets of a project; a multiple of the shards, so that each lies within one shard.
-BUCKETS = 1024
+BUCKETS = 256
 #: Blocks are made of so many lexemes at a time, or of one chunk.
 BLOCK_TOKENS = 1 << 21
 #: Buckets that survive, one row for each question, are broadcast up to so many rows.

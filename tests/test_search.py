@@ -389,3 +389,17 @@ def test_last_versions_only(spark, tmp_path):
     only = replace(inverted, only=last.select("chunk_id"))
     assert keys(text_search(last, project_id="SEE-7", question="Leck", limit=1, inverted=only)) == ["v2"]
     assert keys(text_search(index, project_id="SEE-7", question="Leck", limit=1, inverted=inverted)) == ["v1"]
+
+
+def test_shards_are_cut_in_bounded_pieces(spark, monkeypatch):
+    """The text that one file of a shard holds does not grow with the table, and pieces hold whole buckets."""
+    notes = [note(f"p{i:05d}", "wasser " * 40, project="SEE-7" if i % 4 else "none") for i in range(1600)]
+    rows = spark.createDataFrame([[n[c] for c in CHUNKS.fieldNames()] for n in notes], CHUNKS)
+    rows = rows.withColumn("project_id", F.expr("nullif(project_id, 'none')")).withColumn("shard", ix.shard_of(F.col("chunk_id")))
+    monkeypatch.setattr(ix, "TASK_BYTES", 8 << 10)
+    dealt = ix._clustered(rows).withColumn("task", F.spark_partition_id()).withColumn("bucket", inv.bucket_of(F.col("chunk_id")))
+    files = dealt.groupBy("task", "project_id", "shard").agg(F.sum(F.length("text")).alias("size"), F.count("*").alias("n"))
+    found = files.agg(F.sum("n"), F.max("size"), F.count("*")).first()
+    assert found[0] == len(notes) and found[1] < 3 * (8 << 10) and found[2] > 2 * 16
+    assert dealt.groupBy("project_id", "bucket").agg(F.countDistinct("task").alias("n")).where("n > 1").isEmpty()
+    assert sorted(r.chunk_id for r in dealt.collect()) == sorted(n["chunk_id"] for n in notes)
