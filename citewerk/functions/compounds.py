@@ -104,7 +104,8 @@ def _run_parts(run: str, lexicon: Parts) -> Sequence[str]:
     return tuple(lexicon.parts(found[0]) if len(found) == 1 else (p for word in found for p in lexicon.parts(word)))
 
 
-@lru_cache(maxsize=2)
+# Of one lexicon only: a learnt model that no task asks any more can be large.
+@lru_cache(maxsize=1)
 def _vocabulary(lexicon: Parts) -> stretches.Vocabulary:
     return stretches.Vocabulary(lambda run: _run_parts(run, lexicon))
 

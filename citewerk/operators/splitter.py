@@ -19,6 +19,7 @@ and not learnt from. Null texts and empty tables give an empty model, which spli
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 import numpy as np
@@ -124,6 +125,10 @@ class Splitter:
 
     def __init__(self, counts: Mapping[str, tuple[int, int, int]]):
         self.shares = {run: shares_of(*n) for run, n in counts.items()}
+        self.key = uuid.uuid4().hex
+
+    def __reduce__(self):
+        return _restored, (self.key, self.shares)
 
     def parts(self, word: str, nested: bool = False) -> list[str]:
         """Parts of one word in lower case, a part directly followed by its own parts."""
@@ -132,6 +137,18 @@ class Splitter:
         return [p for side in sides for p in (side, *self.parts(side, True))] if sides else []
 
 
+_held: dict[str, Splitter] = {}
+
+
+def _restored(key: str, shares: Shares) -> Splitter:
+    """One object per model and worker process: its tasks share it and what it has split."""
+    if key not in _held:
+        _held.clear()
+        made = _held[key] = Splitter({})
+        made.key, made.shares = key, shares
+    return _held[key]
+
+
 def splitter(model: DataFrame) -> Splitter:
     """The model in memory; refused where its runs exceed what a task may carry."""
     size = model.agg(F.sum(F.octet_length("run") + 24)).first()[0] or 0

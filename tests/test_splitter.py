@@ -90,3 +90,15 @@ def test_stored_with_the_index(spark, texts, tmp_path):
     assert first.parts("Kesseldruck") == ["kessel", "druck"]
     again = stored_splitter(spark, path, chunks.limit(0))
     assert again.shares == first.shares == stored_splitter(spark, path).shares
+
+
+def test_tasks_of_a_worker_share_a_model():
+    """A model that comes to a worker again is the one it has, with what it has split."""
+    import pickle
+
+    made = splitter.Splitter({"kessel": (5, 0, 0), "druck": (0, 5, 0)})
+    sent = pickle.dumps(made)
+    first = pickle.loads(sent)
+    assert pickle.loads(sent) is first and first.shares == made.shares
+    other = pickle.loads(pickle.dumps(splitter.Splitter({"raum": (1, 1, 0)})))
+    assert other is not first and other.shares != first.shares
