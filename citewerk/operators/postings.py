@@ -282,7 +282,7 @@ def any_word(inverted: Inverted, project_id: str, questions: Sequence[Sequence[s
     rows, askers = _asked(inverted, project_id, questions)
     replaced = inverted.gone.count() if inverted.gone is not None else 0
     if inverted.only is not None:
-        replaced = BUCKETS  # any count may be that of a chunk that is left out: no bucket is ruled out
+        replaced = 1 << 20  # any count may be that of a chunk that is left out: no bucket is ruled out
     wanted = reachable(rows, askers, k, replaced)
     if len(questions) * BUCKETS <= BROADCAST_BUCKETS:
         wanted = F.broadcast(wanted)
