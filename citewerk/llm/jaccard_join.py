@@ -12,10 +12,12 @@ below `hot` does without its hot ones: all its links show in the others. A view
 counts twice, as it meets partners that differ in it by one shingle, and the keys of their empty
 segments, so that no view lacks units. Views that are still short meet over hot keys, but only each
 other, only across components that are not known to be one, and each over its cheapest segments, as
-many as it lacks units; the sets of such a key are compared inside tasks, block by block, and give a
-spanning forest of their links instead of their pairs.
+many as it lacks units; keys that hold much the same views go together, and their sets are compared
+inside tasks, block by block, and give a spanning forest of their links instead of their pairs.
 
-Links are verified exactly on the whole sets. Components grow in two steps: every key first links
+Pairs are first held against their sketches, a bit for each of about as many buckets as a set has
+shingles, which tells whether an odd number of them lies there: no fewer shingles than bits differ, so
+no link is lost. Links are verified exactly on the whole sets of the pairs that are left. Components grow in two steps: every key first links
 its members with its smallest one, so a group of any size takes as many pairs as rows; only pairs
 across components are listed after that. Equal sets are one class throughout and never paired.
 
@@ -132,6 +134,23 @@ class Bands:
         return self.__dict__.setdefault("segments_of", {})
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """One bit for each bucket of hashes: whether an odd number of shingles lies in it."""
+    bits = 1 << max(6, (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_distance(a: bytes, b: bytes) -> int:
+    """A Hamming distance that the sets of two sketches have at least."""
+    small, large = sorted((a, b), key=len)
+    folded, bits = int.from_bytes(large, "little"), 8 * len(large)
+    while bits > 8 * len(small):
+        bits //= 2
+        folded = (folded >> bits) ^ (folded & ((1 << bits) - 1))
+    return (folded ^ int.from_bytes(small, "little")).bit_count()
+
+
 def segment_of(tokens: np.ndarray, band: int, m: int) -> np.ndarray:
     seed = mix(np.array([band + 1], np.uint64))
     return (mix(tokens ^ seed) % np.uint64(m)).astype(np.int64)
@@ -166,7 +185,7 @@ def _longs(values: np.ndarray) -> pa.Array:
 
 
 def _index(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """(id, n, k1, k2, keys, needs) of every row; keys and needs have one entry for each view."""
+    """(id, n, k1, k2, sketch, keys, needs) of every row; keys and needs have one entry for each view."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -177,23 +196,25 @@ def _index(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
                 k1 = int((mix(tokens).sum(dtype=np.uint64)).view(np.int64))
                 k2 = int((mix(tokens * _ODD + np.uint64(1)).sum(dtype=np.uint64)).view(np.int64))
                 keys = [occupied(tokens, band, m)[1].view(np.int64) for band, m, _ in views]
-                rows.append((len(tokens), k1, k2, keys, [need for _, _, need in views]))
-            made = list(zip(*rows)) or [[]] * 5
+                rows.append((len(tokens), k1, k2, sketch(tokens), keys, [need for _, _, need in views]))
+            made = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(made[0], pa.int64()),
                     pa.array(made[1], pa.int64()),
                     pa.array(made[2], pa.int64()),
-                    pa.array(made[3], pa.list_(pa.list_(pa.int64()))),
-                    pa.array(made[4], pa.list_(pa.int32())),
+                    pa.array(made[3], pa.binary()),
+                    pa.array(made[4], pa.list_(pa.list_(pa.int64()))),
+                    pa.array(made[5], pa.list_(pa.int32())),
                 ],
-                names=["id", "n", "k1", "k2", "keys", "needs"],
+                names=["id", "n", "k1", "k2", "sketch", "keys", "needs"],
             )
 
     schema = T.StructType().add("id", docs.schema[id_col].dataType)
     for name in ("n", "k1", "k2"):
         schema = schema.add(name, T.LongType())
+    schema = schema.add("sketch", T.BinaryType())
     schema = schema.add("keys", T.ArrayType(T.ArrayType(T.LongType())))
     schema = schema.add("needs", T.ArrayType(T.IntegerType()))
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -256,6 +277,26 @@ def _token_rows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
     return found.dropDuplicates(["mark", "k1", "uid"]).select("uid", "tokens")
 
 
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may be linked by what the sketches (uid, n, sketch) tell; none that is gets lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for batch in pieces(batches, 4096):
+            _, _, na, nb, sa, sb = (column.to_pylist() for column in batch.columns)
+            near = [
+                min(m, n) * 100 >= max(m, n) * percent and least_distance(x, y) <= bands.distance(m, n)
+                for m, n, x, y in zip(na, nb, sa, sb)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    of_a, of_b = (
+        sketches.select(F.col("uid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"
+    )
+    both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "na", "nb", "sa", "sb")
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are linked, by the exact size of their intersection."""
     of_a = tokens.select(F.col("uid").alias("a"), F.col("tokens").alias("ta"))
@@ -414,14 +455,22 @@ def similar_groups(
         .select("view", "uid", "need")
     )
     met = shared.select(F.shiftright("view", 1).alias("uid")).unionByName(short.select("uid")).distinct()
-    wanted = reps.join(met, "uid", "left_semi").select("uid", "id", "k1")
-    tokens = settle(_token_rows(docs, settle(wanted), id_col, text_col, words))
+    wanted = settle(reps.join(met, "uid", "left_semi").select("uid", "id", "k1", "n", "sketch"))
+
+    def tokens_of(uids: DataFrame) -> DataFrame:
+        chosen = settle(wanted.select("uid", "id", "k1").join(uids.distinct(), "uid", "left_semi"))
+        return settle(_token_rows(docs, chosen, id_col, text_col, words))
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid")))
 
     # every key links its members with its first one
     stars = shared.select(
         F.shiftright("first", 1).alias("a"), F.shiftright("view", 1).alias("b")
     ).where("a <> b").distinct()
-    links = settle(_verified(settle(stars), tokens, percent))
+    stars = settle(_likely(settle(stars), wanted, percent))
+    tokens = tokens_of(ends(stars).unionByName(short.select("uid")))
+    links = settle(_verified(stars, tokens, percent))
     known = components(links)
 
     def placed(rows: DataFrame) -> DataFrame:
@@ -452,8 +501,11 @@ def similar_groups(
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    verified = _verified(settle(pairs.where("a <> b").distinct()), tokens, percent)
-    more_links = settle(verified if more_links is None else verified.unionByName(more_links))
+    pairs = settle(_likely(settle(pairs.where("a <> b").distinct()), wanted, percent))
+    if pairs.take(1):
+        verified = _verified(pairs, tokens_of(ends(pairs)), percent)
+        more_links = verified if more_links is None else verified.unionByName(more_links)
+    more_links = pairs if more_links is None else settle(more_links)
     # whole components move: links join the roots of the first step
     roots = components(
         links.unionByName(more_links)
@@ -479,9 +531,9 @@ def _short_pairs(short, tokens, placed, across, percent: int, hot: int, block: i
     A shingle that no other short class has adds one to the distance of every such pair, so a view
     with as many of these as it needs units has no short partner and takes no further part.
     """
-    classes = short.select("uid").distinct().join(tokens, "uid")
+    tokens = settle(tokens.join(short.select("uid").distinct(), "uid", "left_semi"))
     lone = (
-        classes.select("uid", F.explode("tokens").alias("token"))
+        tokens.select("uid", F.explode("tokens").alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"))
         .where("n = 1")
@@ -506,10 +558,11 @@ def _short_pairs(short, tokens, placed, across, percent: int, hot: int, block: i
     left = _neighbourhoods(whole.join(still.select("view"), "view", "left_semi"), percent, dear, True)
     mixed = settle(
         left.groupBy("key")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("cost"))
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("cost"),
+             F.min(F.xxhash64("view")).alias("group"))
         .where("low < high")
-        .select("key", "cost")
-    )
+        .select("key", "cost", "group")
+    )
     left = settle(left.join(mixed, "key"))
     # allocation: a view asks over its cheapest segments until it has the units that it needs;
     # segments whose keys hold one component only cost nothing and are not in `left`
@@ -526,26 +579,20 @@ def _short_pairs(short, tokens, placed, across, percent: int, hot: int, block: i
         prices.withColumn("before", before).join(still, "view")
         .where(F.col("before") < F.col("missing")).select("view", "segment")
     )
-    ask = left.join(asked, ["view", "segment"], "left_semi").select("key", "view").distinct()
-    met = _linked_over_dear_keys(ask, left.select("key", "view").distinct(), whole, percent, block)
-    return found, met
+    # two keys are in one group with the probability that a view of either is one of both, so keys of much
+    # the same views, such as the segments of a common passage, meet once, and others rarely
+    rows = left.withColumn("key", F.col("group"))
+    ask = settle(rows.join(asked, ["view", "segment"], "left_semi").select("key", "view").distinct())
+    told = settle(rows.select("key", "view").distinct())
+    return found, _linked_over_dear_keys(ask, told, whole, percent, block)
 
 
 def _linked_over_dear_keys(ask: DataFrame, told: DataFrame, whole: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) between views that ask over a dear key and all that it holds, compared inside tasks.
+    """Links (a, b) between views that ask over a group of dear keys and all that it holds, compared inside tasks.
 
-    Askers of a key are dealt into slices, its views into blocks, and every slice meets every block;
-    a task compares one slice with one block and hands on a spanning forest of the links it finds.
+    `key` is the group. Its askers are dealt into slices, its views into blocks, and every slice meets every
+    block; a task compares one slice with one block and hands on a spanning forest of the links it finds.
     """
-    # keys that hold the same views, as the segments of a common passage do, are one
-    mark = F.xxhash64("view")
-    held_by = told.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 8)).alias("s")
-    )
-    same = held_by.groupBy("n", "x", "s").agg(F.min("key").alias("one"))
-    one = settle(held_by.join(same, ["n", "x", "s"]).select("key", "one", "n"))
-    told = told.join(one.where(F.col("key") == F.col("one")).select("key"), "key", "left_semi")
-    ask = settle(ask.join(one, "key").select(F.col("one").alias("key"), "view").distinct())
     # blocks and slices are bounded by views and by their tokens, so long texts come in smaller ones
     weighed = told.withColumn("asks", F.lit(False)).unionByName(ask.withColumn("asks", F.lit(True))).join(
         whole.select("view", F.size("tokens").alias("size")), "view"

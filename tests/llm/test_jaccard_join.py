@@ -213,3 +213,67 @@ def test_few_occupied_segments(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = similar_groups(docs, words=5, percent=80, hot=2, block=8)
     assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(rows, 5, 80)
+
+
+def test_sketches_never_tell_too_great_a_distance():
+    rng = np.random.default_rng(7)
+    apart = 0
+    for size in (1, 2, 30, 64, 65, 120, 300, 1000):
+        a = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
+        for share in (0.0, 0.1, 0.5, 1.0):
+            other = rng.integers(0, 1 << 62, int(share * size) + 1).astype(np.uint64)
+            b = np.unique(np.r_[a[int(share * len(a)) :], other])
+            told = jaccard_join.least_distance(jaccard_join.sketch(a), jaccard_join.sketch(b))
+            assert told <= len(np.setxor1d(a, b))
+            assert told == jaccard_join.least_distance(jaccard_join.sketch(b), jaccard_join.sketch(a))
+            if share == 1.0 and size >= 30:
+                apart += 1
+                assert told > Bands(80).distance(len(a), len(b))
+    assert apart and jaccard_join.least_distance(jaccard_join.sketch(a), jaccard_join.sketch(a)) == 0
+
+
+def test_only_likely_pairs_are_read_again(spark, monkeypatch):
+    """Texts that share a passage and are far from linked: none of their token lists is made or shuffled."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passage = [word() for _ in range(100)]
+    rows = [(i, " ".join(passage + [word() for _ in range(20)])) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(5)]
+    read = []
+    old = jaccard_join._token_rows
+
+    def counted(docs, wanted, *options):
+        read.append(wanted.count())
+        return old(docs, wanted, *options)
+
+    monkeypatch.setattr(jaccard_join, "_token_rows", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = similar_groups(docs, words=3, percent=90)
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(rows, 3, 90)
+    assert sum(read) <= 20, read
+
+
+def test_dear_keys_of_the_same_views_meet_once(spark, monkeypatch):
+    """Variants of one text: a view is sent for each group of dear keys and not for each key."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    base = [word() for _ in range(60)]
+    few = [word() for _ in range(3)]
+    rows = []
+    for i in range(200):
+        own = list(base)
+        for at in rng.sample(range(60), rng.choice([1, 2, 3])):
+            own[at] = rng.choice(few)
+        rows.append((i, " ".join(own)))
+    sent = []
+    old = jaccard_join._linked_over_dear_keys
+
+    def counted(ask, told, whole, *options):
+        sent.append((told.count(), whole.count()))
+        return old(ask, told, whole, *options)
+
+    monkeypatch.setattr(jaccard_join, "_linked_over_dear_keys", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = similar_groups(docs, words=3, percent=90, hot=3, block=16)
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(rows, 3, 90)
+    assert sent and all(told <= 8 * views for told, views in sent), sent
