@@ -75,6 +75,19 @@ def _runs(words: DataFrame, *keep: str) -> DataFrame:
     return sized.select(*keep, "word", "at", F.substring("word", F.col("at") + 1, F.col("size")).alias("run"))
 
 
+def _run_array(word: Column) -> Column:
+    """The letter runs of one word of SHORTEST letters or more; 242 at most for LONGEST_WORD letters."""
+    size = F.length(word)
+    from_each = F.transform(
+        F.sequence(F.lit(0), size - SHORTEST),
+        lambda at: F.transform(
+            F.sequence(F.lit(SHORTEST), F.least(F.lit(LONGEST), size - at)),
+            lambda long: F.substring(word, at + 1, long),
+        ),
+    )
+    return F.flatten(from_each)
+
+
 def learn(words: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """MODEL rows from distinct words (word). A whole word counts neither as beginning nor as end."""
     runs = _runs(words)
@@ -177,7 +190,8 @@ def cuts(words: DataFrame, model: DataFrame) -> DataFrame:
 
     size = F.length("word")
     long = words.where((size >= MIN_WORD_LENGTH) & (size <= LONGEST_WORD))
-    runs = _runs(long).select("word", "run").distinct()
+    # the distinct runs of a word in one array: an aggregate would hold those of all words of a task
+    runs = long.select("word", F.explode(F.array_distinct(_run_array(F.col("word")))).alias("run"))
     known = runs.join(model, "run").groupBy("word").agg(
         F.collect_list(F.struct("run", "begins", "ends", "inside")).alias("known")
     )  # a word of 64 letters has 242 runs at most
