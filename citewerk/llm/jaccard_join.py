@@ -13,7 +13,11 @@ counts twice, as it meets partners that differ in it by one shingle, and the key
 segments, so that no view lacks units. Views that are still short meet over hot keys, but only each
 other, only across components that are not known to be one, and each over its cheapest segments, as
 many as it lacks units; keys that hold much the same views go together, and their sets are compared
-inside tasks, block by block, and give a spanning forest of their links instead of their pairs.
+inside tasks, block by block, and give a spanning forest of their links instead of their pairs. Sketches
+go to every block, whole sets only where a sketch of the block leaves a link possible.
+
+Keys of short views are not made where they can meet nothing: those with a shingle that no other short
+class has, neighbours that no view has whole, and neighbours of dear segments, which are dear as well.
 
 Pairs are first held against their sketches, a bit for each of about as many buckets as a set has
 shingles, which tells whether an odd number of them lies there: no fewer shingles than bits differ, so
@@ -134,9 +138,12 @@ class Bands:
         return self.__dict__.setdefault("segments_of", {})
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """One bit for each bucket of hashes: whether an odd number of shingles lies in it."""
-    bits = 1 << max(6, (len(tokens) - 1).bit_length())
+def sketch(tokens: np.ndarray, share: int = 1) -> bytes:
+    """One bit for each bucket of hashes: whether an odd number of shingles lies in it.
+
+    There are at least `share` buckets a shingle.
+    """
+    bits = 1 << max(6, (share * len(tokens) - 1).bit_length())
     odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -333,15 +340,21 @@ def _pairs_in_lists(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _segments_of(view: int, held: pa.Scalar, bands: Bands):
-    """(segment, key, whole, gain) of a short view's segments and their one-deletions.
+def _segments_of(view: int, held: pa.Scalar, lone: pa.Scalar, bands: Bands):
+    """(segment, key, whole, live, gain) of a short view's segments and their one-deletions.
 
-    gain is 2 for a segment of several shingles, as its neighbourhood counts too, else 1.
+    A key is live unless it holds a lone shingle, as then no other short view can have it. gain is 2 for
+    a segment of several shingles, as its neighbourhood counts too, else 1; but no less than the lone
+    shingles of the segment, as each adds one to the distance of every pair.
     """
     tokens = held.values.to_numpy().view(np.uint64)
     band, m, _ = bands.views(len(tokens))[view & 1]
     segment, key = occupied(tokens, band, m)
     near, near_key = deletions(tokens, band, m)
+    where = segment_of(tokens, band, m)
+    alone = np.isin(tokens, lone.values.to_numpy().view(np.uint64))
+    lones = np.bincount(where[alone], minlength=m)
+    dropped = alone[np.bincount(where, minlength=m)[where] > 1].astype(np.int64)
     # sets may also agree on a segment that is empty in both
     empty = np.setdiff1d(np.arange(m), segment)
     segment = np.r_[segment, empty]
@@ -349,41 +362,66 @@ def _segments_of(view: int, held: pa.Scalar, bands: Bands):
     gain = np.ones(m, np.int64)
     gain[near] = 2
     whole = np.r_[np.ones(len(segment), bool), np.zeros(len(near), bool)]
+    live = np.r_[lones[segment] == 0, lones[near] == dropped]
     segment = np.r_[segment, near]
-    return segment, np.r_[key, near_key].view(np.int64), whole, gain
+    return segment, np.r_[key, near_key].view(np.int64), whole, live, np.maximum(gain, lones)
 
 
-def _neighbourhoods(short: DataFrame, percent: int, dear=None, wanted: bool = False) -> DataFrame:
-    """(key, view, comp, segment, whole, gain) of short views (view, comp, tokens).
+def _in_segments(chosen: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """Which keys lie in a segment of the chosen ones."""
+    held = np.zeros(segment.max() + 1, bool)
+    held[segment[chosen]] = True
+    return held[segment]
 
-    With `dear`, a test for keys, only those that are dear or, if not `wanted`, that are not.
+
+def _short_keys(short: DataFrame, percent: int, choose) -> DataFrame:
+    """(key, view, comp, segment, whole) of short views (view, comp, tokens, lone).
+
+    `choose` tells which of a view's live keys are wanted by (segment, key, whole).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in pieces(batches, 32):
-            for view, comp, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                segment, key, whole, gain = _segments_of(view, held, bands)
-                at = np.arange(len(key)) if dear is None else np.flatnonzero(dear(key) == wanted)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(key[at]),
-                            pa.array(np.full(len(at), view, np.int64)),
-                            pa.array(np.full(len(at), comp, np.int64)),
-                            pa.array(segment[at].astype(np.int32)),
-                            pa.array(whole[at]),
-                            pa.array(gain[segment[at]].astype(np.int32)),
-                        ],
-                        names=["key", "view", "comp", "segment", "whole", "gain"],
-                    )
-
-    schema = "key long, view long, comp long, segment int, whole boolean, gain int"
-    return short.select("view", "comp", "tokens").mapInArrow(run, schema)
+            made = [[], [], [], [], []]
+            views, comps = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for view, comp, held, lone in zip(views, comps, batch.column(2), batch.column(3)):
+                segment, key, whole, live, _ = _segments_of(view, held, lone, bands)
+                segment, key, whole = segment[live], key[live], whole[live]
+                if len(key):
+                    at = np.flatnonzero(choose(segment, key, whole))
+                    own = (key[at], np.full(len(at), view), np.full(len(at), comp), segment[at], whole[at])
+                    for column, values in zip(made, own):
+                        column.append(values)
+            if made[0]:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(column), kind) for column, kind in zip(made, kinds)],
+                    names=["key", "view", "comp", "segment", "whole"],
+                )
+
+    schema = "key long, view long, comp long, segment int, whole boolean"
+    return short.select("view", "comp", "tokens", "lone").mapInArrow(run, schema)
+
+
+def _holes(reps: DataFrame, percent: int, wanted) -> DataFrame:
+    """The wanted keys of the one-deletions of some segments (list `of` of their keys) of views (view, tokens, lone)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for batch in pieces(batches, 256):
+            found = [np.empty(0, np.int64)]
+            for view, held, lone, of in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
+                segment, key, whole, live, _ = _segments_of(view, held, lone, bands)
+                own = live & whole & np.isin(key, of.values.to_numpy())
+                found.append(key[_in_segments(own, segment) & ~whole & wanted(key)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], names=["key"])
+
+    return reps.select("view", "tokens", "lone", "of").mapInArrow(run, "key long")
 
 
 def _missing_units(short: DataFrame, percent: int, dear) -> DataFrame:
-    """(view, missing) of the short views (view, need, tokens) that keys below the limit don't cover.
+    """(view, missing) of the short views (view, need, tokens, lone) that keys below the limit don't cover.
 
     A segment counts nothing if its own key is dear, once if one of its neighbourhood is, else fully.
     """
@@ -392,11 +430,10 @@ def _missing_units(short: DataFrame, percent: int, dear) -> DataFrame:
         bands = Bands(percent)
         for batch in pieces(batches, 256):
             views, missing = [], []
-            for view, need, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                segment, key, whole, gain = _segments_of(view, held, bands)
-                costly = dear(key)
-                units = np.zeros(len(gain), np.int64)
-                units[segment[whole]] = gain[segment[whole]]
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:])
+            for view, need, held, lone in rows:
+                segment, key, whole, live, units = _segments_of(view, held, lone, bands)
+                costly = live & dear(key)
                 units[segment[costly & ~whole]] = 1
                 units[segment[costly & whole]] = 0
                 if units.sum() < need:
@@ -406,7 +443,7 @@ def _missing_units(short: DataFrame, percent: int, dear) -> DataFrame:
                 [pa.array(views, pa.int64()), pa.array(missing, pa.int64())], names=["view", "missing"]
             )
 
-    return short.select("view", "need", "tokens").mapInArrow(run, "view long, missing long")
+    return short.select("view", "need", "tokens", "lone").mapInArrow(run, "view long, missing long")
 
 
 def similar_groups(
@@ -528,8 +565,9 @@ def similar_groups(
 def _short_pairs(short, tokens, placed, across, percent: int, hot: int, block: int):
     """Of short views the pairs over one-deletion neighbourhoods and the links over dear keys, if any.
 
-    A shingle that no other short class has adds one to the distance of every such pair, so a view
-    with as many of these as it needs units has no short partner and takes no further part.
+    A shingle that no other short class has is lone: it adds one to the distance of every such pair, so a
+    view with as many of these as it needs units has no short partner and takes no further part, and
+    keys that hold one are not made at all.
     """
     tokens = settle(tokens.join(short.select("uid").distinct(), "uid", "left_semi"))
     lone = (
@@ -538,24 +576,59 @@ def _short_pairs(short, tokens, placed, across, percent: int, hot: int, block: i
         .agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"))
         .where("n = 1")
         .groupBy("uid")
-        .agg(F.count(F.lit(1)).alias("lone"))
+        .agg(F.collect_list("token").alias("lone"))
     )
     short = settle(
         short.join(lone, "uid", "left")
-        .where(F.coalesce("lone", F.lit(0)) < F.col("need"))
-        .select("view", "uid", "need")
+        .withColumn("lone", F.coalesce("lone", F.array().cast("array<long>")))
+        .where(F.size("lone") < F.col("need"))
+        .select("view", "uid", "need", "lone")
     )
     whole = settle(placed(short).join(tokens.withColumnRenamed("uid", "of"), F.shiftright("view", 1) == F.col("of"))
-                   .select("view", "need", "comp", "tokens"))
-    costs = _neighbourhoods(whole, percent).groupBy("key").agg(F.count(F.lit(1)).alias("cost"))
-    dear_keys = settle(costs.where(F.col("cost") > 2 * hot))
-    # a filter may take a few cheap keys for dear: all that follows goes by the filter
-    dear = MemberFilter(dear_keys.select("key")).asker()
-    found = [across(_neighbourhoods(whole, percent, dear))]
+                   .select("view", "need", "comp", "tokens", "lone"))
+    # all neighbours of a dear segment are dear, as all its views have them: one view tells them for all,
+    # and the others make neighbourhoods of their other segments only
+    # (a filter may take a few cheap keys for steep or dear: all that follows goes by the filters)
+    own = settle(
+        _short_keys(whole, percent, lambda segment, key, whole: whole)
+        .groupBy("key").agg(F.count(F.lit(1)).alias("cost"), F.min("view").alias("view"))
+    )
+    steep = MemberFilter(own.where(F.col("cost") > 2 * hot).select("key"))
+    steep_keys = settle(own.where(steep.may_hold(F.col("key"))).select("key", "view"))
+    reps = steep_keys.groupBy("view").agg(F.collect_list("key").alias("of"))
+    is_steep = steep.asker()
+
+    # neighbours that no view has whole meet nothing that the units count
+    is_whole = MemberFilter(own.select("key")).asker()
+
+    def not_steep(segment: np.ndarray, key: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        known = is_steep(key)
+        return ~whole & ~known & is_whole(key) & ~_in_segments(whole & known, segment)
+
+    costs = settle(
+        _short_keys(whole, percent, not_steep).groupBy("key").agg(F.count(F.lit(1)).alias("cost"))
+        .unionByName(own.select("key", "cost"))
+        .groupBy("key").agg(F.sum("cost").alias("cost"))
+        .where("cost > 1")
+    )
+    dear_keys = settle(
+        costs.where(F.col("cost") > 2 * hot).select("key").unionByName(steep_keys.select("key"))
+        .unionByName(_holes(reps.join(whole, "view"), percent, is_whole)).distinct()
+    )
+    dear = MemberFilter(dear_keys).asker()
+    met = MemberFilter(costs.where(F.col("cost") <= 2 * hot).select("key")).asker()
+    found = [across(_short_keys(whole, percent, lambda segment, key, whole: met(key) & ~dear(key)))]
     still = settle(_missing_units(whole, percent, dear))
     if not still.take(1):
         return found, None
-    left = _neighbourhoods(whole.join(still.select("view"), "view", "left_semi"), percent, dear, True)
+
+    # a dear segment is asked over its own key, others over those of their neighbours that are dear:
+    # one unit each, as the segment itself has counted once where only a neighbour is dear
+    def dear_ones(segment: np.ndarray, key: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        costly = dear(key)
+        return costly & (whole | ~_in_segments(costly & whole, segment))
+
+    left = settle(_short_keys(whole.join(still.select("view"), "view", "left_semi"), percent, dear_ones))
     mixed = settle(
         left.groupBy("key")
         .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("cost"),
@@ -563,27 +636,20 @@ def _short_pairs(short, tokens, placed, across, percent: int, hot: int, block: i
         .where("low < high")
         .select("key", "cost", "group")
     )
-    left = settle(left.join(mixed, "key"))
+    left = settle(left.join(mixed, "key", "left"))
     # allocation: a view asks over its cheapest segments until it has the units that it needs;
-    # segments whose keys hold one component only cost nothing and are not in `left`
-    # (where only a neighbourhood is dear, the segment itself has counted once already)
-    prices = left.groupBy("view", "segment").agg(
-        F.sum("cost").alias("price"),
-        F.when(F.max("whole"), F.max("gain")).otherwise(1).alias("gain"),
-    )
-    order = Window.partitionBy("view").orderBy(F.col("price") / F.col("gain"), "segment")
-    before = F.coalesce(
-        F.sum("gain").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
+    # segments whose keys hold one component only cost nothing and ask nothing
+    prices = left.groupBy("view", "segment").agg(F.coalesce(F.sum("cost"), F.lit(0)).alias("price"))
+    order = Window.partitionBy("view").orderBy("price", "segment")
     asked = (
-        prices.withColumn("before", before).join(still, "view")
-        .where(F.col("before") < F.col("missing")).select("view", "segment")
+        prices.withColumn("number", F.row_number().over(order)).join(still, "view")
+        .where(F.col("number") <= F.col("missing")).select("view", "segment")
     )
     # two keys are in one group with the probability that a view of either is one of both, so keys of much
     # the same views, such as the segments of a common passage, meet once, and others rarely
-    rows = left.withColumn("key", F.col("group"))
+    rows = left.where("group is not null").withColumn("key", F.col("group"))
     ask = settle(rows.join(asked, ["view", "segment"], "left_semi").select("key", "view").distinct())
-    told = settle(rows.select("key", "view").distinct())
+    told = settle(rows.where("whole").select("key", "view").distinct())
     return found, _linked_over_dear_keys(ask, told, whole, percent, block)
 
 
@@ -592,6 +658,7 @@ def _linked_over_dear_keys(ask: DataFrame, told: DataFrame, whole: DataFrame, pe
 
     `key` is the group. Its askers are dealt into slices, its views into blocks, and every slice meets every
     block; a task compares one slice with one block and hands on a spanning forest of the links it finds.
+    Sketches are compared first, and whole sets only of views that may be linked in that slice and block.
     """
     # blocks and slices are bounded by views and by their tokens, so long texts come in smaller ones
     weighed = told.withColumn("asks", F.lit(False)).unionByName(ask.withColumn("asks", F.lit(True))).join(
@@ -613,7 +680,11 @@ def _linked_over_dear_keys(ask: DataFrame, told: DataFrame, whole: DataFrame, pe
     held = told.join(sizes, "key").select(
         "key", "view", F.lit(False).alias("asks"), own("blocks").alias("block"), numbers("slices").alias("slice")
     )
-    rows = askers.unionByName(held).join(whole.select("view", "comp", "tokens"), "view")
+    # sketches go to every block; tokens only where a sketch of the block leaves a link possible
+    drawn = _drawn(whole)
+    cells = askers.unionByName(held).join(drawn, "view")
+    near = settle(_near_in_cells(cells, percent))
+    rows = near.join(whole.select("view", "comp", "tokens"), "view")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         column = lambda name: table.column(name).combine_chunks()
@@ -632,6 +703,63 @@ def _linked_over_dear_keys(ask: DataFrame, told: DataFrame, whole: DataFrame, pe
     return rows.groupBy("key", "slice", "block").applyInArrow(run, "a long, b long")
 
 
+def _drawn(whole: DataFrame) -> DataFrame:
+    """(view, comp, size, sketch) of views (view, comp, tokens), with sketches of twice the bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 1024):
+            lists = batch.column(2)
+            sketches = [sketch(held.values.to_numpy().view(np.uint64), 2) for held in lists]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), lists.value_lengths(), pa.array(sketches, pa.binary())],
+                names=["view", "comp", "size", "sketch"],
+            )
+
+    schema = "view long, comp long, size int, sketch binary"
+    return whole.select("view", "comp", "tokens").mapInArrow(run, schema)
+
+
+def _near_in_cells(cells: DataFrame, percent: int) -> DataFrame:
+    """(key, slice, block, view, asks) of the rows that may be linked with one of the other side of their cell,
+    across components, by what the sketches tell; none that is gets lost."""
+
+    def run(cell: tuple, table: pa.Table) -> pa.Table:
+        column = lambda name: table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+        asks, comp, size = column("asks"), column("comp"), column("size").astype(np.int64)
+        sketches = table.column("sketch").to_pylist()
+        width = np.array([len(s) for s in sketches])
+        near = np.zeros(len(asks), bool)
+        for wide in np.unique(width[asks]):
+            for other in np.unique(width[~asks]):
+                a = np.flatnonzero(asks & (width == wide))
+                b = np.flatnonzero(~asks & (width == other))
+                words = min(wide, other) // 8
+                of_a, of_b = (_words([sketches[k] for k in at], words) for at in (a, b))
+                apart = np.zeros((len(a), len(b)), np.int32)
+                for k in range(words):
+                    apart += np.bitwise_count(of_a[:, k][:, None] ^ of_b[:, k][None, :])
+                m, n = size[a][:, None], size[b][None, :]
+                maybe = np.minimum(m, n) * 100 >= np.maximum(m, n) * percent
+                maybe &= apart <= (m + n) * (100 - percent) // (100 + percent)
+                maybe &= comp[a][:, None] != comp[b][None, :]
+                near[a] |= maybe.any(axis=1)
+                near[b] |= maybe.any(axis=0)
+        return table.select(["key", "slice", "block", "view", "asks"]).filter(pa.array(near))
+
+    schema = "key long, slice long, block long, view long, asks boolean"
+    cells = cells.withColumns({name: F.col(name).cast("long") for name in ("slice", "block")})
+    return cells.groupBy("key", "slice", "block").applyInArrow(run, schema)
+
+
+def _words(sketches: list[bytes], words: int) -> np.ndarray:
+    """Sketches of one width, folded to so many words of 64 bits; one row each."""
+    folded = np.frombuffer(b"".join(sketches), "<u8").reshape(len(sketches), -1)
+    while folded.shape[1] > words:
+        half = folded.shape[1] // 2
+        folded = folded[:, :half] ^ folded[:, half:]
+    return folded
+
+
 def common(lists: pa.Array, size: np.ndarray, side: np.ndarray) -> np.ndarray:
     """How many tokens the sets of one side share with each set of the other.
 

@@ -277,3 +277,49 @@ def test_dear_keys_of_the_same_views_meet_once(spark, monkeypatch):
     found = similar_groups(docs, words=3, percent=90, hot=3, block=16)
     assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(rows, 3, 90)
     assert sent and all(told <= 8 * views for told, views in sent), sent
+
+
+def test_short_views_make_few_keys_and_send_few_sets(spark, monkeypatch):
+    """Texts of one passage with four other words each, too far apart to be linked: keys that no other view can
+    have, or that are known to be dear, are not made, and whole sets go only where sketches leave a link possible."""
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    base = [word() for _ in range(80)]
+    rows = []
+    for i in range(200):
+        own = list(base)
+        for at in rng.sample(range(80), 4):
+            own[at] = word()
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made, sent = [], []
+    old_map, old_apply = type(docs).mapInArrow, PandasGroupedOpsMixin.applyInArrow
+
+    def mapped(self, *options, **named):
+        found = old_map(self, *options, **named)
+        if {"key", "view", "segment"} <= set(found.columns):
+            made.append(found.count())
+        return found
+
+    def applied(self, *options, **named):
+        if "tokens" in self._df.columns:
+            sent.append(self._df.count())
+        return old_apply(self, *options, **named)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", mapped)
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInArrow", applied)
+    found = similar_groups(docs, words=1, percent=90, hot=3, block=16)
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(rows, 1, 90)
+    assert sum(made) <= 60 * len(rows), made
+    assert sent and sum(sent) <= 4 * len(rows), sent
+
+
+def test_folded_sketches_tell_the_same():
+    rng = np.random.default_rng(3)
+    a, b = (np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64)) for size in (90, 300))
+    small, large = jaccard_join.sketch(a, 2), jaccard_join.sketch(b, 2)
+    words = len(small) // 8
+    apart = np.bitwise_count(jaccard_join._words([small], words) ^ jaccard_join._words([large], words)).sum()
+    assert apart == jaccard_join.least_distance(small, large) <= len(np.setxor1d(a, b))
