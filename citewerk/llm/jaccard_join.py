@@ -650,7 +650,30 @@ def _short_pairs(short, tokens, placed, across, percent: int, hot: int, block: i
     rows = left.where("group is not null").withColumn("key", F.col("group"))
     ask = settle(rows.join(asked, ["view", "segment"], "left_semi").select("key", "view").distinct())
     told = settle(rows.where("whole").select("key", "view").distinct())
-    return found, _linked_over_dear_keys(ask, told, whole, percent, block)
+    merged = _merged_groups(told)
+
+    def regrouped(rows: DataFrame) -> DataFrame:
+        both = rows.join(merged, "key", "left")
+        return settle(both.select(F.coalesce("target", "key").alias("key"), "view").distinct())
+
+    return found, _linked_over_dear_keys(regrouped(ask), regrouped(told), whole, percent, block)
+
+
+def _merged_groups(told: DataFrame) -> DataFrame:
+    """(key, target) of the groups (key, view) that join another one that holds at least half of their views.
+
+    The target is the largest group of those views and at most twice as large, so a merged group sends fewer
+    rows than its parts, and no small group has to meet a much larger one.
+    """
+    sized = told.join(told.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    best = F.max(F.struct("n", F.col("key").alias("target"))).over(Window.partitionBy("view"))
+    placed = sized.withColumn("best", best)
+    shares = placed.groupBy("key", "n", "best").agg(F.count(F.lit(1)).alias("held"))
+    first = shares.groupBy("key", "n").agg(F.max(F.struct("held", "best")).alias("first"))
+    return settle(
+        first.select("key", "n", "first.held", F.col("first.best.n").alias("size"), "first.best.target")
+        .where("target <> key and 2 * held >= n and 2 * n >= size").select("key", "target")
+    )
 
 
 def _linked_over_dear_keys(ask: DataFrame, told: DataFrame, whole: DataFrame, percent: int, block: int) -> DataFrame:
